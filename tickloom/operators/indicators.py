@@ -198,6 +198,12 @@ def rolling_features(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     return Layout.core(_drop_base(_rolling(_base(layout.spread(bars, before=ROLLING_BEFORE), w), w)))
 
 
+def rolling_volatility(bars: DataFrame, layout: Layout = Layout(), n: int = 20) -> DataFrame:
+    """Bars plus the rolling deviation of the close only."""
+    w = Layout.window()
+    return Layout.core(layout.spread(bars, before=n).withColumn(f"volatility_{n}", roll(F.stddev_samp, F.col("close"), n, w)))
+
+
 def recursive_features(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Bars plus the exponential means and the indicators built on them."""
     w = Layout.window()

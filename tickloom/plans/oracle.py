@@ -86,7 +86,7 @@ s2 AS MATERIALIZED (SELECT *, {lag('lr')} AS plr, avg(tr) OVER {frame(20)} AS mt
 st AS (
   SELECT ticker, rn, CAST(0 AS DOUBLE) AS e12, CAST(0 AS DOUBLE) AS e26, CAST(0 AS DOUBLE) AS e20, CAST(0 AS DOUBLE) AS e50,
     CAST(0 AS DOUBLE) AS etr, CAST(0 AS DOUBLE) AS w14, CAST(0 AS DOUBLE) AS w21, CAST(0 AS DOUBLE) AS g14, CAST(0 AS DOUBLE) AS l14,
-    CAST(0 AS DOUBLE) AS g21, CAST(0 AS DOUBLE) AS l21, CAST(0 AS DOUBLE) AS at, CAST(0 AS DOUBLE) AS du, CAST(0 AS DOUBLE) AS dd, CAST(0 AS DOUBLE) AS gv
+    CAST(0 AS DOUBLE) AS g21, CAST(0 AS DOUBLE) AS l21, CAST(0 AS DOUBLE) AS atr_s, CAST(0 AS DOUBLE) AS du, CAST(0 AS DOUBLE) AS dd, CAST(0 AS DOUBLE) AS gv
   FROM s2 WHERE rn = 1
   UNION ALL
   SELECT b.ticker, b.rn,
@@ -98,13 +98,13 @@ st AS (
     w14 * 13 / 14 + 1, w21 * 20 / 21 + 1,
     g14 * 13 / 14 + greatest(close - prev, 0), l14 * 13 / 14 + greatest(prev - close, 0),
     g21 * 20 / 21 + greatest(close - prev, 0), l21 * 20 / 21 + greatest(prev - close, 0),
-    at * 13 / 14 + tr, du * 13 / 14 + up, dd * 13 / 14 + dn,
+    atr_s * 13 / 14 + tr, du * 13 / 14 + up, dd * 13 / 14 + dn,
     CASE WHEN b.rn > 21 THEN 0.1 * plr * plr + 0.85 * gv ELSE 0 END
   FROM st JOIN s2 b ON b.ticker = st.ticker AND b.rn = st.rn + 1),
 s3 AS MATERIALIZED (SELECT b.ticker, b.date, b.rn, b.close, CASE WHEN b.rn >= 15 THEN 100 * g14 / nullif(g14 + l14, 0) END AS rsi_14,
-  CASE WHEN b.rn >= 22 THEN 100 * g21 / nullif(g21 + l21, 0) END AS rsi_21, CASE WHEN b.rn >= 15 THEN at / w14 END AS atr,
-  CASE WHEN b.rn >= 15 THEN 100 * (du / w14) / nullif(at / w14, 0) END AS "DMP_14",
-  CASE WHEN b.rn >= 15 THEN 100 * (dd / w14) / nullif(at / w14, 0) END AS "DMN_14",
+  CASE WHEN b.rn >= 22 THEN 100 * g21 / nullif(g21 + l21, 0) END AS rsi_21, CASE WHEN b.rn >= 15 THEN atr_s / w14 END AS atr,
+  CASE WHEN b.rn >= 15 THEN 100 * (du / w14) / nullif(atr_s / w14, 0) END AS "DMP_14",
+  CASE WHEN b.rn >= 15 THEN 100 * (dd / w14) / nullif(atr_s / w14, 0) END AS "DMN_14",
   CASE WHEN b.rn >= 20 THEN e20 END AS ema_short, CASE WHEN b.rn >= 50 THEN e50 END AS ema_long,
   CASE WHEN b.rn >= 26 THEN e12 - e26 END AS macd, CASE WHEN b.rn >= 20 THEN e20 - 2 * etr END AS kc_lower,
   CASE WHEN b.rn >= 20 THEN e20 + 2 * etr END AS kc_upper,
