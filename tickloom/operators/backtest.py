@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.metrics import precision_recall, ratio, share, sharpe
 from tickloom.functions.series import ROW, clip, div
-from tickloom.operators.evaluation import average_precision, roc_auc
-from tickloom.operators.signals import rejection_counts
+from tickloom.operators.signals import rejection_aggregates
 from tickloom.settings import Settings
 
 KEYS = ("ticker", "fold")
@@ -41,37 +40,42 @@ def net_metrics(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def fold_expected_value(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings()) -> DataFrame:
-    """Expected value averaged over the signals of a fold, or over all rows without one.
-
-    The unit of the target and the stop is the deviation of the fold's returns.
-    """
+def expected_values(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings()) -> DataFrame:
+    """``ev`` per row; the unit of target and stop is the deviation of the fold's returns."""
     unit = F.stddev_pop("ret").over(Window.partitionBy(*keys))
     tp, sl = clip(F.col("_u") * s.k_tp, 0.0, 0.25), clip(F.col("_u") * s.k_sl, 0.0, 0.25)
     value = F.col("p") * tp - (1 - F.col("p")) * sl - s.trade_cost
-    return df.withColumn("_u", unit).withColumn("_ev", value).groupBy(*keys).agg(
-        F.when(F.count_if(F.col("size") > 0) > 0, F.avg(F.when(F.col("signal") == 1, F.col("_ev"))))
-        .otherwise(F.avg("_ev")).alias("ev_mean_fold")
-    )
+    return df.withColumn("_u", unit).withColumn("ev", value).drop("_u")
 
 
 def fold_results(sized: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings()) -> DataFrame:
     """One row per fold with its scores, returns, trades and filter counts.
 
-    Folds below ``min_trades`` positions keep their row, with ``reason`` set.
+    Everything row-wise is a window over the fold, so one exchange and one aggregation give
+    the whole row (the ranking measures are also kept as operators of their own).  Folds below
+    ``min_trades`` positions keep their row, with ``reason`` set.
     """
     y, signal, size = F.col("target"), F.col("signal"), F.col("size")
-    df = drawdown(with_costs(sized.withColumn("_pred", (F.col("p") >= 0.5).cast("int")), keys, s), "gross", keys)
-    df = df.withColumn("_raw", F.col("ret") * F.col("_pred"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)
+    df = sized.withColumns({
+        "_pred": (F.col("p") >= 0.5).cast("int"),
+        "_rank": F.rank().over(Window.partitionBy(*keys).orderBy("p"))
+        + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "p")) - 1) / 2,
+        "_precision": F.sum("target").over(down) / F.count(F.lit(1)).over(down),
+    })
+    df = expected_values(drawdown(with_costs(df, keys, s), "gross", keys), keys, s)
+    raw = F.col("ret") * F.col("_pred")
     hit = ((signal == 1) & (y == 1)).cast("int")
     precision, recall, f1 = precision_recall(hit, (signal == 1).cast("int"), (y == 1).cast("int"))
-    trades = F.count_if(size > 0)
-    main = df.groupBy(*keys).agg(
+    trades, pos, neg = F.count_if(size > 0), F.sum("target"), F.sum(1 - y)
+    out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_val"),
         F.first("n_train").alias("n_train"),
+        div(F.sum(F.when(y == 1, F.col("_rank"))) - pos * (pos + 1) / 2, pos * neg).alias("auc"),
+        F.avg(F.when(y == 1, F.col("_precision"))).alias("aucpr"),
         share(F.col("_pred") == y).alias("accuracy"),
         share(signal == y).alias("accuracy_thresholded"),
-        F.when(F.sum("_pred") >= 3, sharpe(F.col("_raw"))).alias("sharpe"),
+        F.when(F.sum("_pred") >= 3, sharpe(raw)).alias("sharpe"),
         F.when(trades >= 3, sharpe(F.col("gross"))).alias("sharpe_thresholded"),
         F.when(trades >= 3, F.least(F.min("drawdown"), F.lit(0.0))).alias("max_drawdown"),
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
@@ -85,14 +89,10 @@ def fold_results(sized: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Set
         F.count_if((signal == 0) & (y == 0)).alias("avoided_losses"),
         trades.alias("fold_trades"),
         share(size > 0).alias("trade_coverage"),
+        F.when(trades > 0, F.avg(F.when(signal == 1, F.col("ev")))).otherwise(F.avg("ev")).alias("ev_mean_fold"),
         F.first("stats.n_trades").alias("_n_at"), F.first("stats.trade_ratio").alias("_ratio_at"),
+        *rejection_aggregates(),
     )
-    out = main
-    for part in (
-        roc_auc(sized, keys), average_precision(sized, keys), fold_expected_value(sized, keys, s),
-        rejection_counts(sized, keys),
-    ):
-        out = out.join(part, list(keys))
     return out.withColumns({
         "n_trades_at_threshold": F.coalesce("_n_at", "fold_trades"),
         "trade_ratio_at_threshold": F.coalesce("_ratio_at", "trade_coverage"),

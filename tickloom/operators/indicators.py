@@ -293,7 +293,8 @@ def market_structure_features(bars: DataFrame, layout: Layout = Layout()) -> Dat
         "vwap": vwap[20],
         **{f"vwap_{n}d_deviation": div(close - v, v) for n, v in vwap.items()},
         "vol_vs_mean": div(F.col("volatility_20"), roll(F.avg, F.col("volatility_20"), 20, w)),
-        "vol_regime": percent_rank_last(F.col("volatility_20"), 60, w),
+        # Deviations of the same closes in another order differ in the last bits only: a tie.
+        "vol_regime": percent_rank_last(F.round("volatility_20", 10), 60, w),
     })
     return Layout.core(_drop_base(df.withColumn("vwap_deviation", div(close - F.col("vwap"), F.col("vwap")))))
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations, product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import ROW
 
-PAIRS_PER_PASS = 150  # keeps one aggregation small enough to be compiled
-
-
 def column_profile(df: DataFrame, cols: Sequence[str], last: int = 5) -> DataFrame:
     """Count, mean, deviation, range, distinct values and a constant flag, one row per column.
 
@@ -48,21 +47,39 @@ def drift(df: DataFrame, cols: Sequence[str], n: int = 100) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson correlation of every pair over the rows that have both values."""
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start:start + PAIRS_PER_PASS]
-        structs = []
-        for a, b in batch:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-            varied = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-            structs.append(F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(varied, F.corr(a, b)).alias("r")
-            ))
-        part = df.agg(F.array(*structs).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Pearson correlation of every pair over the rows that have both values; null when one
+    of them does not vary.
+
+    Every task adds up its rows into one set of sums per pair (matrix products over Arrow
+    batches), so the shuffle carries one row per pair and partition however long the table is.
+    """
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    centre = np.array([v or 0.0 for v in data.agg(*[F.avg(c) for c in cols]).first()])  # keeps the sums small
+    left, right = ([cols.index(pair[side]) for pair in pairs] for side in (0, 1))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = len(cols)
+        total = np.zeros((4, n, n))
+        for batch in batches:
+            x = batch.to_numpy(float) - centre
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        count, sx, sxx, sxy = total
+        yield pd.DataFrame({
+            "pair": np.arange(len(left)), "n": count[left, right], "sx": sx[left, right], "sy": sx[right, left],
+            "sxx": sxx[left, right], "syy": sxx[right, left], "sxy": sxy[left, right],
+        })
+
+    schema = "pair int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    added = data.mapInPandas(sums, schema).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    vx, vy = F.col("sxx") * n - sx * sx, F.col("syy") * n - sy * sy
+    varied = (vx > 1e-14 * n * F.col("sxx")) & (vy > 1e-14 * n * F.col("syy"))
+    r = F.when(varied, (F.col("sxy") * n - sx * sy) / F.sqrt(vx * vy))
+    name = [F.array(*[F.lit(pair[side]) for pair in pairs]) for side in (0, 1)]
+    return added.select(name[0][F.col("pair")].alias("a"), name[1][F.col("pair")].alias("b"), r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

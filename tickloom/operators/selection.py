@@ -92,13 +92,13 @@ def choose_best(
     min_valid_folds: float = MIN_VALID_FOLDS,
 ) -> DataFrame:
     """The candidate with the best robust score among those above all floors; when there is
-    none, among all of them, with ``relaxed`` set."""
+    none, among all of them, with ``relaxed`` set.  Equal scores (to 12 digits) go by id."""
     meets = F.coalesce(
         (F.col("net_sharpe_mean") >= min_net_sharpe) & (F.col("coverage_mean") >= min_coverage)
         & (F.col("valid_folds_ratio_mean") >= min_valid_folds), F.lit(False),
     )
     return (
-        summary.withColumn("_meets", meets).orderBy(F.desc("_meets"), F.desc("robust_score"), "candidate_id").limit(1)
+        summary.withColumn("_meets", meets).orderBy(F.desc("_meets"), F.desc(F.round("robust_score", 12)), "candidate_id").limit(1)
         .withColumn("relaxed", ~F.col("_meets")).drop("_meets")
     )
 

@@ -78,13 +78,16 @@ def best_pr_threshold(
     return curve.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
-def search_thresholds(preds: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings(), p: str = "p") -> DataFrame:
+def search_thresholds(
+    preds: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings(), p: str = "p", carry: Sequence[str] = ()
+) -> DataFrame:
     """Per fold, the threshold with the best net Sharpe after penalties, and its statistics.
 
     Candidates are ten quantiles of the scores or a fixed grid.  A candidate with
     too few or too many trades is out; the lowest threshold wins a tie (objectives
     are compared to 12 digits, as sums have rounding noise).  ``stats`` is null
-    and the threshold is the default when no candidate is left.
+    and the threshold is the default when no candidate is left.  ``carry`` names columns that
+    are constant in a fold and kept in the result.
     """
     fold = Window.partitionBy(*keys)
     if s.search_mode == "quantile":
@@ -94,7 +97,7 @@ def search_thresholds(preds: DataFrame, keys: Sequence[str] = KEYS, s: Settings
         ths = F.array(*[F.lit(float(t)) for t in np.arange(0.45, 0.80, 0.05)])
     tuned = ["target_coverage", "trade_ratio_floor"]
     rows = preds.select(
-        *keys, ROW, "ret", F.col(p).alias("p"), ths.alias("_ths"),
+        *keys, ROW, "ret", *carry, F.col(p).alias("p"), ths.alias("_ths"),
         *[clip(setting(preds, s, c).cast("double"), 0.01, 1.0).alias(f"_{c}") for c in tuned],
     ).withColumn("th", F.explode("_ths")).drop("_ths")
     position = (F.col("p") >= F.col("th")).cast("double")
@@ -107,7 +110,7 @@ def search_thresholds(preds: DataFrame, keys: Sequence[str] = KEYS, s: Settings
         F.count(F.lit(1)).alias("n"), F.count_if(open_).alias("n_trades"),
         F.avg("_ret").alias("mean"), F.stddev_pop("_ret").alias("sd"), F.sum("_turn").alias("turnover"),
         F.count_if(open_ & (gain > 0)).alias("wins"), F.avg(F.when(open_, gain)).alias("avg_return"),
-        *[F.first(f"_{c}").alias(f"_{c}") for c in tuned],
+        *[F.first(c).alias(c) for c in [*[f"_{c}" for c in tuned], *carry]],
     )
     n, trades = F.col("n"), F.col("n_trades")
     tried = tried.withColumns({
@@ -128,7 +131,7 @@ def search_thresholds(preds: DataFrame, keys: Sequence[str] = KEYS, s: Settings
         F.coalesce("avg_return", F.lit(0.0)).alias("avg_return"), "coverage_penalty",
     )
     rank = F.when(valid, F.struct(F.round(objective, 12), -F.col("th")))
-    best = tried.groupBy(*keys).agg(F.max_by(stats, rank).alias("stats"))
+    best = tried.groupBy(*keys).agg(F.max_by(stats, rank).alias("stats"), *[F.first(c).alias(c) for c in carry])
     return best.withColumn("threshold_buy", F.coalesce("stats.threshold_buy", F.lit(s.default_buy)))
 
 
@@ -177,14 +180,15 @@ def clamped_threshold(df: DataFrame, s: Settings = Settings(), c: str = "smooth_
 
 def fold_thresholds(preds: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings()) -> DataFrame:
     """Search, adapt, smooth and clamp: one row per fold."""
+    fold = Window.partitionBy(*keys)
     z = (F.col("volatility_20") - F.col("train_vol_mean")) / (F.col("train_vol_std") + 1e-8)
-    carried = [c for c in ("th_min", "th_max") if c in preds.columns]
-    regime = preds.groupBy(*keys).agg(
-        F.avg(z).alias("vol_z"), F.avg((F.col("distance_to_ma200") < -0.02).cast("double")).alias("bear_ratio"),
-        *[F.first(c).alias(c) for c in carried],
-    )
-    found = search_thresholds(preds, keys, s).join(regime, list(keys))
-    return clamped_threshold(smoothed_thresholds(adaptive_thresholds(found, s), keys, s), s).drop(*carried)
+    preds = preds.withColumns({
+        "vol_z": F.avg(z).over(fold),
+        "bear_ratio": F.avg((F.col("distance_to_ma200") < -0.02).cast("double")).over(fold),
+    })
+    band = [c for c in ("th_min", "th_max") if c in preds.columns]
+    found = search_thresholds(preds, keys, s, carry=["vol_z", "bear_ratio", *band])
+    return clamped_threshold(smoothed_thresholds(adaptive_thresholds(found, s), keys, s), s).drop(*band)
 
 
 # --- signals -------------------------------------------------------------------------------
@@ -329,10 +333,10 @@ def sizing_summary(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def rejection_counts(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """How many rows each filter turned away, per fold."""
+def rejection_aggregates() -> list[Column]:
+    """How many rows each filter turned away."""
     cause = F.col("rejected")
-    return df.groupBy(*keys).agg(
+    return [
         F.count_if(cause == "threshold").alias("threshold_rejected"),
         F.count_if(cause == "percentile").alias("percentile_rejected"),
         F.count_if(cause == "technical").alias("technical_rejected"),
@@ -341,7 +345,11 @@ def rejection_counts(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.sum(F.col("skipped_uncertain") + F.col("skipped_low_confidence")).alias("confidence_rejected"),
         F.count_if(F.col("signal") == 1).alias("post_filters_buy_signals"),
         F.max("relaxed").alias("threshold_relaxed"),
-    )
+    ]
+
+
+def rejection_counts(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return df.groupBy(*keys).agg(*rejection_aggregates())
 
 
 def open_positions(

@@ -17,6 +17,7 @@ from tickloom.settings import Settings
 from tickloom.sources.stages import Stages, files_key
 
 # Features of the score below; the label stage keeps the rows that have them all.
+KEPT = ("ticker", "date", "rn", "open", "high", "low", "close", "volume", "vix_close", "volatility_20")
 SCORED = ("price_to_sma20", "distance_to_ma200")
 MODEL_FEATURES = ("volatility_20", *SCORED)
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -87,8 +88,9 @@ class Market:
         """Rows with features and a decided label, numbered anew, with the percent return of the row."""
 
         def build() -> DataFrame:
-            labelled = labels.volatility_barriers(self.features(), self.layout)
-            return folds.labelled_rows(labelled, features, self.layout)
+            columns = [*KEPT, *[f for f in features if f not in KEPT]]
+            labelled = labels.volatility_barriers(self.features().select(*columns), self.layout)
+            return folds.labelled_rows(labelled.select(*columns, "target"), features, self.layout)
 
         rows = self.stages.table("labelled_numbered", self.payload(features=features), build)
 

@@ -4,8 +4,14 @@ recursion instead of running sums, self-joins instead of arrays)."""
 from __future__ import annotations
 
 
+def nudge(digits: int) -> float:
+    """Offset added before rounding, so that a value on a decimal midpoint rounds the same
+    way whatever its last bits are."""
+    return float(f"3.7e-{digits + 2}")
+
+
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
+    return f"round({expr} + {nudge(digits)!r}, {digits}) + 0.0 AS {name or expr}"
 
 
 def rs(names: str, digits: int = 6) -> str:

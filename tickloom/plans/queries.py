@@ -37,9 +37,12 @@ def query(name: str, oracle: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to fixed digits (and no negative zero), so that engines can be compared."""
+    """Doubles to fixed digits (and no negative zero), so that engines can be compared.
+
+    Prices have two decimals, so exact midpoints do occur; ``o.nudge`` moves them off it.
+    """
     return df.select(*[
-        (F.round(F.col(f.name).cast("double"), digits) + 0.0).alias(f.name)
+        (F.round(F.col(f.name).cast("double") + o.nudge(digits), digits) + 0.0).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`") for f in df.schema
     ])
 
@@ -71,14 +74,14 @@ TO_RUNS = (*TO_RESULTS, o.cross_cte())
 BAR = "ticker date open high low close volume vix_close"
 
 
-@query("bars_with_index", sql(BARS, select=f"SELECT ticker, date, {rs('open high low close volume vix_close')} FROM bars"))
+@query("bars_with_index", sql(BARS, select=f"SELECT ticker, date, {rs('open high low close volume vix_close', 10)} FROM bars"))
 def _(spark, sf):
-    return pick(mk.bars(spark, sf), BAR)
+    return pick(mk.bars(spark, sf), BAR, 10)
 
 
-@query("bars_by_brand", sql(o.bars_cte(True), select=f"SELECT ticker, date, {rs('open high low close volume vix_close')} FROM bars"))
+@query("bars_by_brand", sql(o.bars_cte(True), select=f"SELECT ticker, date, {rs('open high low close volume vix_close', 10)} FROM bars"))
 def _(spark, sf):
-    return pick(mk.bars(spark, sf, by_brand=True), BAR)
+    return pick(mk.bars(spark, sf, by_brand=True), BAR, 10)
 
 
 @query("bars_lookback", sql(BARS, select=f"SELECT ticker, date, {rs('close volume')} FROM bars "
@@ -93,9 +96,9 @@ def _(spark, sf):
     return pick(bar_source.between_dates(mk.trade_bars(spark, sf), "1996-01-01", "1996-12-31"), "ticker date open close")
 
 
-@query("numbered_bars_filled_index", sql(BARS, select=f"SELECT ticker, date, rn, {rs('vix_close vix_filled')} FROM bars"))
+@query("numbered_bars_filled_index", sql(BARS, select=f"SELECT ticker, date, rn, {rs('vix_close vix_filled', 10)} FROM bars"))
 def _(spark, sf):
-    return pick(market(spark, sf).bars(), "ticker date rn vix_close vix_filled")
+    return pick(market(spark, sf).bars(), "ticker date rn vix_close vix_filled", 10)
 
 
 @query("bars_fingerprint")
@@ -122,9 +125,9 @@ def _(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("complete_rows", sql(*TO_LABELS, o.LABELLED, select=f"SELECT ticker, date, bar_rn, rn, target, {rs('close volatility_20 price_to_sma20 distance_to_ma200')} FROM labelled"))
+@query("complete_rows", sql(*TO_LABELS, o.LABELLED, select=f"SELECT ticker, date, bar_rn, rn, target, {rs('close volatility_20 price_to_sma20 distance_to_ma200', 8)} FROM labelled"))
 def _(spark, sf):
-    return pick(market(spark, sf).labelled(), "ticker date bar_rn rn target close volatility_20 price_to_sma20 distance_to_ma200")
+    return pick(market(spark, sf).labelled(), "ticker date bar_rn rn target close volatility_20 price_to_sma20 distance_to_ma200", 8)
 
 
 @query("last_rows", sql(BARS, select=f"SELECT ticker, date, {r('close')} FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 30"))
@@ -148,7 +151,7 @@ def _(spark, sf):
     return pick(sequences.adapt_columns(tcn), "ticker date lstm_price_5d lstm_price_10d lstm_return_5d lstm_dir_5d")
 
 
-@query("overwritten_fold_columns", sql(*TO_PREDS, select=f"""SELECT ticker, fold, date, round(CASE WHEN fold % 2 = 0 THEN 2 * s1 ELSE s1 END, 6) + 0.0 AS price_to_sma20_scaled FROM preds"""))
+@query("overwritten_fold_columns", sql(*TO_PREDS, select=f"""SELECT ticker, fold, date, round(CASE WHEN fold % 2 = 0 THEN 2 * s1 ELSE s1 END + 3.7e-08, 6) + 0.0 AS price_to_sma20_scaled FROM preds"""))
 def _(spark, sf):
     preds = market(spark, sf).predictions()
     fresh = preds.filter("fold % 2 = 0").select("ticker", "fold", "date", (2 * F.col("price_to_sma20_scaled")).alias("price_to_sma20_scaled"))
@@ -167,9 +170,9 @@ ROLLING_GROUPS = {
 
 
 def _rolling_query(name: str, cols: str) -> None:
-    @query(name, sql(BARS, ROLL, select=f"SELECT ticker, date, {rs(cols)} FROM rolling"))
+    @query(name, sql(BARS, ROLL, select=f"SELECT ticker, date, {rs(cols, 8)} FROM rolling"))
     def _(spark, sf):
-        return pick(indicators.rolling_features(market(spark, sf).bars()), f"ticker date {cols}")
+        return pick(indicators.rolling_features(market(spark, sf).bars()), f"ticker date {cols}", 8)
 
 
 for _name, _cols in ROLLING_GROUPS.items():
@@ -189,7 +192,7 @@ def _(spark, sf):
 def _fractional_sql(d: float) -> str:
     weights = indicators.fractional_weights(d)
     terms = " + ".join(f"({w!r}) * lag(ln(close), {9 - k}) OVER w" for k, w in enumerate(weights))
-    return f"round(CASE WHEN rn > 10 THEN {terms} END, 6) + 0.0 AS fd_price_{round(d * 10)}"
+    return f"round(CASE WHEN rn > 10 THEN {terms} END + 3.7e-08, 6) + 0.0 AS fd_price_{round(d * 10)}"
 
 
 @query("fractional_differences", sql(BARS, select=f"SELECT ticker, date, {', '.join(_fractional_sql(d) for d in (0.3, 0.5, 0.7))} FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY rn)"))
@@ -210,7 +213,7 @@ def _(spark, sf):
 
 
 @query("volatility_ranks", sql(BARS, ROLL, f"""m AS (SELECT ticker, date, rn, volatility_20, volatility_20 / nullif({o.roll('avg', 'volatility_20', 20)}, 0) AS vol_vs_mean FROM rolling),
-k AS (SELECT a.ticker, a.rn, (count(*) FILTER (b.volatility_20 < a.volatility_20) + (count(*) FILTER (b.volatility_20 = a.volatility_20) + 1) / 2) / 60 AS vol_regime
+k AS (SELECT a.ticker, a.rn, (count(*) FILTER (round(b.volatility_20, 10) < round(a.volatility_20, 10)) + (count(*) FILTER (round(b.volatility_20, 10) = round(a.volatility_20, 10)) + 1) / 2) / 60 AS vol_regime
   FROM m a JOIN m b ON a.ticker = b.ticker AND b.rn BETWEEN a.rn - 59 AND a.rn WHERE b.volatility_20 IS NOT NULL AND a.volatility_20 IS NOT NULL GROUP BY a.ticker, a.rn HAVING count(*) = 60)""",
        select=f"SELECT ticker, date, {rs('vol_vs_mean vol_regime')} FROM m LEFT JOIN k USING (ticker, rn)"))
 def _(spark, sf):
@@ -280,7 +283,7 @@ def label_shares(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
 
 @query("label_shares", sql(*TO_LABELS, select=f"SELECT ticker, {NAMED} AS label, count(*) AS n_rows, "
-       "round(count(*) / sum(count(*)) OVER (PARTITION BY ticker), 6) + 0.0 AS share FROM barriers GROUP BY 1, 2"))
+       "round(count(*) / sum(count(*)) OVER (PARTITION BY ticker) + 3.7e-08, 6) + 0.0 AS share FROM barriers GROUP BY 1, 2"))
 def _(spark, sf):
     return rounded(label_shares(market(spark, sf).bars()))
 
@@ -324,7 +327,7 @@ def _(spark, sf):
 
 
 @query("percent_label_shares", sql(BARS, PERCENT.format(rows=49), PERCENT_ANY, select="SELECT ticker, label, count(*) AS n_rows, "
-       "round(count(*) / sum(count(*)) OVER (PARTITION BY ticker), 6) + 0.0 AS share FROM any_labels GROUP BY ticker, label"))
+       "round(count(*) / sum(count(*)) OVER (PARTITION BY ticker) + 3.7e-08, 6) + 0.0 AS share FROM any_labels GROUP BY ticker, label"))
 def _(spark, sf):
     return rounded(labels.label_distribution(labels.percent_barriers_any(market(spark, sf).bars()), "label"))
 
@@ -366,7 +369,7 @@ def _(spark, sf):
 
 @query("class_weights", sql(*TO_FOLDS, select="""SELECT ticker, fold, count(*) FILTER (role = 'train' AND target = 0) AS n_sell,
   count(*) FILTER (role = 'train' AND target = 1) AS n_buy, round(coalesce(1.5 * nullif(count(*) FILTER (role = 'train' AND target = 0), 0)
-  / nullif(count(*) FILTER (role = 'train' AND target = 1), 0), 1), 6) + 0.0 AS pos_weight FROM members GROUP BY ticker, fold"""))
+  / nullif(count(*) FILTER (role = 'train' AND target = 1), 0), 1) + 3.7e-08, 6) + 0.0 AS pos_weight FROM members GROUP BY ticker, fold"""))
 def _(spark, sf):
     return rounded(folds.class_weights(market(spark, sf).members()))
 
@@ -485,7 +488,7 @@ def _(spark, sf):
 
 
 @query("sizing_summary", sql(*TO_SIGNALS, select="""SELECT ticker, fold, count(*) FILTER (signal = 1) AS n_candidates, count(*) FILTER (unc) AS n_skipped_uncertain,
-  count(*) FILTER (low) AS n_skipped_low_conf, count(*) FILTER (size > 0) AS n_sized, round(coalesce(avg(size) FILTER (size > 0), 0), 6) + 0.0 AS avg_size FROM sized GROUP BY ticker, fold"""))
+  count(*) FILTER (low) AS n_skipped_low_conf, count(*) FILTER (size > 0) AS n_sized, round(coalesce(avg(size) FILTER (size > 0), 0) + 3.7e-08, 6) + 0.0 AS avg_size FROM sized GROUP BY ticker, fold"""))
 def _(spark, sf):
     return rounded(signals.sizing_summary(_sized(spark, sf)))
 
@@ -512,7 +515,7 @@ def _(spark, sf):
 @query("calibration_quality", sql(*TO_PREDS, """edges AS (SELECT i, i / 10.0::DOUBLE AS lo, (i + 1) / 10.0::DOUBLE AS hi FROM range(10) t(i)),
 bins AS (SELECT ticker, fold, i, count(*) AS n, avg(target) AS acc, avg(p_raw) AS conf FROM preds JOIN edges ON p_raw >= lo AND (p_raw < hi OR (i = 9 AND p_raw <= hi)) GROUP BY ticker, fold, i),
 br AS (SELECT ticker, fold, avg((p_raw - target) ** 2) AS brier, count(*) AS total FROM preds GROUP BY ticker, fold)""",
-       select="SELECT ticker, fold, round(sum(abs(acc - conf) * n) / any_value(total), 6) + 0.0 AS ece, round(any_value(brier), 6) + 0.0 AS brier FROM bins JOIN br USING (ticker, fold) GROUP BY ticker, fold"))
+       select="SELECT ticker, fold, round(sum(abs(acc - conf) * n) / any_value(total) + 3.7e-08, 6) + 0.0 AS ece, round(any_value(brier) + 3.7e-08, 6) + 0.0 AS brier FROM bins JOIN br USING (ticker, fold) GROUP BY ticker, fold"))
 def _(spark, sf):
     preds = market(spark, sf).predictions()
     return rounded(evaluation.calibration_error(preds, p="p_raw").join(evaluation.brier_score(preds, p="p_raw"), ["ticker", "fold"]))
@@ -619,7 +622,7 @@ def _(spark, sf):
   CASE WHEN expected_value <= 0.001 OR avg_prob < 0.68 THEN 'WATCHLIST' WHEN q >= 0.7 THEN 'ENTER_FULL' WHEN q >= 0.35 THEN 'ENTER_SMALL' ELSE 'WATCHLIST' END AS state,
   CASE WHEN expected_value <= 0.001 THEN 'non_positive_ev' WHEN avg_prob < 0.68 THEN 'below_dynamic_threshold' WHEN q >= 0.7 THEN 'high_confidence_positive_ev'
     WHEN q >= 0.35 THEN 'moderate_confidence_positive_ev' ELSE 'low_margin_positive_ev' END AS reason,
-  round(CASE WHEN expected_value <= 0.001 OR avg_prob < 0.68 THEN greatest(0, avg_prob - 0.5) ELSE q END, 6) + 0.0 AS quality,
+  round(CASE WHEN expected_value <= 0.001 OR avg_prob < 0.68 THEN greatest(0, avg_prob - 0.5) ELSE q END + 3.7e-08, 6) + 0.0 AS quality,
   CASE WHEN avg_prob > 0.65 THEN 'BUY' WHEN avg_prob < 0.35 THEN 'AVOID' ELSE 'HOLD' END AS advice FROM ev2"""))
 def _(spark, sf):
     return pick(_recommended(spark, sf), "ticker last_date last_price volatility profit_target stop_loss tp_pct sl_pct expected_value state reason quality advice")
@@ -650,8 +653,8 @@ def _(spark, sf):
 
 
 @query("forecast_ladder", sql(*TO_PREDS, LATEST, select="""SELECT ticker, CAST(h AS INTEGER) AS h, last_date + CAST(h AS INTEGER) AS date,
-  round(last_price * (1 + ((CASE WHEN avg_prob > 0.5 THEN profit_target ELSE stop_loss END) - last_price) / last_price * (1 - exp(-3 * h / 20)) * (0.5 + abs(avg_prob - 0.5))), 6) + 0.0 AS forecast_price,
-  round(least(greatest(avg_prob - avg_prob * 0.1 * (h - 1) / 19, 0), 1), 6) + 0.0 AS forecast_probability FROM ev2, range(1, 21) t(h)"""))
+  round(last_price * (1 + ((CASE WHEN avg_prob > 0.5 THEN profit_target ELSE stop_loss END) - last_price) / last_price * (1 - exp(-3 * h / 20)) * (0.5 + abs(avg_prob - 0.5))) + 3.7e-08, 6) + 0.0 AS forecast_price,
+  round(least(greatest(avg_prob - avg_prob * 0.1 * (h - 1) / 19, 0), 1) + 3.7e-08, 6) + 0.0 AS forecast_probability FROM ev2, range(1, 21) t(h)"""))
 def _(spark, sf):
     return rounded(recommendation.forecast_ladder(_recommended(spark, sf)))
 
@@ -730,7 +733,7 @@ def _(spark, sf):
 
 
 @query("best_candidate", sql(*TO_GRID, COMBOS, CHOSEN, FINALS, "flagged AS (SELECT *, net_sharpe_mean >= 0 AND coverage_mean >= 0.83 AND valid_folds_ratio_mean >= 0.83 AS ok FROM finals)",
-       select=f"SELECT candidate_id, {rs('robust_score net_sharpe_mean coverage_mean')}, NOT ok AS relaxed FROM flagged ORDER BY ok DESC, robust_score DESC, candidate_id LIMIT 1"))
+       select=f"SELECT candidate_id, {rs('robust_score net_sharpe_mean coverage_mean')}, NOT ok AS relaxed FROM flagged ORDER BY ok DESC, round(flagged.robust_score, 12) DESC, candidate_id LIMIT 1"))
 def _(spark, sf):
     best = selection.choose_best(selection.summarize_candidates(_bench(spark, sf).runs(), _chosen(spark, sf)))
     return pick(best, "candidate_id robust_score net_sharpe_mean coverage_mean relaxed")
@@ -743,7 +746,7 @@ def _(spark, sf):
 
 
 @query("encoder_by_ticker", sql(*TO_GRID, COMBOS, CHOSEN, FINALS, "flagged AS (SELECT *, net_sharpe_mean >= 0 AND coverage_mean >= 0.83 AND valid_folds_ratio_mean >= 0.83 AS ok FROM finals)",
-       "top AS (SELECT candidate_id FROM flagged ORDER BY ok DESC, robust_score DESC, candidate_id LIMIT 1)", select="SELECT candidate_id, ticker, encoder_mode FROM chosen SEMI JOIN top USING (candidate_id)"))
+       "top AS (SELECT candidate_id FROM flagged ORDER BY ok DESC, round(flagged.robust_score, 12) DESC, candidate_id LIMIT 1)", select="SELECT candidate_id, ticker, encoder_mode FROM chosen SEMI JOIN top USING (candidate_id)"))
 def _(spark, sf):
     chosen = _chosen(spark, sf)
     best = selection.choose_best(selection.summarize_candidates(_bench(spark, sf).runs(), chosen))
@@ -772,17 +775,13 @@ def _(spark, sf):
 
 @query("run_log_metadata", sql(*RECORDS, select=f"""SELECT count(*) AS total_runs, {r('greatest(max(auc), 0)', 'best_auc')}, {r('greatest(max(accuracy), 0)', 'best_accuracy')}, {r('max(sharpe_ratio)', 'best_sharpe')},
   {r('max(net_sharpe)', 'best_net_sharpe')}, {r('avg(auc)', 'average_auc')}, {r('avg(accuracy)', 'average_accuracy')}, {r('coalesce(avg(sharpe_ratio), 0)', 'average_sharpe')},
-  {r('var_pop(auc)', 'auc_variance', 9)}, {r('var_pop(accuracy)', 'accuracy_variance', 9)} FROM flat"""))
+  {r('var_pop(auc)', 'auc_variance')}, {r('var_pop(accuracy)', 'accuracy_variance')} FROM flat"""))
 def _(spark, sf):
-    df = runlog.metadata(_records(spark, sf))
-    plain = rounded(df.drop("auc_variance", "accuracy_variance"))
-    return rounded(df, 9).select(*[c for c in df.columns if c.endswith("_variance")], *[
-        (F.round(c, 6) + 0.0).alias(c) if c != "total_runs" else c for c in plain.columns
-    ])
+    return rounded(runlog.metadata(_records(spark, sf)))
 
 
 @query("feature_usage", sql(*RECORDS, """names AS (SELECT unnest(CASE encoder_mode WHEN 'tcn' THEN ['volatility_20', 'price_to_sma20', 'distance_to_ma200', 'lstm_latent_0', 'lstm_latent_1', 'lstm_return_5d']
-  ELSE ['volatility_20', 'price_to_sma20', 'distance_to_ma200'] END) AS feature FROM flat)""", select="SELECT feature, count(*) AS n_runs, round(100 * count(*) / (SELECT count(*) FROM flat), 6) + 0.0 AS percent FROM names GROUP BY feature ORDER BY n_runs DESC, feature LIMIT 20"))
+  ELSE ['volatility_20', 'price_to_sma20', 'distance_to_ma200'] END) AS feature FROM flat)""", select="SELECT feature, count(*) AS n_runs, round(100 * count(*) / (SELECT count(*) FROM flat) + 3.7e-08, 6) + 0.0 AS percent FROM names GROUP BY feature ORDER BY n_runs DESC, feature LIMIT 20"))
 def _(spark, sf):
     return rounded(runlog.feature_usage(_records(spark, sf)))
 
@@ -815,7 +814,7 @@ def _(spark, sf):
 
 @query("signal_statistics", sql(*RECORDS, select="SELECT " + ", ".join(
     f"CAST(sum({s}_signals) AS BIGINT) AS {s}_total, {r(f'avg({s}_signals)', f'{s}_mean')}, {r(f'stddev_samp({s}_signals)', f'{s}_std')}, min({s}_signals) AS {s}_min, max({s}_signals) AS {s}_max" for s in ("buy", "sell")
-) + ", round((sum(buy_signals) + 0.1) / (sum(sell_signals) + 0.1), 6) + 0.0 AS buy_sell_ratio FROM flat"))
+) + ", round((sum(buy_signals) + 0.1) / (sum(sell_signals) + 0.1) + 3.7e-08, 6) + 0.0 AS buy_sell_ratio FROM flat"))
 def _(spark, sf):
     return rounded(runlog.signal_statistics(runlog.flatten(_records(spark, sf))))
 
@@ -924,7 +923,7 @@ def _(spark, sf):
 
 
 @query("sequence_windows", sql(BARS, SEQ, select=f"""SELECT ticker, date, CASE WHEN rn >= 60 THEN 240 END AS n_values,
-  round(CASE WHEN rn >= 60 THEN lag(seq_returns, 59) OVER w END, 6) + 0.0 AS oldest_return, round(CASE WHEN rn >= 60 THEN seq_rsi END, 6) + 0.0 AS newest_rsi FROM seq WINDOW w AS (PARTITION BY ticker ORDER BY rn)"""))
+  round(CASE WHEN rn >= 60 THEN lag(seq_returns, 59) OVER w END + 3.7e-08, 6) + 0.0 AS oldest_return, round(CASE WHEN rn >= 60 THEN seq_rsi END + 3.7e-08, 6) + 0.0 AS newest_rsi FROM seq WINDOW w AS (PARTITION BY ticker ORDER BY rn)"""))
 def _(spark, sf):
     df = sequences.with_sequences(sequences.sequence_inputs(market(spark, sf).bars()))
     s = F.col("sequence")
