@@ -191,13 +191,14 @@ def carry_in(
     chunk: str,
     order: str,
     counts: str | None = None,
+    total: str | None = None,
     sums: Sequence[str] = (),
     lasts: Sequence[str] = (),
     nexts: Sequence[str] = (),
 ) -> DataFrame:
     """What each chunk needs from the chunks before (or after) it.
 
-    One row per (keys, chunk): ``counts`` the rows before it, ``sums`` the total
+    One row per (keys, chunk): ``counts`` the rows before it, ``total`` all rows of the key, ``sums`` the total
     before it, ``lasts`` the last known value before it and ``nexts`` the first
     known value after it.  The window runs over the per-chunk summary only.
     """
@@ -210,6 +211,8 @@ def carry_in(
     out = []
     if counts:
         out.append(F.coalesce(F.sum("_n").over(back), F.lit(0)).alias(counts))
+    if total:
+        out.append(F.sum("_n").over(Window.partitionBy(*keys)).alias(total))
     out += [F.coalesce(F.sum(f"_s_{c}").over(back), F.lit(0.0)).alias(f"{c}_before") for c in sums]
     out += [F.last(f"_l_{c}", True).over(back).alias(f"{c}_before") for c in lasts]
     out += [F.first(f"_f_{c}", True).over(ahead).alias(f"{c}_after") for c in nexts]
@@ -217,14 +220,16 @@ def carry_in(
 
 
 def number_rows(
-    df: DataFrame, bucket: Column, keys: Sequence[str] = (KEY,), order: str = TIME, name: str = ROW
+    df: DataFrame, bucket: Column, keys: Sequence[str] = (KEY,), order: str = TIME, name: str = ROW,
+    total: str | None = None,
 ) -> DataFrame:
     """Row number per key in two steps: inside a bucket, plus the rows of earlier buckets.
 
-    ``bucket`` must grow with ``order`` (a year, a range of another row number).
+    ``bucket`` must grow with ``order`` (a year, a range of another row number).  ``total``
+    names a column for the number of rows of the key.
     """
     keyed = df.withColumn("_bucket", bucket)
-    offsets = carry_in(keyed, keys, "_bucket", order, counts="_before")
+    offsets = carry_in(keyed, keys, "_bucket", order, counts="_before", total=total)
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order))
     return (
         keyed.withColumn("_local", local)

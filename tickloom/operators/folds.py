@@ -19,7 +19,7 @@ def labelled_rows(df: DataFrame, features: Sequence[str], layout: Layout = Layou
     number over all bars is kept as ``bar_rn``."""
     clean = df.withColumns({c: F.col(c).try_cast("double") for c in features}).dropna(subset=[*features, target])
     clean = clean.withColumnRenamed(ROW, "bar_rn")
-    return number_rows(clean, F.expr(f"(bar_rn - 1) div {layout.chunk_rows}"), order="bar_rn")
+    return number_rows(clean, F.expr(f"(bar_rn - 1) div {layout.chunk_rows}"), order="bar_rn", total="n_rows")
 
 
 def fold_table(counts: DataFrame, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:
@@ -48,10 +48,9 @@ def fold_table(counts: DataFrame, s: Settings = Settings(), scheme: str = "slidi
 def fold_members(rows: DataFrame, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:
     """Every labelled row once per fold it belongs to, with ``role`` train or val.
 
-    The folds of a row follow from its row number, so this is a projection and
-    not a range join; only the row count per ticker is joined in.
+    The folds of a row follow from its row number and the row count of its ticker
+    (``n_rows``), so this is a projection and not a range join.
     """
-    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_total"))
     idx, last = F.col(ROW) - 1, s.n_splits - 1
     if scheme == "sliding":
         first, start = 0, s.train_rows
@@ -71,13 +70,13 @@ def fold_members(rows: DataFrame, s: Settings = Settings(), scheme: str = "slidi
                    F.expr("array()").cast("array<struct<i:int,role:string>>")),
         F.struct(val.alias("i"), F.lit("val").alias("role")),
     )
-    out = rows.withColumn("_m", F.explode(held)).select("*", "_m.*").drop("_m").join(counts, KEY)
+    out = rows.withColumn("_m", F.explode(held)).select("*", "_m.*").drop("_m")
     test_lo = F.col("i") * s.val_rows + start
-    test_rows = F.least(F.col("_total"), test_lo + s.val_rows) - test_lo
+    test_rows = F.least(F.col("n_rows"), test_lo + s.val_rows) - test_lo
     return (
         out.filter(F.col("i").between(first, last) & (test_rows >= enough))
         .withColumn("fold", (F.col("i") + 1 - first).cast("int"))
-        .drop("i", "_total")
+        .drop("i")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -107,12 +108,17 @@ def encode(
     row after the sequence and ``close``.  Too few sequences give the neutral columns.  Rows
     before the first sequence take the first encoded value.
     """
-    known = rows.filter(F.col("sequence").isNotNull()).withColumn("_x", array_to_vector("sequence"))
-    fit_on = known.filter(train & F.col(f"return_{max(HORIZONS)}d").isNotNull())
-    if len(fit_on.limit(min_sequences).take(min_sequences)) < min_sequences:
+    targets = [f"{kind}_{h}d" for h in HORIZONS for kind in ("return", "direction")]
+    known = rows.filter(F.col("sequence").isNotNull()).select(
+        *keys, ROW, "close", *targets, train.alias("_train"), array_to_vector("sequence").alias("_x")
+    )
+    usable = F.col("_train") & F.col(f"return_{max(HORIZONS)}d").isNotNull()
+    if known.filter(usable).select(ROW).limit(min_sequences).count() < min_sequences:
         return placeholder_columns(rows.drop("sequence"), (prefix,), latent_dim)
-    pca = PCA(k=latent_dim, inputCol="_x", outputCol="_z").fit(fit_on)
-    fit_on, out = pca.transform(fit_on).persist(), pca.transform(known)
+    pca = PCA(k=latent_dim, inputCol="_x", outputCol="_z").fit(known.filter(usable))
+    # Six fits read the ten compressed columns, not the long sequences.
+    out = pca.transform(known).drop("_x")
+    fit_on = out.filter(usable).persist(StorageLevel.MEMORY_AND_DISK)
     made = {}
     for h in HORIZONS:
         reg = LinearRegression(featuresCol="_z", labelCol=f"return_{h}d", predictionCol=f"_r{h}", regParam=1e-3).fit(fit_on)

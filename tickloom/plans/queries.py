@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from tickloom.operators import (
 from tickloom.plans import market as mk
 from tickloom.plans import oracle as o
 from tickloom.plans.benchmark import CANDIDATES, Benchmark, candidates
+from tickloom.plans.forecast import forecast, training_rows
 from tickloom.plans.oracle import r, rs, sql
 from tickloom.settings import Settings
 from tickloom.sources import bars as bar_source
@@ -892,9 +893,21 @@ def _(spark, sf):
     return rounded(profile.high_correlations(market(spark, sf).features(), CORR_LEFT, CORR_RIGHT))
 
 
-@query("correlated_features")
+# Columns of the feature table that the correlation filter may drop, in table order.
+DROPPABLE = (
+    "rn vix_filled hlc3 log_returns true_range volatility_5 volume_ma_20 roc_10 roc_20 volume_roc_10 price_momentum_10d vix_change high_low_ratio "
+    "close_open_ratio sma_100 ma_200 high_52w low_52w volume_ma_ratio price_to_sma50 price_to_52w_high price_to_52w_low rolling_volatility_zscore "
+    "bb_mid bb_lower bb_upper bb_width bb_percent stoch_k regime_state stoch_d regime_change garch_volatility rsi_14 rsi_21 DMP_14 DMN_14 kc_mid "
+    "kc_lower kc_upper rsi macdh atr_price_ratio risk_adjusted_momentum"
+).split()
+_pairs = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr(\"{a}\", \"{b}\")}}" for i, a in enumerate(DROPPABLE) for b in DROPPABLE[i + 1:])
+
+
+@query("correlated_features", sql(BARS, ROLL, STATES, """alls AS MATERIALIZED (SELECT r.*, s.* EXCLUDE (ticker, date, rn, close), ema_short AS kc_mid, rsi_14 AS rsi,
+  atr / r.close AS atr_price_ratio, price_momentum_10d / (atr / r.close + 1e-8) AS risk_adjusted_momentum FROM rolling r JOIN states s USING (ticker, rn)),
+pairs AS (SELECT unnest(["""+ _pairs + """], recursive := true) FROM alls)""", select=f"SELECT a, b, {r('abs(r)', 'r')} FROM pairs WHERE abs(r) > 0.98"))
 def _(spark, sf):
-    return rounded(contract.correlated_pairs(market(spark, sf).features()))
+    return rounded(contract.correlated_pairs(market(spark, sf).features().select("ticker", "date", *DROPPABLE)))
 
 
 # --- sequences ----------------------------------------------------------------------------------------------------------------------
@@ -932,25 +945,28 @@ def _(spark, sf):
 
 # --- fitted models (checked by properties in the tests; no SQL form) -----------------------------------------------------------------
 
+@query("forecast_recommendations")
+def _(spark, sf):
+    run = forecast(market(spark, sf), setting=QUICK, max_trees=3)
+    return pick(run.recommendations, "ticker n_models avg_prob spread consensus state reason expected_value quality advice")
+
+
+@query("forecast_fold_results")
+def _(spark, sf):
+    run = forecast(market(spark, sf), setting=QUICK, max_trees=3)
+    return pick(run.results, "ticker fold auc aucpr net_sharpe net_return fold_trades reason")
+
+
 QUICK = models.BoostSetting(depth=3, learning_rate=0.1, trees=5, rows=1.0, columns=1.0, leaf_weight=2)
 
 
-def training_rows(members: DataFrame, features: Sequence[str] = mk.MODEL_FEATURES) -> DataFrame:
-    """Scaled member rows with class weights, the forward return and the vector ``x``."""
-    plain = members.withColumn("vol", F.col("volatility_20"))
-    weights = folds.class_weights(members).select("ticker", "fold", "pos_weight")
-    from pyspark.sql import Window
-    order = Window.partitionBy("ticker", "fold", "role").orderBy("rn")
-    rows = folds.robust_scale(plain, features).join(weights, ["ticker", "fold"]).withColumns({
-        "weight": F.when(F.col("target") == 1, F.col("pos_weight")).otherwise(1.0),
-        "ret": F.coalesce(F.lead("close").over(order) / F.col("close") - 1, F.lit(0.0)),
-    })
-    return models.with_vector(rows, features)
+SCALED = [f"x_{f}" for f in mk.MODEL_FEATURES]
 
 
 def _fold_rows(spark, sf, fold: int = 1) -> DataFrame:
     m = market(spark, sf)
-    return m.stages.table("training_rows", m.payload(fold=fold), lambda: training_rows(m.members().filter(F.col("fold") == fold)))
+    rows = m.stages.table("training_rows", m.payload(), lambda: training_rows(m.members()), ["fold"])
+    return models.with_vector(rows.filter(F.col("fold") == fold), SCALED)
 
 
 @query("boosted_scores")
@@ -962,7 +978,7 @@ def _(spark, sf):
 
 @query("regime_pair_scores")
 def _(spark, sf):
-    rows = evaluation.high_volatility(_fold_rows(spark, sf).drop("volatility_20").withColumnRenamed("vol", "volatility_20"))
+    rows = evaluation.high_volatility(_fold_rows(spark, sf))
     return pick(models.fit_regime_pair(rows, QUICK)(rows.filter("role = 'val'")), "ticker fold date target high_vol p_raw")
 
 
@@ -1009,7 +1025,7 @@ def _(spark, sf):
 @query("eliminated_features")
 def _(spark, sf):
     rows = _fold_rows(spark, sf).filter("role = 'train'")
-    kept = models.eliminate_features(rows, mk.MODEL_FEATURES, keep=2, trees=10, depth=3)
+    kept = models.eliminate_features(rows, SCALED, keep=2, trees=10, depth=3)
     return rows.groupBy("ticker").agg(*[F.avg(c).alias(f"kept_{i}_mean") for i, c in enumerate(kept)], F.lit(",".join(kept)).alias("kept"))
 
 
@@ -1017,13 +1033,12 @@ def _(spark, sf):
 def _(spark, sf):
     m = market(spark, sf)
 
-    def build() -> DataFrame:
-        inputs = sequences.sequence_inputs(m.bars())
+    def windows() -> DataFrame:
+        inputs = m.stages.table("sequence_inputs", m.payload(), lambda: sequences.sequence_inputs(m.bars()))
         row = {c: F.col(c) for c in sequences.INPUTS}
         stats = inputs.agg(*[f(c).alias(f"{n}_{c}") for c in row for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         scaled = {f"{c}_z": (col - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c, col in row.items()}
-        data = sequences.with_sequences(sequences.return_targets(inputs).withColumns(scaled), [*scaled])
-        return sequences.encode(data, F.lit(True))
+        return sequences.with_sequences(sequences.return_targets(inputs).withColumns(scaled), [*scaled])
 
-    df = m.stages.table("encoded", m.payload(encoder="panel"), build)
-    return pick(df, "ticker date lstm_return_5d lstm_dir_20d lstm_return_confidence lstm_latent_0 lstm_latent_9")
+    data = m.stages.table("sequence_windows", m.payload(), windows)
+    return pick(sequences.encode(data, F.lit(True)), "ticker date lstm_return_5d lstm_dir_20d lstm_return_confidence lstm_latent_0 lstm_latent_9")

@@ -6,7 +6,6 @@ import hashlib
 import json
 import tempfile
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,8 +81,10 @@ class Stages:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, root or shared_root(spark)
 
-    def table(self, stage: str, payload: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(
+        self, stage: str, payload: dict, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
+    ) -> DataFrame:
         path = f"{self.root}/{stage}/{payload_key(payload)}"
         if not exists(self.spark, path):
-            build().write.mode("overwrite").parquet(path)
+            build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         return self.spark.read.parquet(path)
