@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import Layout, fill
+from tickloom.functions.series import CHUNK, KEY, ROW, Layout, carry_in, roll
 from tickloom.settings import LABEL_DOWN, LABEL_HORIZON, LABEL_UP, RISK_TYPE, Settings
 
 
@@ -18,27 +18,38 @@ def volatility_barriers(
     """Label 1 if ``close + up * vol`` is reached first in the next ``horizon`` rows, 0 for
     ``close - down * vol`` (also when both fall on one row), null for neither or too few rows.
 
-    ``metric`` is ``volatility_20`` or ``atr``; gaps take the last, then the next known value.
+    ``metric`` is ``volatility_20`` or ``atr``; without such a column the 20-row deviation of the
+    close is taken.  Gaps take the last, then the next known value: from the rows of the chunk,
+    else from the carry of the chunks around it.  All of it runs on one layout of the rows.
     """
     w = Layout.window()
+    stored = metric in df.columns
+    rows = layout.spread(df, before=0 if stored else 20, after=horizon).withColumn(
+        "_vol", F.col(metric).cast("double") if stored else roll(F.stddev_samp, F.col("close"), 20, w)
+    )
+    carry = carry_in(rows.filter("core"), [KEY], CHUNK, ROW, lasts=["_vol"], nexts=["_vol"])
     ahead = w.rowsBetween(1, horizon)
-    df = layout.spread(fill(df.withColumn("_vol", F.col(metric)), ["_vol"], layout, ("prev", "next")), after=horizon)
-    df = df.withColumns({
-        "barrier_up": F.col("close") + up * F.col("_vol"),
-        "barrier_down": F.col("close") - down * F.col("_vol"),
+    rows = rows.withColumns({
+        "_prev": F.last("_vol", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_next": F.first("_vol", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
         "_highs": F.collect_list("high").over(ahead),
         "_lows": F.collect_list("low").over(ahead),
     })
-    first_up = F.array_position(F.transform("_highs", lambda x: x >= F.col("barrier_up")), True)
-    first_down = F.array_position(F.transform("_lows", lambda x: x <= F.col("barrier_down")), True)
-    df = df.withColumns({"_u": first_up, "_d": first_down})
+    vol = F.coalesce("_vol", "_prev", "_vol_before", "_next", "_vol_after")
+    rows = Layout.core(rows.join(carry, [KEY, CHUNK])).withColumns({
+        "barrier_up": F.col("close") + up * vol, "barrier_down": F.col("close") - down * vol,
+    })
+    rows = rows.withColumns({
+        "_u": F.array_position(F.transform("_highs", lambda x: x >= F.col("barrier_up")), True),
+        "_d": F.array_position(F.transform("_lows", lambda x: x <= F.col("barrier_down")), True),
+    })
     u, d = F.col("_u"), F.col("_d")
     target = (
         F.when((F.size("_highs") < horizon) | ((u == 0) & (d == 0)), F.lit(None).cast("double"))
         .when((d == 0) | ((u > 0) & (u < d)), 1.0)
         .otherwise(0.0)
     )
-    return Layout.core(df.withColumn("target", target).drop("_vol", "_highs", "_lows", "_u", "_d")).withColumns({
+    return rows.withColumn("target", target).select(*df.columns, "barrier_up", "barrier_down", "target").withColumns({
         "dynamic_risk_type": F.lit(RISK_TYPE),
         "dynamic_risk_k_tp": F.lit(settings.k_tp),
         "dynamic_risk_k_sl": F.lit(settings.k_sl),

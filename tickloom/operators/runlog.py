@@ -147,8 +147,8 @@ def freeze_baseline(records: DataFrame, baselines: DataFrame, tag: str, ticker:
     chosen = records if ticker is None else records.filter(F.upper("ticker") == ticker.upper())
     snapshot = F.struct("run_number", "ticker", "metrics", "financial_metrics", "cv")
     latest = chosen.agg(F.max_by(snapshot, "run_number").alias("s")).filter("s is not null")
-    row = latest.select(F.trim(F.lit(tag)).alias("tag"), "s.*").filter("tag <> ''")
-    return row.join(baselines.select("tag"), "tag", "left_anti")
+    taken = baselines.filter(F.col("tag") == tag.strip()).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return latest.select(F.lit(tag.strip()).alias("tag"), "s.*").filter((F.col("tag") != "") & (taken == 0))
 
 
 def feature_usage(records: DataFrame, top: int = 20) -> DataFrame:

@@ -20,9 +20,9 @@ CANDIDATES = (
     ("c5_safer_isotonic", 0.15, 0.08, 0.61, 0.65, "isotonic", 72),
     ("c6_more_selective", 0.13, 0.08, 0.63, 0.67, "sigmoid", 74),
 )
-CANDIDATE_SCHEMA = (
-    "id string, target_coverage double, trade_ratio_floor double, conservative_th_min double, "
-    "conservative_th_max double, calibration_method string, conservative_percentile_threshold int"
+CANDIDATE_FIELDS = (
+    "id", "target_coverage", "trade_ratio_floor", "conservative_th_min", "conservative_th_max", "calibration_method",
+    "conservative_percentile_threshold",
 )
 # Weights of the two scaled features in the score, per encoder.
 ENCODERS = {"off": (0.6, 1.0), "tcn": (0.2, 1.2)}
@@ -32,7 +32,9 @@ PERCENTS = (70.0, 72.0, 74.0)
 
 
 def candidates(spark) -> DataFrame:
-    return spark.createDataFrame(CANDIDATES, CANDIDATE_SCHEMA)
+    """The default candidates as rows the optimizer knows to be few."""
+    rows = [F.struct(*[F.lit(v).alias(f) for f, v in zip(CANDIDATE_FIELDS, c)]) for c in CANDIDATES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def setting_grid(preds: DataFrame) -> DataFrame:

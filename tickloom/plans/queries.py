@@ -52,13 +52,16 @@ def pick(df: DataFrame, names: str, digits: int = 6) -> DataFrame:
     return rounded(df.select(*names.split()), digits)
 
 
+stage_root: str | None = None  # folder for stage tables; None takes the one the cluster names
+
+
 @lru_cache(maxsize=None)
-def _market(app: str, sf_dir: str, by_brand: bool) -> mk.Market:
-    return mk.Market(SparkSession.getActiveSession(), sf_dir, by_brand)
+def _market(app: str, sf_dir: str, by_brand: bool, root: str | None) -> mk.Market:
+    return mk.Market(SparkSession.getActiveSession(), sf_dir, by_brand, root=root)
 
 
 def market(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> mk.Market:
-    return _market(spark.sparkContext.applicationId, sf_dir, by_brand)
+    return _market(spark.sparkContext.applicationId, sf_dir, by_brand, stage_root)
 
 
 BARS, ROLL, STATES = o.bars_cte(), o.ROLLING, o.STATES
@@ -278,9 +281,7 @@ NAMED = "CASE WHEN target = 1 THEN 'BUY' WHEN target = 0 THEN 'SELL' ELSE 'HOLD'
 
 def label_shares(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Flagship: bars to rolling volatility to first-touched barrier to shares of BUY, SELL and HOLD."""
-    return labels.label_distribution(
-        labels.named_labels(labels.volatility_barriers(indicators.rolling_volatility(bars, layout), layout)), "label"
-    )
+    return labels.label_distribution(labels.named_labels(labels.volatility_barriers(bars, layout)), "label")
 
 
 @query("label_shares", sql(*TO_LABELS, select=f"SELECT ticker, {NAMED} AS label, count(*) AS n_rows, "
@@ -293,7 +294,7 @@ def _(spark, sf):
        "'Volatility_Adjusted' AS dynamic_risk_type, 2.5::DOUBLE AS dynamic_risk_k_tp, 1.25::DOUBLE AS dynamic_risk_k_sl, "
        "'rolling_std_20d' AS dynamic_risk_vol_metric FROM barriers"))
 def _(spark, sf):
-    df = labels.volatility_barriers(indicators.rolling_volatility(market(spark, sf).bars()))
+    df = labels.volatility_barriers(market(spark, sf).bars())
     return pick(df, "ticker date target barrier_up barrier_down dynamic_risk_type dynamic_risk_k_tp dynamic_risk_k_sl dynamic_risk_vol_metric")
 
 
