@@ -12,7 +12,7 @@ row per chunk.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -221,22 +221,28 @@ def carry_in(
 
 def number_rows(
     df: DataFrame, bucket: Column, keys: Sequence[str] = (KEY,), order: str = TIME, name: str = ROW,
-    total: str | None = None,
+    total: str | None = None, filled: Mapping[str, str] | None = None, previous: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Row number per key in two steps: inside a bucket, plus the rows of earlier buckets.
 
-    ``bucket`` must grow with ``order`` (a year, a range of another row number).  ``total``
-    names a column for the number of rows of the key.
+    ``bucket`` must grow with ``order`` (a year, a range of another row number).  On the same
+    pass ``total`` names a column for the rows of the key, ``filled`` maps new columns to those
+    whose last known value they carry forward, and ``previous`` maps new columns to those whose
+    value of the row before they hold.
     """
+    filled, previous = filled or {}, previous or {}
     keyed = df.withColumn("_bucket", bucket)
-    offsets = carry_in(keyed, keys, "_bucket", order, counts="_before", total=total)
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order))
-    return (
-        keyed.withColumn("_local", local)
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, (F.col("_local") + F.col("_before")).cast("long"))
-        .drop("_bucket", "_local", "_before")
-    )
+    sources = list(dict.fromkeys([*filled.values(), *previous.values()]))
+    carry = carry_in(keyed, keys, "_bucket", order, counts="_before", total=total, lasts=sources)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    local = {name: F.row_number().over(w)}
+    local |= {new: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for new, c in filled.items()}
+    local |= {new: F.lag(c).over(w) for new, c in previous.items()}
+    out = keyed.withColumns(local).join(carry, [*keys, "_bucket"]).withColumns({
+        name: (F.col(name) + F.col("_before")).cast("long"),
+        **{new: F.coalesce(F.col(new), F.col(f"{c}_before")) for new, c in {**filled, **previous}.items()},
+    })
+    return out.drop("_bucket", "_before", *[f"{c}_before" for c in sources])
 
 
 def fill(df: DataFrame, cols: Sequence[str], layout: Layout, order: Sequence[str] = ("prev",)) -> DataFrame:

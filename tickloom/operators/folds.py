@@ -19,7 +19,10 @@ def labelled_rows(df: DataFrame, features: Sequence[str], layout: Layout = Layou
     number over all bars is kept as ``bar_rn``."""
     clean = df.withColumns({c: F.col(c).try_cast("double") for c in features}).dropna(subset=[*features, target])
     clean = clean.withColumnRenamed(ROW, "bar_rn")
-    return number_rows(clean, F.expr(f"(bar_rn - 1) div {layout.chunk_rows}"), order="bar_rn", total="n_rows")
+    return number_rows(
+        clean, F.expr(f"(bar_rn - 1) div {layout.chunk_rows}"), order="bar_rn",
+        total="n_rows", previous={"prev_close": "close"},
+    )
 
 
 def fold_table(counts: DataFrame, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:

@@ -10,9 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import ROW, Layout, div
+from tickloom.functions.series import Layout, div
 from tickloom.operators import folds, indicators, labels
-from tickloom.sources.bars import bars_from_trades, daily_index, numbered, with_filled_index, with_index
+from tickloom.sources.bars import bars_from_trades, daily_index, numbered, with_index
 from tickloom.settings import Settings
 from tickloom.sources.stages import Stages, files_key
 
@@ -73,11 +73,7 @@ class Market:
     def bars(self) -> DataFrame:
         """Numbered bars with the index and the carried-forward index."""
         raw = self.stages.table("bars", self.payload(), lambda: bars(self.spark, self.sf_dir, self.by_brand))
-        number = self.stages.table("bars_numbered", self.payload(), lambda: numbered(raw))
-        return self.stages.table(
-            "market", self.payload(),
-            lambda: with_filled_index(number, self.layout).sortWithinPartitions("ticker", ROW),
-        )
+        return self.stages.table("market", self.payload(), lambda: numbered(raw))
 
     def features(self) -> DataFrame:
         return self.stages.table(
@@ -87,19 +83,18 @@ class Market:
     def labelled(self, features: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
         """Rows with features and a decided label, numbered anew, with the percent return of the row."""
 
-        def build() -> DataFrame:
-            columns = [*KEPT, *[f for f in features if f not in KEPT]]
-            labelled = labels.volatility_barriers(self.features().select(*columns), self.layout)
-            return folds.labelled_rows(labelled.select(*columns, "target"), features, self.layout)
+        columns = [*KEPT, *[f for f in features if f not in KEPT]]
+
+        def barriers() -> DataFrame:
+            return labels.volatility_barriers(self.features().select(*columns), self.layout).select(*columns, "target")
 
-        rows = self.stages.table("labelled_numbered", self.payload(features=features), build)
+        decided = self.stages.table("labels", self.payload(features=features), barriers)
 
-        def with_return() -> DataFrame:
-            previous = F.lag("close").over(Layout.window())
-            spread = self.layout.spread(rows, before=1).withColumn("bar_return", 100 * (div(F.col("close"), previous) - 1))
-            return Layout.core(spread)
+        def number() -> DataFrame:
+            rows = folds.labelled_rows(decided, features, self.layout)
+            return rows.withColumn("bar_return", 100 * (div(F.col("close"), F.col("prev_close")) - 1))
 
-        return self.stages.table("labelled", self.payload(features=features), with_return)
+        return self.stages.table("labelled", self.payload(features=features), number)
 
     def members(self, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:
         return folds.fold_members(self.labelled(), s, scheme)

@@ -88,6 +88,8 @@ def with_filled_index(bars: DataFrame, layout: Layout = Layout(), name: str = "v
     return fill(bars.withColumn(name, F.col("vix_close")), [name], layout)
 
 
-def numbered(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """Row number per ticker, counted by year so that no task sees a whole ticker."""
-    return number_rows(bars, F.year(TIME))
+def numbered(bars: DataFrame) -> DataFrame:
+    """Row number per ticker and the carried-forward index, worked out year by year so that no
+    task sees a whole ticker; a (ticker, year) has at most 366 days."""
+    filled = {"vix_filled": "vix_close"} if "vix_close" in bars.columns else {}
+    return number_rows(bars, F.year(TIME), filled=filled)
