@@ -122,6 +122,16 @@ def test_candidates_are_normalised(spark, tmp_path):
     assert forced["xgb_stochastic_mode"] is False and forced["xgb_candidate_budget"] == "low"
 
 
+def test_candidates_are_read_in_list_order(spark, tmp_path):
+    from tickloom.sources.candidates import read_candidates
+
+    path = tmp_path / "list.json"
+    path.write_text(json.dumps([{"target_coverage": 0.2}, {"id": "x", "xgb_stochastic_mode": False}, {}], indent=1))
+    got = {r["id"]: r for r in read_candidates(spark, str(path)).collect()}
+    assert sorted(got) == ["candidate_1", "candidate_3", "x"]
+    assert got["candidate_1"]["target_coverage"] == 0.2 and got["x"]["xgb_stochastic_mode"] is False
+
+
 def test_ticker_list(spark):
     df = spark.createDataFrame([(" msft, aapl ,,",)], "s string")
     assert df.select(selection.ticker_list(F.col("s")).alias("t")).first()["t"] == ["MSFT", "AAPL"]

@@ -87,7 +87,8 @@ class Benchmark:
         number = {c[0]: 2 * i for i, c in enumerate(CANDIDATES)}
         setting = F.coalesce(*[F.when(F.col("candidate_id") == c, n) for c, n in number.items()])
         runs = runs.withColumn("setting_no", setting + (F.col("encoder_mode") == "tcn").cast("int"))
-        runs = number_rows(runs, F.col("setting_no"), keys=(), order="ticker", name="run_number")
+        place = F.struct("setting_no", F.substring("ticker", 1, 2))  # grows with (setting_no, ticker)
+        runs = number_rows(runs, place, keys=(), order="ticker", name="run_number")
         grid = setting_grid(self.market.predictions()).filter(F.col("seed") == SEEDS[0])
         counts = signals.signal_counts(grid, RUN)
         base = F.array(*[F.lit(f) for f in MODEL_FEATURES])

@@ -45,6 +45,15 @@ def training_rows(members: DataFrame, features: Sequence[str] = MODEL_FEATURES)
     )
 
 
+def with_synthetic(rows: DataFrame, features: Sequence[str], seed: int) -> DataFrame:
+    """Fold rows plus interpolated training rows of the smaller class, weighted like their class."""
+    cols = [*folds.FOLD, *features, "target", "role", "weight"]
+    made = models.synthetic_minority(rows.filter("role = 'train'"), features, seed).filter("synthetic")
+    weights = rows.filter("role = 'train'").groupBy(*folds.FOLD, "target").agg(F.first("weight").alias("weight"))
+    made = made.join(weights, [*folds.FOLD, "target"]).withColumn("role", F.lit("train"))
+    return rows.select(*cols).unionByName(made.select(*cols))
+
+
 def calibration_of(preds: DataFrame) -> DataFrame:
     """Method, reason, error and Brier score per fold; the numbers only where a method was used."""
     used = F.col("calibration_method") != "none"
@@ -60,16 +69,19 @@ def calibration_of(preds: DataFrame) -> DataFrame:
 def forecast(
     market: Market, s: Settings = Settings(), setting: models.BoostSetting = models.BoostSetting(), max_trees: int | None = 20,
     features: Sequence[str] = MODEL_FEATURES, calibration: str | None = "sigmoid", tune: int = 0, threads: int = 4, seed: int = 42,
+    regime_split: bool = False,
 ) -> Forecast:
     """Fit one panel model per fold and carry its scores through to one decision per ticker.
 
-    ``tune`` tries that many settings on the first fold and reuses the choice.  The scores of
-    all folds are written as one table, so nothing after the fits repeats them.
+    ``tune`` tries that many settings on the first fold and reuses the choice.  Profiles other
+    than conservative train on balanced classes.  ``regime_split`` fits a calm and a volatile
+    model instead of one, without calibration.  The scores of all folds are written as one
+    table, so nothing after the fits repeats them.
     """
     spark = market.spark
     members = market.members(s)
     payload = market.payload(settings=repr(s), features=list(features), setting=repr(setting), max_trees=max_trees,
-                             calibration=calibration, tune=tune, seed=seed)
+                             calibration=calibration, tune=tune, seed=seed, regime_split=regime_split)
     data = market.stages.table("fold_rows", payload, lambda: training_rows(members, features), ["fold"])
     names = [f"x_{f}" for f in features]
     numbers = sorted(r["fold"] for r in data.select("fold").distinct().collect())  # at most n_splits
@@ -84,14 +96,21 @@ def forecast(
 
     def one_fold(number: int) -> DataFrame:
         rows = rows_of(number)
-        model = models.fit_boosted(rows, chosen, seed, max_trees)
-        val = models.probability(model, rows.filter("role = 'val'"), "p_model").withColumn("p_raw", F.col("p_model"))
         method, reason = "none", "disabled"
-        if calibration:
-            fit_on = models.calibration_rows(models.probability(model, rows.filter("role = 'train'"), "p_raw"))
-            calibrate, reason = models.fit_calibrator(fit_on.drop("x"), calibration)
-            if calibrate:
-                val, method = calibrate(val.drop("x")).drop("p_raw").withColumnRenamed("p_cal", "p_raw"), calibration
+        if regime_split:
+            rows = evaluation.high_volatility(rows)
+            score = models.fit_regime_pair(rows, chosen, seed, max_trees)
+            val = score(rows.filter("role = 'val'")).drop("high_vol").withColumn("p_model", F.col("p_raw"))
+        else:
+            plain = data.filter(F.col("fold") == number)
+            fit_on = rows if s.conservative else models.with_vector(with_synthetic(plain, names, seed), names)
+            model = models.fit_boosted(fit_on, chosen, seed, max_trees)
+            val = models.probability(model, rows.filter("role = 'val'"), "p_model").withColumn("p_raw", F.col("p_model"))
+            if calibration:
+                part = models.calibration_rows(models.probability(model, rows.filter("role = 'train'"), "p_raw"))
+                calibrate, reason = models.fit_calibrator(part.drop("x"), calibration)
+                if calibrate:
+                    val, method = calibrate(val.drop("x")).drop("p_raw").withColumnRenamed("p_cal", "p_raw"), calibration
         val = val.withColumns({"calibration_method": F.lit(method), "calibration_reason": F.lit(reason)})
         return val.drop("x", "weight", "pos_weight", "role")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DateType, DoubleType, FloatType
 
 from tickloom.functions.series import Layout, tail
 from tickloom.operators import (
@@ -28,11 +29,23 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
+DATES = ("date", "last_date", "first_date")
+
+
+def query(name: str, oracle: str | None = None, dates: tuple[str, ...] | None = None):
+    """Register a query.  Days are given as text on both sides, as engines hand them over in
+    different types; ``dates`` names them where the SQL does not show it."""
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema if isinstance(f.dataType, DateType)})
+
+        QUERIES[name] = run
         if oracle:
-            ORACLE[name] = oracle
+            shown = re.sub(r"\([^()]*\)", "", oracle.rsplit("\nSELECT", 1)[-1].split(" FROM ")[0])
+            days = [d for d in DATES if re.search(rf"(^|[,\s.]){d}\s*(,|$)", shown)] if dates is None else dates
+            casts = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in days)
+            ORACLE[name] = f"SELECT * REPLACE ({casts}) FROM (\n{oracle})" if casts else oracle
         return fn
     return register
 
@@ -56,12 +69,12 @@ stage_root: str | None = None  # folder for stage tables; None takes the one the
 
 
 @lru_cache(maxsize=None)
-def _market(app: str, sf_dir: str, by_brand: bool, root: str | None) -> mk.Market:
-    return mk.Market(SparkSession.getActiveSession(), sf_dir, by_brand, root=root)
+def _market(spark: SparkSession, sf_dir: str, by_brand: bool, root: str | None) -> mk.Market:
+    return mk.Market(spark, sf_dir, by_brand, root=root)
 
 
 def market(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> mk.Market:
-    return _market(spark.sparkContext.applicationId, sf_dir, by_brand, stage_root)
+    return _market(spark, sf_dir, by_brand, stage_root)
 
 
 BARS, ROLL, STATES = o.bars_cte(), o.ROLLING, o.STATES
@@ -323,7 +336,7 @@ PERCENT_ANY = """any_labels AS (SELECT ticker, date, CAST(CASE WHEN max(bclose)
   FROM pairs GROUP BY ticker, rn, date)"""
 
 
-@query("percent_barrier_labels_any", sql(BARS, PERCENT.format(rows=49), PERCENT_ANY, select="SELECT * FROM any_labels"))
+@query("percent_barrier_labels_any", sql(BARS, PERCENT.format(rows=49), PERCENT_ANY, select="SELECT * FROM any_labels"), dates=("date",))
 def _(spark, sf):
     return labels.percent_barriers_any(market(spark, sf).bars()).select("ticker", "date", "label")
 
@@ -376,6 +389,12 @@ def _(spark, sf):
     return rounded(folds.class_weights(market(spark, sf).members()))
 
 
+@query("class_shares", sql(*TO_FOLDS, select="""SELECT ticker, fold, role, target, count(*) AS n_rows,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY ticker, fold, role) + 3.7e-08, 6) + 0.0 AS share FROM members GROUP BY ticker, fold, role, target"""))
+def _(spark, sf):
+    return rounded(labels.label_distribution(market(spark, sf).members(), "target", ("ticker", "fold", "role")))
+
+
 @query("robust_scaled", sql(*TO_PREDS, select=f"SELECT ticker, fold, role, date, {r('s1', 'price_to_sma20')}, {r('s2', 'distance_to_ma200')} FROM scaled"))
 def _(spark, sf):
     return pick(folds.robust_scale(market(spark, sf).members(), mk.SCORED), "ticker fold role date price_to_sma20 distance_to_ma200")
@@ -577,6 +596,16 @@ def _(spark, sf):
     return out.withColumn("skip_reasons", F.array_join("skip_reasons", ","))
 
 
+@query("volatility_regime_rows", sql(*TO_PREDS, select="SELECT ticker, fold, role, date, (volatility_20 - tvm) / (tvs + 1e-9) > 1.0 AS high_vol FROM scaled"))
+def _(spark, sf):
+    return evaluation.high_volatility(market(spark, sf).members()).select("ticker", "fold", "role", "date", "high_vol")
+
+
+@query("expected_values", sql(*TO_RESULTS, select=f"SELECT ticker, fold, date, {r('ev', 'expected_value')} FROM costs"))
+def _(spark, sf):
+    return pick(backtest.expected_values(_adjusted_preds(spark, sf)).withColumnRenamed("ev", "expected_value"), "ticker fold date expected_value")
+
+
 @query("strategy_curve", sql(*TO_PREDS, """br AS (SELECT ticker, rn, 100 * (close / lag(close) OVER (PARTITION BY ticker ORDER BY rn) - 1) AS bar_return FROM labelled),
 sc AS (SELECT p.ticker, p.fold, p.date, p.rn, bar_return, coalesce(CASE WHEN p_raw > 0.55 THEN lead(bar_return) OVER w WHEN p_raw < 0.45 THEN -lead(bar_return) OVER w ELSE 0 END, 0) AS sr
   FROM preds p JOIN br USING (ticker, rn) WINDOW w AS (PARTITION BY p.ticker, p.fold ORDER BY p.rn))""",
@@ -958,6 +987,12 @@ def _(spark, sf):
     return pick(run.results, "ticker fold auc aucpr net_sharpe net_return fold_trades reason")
 
 
+@query("forecast_run_metrics")
+def _(spark, sf):
+    run = forecast(market(spark, sf), setting=QUICK, max_trees=3)
+    return pick(run.runs, "ticker n_folds_valid n_folds_skipped coverage_ratio auc net_sharpe win_rate calibration_enabled calibration_method calibration_error brier")
+
+
 QUICK = models.BoostSetting(depth=3, learning_rate=0.1, trees=5, rows=1.0, columns=1.0, leaf_weight=2)
 
 

@@ -28,7 +28,7 @@ def payload_key(payload: dict) -> str:
 
 def files_key(spark: SparkSession, paths: Sequence[str]) -> str:
     """Key of the files under ``paths`` from name, size and change time; contents are not read."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "modificationTime", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "modificationTime", "length")
     row = files.agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "modificationTime", "length")).alias("x")
     ).first()
