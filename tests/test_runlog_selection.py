@@ -187,5 +187,6 @@ def test_correlations_skip_missing_pairs_and_constants(spark):
 
 def test_profile_flags_constant_columns(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (4.0, 5.0)], "a double, k double")
-    got = {r["feature"]: r for r in profile.column_profile(df, ["a", "k"]).collect()}
+    got = {r["feature"]: r for r in profile.column_profile(df, ["a", "k"], distinct=True).collect()}
+    assert (got["a"]["n_distinct"], got["k"]["n_distinct"]) == (3, 1)
     assert got["k"]["constant"] and not got["a"]["constant"] and got["a"]["std"] == pytest.approx(df.toPandas().a.std())

@@ -12,26 +12,31 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.series import ROW
 
-def column_profile(df: DataFrame, cols: Sequence[str], last: int = 5) -> DataFrame:
-    """Count, mean, deviation, range, distinct values and a constant flag, one row per column.
+def column_profile(df: DataFrame, cols: Sequence[str], distinct: bool = False) -> DataFrame:
+    """Count, mean, deviation, range and a constant flag, one row per column: one aggregation
+    with a partial row per task."""
+    parts = []
+    for c in cols:
+        v = F.col(c).cast("double")
+        sd = F.stddev_samp(v)
+        parts.append(F.struct(
+            F.lit(c).alias("feature"), F.count(v).alias("count"), F.avg(v).alias("mean"), sd.alias("std"), F.min(v).alias("min"),
+            F.max(v).alias("max"), F.coalesce(sd < 1e-6, F.lit(True)).alias("constant"),
+        ))
+    out = df.agg(F.array(*parts).alias("s")).select(F.inline("s"))
+    return out.join(distinct_values(df, cols), "feature") if distinct else out
+
+
+def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact number of different values per column.
 
-    The numbers of distinct values are counted exactly on the unpivoted (column, value)
-    pairs, so all columns share one shuffle.
+    All columns share one shuffle of (column, value) pairs, deduplicated on the map side; it
+    carries every different value, so ask for it only where the number itself is wanted.
     """
-    long = df.select(F.explode(F.array(*[
+    pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("s")).select("s.*").filter("value is not null")
-    distinct = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    # Statistics from (value, count): the rows were already reduced by the first aggregation.
-    n, v = F.col("n"), F.col("value")
-    first = distinct.groupBy("feature").agg(
-        F.sum("n").alias("count"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.count(F.lit(1)).alias("n_distinct"),
-    )
-    spread = distinct.join(first.select("feature", "mean"), "feature").groupBy("feature").agg(
-        F.sqrt(F.sum(n * F.pow(v - F.col("mean"), 2)) / F.when(F.sum("n") > 1, F.sum("n") - 1)).alias("std")
-    )
-    return first.join(spread, "feature").withColumn("constant", F.coalesce(F.col("std") < 1e-6, F.lit(True)))
+    return pairs.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def drift(df: DataFrame, cols: Sequence[str], n: int = 100) -> DataFrame:

@@ -456,10 +456,11 @@ def _(spark, sf):
 STATS = "sharpe objective_score trade_ratio turnover avg_return coverage_penalty"
 
 
-@query("net_sharpe_thresholds", sql(*TO_SIGNALS, select=f"SELECT ticker, fold, {rs('threshold_buy ' + STATS)}, CAST(trades AS BIGINT) AS n_trades FROM thresholds"))
+@query("net_sharpe_thresholds", sql(*TO_SIGNALS, select=f"SELECT ticker, fold, {rs('threshold_buy ' + STATS)}, CAST(coalesce(trades, 0) AS BIGINT) AS n_trades FROM thresholds"))
 def _(spark, sf):
     found = signals.search_thresholds(_adjusted_preds(spark, sf)).select("ticker", "fold", F.col("threshold_buy").alias("th"), "stats.*")
-    return pick(found.withColumn("threshold_buy", F.col("th")), f"ticker fold threshold_buy {STATS} n_trades")
+    found = found.withColumns({"threshold_buy": F.col("th"), "n_trades": F.coalesce("n_trades", F.lit(0).cast("long"))})
+    return pick(found, f"ticker fold threshold_buy {STATS} n_trades")
 
 
 GRID_STEPS = "[0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75]"
@@ -887,12 +888,12 @@ _long = "UNPIVOT_ROWS AS (" + " UNION ALL ".join(f"SELECT ticker, rn, '{c}' AS f
 @query("column_profile", sql(BARS, ROLL, _long, select=f"""SELECT feature, count(value) AS count, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'std')}, {r('min(value)', 'min')}, {r('max(value)', 'max')},
   stddev_samp(value) < 1e-6 AS constant FROM UNPIVOT_ROWS GROUP BY feature"""))
 def _(spark, sf):
-    return rounded(profile.column_profile(market(spark, sf).features(), PROFILE_COLS).drop("n_distinct"))
+    return rounded(profile.column_profile(market(spark, sf).features(), PROFILE_COLS))
 
 
 @query("distinct_values", sql(BARS, select="SELECT 'volume' AS feature, count(DISTINCT volume) AS n_distinct FROM bars UNION ALL SELECT 'high' AS feature, count(DISTINCT high) AS n_distinct FROM bars"))
 def _(spark, sf):
-    return profile.column_profile(market(spark, sf).bars(), ["volume", "high"]).select("feature", "n_distinct")
+    return profile.distinct_values(market(spark, sf).bars(), ["volume", "high"])
 
 
 @query("feature_drift", sql(BARS, ROLL, "m AS (SELECT *, count(*) OVER (PARTITION BY ticker) AS total FROM rolling)", select=" UNION ALL ".join(
@@ -965,12 +966,12 @@ def _(spark, sf):
     return pick(df, "ticker date return_5d direction_5d return_10d direction_10d return_20d direction_20d")
 
 
-@query("sequence_windows", sql(BARS, SEQ, select=f"""SELECT ticker, date, CASE WHEN rn >= 60 THEN 240 END AS n_values,
+@query("sequence_windows", sql(BARS, SEQ, select=f"""SELECT ticker, date, CASE WHEN rn >= 60 THEN 240 ELSE 0 END AS n_values,
   round(CASE WHEN rn >= 60 THEN lag(seq_returns, 59) OVER w END + 3.7e-08, 6) + 0.0 AS oldest_return, round(CASE WHEN rn >= 60 THEN seq_rsi END + 3.7e-08, 6) + 0.0 AS newest_rsi FROM seq WINDOW w AS (PARTITION BY ticker ORDER BY rn)"""))
 def _(spark, sf):
     df = sequences.with_sequences(sequences.sequence_inputs(market(spark, sf).bars()))
     s = F.col("sequence")
-    return rounded(df.select("ticker", "date", F.when(s.isNotNull(), F.size(s)).alias("n_values"), s[0].alias("oldest_return"), F.try_element_at(s, F.lit(-1)).alias("newest_rsi")))
+    return rounded(df.select("ticker", "date", F.when(s.isNotNull(), F.size(s)).otherwise(0).alias("n_values"), s[0].alias("oldest_return"), F.try_element_at(s, F.lit(-1)).alias("newest_rsi")))
 
 
 # --- fitted models (checked by properties in the tests; no SQL form) -----------------------------------------------------------------
