@@ -151,3 +151,20 @@ def test_encoding_keeps_the_schema_with_too_few_sequences(bars):
     full = seq.encode(data, F.col("rn") < 600)
     assert [c for c in full.columns if c.startswith("lstm_")] and full.filter("lstm_latent_0 is null").count() == 0
     assert full.count() == data.count()
+
+
+def test_fold_encoding_is_fitted_on_training_rows_and_joins_back(bars):
+    from tickloom.operators import folds
+    from tickloom.settings import Settings
+
+    s = Settings(n_splits=2, train_rows=300, val_rows=60, min_val=20)
+    rows = folds.labelled_rows(bars.withColumn("target", F.lit(1.0)), ["close"], SMALL)
+    members = folds.fold_members(rows, s)
+    data = seq.fold_sequences(members, seq.sequence_inputs(bars, SMALL))
+    last = data.filter("role = 'train'").groupBy("ticker", "fold").agg(F.count_if(F.col("return_20d").isNull()).alias("n")).collect()
+    assert {r["n"] for r in last} == {20}
+    out = seq.encode_folds(data, [1, 2])
+    assert out.count() == members.count() and out.filter("lstm_latent_0 is null or lstm_dir_5d not between 0 and 1").count() == 0
+    neutral = seq.placeholder_columns(members)
+    merged = seq.overwrite_columns(neutral, out, ["lstm_latent_0", "lstm_return_5d"])
+    assert merged.count() == members.count() and merged.filter("lstm_latent_0 <> 0").count() > 0

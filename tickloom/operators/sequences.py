@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import KEY, ROW, Layout, div, fill, pct_change, roll, trailing
+from tickloom.operators.folds import standard_scale
 
 # Rows per window, return horizons, width of the compressed state.
 WINDOW_ROWS, HORIZONS, LATENTS = 60, (5, 10, 20), 10
@@ -144,6 +147,36 @@ def encode(
     return joined.withColumns({c: F.first(c, True).over(coming) for c in made}).drop(CHUNK_OF_FIRST)
 
 
+def fold_sequences(members: DataFrame, inputs: DataFrame, n: int = WINDOW_ROWS) -> DataFrame:
+    """Fold rows with scaled sequences and targets, without a look outside the training rows.
+
+    ``members`` are fold rows with ``bar_rn``; ``inputs`` the sequence inputs by bar.  The scale
+    is that of the fold's training rows; a training target lies inside the training rows.
+    """
+    fold = Window.partitionBy(KEY, "fold").orderBy(ROW)
+    role = Window.partitionBy(KEY, "fold", "role").orderBy(ROW)
+    rows = members.join(inputs.select(KEY, F.col(ROW).alias("bar_rn"), *INPUTS), [KEY, "bar_rn"])
+    rows = standard_scale(rows, INPUTS, "_z").withColumn("_rows", F.collect_list(F.array(*[f"{c}_z" for c in INPUTS])).over(trailing(fold, n)))
+    ahead = {h: F.lead("seq_returns", h).over(role) for h in HORIZONS}
+    return rows.withColumns({
+        "sequence": F.when(F.size("_rows") == n, F.flatten("_rows")),
+        **{f"return_{h}d": c for h, c in ahead.items()},
+        **{f"direction_{h}d": F.coalesce(c > 0, F.lit(False)).cast("double") for h, c in ahead.items()},
+    }).drop("_rows", *[f"{c}_z" for c in INPUTS], *INPUTS)
+
+
+def encode_folds(sequences: DataFrame, numbers: Sequence[int], prefix: str = "lstm", threads: int = 4) -> DataFrame:
+    """``encode`` for every fold on its own training rows; the fits run side by side."""
+    def one(fold: int) -> DataFrame:
+        rows = sequences.filter(F.col("fold") == fold)
+        return encode(rows, F.col("role") == "train", prefix, (KEY, "fold"), min_sequences=MIN_SEQUENCES_FOLD)
+
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(one, numbers))
+    targets = [f"{kind}_{h}d" for h in HORIZONS for kind in ("return", "direction")]
+    return reduce(DataFrame.unionByName, [p.drop(*targets) for p in parts])
+
+
 # Only the first WINDOW_ROWS - 1 rows of a group lack a sequence, so looking ahead inside
 # blocks of this many rows is enough to fill them.
 CHUNK_OF_FIRST, FIRST_ROWS = "_block", 4096

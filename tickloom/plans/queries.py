@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1008,25 +1009,25 @@ def _fold_rows(spark, sf, fold: int = 1) -> DataFrame:
 
 @query("boosted_scores")
 def _(spark, sf):
-    rows = _fold_rows(spark, sf)
-    model = models.fit_boosted(rows, QUICK)
-    return pick(models.probability(model, rows.filter("role = 'val'")), "ticker fold date target p_raw")
+    return pick(forecast(market(spark, sf), setting=QUICK, max_trees=3).predictions, "ticker fold date target p_model p_raw")
 
 
 @query("regime_pair_scores")
 def _(spark, sf):
-    rows = evaluation.high_volatility(_fold_rows(spark, sf))
-    return pick(models.fit_regime_pair(rows, QUICK)(rows.filter("role = 'val'")), "ticker fold date target high_vol p_raw")
+    run = forecast(market(spark, sf), setting=QUICK, max_trees=3, regime_split=True)
+    return pick(run.predictions, "ticker fold date target p_raw")
 
 
 @query("feature_importance")
 def _(spark, sf):
-    return rounded(models.feature_importance(models.fit_boosted(_fold_rows(spark, sf), QUICK), mk.MODEL_FEATURES, spark))
+    # The report shows the model of the last fold.
+    last = market(spark, sf).members().agg(F.max("fold")).first()[0]
+    return rounded(models.feature_importance(models.fit_boosted(_fold_rows(spark, sf, last), QUICK), mk.MODEL_FEATURES, spark))
 
 
 @query("tuned_setting")
 def _(spark, sf):
-    import dataclasses
+    # Settings are tuned on the first usable fold and reused for the others.
     settings = [dataclasses.replace(c, depth=2 + i) for i, c in enumerate(models.tuning_candidates("low", 2))]
     return rounded(models.tune(_fold_rows(spark, sf), settings, max_trees=3)[1])
 
@@ -1034,14 +1035,20 @@ def _(spark, sf):
 @query("calibrated_scores")
 def _(spark, sf):
     m = market(spark, sf)
-    rows = mk.score(folds.robust_scale(m.members().filter("fold = 1"), mk.SCORED, "_scaled"))
-    val, fit_on = rows.filter("role = 'val'"), models.calibration_rows(rows.filter("role = 'train'")).persist()
-    isotonic, _ = models.fit_calibrator(fit_on, "isotonic")
-    sigmoid, _ = models.fit_calibrator(fit_on, "sigmoid")
-    fit_on.unpersist()
-    if isotonic is None or sigmoid is None:
-        return spark.createDataFrame([], "fold int, calibration_enabled boolean, calibration_method string, calibration_reason string, calibration_error double, brier double")
-    return rounded(models.choose_calibration(isotonic(val), sigmoid(val)))
+    rows = m.stages.table("scored_members", m.payload(), lambda: mk.score(folds.robust_scale(m.members(), mk.SCORED, "_scaled")), ["fold"])
+    numbers = [r["fold"] for r in rows.select("fold").distinct().collect()]  # at most n_splits
+
+    def both(fold: int) -> tuple[DataFrame, DataFrame]:
+        part = rows.filter(F.col("fold") == fold)
+        fit_on = models.calibration_rows(part.filter("role = 'train'"))
+        fitted = [models.fit_calibrator(fit_on, method)[0] for method in ("isotonic", "sigmoid")]
+        val = part.filter("role = 'val'")
+        plain = val.withColumn("p_cal", F.col("p_raw"))
+        return tuple((fn(val) if fn else plain).select("fold", "target", "p_cal") for fn in fitted)
+
+    pairs = models.in_parallel(both, numbers)
+    isotonic, sigmoid = (reduce(DataFrame.unionByName, side) for side in zip(*pairs))
+    return rounded(models.choose_calibration(isotonic, sigmoid))
 
 
 @query("calibration_rows", sql(*TO_FOLDS, """k AS (SELECT *, row_number() OVER (PARTITION BY ticker, fold ORDER BY rn) AS k, count(*) OVER (PARTITION BY ticker, fold) AS n FROM members WHERE role = 'train'),
@@ -1061,9 +1068,9 @@ def _(spark, sf):
 
 @query("eliminated_features")
 def _(spark, sf):
-    rows = _fold_rows(spark, sf).filter("role = 'train'")
-    kept = models.eliminate_features(rows, SCALED, keep=2, trees=10, depth=3)
-    return rows.groupBy("ticker").agg(*[F.avg(c).alias(f"kept_{i}_mean") for i, c in enumerate(kept)], F.lit(",".join(kept)).alias("kept"))
+    rows = market(spark, sf).labelled()
+    kept = models.eliminate_features(rows, mk.MODEL_FEATURES, keep=2, trees=10, depth=3)
+    return rounded(rows.groupBy("ticker").agg(*[F.avg(c).alias(f"kept_{i}_mean") for i, c in enumerate(kept)], F.lit(",".join(kept)).alias("kept")))
 
 
 @query("sequence_encoding")
