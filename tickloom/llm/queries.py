@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, language, packing, token_counts
+from tickloom.llm import decontamination, language, near_duplicates, packing, token_counts
 from tickloom.llm.store import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,28 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op1_bagminhash", rf"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT id, {WORDS_SQL} AS w FROM t),
+s AS (SELECT id, g, count(*) AS n FROM (
+        SELECT id, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS g
+        FROM (SELECT id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM w WHERE len(w) > 0)) GROUP BY id, g),
+z AS (SELECT id, sum(n) AS z FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS m FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE m >= 0.8 * (x.z + y.z - m)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT id, id AS top FROM t UNION SELECT u.b, r.top FROM r JOIN u ON u.a = r.id),
+c AS (SELECT id, min(top) AS class_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(t.id, doc_id) AS text_id, coalesce(class_id, doc_id) AS class_id
+FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN c ON c.id = t.id
+""")
+def bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
 @query("op3_compression_language")
 def compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -38,9 +60,6 @@ def rank_merged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(tables(spark, sf_dir, "documents"))
 
 
-WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-
 @query("op9_hashed_decontamination", rf"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
