@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, language, near_duplicates, packing, token_counts
-from tickloom.llm.store import tables
+from tickloom.llm import chat, decontamination, language, near_duplicates, packing, sharding, token_counts
+from tickloom.llm.store import new_folder, table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,37 @@ def hashed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_vector_best_fit")
 def vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables(spark, sf_dir, "documents"))
+
+
+@query("op6_virtual_slots")
+def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(tables(spark, sf_dir, "documents"), new_folder(spark, "slot-map"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+#: Both turns of the conversation that holds the template's own marks.
+MARKED_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query("op7_prefix_targets", r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, 14
+        + length(replace(replace(replace(replace(role, '\', '\e'), '</turn>', '\l/turn>'), '### ', '\h## '), ':', '\c'))
+        + length(replace(replace(replace(text, '\', '\e'), '</turn>', '\l/turn>'), '### ', '\h## ')) AS n FROM c),
+p AS (SELECT *, sum(n) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back
+    FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(coalesce(sum(upto) FILTER (role = 'assistant' OR back = 1), 0) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+""")
+def prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tables(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    marked = spark.createDataFrame(
+        [(-7, 0, "user", MARKED_TEXT), (-7, 1, "assistant", MARKED_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(table(chat.examples(turns.unionByName(marked)), "chat"))
