@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontamination, language, near_duplicates, packing, sharding, token_counts
+from tickloom.llm import chat, decontamination, language, near_duplicates, packing, sharding, token_counts, warc
 from tickloom.llm.store import new_folder, table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,19 @@ def prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = spark.createDataFrame(
         [(-7, 0, "user", MARKED_TEXT), (-7, 1, "assistant", MARKED_TEXT)], "conv_id long, turn long, role string, text string")
     return chat.read_back(table(chat.examples(turns.unionByName(marked)), "chat"))
+
+
+@query("op2_warc_normaliser", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, count(*) OVER (PARTITION BY html) AS n, sha1(html) AS hex FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + ((CAST('0x' || substr(hex, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) AS BIGINT), 1) for k in range(0, 32)], '') AS payload_digest,
+    CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+""")
+def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    archives = warc.write_archives(tables(spark, sf_dir, "pages"), f"{folder}/whole")
+    index = warc.normalise(archives, f"{folder}/members")
+    return warc.read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
