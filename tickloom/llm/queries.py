@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontamination, language, near_duplicates, packing, sharding, token_counts, warc
+from tickloom.llm import (
+    chat, decontamination, fingerprints, language, main_text, near_duplicates, packing, sharding, token_counts, warc,
+)
 from tickloom.llm.store import new_folder, table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +136,14 @@ def warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(tables(spark, sf_dir, "pages"), f"{folder}/whole")
     index = warc.normalise(archives, f"{folder}/members")
     return warc.read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_recurrent_blocks")
+def recurrent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, main_text.fit(pages))
+
+
+@query("op8_improbable_features")
+def improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(tables(spark, sf_dir, "documents"))
