@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.words import PIECE_BYTES, groups_of_texts, mix, span_hashes
 
-#: Bytes of a window, windows of a run, votes of a feature; texts without a feature use all runs of SHORT bytes.
-WINDOW, RUN, VOTES, SHORT = 32, 32, 8, 8
+#: Bytes of a window, windows of a run, votes of a feature.
+WINDOW, RUN, VOTES = 32, 32, 8
+#: Texts with fewer features than this also have filters of all their runs of SHORT bytes.
+FEW, SHORT = 24, 4
 #: Bits of a filter, features that it takes, and bits that a feature sets (11 bits of its hash each).
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 160, 5
 #: Entropy in bits of a window of running text, of which others are the more improbable the further off.
@@ -92,8 +94,8 @@ def _votes(rank: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.bincount((key & np.int64((1 << 24) - 1))[inside], minlength=n)
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the features of each text, in text order and without repeats; an empty text has none."""
+def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the features of each text, and of its short runs if those are few; in text order, without repeats."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     for first, last in groups_of_texts(offsets, PIECE_BYTES // 2):
@@ -104,20 +106,21 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
             piece = joined[max(0, at - (WINDOW + RUN)):at + PIECE_BYTES // 2]
             shift = max(0, at - (WINDOW + RUN))
             _piece_features(piece, shift, np.cumsum(lengths) - lengths, lengths, out, first)
-    for k, text in enumerate(texts):
-        if text and not out[k]:
-            out[k] = _short_features(np.frombuffer(text, np.uint8))
-    return [_once(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in out]
+    found = []
+    for own, text in zip(out, texts, strict=True):
+        chosen = _once(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+        found.append((chosen, _short_features(text) if len(chosen) < FEW else chosen[:0]))
+    return found
 
 
-def _short_features(data: np.ndarray) -> list[np.ndarray]:
-    """Every run of SHORT bytes, for texts that are too short or too even to have a feature."""
-    size, found = min(SHORT, len(data)), []
-    for at in range(0, len(data) - size + 1, PIECE_BYTES // 2):
+def _short_features(text: bytes) -> np.ndarray:
+    """Every run of SHORT bytes, or the whole of a shorter text, for texts that are short or too even for windows."""
+    data, size, found = np.frombuffer(text, np.uint8), min(SHORT, len(text)), [np.zeros(0, np.uint64)]
+    for at in range(0, len(data) - size + 1 if size else 0, PIECE_BYTES // 2):
         piece = data[at:at + PIECE_BYTES // 2 + size - 1]
         starts = np.arange(len(piece) - size + 1)
         found.append(_once(span_hashes(piece, starts, starts + size)))
-    return found
+    return _once(np.concatenate(found))
 
 
 def _piece_features(data: np.ndarray, shift: int, starts: np.ndarray, lengths: np.ndarray, out: list[list[np.ndarray]], first: int) -> None:
@@ -181,7 +184,7 @@ def read(fingerprint: str) -> np.ndarray:
 
 
 def digests(texts: list[str]) -> list[np.ndarray]:
-    return [filters(f) for f in features([t.encode() for t in texts])]
+    return [np.concatenate([filters(long), filters(short)]) for long, short in features([t.encode() for t in texts])]
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
