@@ -19,8 +19,9 @@ WINDOW = 10
 #: Largest set of item windows, in bytes of their words, that is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before letters are lower-cased.
+_RAW_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_EMPTY_DIGEST = F.sha2(F.lit(""), 256)
 
 
 def words_of(text: Column) -> Column:
@@ -135,7 +136,7 @@ def scan(
         .select(
             F.col("c.doc_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-            F.coalesce("items_sha256", _EMPTY_DIGEST).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         )
     )
 
@@ -164,7 +165,7 @@ def decontaminate(
     bad = table(found.select("doc_id", "__row", word.alias("word")).groupBy("doc_id", "__row").agg(F.collect_set("word").alias("hit")), "hits")
     joined = base.alias("c").join(bad.alias("m"), F.expr("c.doc_id <=> m.doc_id and c.__row = m.__row"), "left")
     # Tokens with their separators: the split keeps the text's own words, the positions are those of words_of.
-    tokens = F.filter(F.split(F.col("__body"), _BREAKS), lambda w: w != "")
+    tokens = F.filter(F.split(F.col("__body"), _RAW_BREAKS), lambda w: w != "")
     hit_set = F.map_from_arrays("hit", F.transform("hit", lambda _: F.lit(True)))
     rest = F.filter(tokens, lambda w, i: ~F.coalesce(F.element_at(hit_set, (i + 1).cast("int")), F.lit(False)))
     body = F.when(F.col("hit").isNull(), F.col("__body")).otherwise(F.array_join(rest, " "))

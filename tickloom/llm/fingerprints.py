@@ -210,8 +210,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
     all.  The last part's tail is the first row of all.  Null ids come first.
     """
     ids = df.select(df[id_col].cast("double").alias("at"))
-    cuts = ids.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
-    bounds = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    cuts = ids.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    bounds = [-float("inf"), *sorted(set(cuts or [0.0])), float("inf")]
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(-1.7976931348623157e308)))
     dealt = Bucketizer(splits=bounds, inputCol="at", outputCol="part").transform(rows).select(F.col("part").cast("int").alias("part"), "id", "text")
