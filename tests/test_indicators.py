@@ -111,9 +111,26 @@ def test_chunked_recurrences_equal_whole_ones(spark):
 
     pdf = make_bars(("LONG",), 2600)
     df = spark.createDataFrame(pdf.drop(columns="vix_close")).withColumn("rn", F.col("rn").cast("long"))
-    whole, chunks = recursive(df, Layout(4096)), recursive(df, Layout(1200))
-    for c in whole.columns[2:]:
-        same(whole[c], chunks[c], 1e-11)
+    whole = recursive(df, Layout(4096))
+    for rows in (64, 1000):
+        chunks = recursive(df, Layout(rows))
+        for c in whole.columns[2:]:
+            same(whole[c], chunks[c], 1e-9)
+
+
+def test_ratios_of_states_survive_a_long_standstill(spark):
+    from conftest import make_bars
+
+    pdf = make_bars(("LONG",), 5000)
+    for c in ("close", "high", "low"):
+        pdf.loc[pdf.rn > 300, c] = pdf.loc[pdf.rn == 300, "close"].iloc[0]
+    df = spark.createDataFrame(pdf.drop(columns="vix_close")).withColumn("rn", F.col("rn").cast("long"))
+    d = pdf.close.diff()
+    up, down = (x.ewm(alpha=1 / 14, min_periods=14).mean() for x in (d.clip(lower=0), (-d).clip(lower=0)))
+    for rows in (256, 1200, 4096):
+        got = recursive(df, Layout(rows))
+        same(got["rsi_14"][300:], np.full(4700, (100 * up / (up + down)).iloc[299]), 1e-9)
+        assert got["ADX_14"][300:].notna().all()
 
 
 def test_interactions_exist_only_for_present_latents(bars):

@@ -2,6 +2,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def con():
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     if hasattr(value, "isoformat"):
         return str(value)[:10]

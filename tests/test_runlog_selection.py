@@ -74,26 +74,26 @@ SUMMARY = "candidate_id string, robust_score double, net_sharpe_mean double, cov
 
 
 def test_best_candidate_respects_floors(spark):
-    df = spark.createDataFrame([("c1", 0.30, 0.25, 0.85, 0.84), ("c2", 0.40, 0.10, 0.90, 0.90)], SUMMARY)
-    best = selection.choose_best(df, min_net_sharpe=0.20).first()
-    assert (best["candidate_id"], best["relaxed"]) == ("c1", False)
+    df = spark.createDataFrame([("low", 1.9, 0.02, 0.95, 1.0), ("mid", 0.7, 0.61, 0.91, 0.88), ("thin", 2.4, 0.7, 0.41, 0.9)], SUMMARY)
+    best = selection.choose_best(df, min_net_sharpe=0.5).first()
+    assert (best["candidate_id"], best["relaxed"]) == ("mid", False)
 
 
 def test_best_candidate_relaxes_when_none_meets_the_floors(spark):
-    df = spark.createDataFrame([("c1", 0.15, 0.05, 0.80, 0.82)], SUMMARY)
-    best = selection.choose_best(df, min_net_sharpe=0.20).first()
-    assert (best["candidate_id"], best["relaxed"]) == ("c1", True)
+    df = spark.createDataFrame([("one", 0.9, 0.3, 0.5, 0.7), ("two", 1.1, 0.1, 0.6, 0.6)], SUMMARY)
+    best = selection.choose_best(df, min_net_sharpe=0.5).first()
+    assert (best["candidate_id"], best["relaxed"]) == ("two", True)
 
 
 def test_encoder_is_switched_only_when_both_gates_pass(spark):
-    rows = [("c1", "MSFT", "off", 0.10, 0.12), ("c1", "MSFT", "tcn", 0.14, 0.19), ("c2", "MSFT", "off", 0.20, 0.15),
-            ("c2", "MSFT", "tcn", 0.21, 0.16), ("c3", "MSFT", "tcn", 0.1, 0.1), ("c4", "MSFT", "off", 0.1, 0.1)]
+    rows = [("k1", "XX", "off", 0.5, 0.3), ("k1", "XX", "tcn", 0.9, 0.7), ("k2", "XX", "off", 0.8, 0.4),
+            ("k2", "XX", "tcn", 0.805, 0.41), ("k3", "YY", "tcn", 0.2, 0.9), ("k4", "YY", "off", 0.6, 0.6)]
     df = spark.createDataFrame(rows, "candidate_id string, ticker string, encoder_mode string, robust_score double, net_sharpe_mean double")
     got = {r["candidate_id"]: (r["encoder_mode"], r["encoder_selection_reason"]) for r in selection.choose_encoders(df).collect()}
-    assert got == {"c1": ("tcn", "tcn_improves_robust_and_net"), "c2": ("off", "off_is_more_robust"),
-                   "c3": ("tcn", "only_tcn_available"), "c4": ("off", "only_off_available")}
+    assert got == {"k1": ("tcn", "tcn_improves_robust_and_net"), "k2": ("off", "off_is_more_robust"),
+                   "k3": ("tcn", "only_tcn_available"), "k4": ("off", "only_off_available")}
     votes = {r["candidate_id"]: r["encoder_mode"] for r in selection.encoder_vote(selection.choose_encoders(df)).collect()}
-    assert votes["c1"] == "tcn"
+    assert votes["k1"] == "tcn"
 
 
 def test_single_run_has_no_deviation(spark):

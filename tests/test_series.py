@@ -2,7 +2,7 @@ import pytest
 from conftest import by_row, same
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import Layout, decayed_sum, fill, number_rows, running_sum, tail
+from tickloom.functions.series import Layout, decayed_states, fill, number_rows, running_sum, tail
 
 
 def test_row_numbers_do_not_depend_on_the_buckets(spark, bars):
@@ -24,17 +24,24 @@ def test_layout_refuses_a_look_back_longer_than_a_chunk(bars):
         Layout(50).spread(bars, before=51)
 
 
-@pytest.mark.parametrize("decay", [0.9, 0.5])  # 0.5 leaves the range of the weights and takes the other form
-def test_decayed_sum_equals_a_row_loop(bars, bars_pdf, decay):
-    layout = Layout(4096 if decay == 0.5 else 450)
-    w = Layout.window()
-    out = by_row(Layout.core(layout.spread(bars, before=420).withColumn("s", decayed_sum(F.col("close"), decay, w, layout, 420))), "s")
+@pytest.mark.parametrize("rows", [64, 450, 1024])
+def test_decayed_states_equal_a_row_loop_in_any_chunks(bars, bars_pdf, rows):
+    layout = Layout(rows)
+    spread = layout.spread(bars.withColumn("some", F.when(F.col("rn") % 7 > 0, F.col("close"))), before=30)
+    out = by_row(Layout.core(decayed_states(spread, {"a": ("close", 0.9), "b": ("some", 0.5), "c": ("close", 0.99)}, layout)), "a", "b", "c")
     for t, part in bars_pdf.groupby("ticker"):
-        state, expected = 0.0, []
-        for x in part["close"]:
-            state = decay * state + x
-            expected.append(state)
-        same(out[out.ticker == t]["s"], expected)
+        a = b = c = 0.0
+        expected = []
+        for rn, x in zip(part["rn"], part["close"]):
+            a, b, c = 0.9 * a + x, 0.5 * b + (x if rn % 7 else 0.0), 0.99 * c + x
+            expected.append((a, b, c))
+        for k, name in enumerate("abc"):
+            same(out[out.ticker == t][name], [e[k] for e in expected])
+
+
+def test_chunks_too_large_for_the_weights_are_refused(bars):
+    with pytest.raises(ValueError):
+        decayed_states(Layout(4096).spread(bars), {"a": ("close", 0.5)}, Layout(4096))
 
 
 def test_fill_carries_values_over_whole_empty_chunks(spark):

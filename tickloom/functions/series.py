@@ -124,41 +124,51 @@ def memory_rows(decay: float) -> int:
     return math.ceil(60 * math.log(2) / -math.log(decay))
 
 
-def decayed_sum(value: Column, decay: float, w: WindowSpec, layout: Layout, before: int) -> Column:
-    """State of ``s = decay * s + value`` (nulls add nothing), started from 0.
-
-    The running sum of ``value / decay**position``, scaled back by
-    ``decay**position``: one cumulative window, no row loop.  Rows further back
-    than ``memory_rows(decay)`` do not reach the last bit of a double, so the
-    state is complete when ``before`` covers that many rows.
-    """
-    if before < memory_rows(decay):
-        raise ValueError(f"decay {decay} needs a look-back of {memory_rows(decay)} rows, got {before}")
-    span = layout.chunk_rows + before
-    if span / 2 * -math.log10(decay) > 280:  # weights would leave the double range
-        n = memory_rows(decay)
-        newest_last = F.collect_list(F.coalesce(value, F.lit(0.0))).over(w.rowsBetween(-n, 0))
-        return F.aggregate(newest_last, F.lit(0.0), lambda acc, x: acc * decay + x)
-    place = F.col(ROW) - F.col(CHUNK) * layout.chunk_rows + F.lit(before - span // 2)
-    total = F.sum(F.coalesce(value, F.lit(0.0)) * F.pow(F.lit(decay), -place))
-    return total.over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(decay), place)
-
-
-def wilder_mean(value: Column, n: int, w: WindowSpec, layout: Layout, before: int, first_row: int) -> Column:
-    """Exponential mean with alpha 1/n and normalised weights; null until n values.
-
-    ``first_row`` is the row number of the first non-null value.
+def decayed_states(df: DataFrame, states: Mapping[str, tuple[str, float]], layout: Layout) -> DataFrame:
+    """Adds the state of ``s = decay * s + value`` for each ``name: (value column, decay)``, started from 0
+    on the ticker's first row; nulls add nothing.  Takes rows of ``Layout.spread``.
+
+    Inside a chunk it is a running sum of ``value / decay**position`` scaled back by
+    ``decay**position``: one cumulative window, no row loop.  The state of the chunks before comes
+    from a small table with one end state per chunk, folded over as many chunks as a double can
+    tell from 0.  So the state is exact over any distance and does not depend on the chunk size;
+    on rows that were copied from a neighbour it is not meant to be read.
     """
-    decay = 1 - 1.0 / n
-    present = F.when(value.isNotNull(), F.lit(1.0))
-    mean = div(
-        decayed_sum(value, decay, w, layout, before), decayed_sum(present, decay, w, layout, before)
-    )
-    return F.when(F.col(ROW) >= first_row + n - 1, mean)
+    size = layout.chunk_rows
+    for _, decay in states.values():
+        if size / 2 * -math.log10(decay) > 280:
+            raise ValueError(f"weights of decay {decay} leave the double range in chunks of {size} rows")
+    pos = F.col(ROW) - 1 - F.col(CHUNK) * size
+    own = {name: F.when(F.col("core"), F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0) for name, (c, _) in states.items()}
+    ends = df.groupBy(KEY, CHUNK).agg(*[
+        F.sum(own[name] * F.pow(F.lit(decay), F.greatest(size - 1 - pos, F.lit(0)))).alias(f"_end_{name}")
+        for name, (_, decay) in states.items()
+    ])
+    earlier = Window.partitionBy(KEY).orderBy(CHUNK)
+
+    def carry(name: str, decay: float) -> Column:
+        chunks = math.ceil(745 / (size * -math.log(decay))) + 1
+        past = F.collect_list(f"_end_{name}").over(earlier.rowsBetween(-chunks, -1))
+        return F.aggregate(past, F.lit(0.0), lambda state, end: state * decay ** size + end).alias(f"_carry_{name}")
+
+    carries = ends.select(KEY, CHUNK, *[carry(name, decay) for name, (_, decay) in states.items()])
+    # Positions are taken from the middle of the chunk, which halves the range of the weights.
+    place = pos - size // 2
+    past = Layout.window().rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(carries, [KEY, CHUNK]).withColumns({
+        name: F.sum(own[name] * F.pow(F.lit(decay), -place)).over(past) * F.pow(F.lit(decay), place)
+        + F.col(f"_carry_{name}") * F.pow(F.lit(decay), pos + 1)
+        for name, (_, decay) in states.items()
+    }).drop(*[f"_carry_{name}" for name in states])
+
+
+def ema_decay(n: int) -> float:
+    return 1 - 2.0 / (n + 1)
 
 
 def ema_step(value: Column, n: int, w: WindowSpec, first_row: int = 1) -> Column:
-    """Input of ``ema_from``: nothing, then the mean of the first ``n`` rows, then the shares.
+    """Input of an exponential mean of span ``n`` seeded with the plain mean of the first ``n`` rows:
+    nothing, then that mean, then the shares.
 
     It holds a window itself, so put it in a column of its own first.
     """
@@ -170,17 +180,8 @@ def ema_step(value: Column, n: int, w: WindowSpec, first_row: int = 1) -> Column
     )
 
 
-def ema_from(step: Column, n: int, w: WindowSpec, layout: Layout, before: int, first_row: int = 1) -> Column:
-    """Exponential mean of span ``n`` seeded with the plain mean of the first ``n`` rows."""
-    state = decayed_sum(step, 1 - 2.0 / (n + 1), w, layout, before)
-    return F.when(F.col(ROW) >= first_row + n - 1, state)
-
-
-def adjusted_ema(value: Column, span: int, w: WindowSpec, layout: Layout, before: int) -> Column:
-    """Exponential mean with weights normalised over the rows seen so far."""
-    decay = 1 - 2.0 / (span + 1)
-    present = F.when(value.isNotNull(), F.lit(1.0))
-    return div(decayed_sum(value, decay, w, layout, before), decayed_sum(present, decay, w, layout, before))
+def from_row(row: int, value: Column) -> Column:
+    return F.when(F.col(ROW) >= row, value)
 
 
 # --- unbounded look-back: a carry per chunk -----------------------------------------------

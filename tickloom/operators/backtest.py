@@ -28,7 +28,8 @@ def with_costs(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings
 def drawdown(df: DataFrame, returns: str, keys: Sequence[str] = KEYS, out: str = "drawdown") -> DataFrame:
     """Fall of the compounded value below its running peak, per row (a fold is a bounded group)."""
     past = Window.partitionBy(*keys).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.exp(F.sum(F.ln(1 + F.col(returns))).over(past))
+    # A product, not a sum of logarithms: a return of -1 or below must stay in it.
+    value = F.product(1 + F.col(returns)).over(past)
     return df.withColumn("_value", value).withColumn(
         out, F.col("_value") / F.max("_value").over(past) - 1
     ).drop("_value")
@@ -119,7 +120,10 @@ def fold_accounting(
 
 
 def cross_fold_metrics(results: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """Run metrics over the valid folds (rows with a ``reason`` only count as configured)."""
+    """Run metrics over the valid folds (rows with a ``reason`` only count as configured).
+
+    A run without a valid fold keeps its row, with coverage 0 and no averages.
+    """
     ok = F.col("reason").isNull()
 
     def over(fn, c: str) -> Column:
@@ -147,7 +151,7 @@ def cross_fold_metrics(results: DataFrame, keys: Sequence[str] = ("ticker",)) ->
         over(F.min, "auc").alias("worst_fold_auc"), over(F.min, "aucpr").alias("worst_fold_aucpr"),
         F.max(F.when(ok, F.col("n_train"))).alias("train_size"),
         ratio(over(F.sum, "winning_days"), over(F.sum, "fold_trades")).alias("win_rate"),
-    ).filter("n_folds_valid > 0")
+    )
 
 
 def calibration_summary(results: DataFrame, keys: Sequence[str] = ("ticker",)) -> DataFrame:

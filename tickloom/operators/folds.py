@@ -25,12 +25,20 @@ def labelled_rows(df: DataFrame, features: Sequence[str], layout: Layout = Layou
     )
 
 
+def last_fold(n_rows: Column, s: Settings, scheme: str) -> Column:
+    """0-based number of the last fold that the rows of a ticker reach (negative: none), or of the last one allowed."""
+    before, least = (s.train_rows, s.min_val) if scheme == "sliding" else (s.min_train, 1)
+    last = F.floor((n_rows - before - least) / s.val_rows).cast("int")
+    return last if s.n_splits is None else F.least(last, F.lit(s.n_splits - 1))
+
+
 def fold_table(counts: DataFrame, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:
     """Row ranges of every fold: (ticker, fold, train_lo, train_hi, test_lo, test_hi), 0-based, half open.
 
     ``counts`` holds ``n_rows`` per ticker.
     """
-    df = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(s.n_splits - 1))))
+    last = last_fold(F.col("n_rows"), s, scheme)
+    df = counts.withColumn("i", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
     i, n = F.col("i"), F.col("n_rows")
     if scheme == "sliding":
         lo, first = i * s.val_rows, 0
@@ -54,17 +62,17 @@ def fold_members(rows: DataFrame, s: Settings = Settings(), scheme: str = "slidi
     The folds of a row follow from its row number and the row count of its ticker
     (``n_rows``), so this is a projection and not a range join.
     """
-    idx, last = F.col(ROW) - 1, s.n_splits - 1
+    idx, last = F.col(ROW) - 1, last_fold(F.col("n_rows"), s, scheme)
     if scheme == "sliding":
         first, start = 0, s.train_rows
         from_ = F.greatest(F.lit(0), F.ceil((idx - s.train_rows + 1) / s.val_rows))
-        to = F.least(F.lit(last), F.floor(idx / s.val_rows))
+        to = F.least(last, F.floor(idx / s.val_rows))
         enough = s.min_val
     else:
         first, start = math.ceil(s.purge_rows / s.val_rows), s.min_train
         held_back = s.purge_rows + s.embargo_rows
         from_ = F.greatest(F.lit(first), F.floor((idx - s.min_train + held_back) / s.val_rows) + 1)
-        to = F.lit(last)
+        to = last
         enough = 1
     train = F.when(from_ <= to, F.sequence(from_.cast("int"), to.cast("int")))
     val = F.floor((idx - start) / s.val_rows).cast("int")
@@ -77,7 +85,7 @@ def fold_members(rows: DataFrame, s: Settings = Settings(), scheme: str = "slidi
     test_lo = F.col("i") * s.val_rows + start
     test_rows = F.least(F.col("n_rows"), test_lo + s.val_rows) - test_lo
     return (
-        out.filter(F.col("i").between(first, last) & (test_rows >= enough))
+        out.filter(F.col("i").between(F.lit(first), last) & (test_rows >= enough))
         .withColumn("fold", (F.col("i") + 1 - first).cast("int"))
         .drop("i")
     )
@@ -99,6 +107,19 @@ def skip_reasons(members: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
 
 
+def rows_after_folds(rows: DataFrame, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:
+    """Per ticker: labelled rows, folds, and the rows after the last fold (fewer than ``min_val`` unless limited)."""
+    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_rows"))
+    ends = fold_table(counts, s, scheme).groupBy(KEY).agg(F.max("test_hi").alias("_hi"), F.count(F.lit(1)).alias("n_folds"))
+    return counts.join(ends, KEY, "left").select(
+        KEY, "n_rows", F.coalesce("n_folds", F.lit(0)).alias("n_folds"), (F.col("n_rows") - F.coalesce("_hi", F.lit(0))).alias("rows_after"))
+
+
+def usable(members: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The members of folds that may be scored."""
+    return members.join(skip_reasons(members, s).filter("reason is null").select(*FOLD), list(FOLD), "left_semi")
+
+
 def class_weights(members: DataFrame) -> DataFrame:
     """Weight of the positive class per fold: 1.5 times negatives per positive, 1 with one class."""
     train = F.col("role") == "train"

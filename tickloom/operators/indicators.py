@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import (
-    ROW, Layout, adjusted_ema, decayed_sum, div, ema_from, ema_step, long_extreme, long_mean, long_stddev, looked_up, pct_change, roll,
-    running_sum, trailing, wilder_mean,
+    ROW, Layout, decayed_states, div, ema_decay, ema_step, from_row, long_extreme, long_mean, long_stddev, looked_up, pct_change, roll,
+    running_sum, trailing,
 )
 
 ROLLING_BEFORE = 300   # 252-row z-score of a 20-row deviation, and one lag
-STATE_BEFORE = 1200    # two chained 14-row smoothings (see functions.series.memory_rows)
+SEED_BEFORE = 52       # the plain mean that seeds a 50-row exponential mean, and one lag
 EPS = 1e-8
 
 # Smoothing of the conditional variance.
@@ -131,7 +131,8 @@ def _rolling(df: DataFrame, w: WindowSpec) -> DataFrame:
     })
 
 
-def _states(df: DataFrame, w: WindowSpec, layout: Layout, before: int) -> DataFrame:
+def _states(df: DataFrame, w: WindowSpec, layout: Layout) -> DataFrame:
+    """Recurrences in two rounds: those of the prices, then those of what the first round gives."""
     close, diff, tr = F.col("close"), F.col("_diff"), F.col("true_range")
     up, down = F.col("_up"), F.col("_down")
     known = diff.isNotNull()
@@ -142,6 +143,8 @@ def _states(df: DataFrame, w: WindowSpec, layout: Layout, before: int) -> DataFr
         "_loss": F.when(known, F.greatest(-diff, F.lit(0.0))),
         "_dm_up": F.when(known, F.when((up > down) & (up > 0), up).otherwise(0.0)),
         "_dm_down": F.when(known, F.when((down > up) & (down > 0), down).otherwise(0.0)),
+        "_known": F.when(known, F.lit(1.0)),
+        "_ranged": F.when(tr.isNotNull(), F.lit(1.0)),
         "_e12": ema_step(close, 12, w),
         "_e26": ema_step(close, 26, w),
         "_e20": ema_step(close, 20, w),
@@ -150,24 +153,28 @@ def _states(df: DataFrame, w: WindowSpec, layout: Layout, before: int) -> DataFr
         "_shock": F.when(F.col(ROW) > GARCH_WARMUP + 1, GARCH_ALPHA * F.pow(F.lag("log_returns").over(w), 2)),
         "_early": F.when(F.count(early).over(whole) == GARCH_WARMUP, F.stddev_pop(early).over(whole)),
     })
-
-    def smooth(c: str, n: int, first_row: int = 2) -> Column:
-        return wilder_mean(F.col(c), n, w, layout, before, first_row)
-
-    def mean(c: str, n: int, first_row: int = 1) -> Column:
-        return ema_from(F.col(c), n, w, layout, before, first_row)
+    d14, d21 = 1 - 1 / 14, 1 - 1 / 21
+    df = decayed_states(df, {
+        "_s_gain14": ("_gain", d14), "_s_loss14": ("_loss", d14), "_s_gain21": ("_gain", d21), "_s_loss21": ("_loss", d21),
+        "_s_range": ("true_range", d14), "_s_up": ("_dm_up", d14), "_s_down": ("_dm_down", d14),
+        "_n_known14": ("_known", d14), "_n_known21": ("_known", d21), "_n_range": ("_ranged", d14),
+        "_s_e12": ("_e12", ema_decay(12)), "_s_e26": ("_e26", ema_decay(26)), "_s_e20": ("_e20", ema_decay(20)),
+        "_s_e50": ("_e50", ema_decay(50)), "_s_etr": ("_etr", ema_decay(20)), "_s_shock": ("_shock", GARCH_BETA),
+    }, layout)
+
+    def smooth(total: str, weight: str, n: int, first_row: int = 2) -> Column:
+        """Exponential mean with alpha 1/n and normalised weights, once ``n`` values are there."""
+        return from_row(first_row + n - 1, div(F.col(total), F.col(weight)))
 
     df = df.withColumns({
-        "_g14": smooth("_gain", 14), "_l14": smooth("_loss", 14),
-        "_g21": smooth("_gain", 21), "_l21": smooth("_loss", 21),
-        "atr": smooth("true_range", 14),
-        "_du": smooth("_dm_up", 14), "_dd": smooth("_dm_down", 14),
-        "ema_short": mean("_e20", 20), "ema_long": mean("_e50", 50),
-        "_fast": mean("_e12", 12), "_slow": mean("_e26", 26),
-        "_band": mean("_etr", 20),
-        "garch_volatility": F.when(F.col(ROW) > GARCH_WARMUP + 1, F.sqrt(F.abs(
-            decayed_sum(F.col("_shock"), GARCH_BETA, w, layout, before)
-        ))).when(F.col(ROW) >= 2, F.col("_early")),
+        "_g14": smooth("_s_gain14", "_n_known14", 14), "_l14": smooth("_s_loss14", "_n_known14", 14),
+        "_g21": smooth("_s_gain21", "_n_known21", 21), "_l21": smooth("_s_loss21", "_n_known21", 21),
+        "atr": smooth("_s_range", "_n_range", 14),
+        "_du": smooth("_s_up", "_n_known14", 14), "_dd": smooth("_s_down", "_n_known14", 14),
+        "ema_short": from_row(20, F.col("_s_e20")), "ema_long": from_row(50, F.col("_s_e50")),
+        "_fast": from_row(12, F.col("_s_e12")), "_slow": from_row(26, F.col("_s_e26")),
+        "_band": from_row(20, F.col("_s_etr")),
+        "garch_volatility": F.when(F.col(ROW) > GARCH_WARMUP + 1, F.sqrt(F.abs(F.col("_s_shock")))).when(F.col(ROW) >= 2, F.col("_early")),
     })
     df = df.withColumns({
         "rsi_14": 100 * div(F.col("_g14"), F.col("_g14") + F.col("_l14")),
@@ -185,9 +192,12 @@ def _states(df: DataFrame, w: WindowSpec, layout: Layout, before: int) -> DataFr
         "_dx": 100 * div(F.abs(plus - minus), plus + minus),
         "_esig": ema_step(F.col("macd"), 9, w, first_row=26),
     })
+    df = decayed_states(df.withColumn("_moved", F.when(F.col("_dx").isNotNull(), F.lit(1.0))), {
+        "_s_dx": ("_dx", d14), "_n_dx": ("_moved", d14), "_s_esig": ("_esig", ema_decay(9)),
+    }, layout)
     df = df.withColumns({
-        "ADX_14": smooth("_dx", 14, first_row=15),
-        "macds": mean("_esig", 9, first_row=26),
+        "ADX_14": smooth("_s_dx", "_n_dx", 14, first_row=15),
+        "macds": from_row(34, F.col("_s_esig")),
     })
     return df.withColumn("macdh", F.col("macd") - F.col("macds"))
 
@@ -207,8 +217,8 @@ def rolling_volatility(bars: DataFrame, layout: Layout = Layout(), n: int = 20)
 def recursive_features(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Bars plus the exponential means and the indicators built on them."""
     w = Layout.window()
-    df = _base(layout.spread(bars, before=STATE_BEFORE), w)
-    return Layout.core(_drop_base(_states(df, w, layout, STATE_BEFORE)).drop("hlc3", "log_returns"))
+    df = _base(layout.spread(bars, before=SEED_BEFORE), w)
+    return Layout.core(_drop_base(_states(df, w, layout)).drop("hlc3", "log_returns"))
 
 
 def on_balance_volume(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
@@ -222,13 +232,13 @@ def on_balance_volume(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
 
 def engineer_features(bars: DataFrame, layout: Layout = Layout(), adx: bool = True) -> DataFrame:
-    """The technical feature table: one exchange on (ticker, chunk) for all of it.
+    """The technical feature table: one layout on (ticker, chunk) for all of it, beside the end states of chunks.
 
     ``adx=False`` puts the neutral value 20 in ``ADX_14``.
     """
     w = Layout.window()
-    df = _base(layout.spread(bars, before=STATE_BEFORE), w)
-    df = _drop_base(_states(_rolling(df, w), w, layout, STATE_BEFORE))
+    df = _base(layout.spread(bars, before=ROLLING_BEFORE), w)
+    df = _drop_base(_states(_rolling(df, w), w, layout))
     if not adx:
         df = df.withColumn("ADX_14", F.lit(20.0))
     return interactions(Layout.core(df))
@@ -300,10 +310,9 @@ def market_structure_features(bars: DataFrame, layout: Layout = Layout()) -> Dat
 
 
 def debug_emas(bars: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """Normalised exponential means of span 12 and 26."""
-    w = Layout.window()
-    df = layout.spread(bars, before=STATE_BEFORE)
-    return Layout.core(df.withColumns({
-        "ema_12": adjusted_ema(F.col("close"), 12, w, layout, STATE_BEFORE),
-        "ema_26": adjusted_ema(F.col("close"), 26, w, layout, STATE_BEFORE),
-    }))
+    """Exponential means of span 12 and 26 with weights normalised over the rows seen so far."""
+    df = layout.spread(bars).withColumn("_one", F.when(F.col("close").isNotNull(), F.lit(1.0)))
+    df = decayed_states(df, {
+        **{f"_s{n}": ("close", ema_decay(n)) for n in (12, 26)}, **{f"_n{n}": ("_one", ema_decay(n)) for n in (12, 26)},
+    }, layout)
+    return Layout.core(_drop_base(df.withColumns({f"ema_{n}": div(F.col(f"_s{n}"), F.col(f"_n{n}")) for n in (12, 26)})))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import ROW, clip, div
+from tickloom.functions.series import ROW, clip, div, memory_rows
 from tickloom.settings import Settings
 
 KEYS = ("ticker", "fold")
@@ -147,27 +147,25 @@ def adaptive_thresholds(df: DataFrame, s: Settings = Settings(), z: str = "vol_z
 def smoothed_thresholds(df: DataFrame, keys: Sequence[str] = KEYS, s: Settings = Settings()) -> DataFrame:
     """Exponential smoothing of the thresholds from fold to fold, started at the defaults.
 
-    A weighted running sum over the folds of a ticker; there are at most ``n_splits`` of them.
+    Folds further back than a weight below the last bit of a double are left out of each sum.
     In long-only mode the sell side is not carried over, so it starts from the default each time.
     """
     alpha = min(1.0, max(0.05, s.smoothing))
     series = [k for k in keys if k != "fold"]
     order = Window.partitionBy(*series).orderBy("fold")
-    past = order.rowsBetween(Window.unboundedPreceding, 0)
     keep = 1 - alpha
     if keep <= 0:
         return df.withColumns({"smooth_buy": F.col("adaptive_buy"), "smooth_sell": F.col("adaptive_sell")})
-    df = df.withColumn("_k", F.row_number().over(order).cast("double"))
+    past = order.rowsBetween(-memory_rows(keep), 0)
 
     def smooth(c: str, start: float) -> Column:
-        total = F.sum(alpha * F.col(c) * F.pow(F.lit(keep), -F.col("_k"))).over(past)
-        return F.pow(F.lit(keep), F.col("_k")) * (total + start)
+        return F.aggregate(F.collect_list(c).over(past), F.lit(start), lambda state, x: alpha * x + keep * state)
 
     sell = (
         smooth("adaptive_sell", s.default_sell) if s.trading_mode == "long_short"
         else alpha * F.col("adaptive_sell") + keep * s.default_sell
     )
-    return df.withColumns({"smooth_buy": smooth("adaptive_buy", s.default_buy), "smooth_sell": sell}).drop("_k")
+    return df.withColumns({"smooth_buy": smooth("adaptive_buy", s.default_buy), "smooth_sell": sell})
 
 
 def clamped_threshold(df: DataFrame, s: Settings = Settings(), c: str = "smooth_buy", out: str = "final_buy") -> DataFrame:

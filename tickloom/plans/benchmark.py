@@ -72,7 +72,8 @@ class Benchmark:
 
     def runs(self) -> DataFrame:
         """One row per (candidate, encoder, seed, ticker) with the score of the run."""
-        flat = backtest.cross_fold_metrics(self.fold_results(), RUN).withColumns({
+        # A run without a valid fold has nothing to score or to log.
+        flat = backtest.cross_fold_metrics(self.fold_results(), RUN).filter("n_folds_valid > 0").withColumns({
             "cv_folds_valid": F.col("n_folds_valid"), "cv_folds_configured": F.col("n_folds_configured"),
         })
         return selection.score_runs(flat.withColumn("run_number", F.col("seed").cast("long")))

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
-from functools import cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import Layout, div
 from tickloom.operators import folds, indicators, labels
-from tickloom.sources.bars import bars_from_trades, daily_index, numbered, with_index
-from tickloom.settings import Settings
-from tickloom.sources.stages import Stages, files_key
+from tickloom.sources.bars import bars_from_trades, daily_index, lookback, numbered, packed, with_index
+from tickloom.settings import LOOKBACK_DAYS, Settings
+from tickloom.sources.stages import STAGE_VERSION, Stages, files_key
 
 # Features of the score below; the label stage keeps the rows that have them all.
 KEPT = ("ticker", "date", "rn", "open", "high", "low", "close", "volume", "vix_close", "volatility_20")
 SCORED = ("price_to_sma20", "distance_to_ma200")
 MODEL_FEATURES = ("volatility_20", *SCORED)
-ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+# Digits of the columns that order the line items of a day; the price is in cents.
+ORDER = {"l_orderkey": 11, "l_linenumber": 1, "l_partkey": 10, "l_suppkey": 8, "cents": 8}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +34,8 @@ def trade_bars(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> Data
         lines = lines.join(part, lines.l_partkey == part.p_partkey)
         ticker = F.col("p_brand")
     price = 100 * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    return bars_from_trades(lines, ticker, F.to_date("l_shipdate"), price, F.col("l_quantity"), ORDER)
+    lines = lines.withColumn("cents", F.round(100 * F.col("l_extendedprice")).cast("long"))
+    return bars_from_trades(lines, ticker, F.to_date("l_shipdate"), price, F.col("l_quantity"), packed(ORDER))
 
 
 def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,30 +48,31 @@ def bars(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> DataFrame:
     return with_index(trade_bars(spark, sf_dir, by_brand), order_index(spark, sf_dir))
 
 
-@cache
-def code_key() -> str:
-    """Key of the definitions, so that a changed operator never reads an older stage table."""
-    sources = sorted(Path(__file__).parent.parent.rglob("*.py"))
-    return hashlib.sha1(b"".join(p.read_bytes() for p in sources)).hexdigest()
-
-
 class Market:
-    """The market, feature and label stages of one data folder."""
+    """The market, feature and label stages of one data folder.
+
+    With ``as_of`` only the bars of the last ``days`` days up to it are read.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, by_brand: bool = False, layout: Layout = Layout(),
-                 root: str | None = None):
+                 root: str | None = None, as_of: str | None = None, days: int = LOOKBACK_DAYS):
         self.spark, self.sf_dir, self.by_brand, self.layout = spark, sf_dir, by_brand, layout
+        self.as_of, self.days = as_of, days
         self.stages = Stages(spark, root)
         names = ["lineitem", "orders"] + (["part"] if by_brand else [])
         self._inputs = files_key(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in names])
 
     def payload(self, **more) -> dict:
-        return {"code": code_key(), "inputs": self._inputs, "by_brand": self.by_brand,
-                "chunk_rows": self.layout.chunk_rows, **more}
+        return {"version": STAGE_VERSION, "inputs": self._inputs, "by_brand": self.by_brand,
+                "chunk_rows": self.layout.chunk_rows, "as_of": self.as_of, "days": self.days, **more}
 
     def bars(self) -> DataFrame:
         """Numbered bars with the index and the carried-forward index."""
-        raw = self.stages.table("bars", self.payload(), lambda: bars(self.spark, self.sf_dir, self.by_brand))
+        def read() -> DataFrame:
+            found = bars(self.spark, self.sf_dir, self.by_brand)
+            return lookback(found, self.as_of, self.days) if self.as_of else found
+
+        raw = self.stages.table("bars", self.payload(), read)
         return self.stages.table("market", self.payload(), lambda: numbered(raw))
 
     def features(self) -> DataFrame:
@@ -104,7 +104,7 @@ class Market:
         s = Settings()
 
         def build() -> DataFrame:
-            members = folds.robust_scale(self.members(s), SCORED, "_scaled")
+            members = folds.robust_scale(folds.usable(self.members(s), s), SCORED, "_scaled")
             return score(folds.validation_rows(members))
 
         return self.stages.table("predictions", self.payload(settings=repr(s)), build)

@@ -18,7 +18,7 @@ def rs(names: str, digits: int = 6) -> str:
     return ", ".join(r(n, digits=digits) for n in names.split())
 
 
-def bars_cte(by_brand: bool = False) -> str:
+def bars_cte(by_brand: bool = False, days: str = "true", name: str = "bars") -> str:
     ticker = "p_brand" if by_brand else "l_returnflag || l_linestatus"
     join = "JOIN part ON l_partkey = p_partkey" if by_brand else ""
     return f"""
@@ -27,9 +27,9 @@ trades AS (SELECT {ticker} AS ticker, CAST(l_shipdate AS DATE) AS date, l_quanti
   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place
   FROM lineitem {join}),
 daily AS (SELECT ticker, date, arg_min(price, place) AS open, max(price) AS high, min(price) AS low,
-  arg_max(price, place) AS close, sum(quantity) AS volume FROM trades GROUP BY ticker, date),
+  arg_max(price, place) AS close, sum(quantity) AS volume FROM trades WHERE {days} GROUP BY ticker, date),
 idx AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 10000 AS vix_close FROM orders GROUP BY 1),
-bars AS MATERIALIZED (SELECT d.*, vix_close, row_number() OVER w AS rn,
+{name} AS MATERIALIZED (SELECT d.*, vix_close, row_number() OVER w AS rn,
   last_value(vix_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS vix_filled
   FROM daily d LEFT JOIN idx USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
 
@@ -146,14 +146,14 @@ labelled AS MATERIALIZED (SELECT ticker, date, rn AS bar_rn, row_number() OVER (
 
 FOLDS = """
 ranges AS (SELECT ticker, CAST(i + 1 AS INTEGER) AS fold, i * 120 AS train_lo, i * 120 + 400 AS train_hi, i * 120 + 400 AS test_lo,
-  least(total, i * 120 + 520) AS test_hi FROM (SELECT DISTINCT ticker, total FROM labelled), range(12) t(i)
+  least(total, i * 120 + 520) AS test_hi FROM (SELECT ticker, total, unnest(range(total // 120 + 1)) AS i FROM (SELECT DISTINCT ticker, total FROM labelled))
   WHERE least(total, i * 120 + 520) - (i * 120 + 400) >= 60),
 members AS MATERIALIZED (SELECT l.*, fold, CASE WHEN l.rn - 1 < train_hi THEN 'train' ELSE 'val' END AS role
   FROM labelled l JOIN ranges g ON l.ticker = g.ticker AND l.rn - 1 >= train_lo AND l.rn - 1 < test_hi)"""
 
 PURGED = """
 ranges AS (SELECT ticker, CAST(i AS INTEGER) AS fold, 0 AS train_lo, i * 120 + 232 AS train_hi, i * 120 + 252 AS test_lo,
-  least(total, i * 120 + 372) AS test_hi FROM (SELECT DISTINCT ticker, total FROM labelled), range(12) t(i)
+  least(total, i * 120 + 372) AS test_hi FROM (SELECT ticker, total, unnest(range(total // 120 + 1)) AS i FROM (SELECT DISTINCT ticker, total FROM labelled))
   WHERE least(total, i * 120 + 372) > i * 120 + 252 AND i * 120 + 232 >= 252),
 members AS MATERIALIZED (SELECT l.*, fold, CASE WHEN l.rn - 1 < train_hi THEN 'train' ELSE 'val' END AS role
   FROM labelled l JOIN ranges g ON l.ticker = g.ticker
@@ -164,7 +164,8 @@ SCORES = """
 fits AS (SELECT ticker, fold, quantile_cont(CASE WHEN role = 'train' THEN price_to_sma20 END, [0.25, 0.5, 0.75]) AS qs,
   quantile_cont(CASE WHEN role = 'train' THEN distance_to_ma200 END, [0.25, 0.5, 0.75]) AS qd,
   avg(CASE WHEN role = 'train' THEN volatility_20 END) AS tvm, stddev_pop(CASE WHEN role = 'train' THEN volatility_20 END) AS tvs,
-  count(*) FILTER (role = 'train') AS n_train FROM members GROUP BY ticker, fold),
+  count(*) FILTER (role = 'train') AS n_train FROM members GROUP BY ticker, fold
+  HAVING count(*) FILTER (role = 'train') >= 252 AND count(*) FILTER (role = 'val') >= 60 AND count(DISTINCT CASE WHEN role = 'val' THEN target END) = 2),
 scaled AS MATERIALIZED (SELECT m.*, (price_to_sma20 - qs[2]) / (qs[3] - qs[1]) AS s1, (distance_to_ma200 - qd[2]) / (qd[3] - qd[1]) AS s2,
   tvm, tvs, n_train FROM members m JOIN fits USING (ticker, fold)),
 preds AS MATERIALIZED (SELECT *, coalesce(lead(close) OVER (PARTITION BY ticker, fold ORDER BY rn) / close - 1, 0) AS ret,
@@ -267,13 +268,13 @@ def cross_cte(extra: str = "") -> str:
     parts = [f"avg({c}) AS {n}" for c, n in averages.items()] + [f"stddev_samp({c}) AS {n}" for c, n in spreads.items()]
     return f"""
 configured AS (SELECT {k}, count(*) AS n_folds_configured FROM results GROUP BY {k}),
-runs AS MATERIALIZED (SELECT {k}, count(*) AS n_folds_valid, any_value(n_folds_configured) AS n_folds_configured,
-  any_value(n_folds_configured) - count(*) AS n_folds_skipped, count(*) / any_value(n_folds_configured) AS coverage_ratio, {', '.join(parts)},
+runs AS MATERIALIZED (SELECT {k}, count(fold) AS n_folds_valid, any_value(n_folds_configured) AS n_folds_configured,
+  any_value(n_folds_configured) - count(fold) AS n_folds_skipped, count(fold) / any_value(n_folds_configured) AS coverage_ratio, {', '.join(parts)},
   sum(fold_total_return) AS total_return, sum(net_return) AS net_return, sum(turnover) AS turnover,
   sum(raw_buy_candidates)::BIGINT AS n_long_signals_raw, sum(fold_trades)::BIGINT AS n_long_signals_post_filters, sum(n_val)::BIGINT AS test_size,
   min(fold_trades) AS min_fold_trades, median(fold_trades) AS median_fold_trades, min(auc) AS worst_fold_auc, min(aucpr) AS worst_fold_aucpr,
   max(n_train) AS train_size, coalesce(sum(winning_days) / nullif(sum(fold_trades), 0), 0) AS win_rate
-  FROM results JOIN configured USING ({k}) WHERE reason IS NULL GROUP BY {k})"""
+  FROM configured LEFT JOIN (SELECT * FROM results WHERE reason IS NULL) USING ({k}) GROUP BY {k}{' HAVING count(fold) > 0' if extra else ''})"""
 
 
 def sql(*ctes: str, select: str) -> str:

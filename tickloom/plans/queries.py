@@ -269,6 +269,23 @@ for _name, _cols in STATE_GROUPS.items():
     _state_query(_name, _cols)
 _state_query("recurrences_in_small_chunks", "ema_long macds rsi_21 atr ADX_14 garch_volatility", Layout(1200))
 
+# Prices that stand still after row 300: ratios of states live on what happened before.
+STILL = f"""{o.bars_cte(name="moving")},
+bars AS MATERIALIZED (SELECT m.* REPLACE (CASE WHEN rn > 300 THEN held ELSE close END AS close, CASE WHEN rn > 300 THEN held ELSE high END AS high,
+  CASE WHEN rn > 300 THEN held ELSE low END AS low) FROM moving m LEFT JOIN (SELECT ticker, close AS held FROM moving WHERE rn = 300) USING (ticker))"""
+STILL_COLS = "ema_long macds rsi_14 rsi_21 DMP_14 DMN_14 ADX_14"
+
+
+def still_bars(bars: DataFrame) -> DataFrame:
+    held = bars.filter("rn = 300").select("ticker", F.col("close").alias("held"))
+    kept = {c: F.when(F.col("rn") > 300, F.col("held")).otherwise(F.col(c)) for c in ("close", "high", "low")}
+    return bars.join(held, "ticker", "left").withColumns(kept).drop("held")
+
+
+@query("recurrences_after_standstill", sql(STILL, STATES, select="SELECT ticker, date, " + ", ".join(r(f'"{c}"', f'"{c}"') for c in STILL_COLS.split()) + " FROM states"))
+def _(spark, sf):
+    return pick(indicators.recursive_features(still_bars(market(spark, sf).bars()), Layout(256)), f"ticker date {STILL_COLS}")
+
 
 @query("on_balance_volume", sql(BARS, f"t AS (SELECT *, coalesce(sign(close - {o.lag('close')}), 1) * volume AS sv FROM bars)", select=(
     f"SELECT ticker, date, {r('sum(sv) OVER (PARTITION BY ticker ORDER BY rn)', 'obv')} FROM t")))
@@ -367,6 +384,29 @@ def _(spark, sf):
     return folds.fold_table(_counts(spark, sf), scheme="purged")
 
 
+@query("rows_after_folds", sql(*TO_FOLDS, select="""SELECT l.ticker, any_value(total) AS n_rows, count(fold) AS n_folds,
+  any_value(total) - coalesce(max(test_hi), 0) AS rows_after FROM (SELECT DISTINCT ticker, total FROM labelled) l LEFT JOIN ranges USING (ticker) GROUP BY l.ticker"""))
+def _(spark, sf):
+    return folds.rows_after_folds(market(spark, sf).labelled())
+
+
+@query("rows_after_folds_purged", sql(*TO_LABELS, o.LABELLED, o.PURGED, select="""SELECT l.ticker, any_value(total) AS n_rows, count(fold) AS n_folds,
+  any_value(total) - coalesce(max(test_hi), 0) AS rows_after FROM (SELECT DISTINCT ticker, total FROM labelled) l LEFT JOIN ranges USING (ticker) GROUP BY l.ticker"""))
+def _(spark, sf):
+    return folds.rows_after_folds(market(spark, sf).labelled(), scheme="purged")
+
+
+AS_OF, AS_OF_DAYS = "2000-06-30", 1460
+
+
+@query("fold_ranges_of_lookback", sql(
+    o.bars_cte(days=f"date BETWEEN DATE '{AS_OF}' - {AS_OF_DAYS} AND DATE '{AS_OF}'"), ROLL, BARRIERS, o.LABELLED, o.FOLDS,
+    select=f"SELECT {RANGE} FROM ranges"))
+def _(spark, sf):
+    recent = mk.Market(spark, sf, root=stage_root, as_of=AS_OF, days=AS_OF_DAYS)
+    return folds.fold_table(recent.labelled().groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 @query("fold_members_sliding", sql(*TO_FOLDS, select="SELECT ticker, fold, role, date, rn FROM members"))
 def _(spark, sf):
     return market(spark, sf).members().select("ticker", "fold", "role", "date", "rn")
@@ -600,7 +640,7 @@ def _(spark, sf):
 
 @query("volatility_regime_rows", sql(*TO_PREDS, select="SELECT ticker, fold, role, date, (volatility_20 - tvm) / (tvs + 1e-9) > 1.0 AS high_vol FROM scaled"))
 def _(spark, sf):
-    return evaluation.high_volatility(market(spark, sf).members()).select("ticker", "fold", "role", "date", "high_vol")
+    return evaluation.high_volatility(folds.usable(market(spark, sf).members())).select("ticker", "fold", "role", "date", "high_vol")
 
 
 @query("expected_values", sql(*TO_RESULTS, select=f"SELECT ticker, fold, date, {r('ev', 'expected_value')} FROM costs"))

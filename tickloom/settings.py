@@ -47,7 +47,7 @@ PROFILE_THRESHOLD = {"conservative": 0.68, "balanced": 0.62, "aggressive": 0.55}
 @dataclass(frozen=True)
 class Settings:
     # walk-forward folds, counted in labelled rows
-    n_splits: int = 12
+    n_splits: int | None = None  # as many as the rows give, unless limited here
     train_rows: int = 400
     val_rows: int = 120
     min_train: int = 252

@@ -49,16 +49,17 @@ def read_bars(
 
 
 def bars_from_trades(
-    trades: DataFrame, ticker: Column, day: Column, price: Column, volume: Column, order: list[str]
+    trades: DataFrame, ticker: Column, day: Column, price: Column, volume: Column, order: Column
 ) -> DataFrame:
     """Daily bars of trade rows.
 
     Aggregates are combined on the map side, so a ticker or a day with most of
-    the rows still sends one partial row per input partition into the shuffle.
+    the rows still sends one partial row per input partition into the shuffle.  ``order`` says
+    which trade of a day is first; give it as one number (see ``packed``), since only values of
+    fixed width are combined by hash, without a sort of all trades.
     """
-    moment = F.struct(*order)
     return (
-        trades.select(ticker.alias(KEY), day.alias(TIME), price.alias("price"), volume.alias("volume"), moment.alias("moment"))
+        trades.select(ticker.alias(KEY), day.alias(TIME), price.alias("price"), volume.alias("volume"), order.alias("moment"))
         .groupBy(KEY, TIME)
         .agg(
             F.min_by("price", "moment").alias("open"),
@@ -70,6 +71,20 @@ def bars_from_trades(
     )
 
 
+def packed(digits: dict[str, int]) -> Column:
+    """One number that is ordered as the whole, non-negative columns are, in the order given.
+
+    Each column takes its stated count of decimal digits, 38 in all; a larger value is an error.
+    """
+    if sum(digits.values()) > 38:
+        raise ValueError("a packed number has at most 38 digits")
+    parts = [
+        F.lpad(F.when(F.length(F.col(c).cast("string")) <= n, F.col(c).cast("string")).otherwise(F.raise_error(F.lit(f"{c} has more than {n} digits"))), n, "0")
+        for c, n in digits.items()
+    ]
+    return F.concat(*parts).cast("decimal(38,0)")
+
+
 def daily_index(rows: DataFrame, day: Column, value: Column, name: str = "vix_close") -> DataFrame:
     return rows.groupBy(day.alias(TIME)).agg(value.alias(name))
 

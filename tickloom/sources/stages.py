@@ -5,21 +5,32 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Part of every key: raise it when an operator's results change, so that no older table is read.
+STAGE_VERSION = 2
 _local_root: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for stage tables: the one the cluster names, else a temporary one (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder for stage tables: the one that ``spark.checkpoint.dir`` names.
+
+    Without it only a local master, whose driver is the one machine there is, gets a folder of
+    its own; on a cluster every executor would write to its own disk, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/tickloom"
-    app = spark.sparkContext.applicationId
-    return _local_root.setdefault(app, tempfile.mkdtemp(prefix="tickloom-"))
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("name a shared folder: set spark.checkpoint.dir or pass a root for stage tables")
+    if context.applicationId not in _local_root:
+        _local_root[context.applicationId] = tempfile.mkdtemp(prefix="tickloom-")
+    return _local_root[context.applicationId]
 
 
 def payload_key(payload: dict) -> str:
@@ -71,11 +82,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def publish(spark: SparkSession, made: str, path: str) -> None:
+    """Renames a finished table to its place; of two drivers that made the same one, the first stays."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not exists(spark, path) and not files.rename(to_path(made), to_path(path)) and not exists(spark, path):
+        raise OSError(f"cannot move {made} to {path}")
+
+
 class Stages:
     """Tables written once per content key and read back.
 
     A written table also cuts the lineage: losing an executor later repeats the
-    work after it only, and its readers scan just the columns they need.
+    work after it only, and its readers scan just the columns they need.  Tables are kept
+    until someone removes the root; one whose key no longer occurs is never read again.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -86,5 +106,7 @@ class Stages:
     ) -> DataFrame:
         path = f"{self.root}/{stage}/{payload_key(payload)}"
         if not exists(self.spark, path):
-            build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            made = f"{self.root}/{stage}/making-{uuid.uuid4().hex}"
+            build().write.partitionBy(*partition_by).parquet(made)
+            publish(self.spark, made, path)
         return self.spark.read.parquet(path)
