@@ -82,21 +82,59 @@ def test_a_signature_does_not_depend_on_its_batch():
     assert all((nd.signatures([b])[0] == together[k]).all() for k, b in enumerate(bags))
 
 
-def test_buckets_in_which_the_smallest_is_no_link(spark):
-    # 2-3 are alike, 1 shares their bucket but no link: only the second round can join them.
+def cells_of(spark, star, classes, **limits):
+    ids = sorted({i for pair in star for i in pair})
+    return nd._cells(
+        spark.createDataFrame([(a, b, 10) for a, b in star], "a long, b long, size long"),
+        spark.createDataFrame([(i, 10) for i in ids], "id long, size long"), spark.createDataFrame(classes, "id long, class long"))
+
+
+def test_texts_that_the_leader_does_not_join(spark):
+    # 2-3 are alike, 1 leads their bucket but is near neither: only the second round can join them.
     a = [f"w{k}" for k in range(200)]
     near = a[:170] + [f"x{k}" for k in range(30)]
     texts = [(1, " ".join(a)), (2, " ".join(near)), (3, " ".join(near[:199] + ["y"]))]
-    buckets = spark.createDataFrame([(i, 0, 9) for i, _ in texts], "id long, band int, key long")
-    star = nd._star(buckets)
-    assert sorted(map(tuple, star.collect())) == [(1, 2), (1, 3)]
     docs = spark.createDataFrame(texts, "id long, text string")
-    links = nd._verified(star, docs)
-    assert links.count() == 0
-    classes = nd.components(docs.select("id"), links)
-    between = nd._between(buckets, classes, star)
-    assert [tuple(r) for r in between.collect()] == [(2, 3)]
-    assert [tuple(r) for r in nd._verified(between, docs).collect()] == [(2, 3)]
+    shared = nd._shared(spark.createDataFrame([(i, 10, 0, 9) for i, _ in texts], "id long, size long, band int, key long"))
+    star = nd._star(shared)
+    assert sorted((r["a"], r["b"]) for r in star.collect()) == [(1, 2), (1, 3)]
+    assert nd._verified(star.select("a", "b"), docs).count() == 0
+    cells = cells_of(spark, [(1, 2), (1, 3)], [(1, 1), (2, 2), (3, 3)])
+    assert [tuple(r) for r in nd._links_in_cells(cells, docs).distinct().collect()] == [(2, 3)]
+
+
+def test_cells_hold_every_pair_outside_the_largest_class(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CELL_TEXTS", 8)
+    classes = [(k, 0 if k < 60 else k - k % 3) for k in range(110)]
+    label = dict(classes)
+    star = [(0, k) for k in range(1, 110)] + [(200, 201), (200, 202)] + [(300, 301)]
+    classes += [(200, 200), (201, 200), (202, 202), (300, 300), (301, 300)]
+    rows = cells_of(spark, star, classes).collect()
+    held = {}
+    for r in rows:
+        held.setdefault((r["a"], r["cell"]), set()).add(r["id"])
+    assert max(map(len, held.values())) < 50 and 300 not in {a for a, _ in held}
+    pairs = {(x, y) for ids in held.values() for x in ids for y in ids if x < y}
+    assert all((x, y) in pairs for x in range(110) for y in range(x + 1, 110) if label[x] or label[y])
+    assert {(200, 201), (200, 202), (201, 202)} <= pairs
+
+
+def test_shared_shingles_equal_counters():
+    texts = ["", "a b c d e f g", "a b c d e " * 30, "a b c d e f " * 7, "x", "a b c d e f g h i j"]
+    got, sizes = nd.shared_shingles([nd.bag(np.frombuffer(t.encode(), np.uint8)) for t in texts], columns=3)
+    for i, t in enumerate(texts):
+        assert sizes[i] == sum(bag(t).values())
+        for j, u in enumerate(texts):
+            assert i == j or got[i, j] == sum((bag(t) & bag(u)).values())
+
+
+def test_a_large_group_whose_members_are_near_the_centre_only(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CELL_TEXTS", 6)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(edited(base, rng.choice([0.01, 0.02, 0.04, 0.05]), rng))) for k in range(1, 90)] + [(0, " ".join(base))]
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
 
 
 def test_components_of_a_long_path(spark):

@@ -9,9 +9,10 @@ sum(min) / sum(max) of their weights, their weighted Jaccard likeness.  Only poi
 register can matter: nearly all shingles of a text draw one number and are done.
 
 Texts that are equal byte for byte are one text from the start.  Bands of equal registers make buckets.
-In a bucket every text is compared with the bucket's smallest; buckets whose texts are then not yet in
-one class compare the texts outside their largest class with all others.  So no bucket emits all of its
-pairs, and no pair of a bucket that could join two classes stays untested.
+In a bucket every text is compared with the bucket's leader.  Where the texts around a leader are then not
+yet one class, those outside the largest class are compared with all others, in cells of bounded size that
+hold two blocks of texts each.  So no bucket emits its pairs, no task holds a whole group, and no pair of a
+bucket that could join two classes stays untested.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 6 registers: a pair at 0.8 shares a bucket with probability 0.99994, one at 0.4 with 0.12.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
+#: Texts and bytes of a block; a cell holds two.
+CELL_TEXTS, CELL_BYTES = 128, 16 << 20
 _LEVEL, _STEP = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xDB4F0B9175AE2165)
 
 
@@ -112,7 +115,7 @@ def band_keys(kept: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signed(source: DataFrame) -> DataFrame:
-    """(id, digest, bands) of every text; a text without words has no bands."""
+    """(id, digest, size, bands) of every text; a text without words has no bands."""
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +129,10 @@ def _signed(source: DataFrame) -> DataFrame:
                 sizes[1:][filled] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(keys.reshape(-1)))
                 part = whole.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "digest", "bands"])
+                bytes_of = pa.array(np.diff(offsets[a:b + 1]), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bytes_of, lists], ["id", "digest", "size", "bands"])
 
-    return source.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest string, bands array<long>")
+    return source.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest string, size long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -182,25 +186,109 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.coalesce("label", "id").alias("class"))
 
 
-def _star(buckets: DataFrame) -> DataFrame:
-    """Each bucket's smallest text paired with every other."""
-    heads = buckets.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "key", "a")
-    return buckets.join(heads, ["band", "key"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _shared(buckets: DataFrame) -> DataFrame:
+    """(band, key, id, size, leader) of the buckets with more than one text.
 
+    The leader is the text that meets the most others over all bands: the centre of a group of copies is
+    near more of them than one of its rims, and it leads in most bands, so pairs repeat.
+    """
+    counts = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = table(buckets.join(counts, ["band", "key"]), "shared")
+    score = met.groupBy("id").agg(F.sum("n").alias("score"))
+    leaders = met.join(score, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("leader"))
+    return met.select("band", "key", "id", "size").join(leaders, ["band", "key"])
+
+
+def _star(shared: DataFrame) -> DataFrame:
+    """Each bucket's leader `a` paired with every other text `b` of it, with the size of `b`."""
+    return shared.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size"))
+
+
+def _cells(star: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, cell, id, class): the texts that must still be compared, dealt into cells of bounded size.
 
-def _between(buckets: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of texts in one bucket and in different classes."""
-    named = buckets.join(classes, "id").select("band", "key", "id", "class")
-    # Counts are per bucket and class, so a class that fills a bucket is summed before it is sent.
-    sizes = named.groupBy("band", "key", "class").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band", "key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes"))
-    mixed = named.join(main.filter("classes > 1").select("band", "key", "main"), ["band", "key"])
-    # Written, since both sides of the join read it.
-    mixed = table(mixed, "mixed")
-    minor = mixed.filter(F.col("class") != F.col("main")).select("band", "key", F.col("id").alias("x"), F.col("class").alias("x_class"))
-    pairs = minor.join(mixed, ["band", "key"]).filter(F.col("x_class") != F.col("class"))
-    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    Everything that shares a bucket with the leader `a` of that bucket is in the star of `a`, so a star holds
+    all pairs of its buckets.  In a star of several classes the largest class is cut into blocks, the
+    rest is cut into blocks, and a cell is a block of the rest beside one block of either kind: all
+    pairs but those inside the largest class, which are joined already, lie in some cell.
+    """
+    heads = star.select("a").distinct().join(sizes, F.col("a") == F.col("id")).select("a", "id", "size")
+    members = star.select("a", F.col("b").alias("id"), "size").unionByName(heads).join(classes, "id")
+    per_class = members.groupBy("a", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    per_star = per_class.groupBy("a").agg(
+        F.max_by("class", F.struct("n", "class")).alias("main"), F.max(F.struct("n", "class", "bytes")).alias("top"),
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes"),
+    ).filter("classes > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / CELL_TEXTS), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
+    cuts = per_star.select(
+        "a", "main", blocks(F.col("top.n"), F.col("top.bytes")).alias("mains"),
+        blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rests"))
+    dealt = members.join(cuts, "a")
+    is_main = F.col("class") == F.col("main")
+    mine = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    beside_main = F.transform(every(F.col("rests")), lambda k: cell(0, F.col("mine"), k))
+    beside_rest = F.concat(
+        F.transform(every(F.col("mains")), lambda k: cell(0, k, F.col("mine"))),
+        # Two blocks of the rest; one alone is compared in every cell that it is in.
+        F.transform(F.filter(every(F.col("rests")), lambda k: k != F.col("mine")), lambda k: cell(1, F.least(k, F.col("mine")), F.greatest(k, F.col("mine")))))
+    placed = dealt.withColumn("mine", mine).withColumn("is_main", is_main)
+    return placed.select("a", F.explode(F.when(F.col("is_main"), beside_main).otherwise(beside_rest)).alias("cell"), "id", "class")
+
+
+def _links_in_cells(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join classes, found by comparing all texts of a cell at once.
+
+    Shared shingles are counted by a matrix product over those that occur in two texts or more; of the
+    links between the same classes one is returned, which joins them just as well.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    own = texts.select(F.col("id").alias("__id"), "text")
+    filled = cells.join(own, F.col("id") == F.col("__id")).select("a", "cell", "id", "class", "text")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, labels = frame["id"].to_numpy(), frame["class"].to_numpy()
+        shared, sizes = shared_shingles([bag(np.frombuffer(t.encode(), np.uint8)) for t in frame["text"]])
+        near = (shared >= THRESHOLD * (sizes[:, None] + sizes[None, :] - shared)) & (labels[:, None] < labels[None, :])
+        x, y = np.nonzero(near)
+        top = {c: c for c in labels.tolist()}
+
+        def find(c: int) -> int:
+            while top[c] != c:
+                c = top[c]
+            return c
+
+        kept = []
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = find(labels[i]), find(labels[j])
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                kept.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return filled.groupBy("a", "cell").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def shared_shingles(bags: list[tuple[np.ndarray, np.ndarray]], columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """(multiset overlap of every two bags, size of every bag)."""
+    sizes = np.array([int(n.sum()) for _, n in bags])
+    row = np.repeat(np.arange(len(bags)), sizes)
+    # The second, third ... of equal shingles are shingles of their own, so overlaps of counts are overlaps of sets.
+    numbers = np.concatenate([np.repeat(s, n) for s, n in bags]) if bags else np.zeros(0, np.uint64)
+    turns = [np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) for _, n in bags]
+    numbers = numbers + np.concatenate(turns).astype(np.uint64) * _STEP if bags else numbers
+    _, at, often = np.unique(numbers, return_inverse=True, return_counts=True)
+    keep = often[at] > 1
+    rank = np.cumsum(often > 1) - 1
+    row, at = row[keep], rank[at[keep]]
+    shared = np.zeros((len(bags), len(bags)))
+    for start in range(0, int((often > 1).sum()), columns):
+        part = (at >= start) & (at < start + columns)
+        held = np.zeros((len(bags), columns), np.float32)
+        held[row[part], at[part] - start] = 1
+        shared += held @ held.T
+    return shared, sizes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,19 +306,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = table(_signed(source), "signed")
     known = signed.filter(F.col("id").isNotNull())
     # Copies are put together before anything is shuffled on: one row per text and task leaves the scan.
-    groups = table(known.groupBy("digest").agg(F.min("id").alias("text_id"), F.first("bands").alias("bands")), "texts")
-    buckets = table(groups.select(F.col("text_id").alias("id"), F.posexplode("bands").alias("band", "key")), "buckets")
-    star = table(_star(buckets), "star")
+    groups = table(known.groupBy("digest").agg(F.min("id").alias("text_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
+    buckets = groups.select(F.col("text_id").alias("id"), "size", F.posexplode("bands").alias("band", "key"))
+    star = table(_star(_shared(buckets)), "star")
     touched = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
     wanted = groups.join(touched, groups["text_id"] == touched["id"], "left_semi").select(F.col("text_id").alias("__id"), F.col("digest").alias("__digest"))
     texts = source.join(wanted, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest"))).select("id", "digest", "text")
     texts = table(texts.dropDuplicates(["id", "digest"]).select("id", "text"), "candidates")
-    links = table(_verified(star, texts), "links")
+    links = table(_verified(star.select("a", "b"), texts), "links")
     nodes = texts.select("id")
     classes = table(components(nodes, links), "classes")
-    more = table(_between(buckets.join(nodes, "id", "left_semi"), classes, star), "between")
-    if more.head(1):
-        found = table(_verified(more, texts), "links")
+    sizes = groups.groupBy(F.col("text_id").alias("id")).agg(F.max("size").alias("size"))
+    cells = table(_cells(star, sizes, classes), "cells")
+    if cells.head(1):
+        found = table(_links_in_cells(cells, texts), "links")
         if found.head(1):
             classes = table(components(nodes, links.union(found)), "classes")
     of_text = groups.select("digest", "text_id").join(classes.select(F.col("id").alias("__id"), "class"), F.col("text_id") == F.col("__id"), "left")
