@@ -149,16 +149,20 @@ def eliminate_features(rows: DataFrame, features: Sequence[str], keep: int = 12,
 
 # --- synthetic minority rows -------------------------------------------------------------------
 
-def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Indices in ``y`` of the ``k`` nearest rows of each row of ``x``, itself left out."""
-    d = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-    d[d <= 0] = np.inf
-    return np.argsort(d, axis=1, kind="stable")[:, :k]
-
-
-def _between(x: np.ndarray, peers: np.ndarray, base: np.ndarray, k: int, rng) -> np.ndarray:
-    near = _nearest(x, peers, k)
-    picked = peers[near[base, rng.integers(0, near.shape[1], len(base))]]
+def _nearest(y: np.ndarray, rows: np.ndarray, k: int, block: int = 256) -> np.ndarray:
+    """Indices in ``y`` of the ``k`` nearest other rows of each of the ``rows`` of ``y``, a block of them at a time."""
+    parts = []
+    for at in range(0, len(rows), block):
+        some = rows[at:at + block]
+        d = ((y[some][:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+        d[np.arange(len(some)), some] = np.inf
+        parts.append(np.argsort(d, axis=1, kind="stable")[:, :k])
+    return np.concatenate(parts)
+
+
+def _between(x: np.ndarray, base: np.ndarray, k: int, rng) -> np.ndarray:
+    near = _nearest(x, np.arange(len(x)), k)
+    picked = x[near[base, rng.integers(0, near.shape[1], len(base))]]
     return x[base] + (picked - x[base]) * rng.random((len(base), 1))
 
 
@@ -166,8 +170,7 @@ def synthetic_minority(rows: DataFrame, features: Sequence[str], seed: int = 42)
     """Training rows plus interpolated rows of the smaller class, per (ticker, fold).
 
     More are made near rows of the other class, up to .95 of its size; when no row has such a
-    neighbour they are spread evenly up to .9.  A fold holds at most the configured number of
-    training rows, so its distances fit in one task.
+    neighbour they are spread evenly up to .9.  Distances are worked out in blocks of rows.
     """
     cols = list(features)
     schema = f"{KEY} string, fold int, {', '.join(f'`{c}` double' for c in cols)}, target double, synthetic boolean"
@@ -184,7 +187,7 @@ def synthetic_minority(rows: DataFrame, features: Sequence[str], seed: int = 42)
         rng = np.random.default_rng([seed, int(pdf["fold"].iloc[0]), *map(ord, pdf[KEY].iloc[0])])
         if k < 1:
             return pdf
-        other_share = (~mine)[_nearest(own, x, k)].mean(axis=1)
+        other_share = (~mine)[_nearest(x, np.flatnonzero(mine), k)].mean(axis=1)
         wanted = int(0.95 * large) - len(own)
         if wanted > 0 and other_share.sum() > 0:
             base = np.repeat(np.arange(len(own)), np.rint(other_share / other_share.sum() * wanted).astype(int))
@@ -192,7 +195,7 @@ def synthetic_minority(rows: DataFrame, features: Sequence[str], seed: int = 42)
             base = rng.integers(0, len(own), max(0, int(0.9 * large) - len(own)))
         if not len(base):
             return pdf
-        made = pd.DataFrame(_between(own, own, base, k, rng), columns=cols)
+        made = pd.DataFrame(_between(own, base, k, rng), columns=cols)
         made = made.assign(target=small, synthetic=True, fold=pdf["fold"].iloc[0])
         made[KEY] = pdf[KEY].iloc[0]
         return pd.concat([pdf, made], ignore_index=True)
@@ -318,7 +321,11 @@ def tune(
     seed: int = 42, fold: int = 0, stochastic: bool = False, threads: int = 4, gates: TuningGates = TuningGates(),
 ) -> tuple[BoostSetting | None, DataFrame]:
     """Fit every setting on one fold's rows (``x``, ``target``, ``role``, ``weight``, ``ret``) and
-    pick by the mean score over tickers; all settings are scored as one table."""
+    pick by the mean score over tickers; all settings are scored as one table.
+
+    A setting that fails its gates on half of the tickers or more is discarded: its mean would be
+    that of the few that it suits.
+    """
     val = rows.filter("role = 'val'")
 
     def one(item: tuple[int, BoostSetting]) -> DataFrame:
@@ -332,7 +339,9 @@ def tune(
         scored = scored.unionByName(part)
     per_ticker = candidate_scores(scored, ["candidate", KEY, "fold"], s, gates)
     summary = per_ticker.groupBy("candidate").agg(
-        F.avg(F.when(F.col("discarded").isNull(), F.col("score"))).alias("score"),
+        F.when(
+            2 * F.count_if(F.col("discarded").isNull()) > F.count(F.lit(1)), F.avg(F.when(F.col("discarded").isNull(), F.col("score"))),
+        ).alias("score"),
         F.count_if(F.col("discarded").isNotNull()).alias("n_discarded"), F.avg("auc").alias("auc"), F.avg("aucpr").alias("aucpr"),
     )
     table = [(r["candidate"], r["score"]) for r in summary.collect()]  # one row per candidate, at most 30

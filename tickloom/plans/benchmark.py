@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.series import clip, number_rows
 from tickloom.operators import backtest, runlog, selection, signals
-from tickloom.plans.market import MODEL_FEATURES, Market
+from tickloom.plans.market import Market
 from tickloom.settings import BENCHMARK_SEEDS, Settings
 
 # Id, target coverage, trade ratio floor, lowest and highest threshold,
@@ -26,7 +26,9 @@ CANDIDATE_FIELDS = (
 )
 # Weights of the two scaled features in the score, per encoder.
 ENCODERS = {"off": (0.6, 1.0), "tcn": (0.2, 1.2)}
-SEEDS = BENCHMARK_SEEDS[:3]
+SEEDS = BENCHMARK_SEEDS
+# Features that a run may use, and the correlation with the outcome below which one counts as weak.
+USED, WEAK = ("volatility_20", "price_to_sma20", "distance_to_ma200", "price_to_sma20_scaled", "distance_to_ma200_scaled"), 0.05
 RUN = ("candidate_id", "encoder_mode", "seed", "ticker")
 PERCENTS = (70.0, 72.0, 74.0)
 
@@ -79,26 +81,32 @@ class Benchmark:
         return selection.score_runs(flat.withColumn("run_number", F.col("seed").cast("long")))
 
     def records(self) -> DataFrame:
-        """Nested log records of the runs of the first seed."""
+        """Nested log records of all runs."""
         m = self.market
         return m.stages.table("run_records", m.payload(grid=1), self._records)
 
     def _records(self) -> DataFrame:
-        runs = self.runs().filter(F.col("seed") == SEEDS[0]).drop("run_number")
-        number = {c[0]: 2 * i for i, c in enumerate(CANDIDATES)}
+        runs = self.runs().drop("run_number")
+        number = {c[0]: i for i, c in enumerate(CANDIDATES)}
         setting = F.coalesce(*[F.when(F.col("candidate_id") == c, n) for c, n in number.items()])
-        runs = runs.withColumn("setting_no", setting + (F.col("encoder_mode") == "tcn").cast("int"))
-        place = F.struct("setting_no", F.substring("ticker", 1, 2))  # grows with (setting_no, ticker)
-        runs = number_rows(runs, place, keys=(), order="ticker", name="run_number")
-        grid = setting_grid(self.market.predictions()).filter(F.col("seed") == SEEDS[0])
+        seed = F.array_position(F.array(*[F.lit(x) for x in SEEDS]), F.col("seed")) - 1
+        setting = (2 * setting + (F.col("encoder_mode") == "tcn").cast("int")) * len(SEEDS) + seed
+        # Numbered by setting and ticker.  A bucket holds one setting and a range of ticker numbers, so
+        # no task sees all runs: tickers are numbered by themselves, over buckets of their first letters' codes.
+        names = runs.select("ticker").distinct()
+        names = number_rows(names, F.ascii("ticker") * 65536 + F.ascii(F.substring("ticker", 2, 1)), keys=(), order="ticker", name="ticker_no")
+        runs = runs.withColumn("setting_no", setting.cast("long")).join(names, "ticker")
+        bucket = F.col("setting_no") * 1_000_000 + F.expr("ticker_no div 1000")
+        runs = number_rows(runs, bucket, keys=(), order="ticker_no", name="run_number")
+        grid = setting_grid(self.market.predictions())
         counts = signals.signal_counts(grid, RUN)
-        base = F.array(*[F.lit(f) for f in MODEL_FEATURES])
-        latents = F.array(*[F.lit(f) for f in ("lstm_latent_0", "lstm_latent_1", "lstm_return_5d")])
-        even = F.col("run_number") % 2 == 0
-        runs = runs.join(counts, list(RUN)).withColumns({
-            "run_date": F.lit("2024-01-02").cast("date"),
-            "features_used": F.when(F.col("encoder_mode") == "tcn", F.concat(base, latents)).otherwise(base),
-            "removed_by_importance": F.when(even, F.array(F.lit("rsi"), F.lit("vix_change"))).otherwise(F.array(F.lit("rsi"))),
+        # Weak features are measured on the rows that the run would rather buy.
+        liked = grid.filter(F.col("p_raw") >= 0.5)
+        strength = liked.groupBy(*RUN).agg(*[F.round(F.abs(F.corr(f, "target")), 6).alias(f"_c_{f}") for f in USED], F.max("date").alias("run_date"))
+        weak = [F.coalesce(F.col(f"_c_{f}") < WEAK, F.lit(True)) for f in USED]
+        runs = runs.join(counts, list(RUN)).join(strength, list(RUN), "left").withColumns({
+            "features_used": F.array_compact(F.array(*[F.when(~w, F.lit(f)) for f, w in zip(USED, weak)])),
+            "removed_by_importance": F.array_compact(F.array(*[F.when(w, F.lit(f)) for f, w in zip(USED, weak)])),
             "seq_encoder": F.col("encoder_mode"),
             "notes": F.concat_ws(" ", "candidate_id", "encoder_mode"),
         })

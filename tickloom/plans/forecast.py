@@ -67,24 +67,24 @@ def calibration_of(preds: DataFrame) -> DataFrame:
 
 
 def forecast(
-    market: Market, s: Settings = Settings(), setting: models.BoostSetting = models.BoostSetting(), max_trees: int | None = 20,
+    market: Market, s: Settings = Settings(), setting: models.BoostSetting = models.BoostSetting(), max_trees: int | None = None,
     features: Sequence[str] = MODEL_FEATURES, calibration: str | None = "sigmoid", tune: int = 0, threads: int = 4, seed: int = 42,
-    regime_split: bool = False,
+    regime_split: bool = False, scheme: str = "sliding",
 ) -> Forecast:
     """Fit one panel model per fold and carry its scores through to one decision per ticker.
 
     ``tune`` tries that many settings on the first fold and reuses the choice.  Profiles other
     than conservative train on balanced classes.  ``regime_split`` fits a calm and a volatile
-    model instead of one, without calibration.  The scores of all folds are written as one
-    table, so nothing after the fits repeats them.
+    model instead of one, without calibration.  ``scheme`` is sliding or purged.  The number of
+    trees is the setting's, less where the validation rows stop improving.  The scores of all
+    folds are written as one table, so nothing after the fits repeats them.
     """
-    spark = market.spark
-    members = market.members(s)
+    members = market.members(s, scheme)
     payload = market.payload(settings=repr(s), features=list(features), setting=repr(setting), max_trees=max_trees,
-                             calibration=calibration, tune=tune, seed=seed, regime_split=regime_split)
+                             calibration=calibration, tune=tune, seed=seed, regime_split=regime_split, scheme=scheme)
     data = market.stages.table("fold_rows", payload, lambda: training_rows(members, features), ["fold"])
     names = [f"x_{f}" for f in features]
-    numbers = sorted(r["fold"] for r in data.select("fold").distinct().collect())  # at most n_splits
+    numbers = sorted(r["fold"] for r in data.select("fold").distinct().collect())  # one per fold, however many tickers
 
     def rows_of(number: int) -> DataFrame:
         return models.with_vector(data.filter(F.col("fold") == number), names)
@@ -127,12 +127,14 @@ def forecast(
 
     results = market.stages.table("model_results", payload, fold_table)
     checks = folds.skip_reasons(members, s).filter("reason is not null")
-    skipped = checks.select(KEY, "fold", "reason").unionByName(
-        results.filter("reason is not null").select(KEY, "fold", "reason")
-    )
+    unused = checks.select(KEY, "fold", "reason")
+    skipped = unused.unionByName(results.filter("reason is not null").select(KEY, "fold", "reason"))
+    # Folds that were skipped before a fit count as configured, too.
+    configured = results.unionByName(unused, allowMissingColumns=True)
+    runs = backtest.cross_fold_metrics(configured).join(backtest.calibration_summary(results), KEY, "left")
     last = recommendation.latest_bar(market.features())
     future = recommendation.latest_fold_probability(preds, last, "p_model")
     return Forecast(
-        preds, results, skipped, backtest.cross_fold_metrics(results).join(backtest.calibration_summary(results), KEY),
+        preds, results, skipped, runs,
         recommendation.recommend(recommendation.ensemble_summary(future, last), last, s),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import math
 import re
 from collections.abc import Callable
 from functools import lru_cache, reduce
@@ -21,7 +22,7 @@ from tickloom.plans import oracle as o
 from tickloom.plans.benchmark import CANDIDATES, Benchmark, candidates
 from tickloom.plans.forecast import forecast, training_rows
 from tickloom.plans.oracle import r, rs, sql
-from tickloom.settings import Settings
+from tickloom.settings import BENCHMARK_SEEDS, Settings
 from tickloom.sources import bars as bar_source
 from tickloom.sources import stages
 
@@ -208,7 +209,8 @@ def _(spark, sf):
 
 
 def _fractional_sql(d: float) -> str:
-    weights = indicators.fractional_weights(d)
+    # Binomial weights (-1)^k C(d, k) by the gamma function.
+    weights = [math.gamma(k - d) / (math.gamma(-d) * math.gamma(k + 1)) for k in range(10)]
     terms = " + ".join(f"({w!r}) * lag(ln(close), {9 - k}) OVER w" for k, w in enumerate(weights))
     return f"round(CASE WHEN rn > 10 THEN {terms} END + 3.7e-08, 6) + 0.0 AS fd_price_{round(d * 10)}"
 
@@ -736,7 +738,7 @@ def _(spark, sf):
 
 _values = ", ".join(
     f"('{c[0]}', '{e}', {seed}, {2 * i + j}, {c[1]}, {c[2]}, {c[3]}, {c[4]}, {c[6] / 100:.2f}, {w[0]}, {w[1]})"
-    for i, c in enumerate(CANDIDATES) for j, (e, w) in enumerate((("off", (0.6, 1.0)), ("tcn", (0.2, 1.2)))) for seed in (42, 77, 101)
+    for i, c in enumerate(CANDIDATES) for j, (e, w) in enumerate((("off", (0.6, 1.0)), ("tcn", (0.2, 1.2)))) for seed in BENCHMARK_SEEDS
 )
 GRID = f"""
 settings(candidate_id, encoder_mode, seed, setting_no, target_coverage, trade_ratio_floor, th_min, th_max, pct, wt, wr) AS (VALUES {_values}),
@@ -828,10 +830,16 @@ def _(spark, sf):
 
 # --- run log ------------------------------------------------------------------------------------------------------------------
 
-RECORDS = (*TO_GRID, """sig AS (SELECT candidate_id, encoder_mode, ticker, count(*) FILTER (p_raw > 0.65) AS buy_signals, 0::BIGINT AS sell_signals FROM grid WHERE seed = 42 GROUP BY ALL),
-flat AS MATERIALIZED (SELECT row_number() OVER (ORDER BY setting_no, r.ticker) AS run_number, r.*, n_folds_valid AS fold, CASE encoder_mode WHEN 'tcn' THEN 6 ELSE 3 END AS features_count,
-  CASE encoder_mode WHEN 'tcn' THEN 2 ELSE 0 END AS lstm_dims, buy_signals, sell_signals, auc AS auc_roc FROM scored_runs r JOIN sig USING (candidate_id, encoder_mode, ticker)
-  JOIN (SELECT DISTINCT candidate_id, encoder_mode, setting_no FROM settings) USING (candidate_id, encoder_mode) WHERE seed = 42)""")
+_used = ("volatility_20", "price_to_sma20", "distance_to_ma200", "s1", "s2")
+_named = {"s1": "price_to_sma20_scaled", "s2": "distance_to_ma200_scaled"}
+_strong = "[x for x in [" + ", ".join(f"CASE WHEN round(abs(corr({c}, target) FILTER (p_raw >= 0.5)), 6) >= 0.05 THEN '{_named.get(c, c)}' END" for c in _used) + "] if x IS NOT NULL]"
+_weak = "[x for x in [" + ", ".join(f"CASE WHEN round(abs(corr({c}, target) FILTER (p_raw >= 0.5)), 6) >= 0.05 THEN NULL ELSE '{_named.get(c, c)}' END" for c in _used) + "] if x IS NOT NULL]"
+_seed_no = " ".join(f"WHEN {seed} THEN {i}" for i, seed in enumerate(BENCHMARK_SEEDS))
+RECORDS = (*TO_GRID, f"""sig AS (SELECT candidate_id, encoder_mode, seed, ticker, count(*) FILTER (p_raw > 0.65) AS buy_signals, 0::BIGINT AS sell_signals,
+  {_strong} AS used, {_weak} AS weak, max(date) FILTER (p_raw >= 0.5) AS run_date FROM grid GROUP BY ALL),
+flat AS MATERIALIZED (SELECT row_number() OVER (ORDER BY setting_no, CASE seed {_seed_no} END, r.ticker) AS run_number, r.*, n_folds_valid AS fold, len(used) AS features_count,
+  0 AS lstm_dims, used, weak, run_date, buy_signals, sell_signals, auc AS auc_roc FROM scored_runs r JOIN sig USING (candidate_id, encoder_mode, seed, ticker)
+  JOIN (SELECT DISTINCT candidate_id, encoder_mode, setting_no FROM settings) USING (candidate_id, encoder_mode))""")
 FLAT_COLS = "accuracy auc_roc auc_pr precision recall f1 sharpe_ratio net_sharpe max_drawdown total_return net_return turnover coverage_ratio trade_coverage ev_mean_fold"
 
 
@@ -853,17 +861,25 @@ def _(spark, sf):
     return rounded(runlog.metadata(_records(spark, sf)))
 
 
-@query("feature_usage", sql(*RECORDS, """names AS (SELECT unnest(CASE encoder_mode WHEN 'tcn' THEN ['volatility_20', 'price_to_sma20', 'distance_to_ma200', 'lstm_latent_0', 'lstm_latent_1', 'lstm_return_5d']
-  ELSE ['volatility_20', 'price_to_sma20', 'distance_to_ma200'] END) AS feature FROM flat)""", select="SELECT feature, count(*) AS n_runs, round(100 * count(*) / (SELECT count(*) FROM flat) + 3.7e-08, 6) + 0.0 AS percent FROM names GROUP BY feature ORDER BY n_runs DESC, feature LIMIT 20"))
+@query("feature_usage", sql(*RECORDS, "names AS (SELECT unnest(used) AS feature FROM flat)", select="SELECT feature, count(*) AS n_runs, round(100 * count(*) / (SELECT count(*) FROM flat) + 3.7e-08, 6) + 0.0 AS percent FROM names GROUP BY feature ORDER BY n_runs DESC, feature LIMIT 20"))
 def _(spark, sf):
     return rounded(runlog.feature_usage(_records(spark, sf)))
 
 
-@query("feature_families", "SELECT 6::BIGINT AS n_features, 2::BIGINT AS n_latent, 3::BIGINT AS n_technical FROM (SELECT count(*) FROM lineitem)")
+@query("feature_families", sql(*RECORDS, "names AS (SELECT DISTINCT unnest(used) AS feature FROM flat)", select="""SELECT count(*) AS n_features,
+  count(*) FILTER (contains(feature, 'lstm_latent')) AS n_latent, count(*) FILTER (NOT contains(feature, 'lstm')) AS n_technical FROM names"""))
 def _(spark, sf):
     return runlog.feature_families(_records(spark, sf))
 
 
+@query("features_per_run", sql(*RECORDS, select="SELECT run_number, len(used) AS n_features, 0::BIGINT AS n_latent, len(used) AS n_technical, len(weak) AS n_weak FROM flat"))
+def _(spark, sf):
+    f = F.col("features")
+    return _records(spark, sf).select(
+        "run_number", f["count"].cast("long").alias("n_features"), f["lstm_latent_dims"].cast("long").alias("n_latent"),
+        f["technical_features"].cast("long").alias("n_technical"), F.size("features_contract.removed_by_importance").cast("long").alias("n_weak"))
+
+
 @query("best_run", sql(*RECORDS, select=f"SELECT run_number, ticker, {rs('auc_roc accuracy sharpe_ratio')}, buy_signals FROM flat ORDER BY auc_roc DESC, run_number LIMIT 1"))
 def _(spark, sf):
     return pick(runlog.best_run(runlog.flatten(_records(spark, sf))), "run_number ticker auc_roc accuracy sharpe_ratio buy_signals")
@@ -892,7 +908,7 @@ def _(spark, sf):
     return rounded(runlog.signal_statistics(runlog.flatten(_records(spark, sf))))
 
 
-@query("latest_runs", sql(*RECORDS, select=f"SELECT run_number, DATE '2024-01-02' AS date, ticker, n_folds_valid || '/' || n_folds_configured AS valid_configured, n_folds_skipped AS skipped, {rs('accuracy auc_roc sharpe_ratio max_drawdown')} FROM flat ORDER BY run_number DESC LIMIT 5"))
+@query("latest_runs", sql(*RECORDS, select=f"SELECT run_number, run_date AS date, ticker, n_folds_valid || '/' || n_folds_configured AS valid_configured, n_folds_skipped AS skipped, {rs('accuracy auc_roc sharpe_ratio max_drawdown')} FROM flat ORDER BY run_number DESC LIMIT 5"))
 def _(spark, sf):
     return rounded(runlog.latest_runs(_records(spark, sf)))
 
@@ -914,7 +930,7 @@ def _(spark, sf):
 
 
 @query("persistent_low_importance", sql(*RECORDS, "lastfive AS (SELECT run_number FROM flat ORDER BY run_number DESC LIMIT 5)",
-       "low AS (SELECT run_number, unnest(CASE WHEN run_number % 2 = 0 THEN ['rsi', 'vix_change'] ELSE ['rsi'] END) AS feature FROM lastfive)",
+       "low AS (SELECT run_number, unnest(weak) AS feature FROM lastfive JOIN flat USING (run_number))",
        select="SELECT feature, count(*) AS n_runs FROM low GROUP BY feature HAVING count(*) >= 3"))
 def _(spark, sf):
     return runlog.persistent_low_importance(_records(spark, sf))
@@ -1019,23 +1035,23 @@ def _(spark, sf):
 
 @query("forecast_recommendations")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK, max_trees=3)
+    run = forecast(market(spark, sf), setting=QUICK)
     return pick(run.recommendations, "ticker n_models avg_prob spread consensus state reason expected_value quality advice")
 
 
 @query("forecast_fold_results")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK, max_trees=3)
+    run = forecast(market(spark, sf), setting=QUICK)
     return pick(run.results, "ticker fold auc aucpr net_sharpe net_return fold_trades reason")
 
 
 @query("forecast_run_metrics")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK, max_trees=3)
+    run = forecast(market(spark, sf), setting=QUICK)
     return pick(run.runs, "ticker n_folds_valid n_folds_skipped coverage_ratio auc net_sharpe win_rate calibration_enabled calibration_method calibration_error brier")
 
 
-QUICK = models.BoostSetting(depth=3, learning_rate=0.1, trees=5, rows=1.0, columns=1.0, leaf_weight=2)
+QUICK = models.BoostSetting(depth=3, learning_rate=0.1, trees=3, rows=1.0, columns=1.0, leaf_weight=2)
 
 
 SCALED = [f"x_{f}" for f in mk.MODEL_FEATURES]
@@ -1049,12 +1065,12 @@ def _fold_rows(spark, sf, fold: int = 1) -> DataFrame:
 
 @query("boosted_scores")
 def _(spark, sf):
-    return pick(forecast(market(spark, sf), setting=QUICK, max_trees=3).predictions, "ticker fold date target p_model p_raw")
+    return pick(forecast(market(spark, sf), setting=QUICK).predictions, "ticker fold date target p_model p_raw")
 
 
 @query("regime_pair_scores")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK, max_trees=3, regime_split=True)
+    run = forecast(market(spark, sf), setting=QUICK, regime_split=True)
     return pick(run.predictions, "ticker fold date target p_raw")
 
 
@@ -1068,8 +1084,9 @@ def _(spark, sf):
 @query("tuned_setting")
 def _(spark, sf):
     # Settings are tuned on the first usable fold and reused for the others.
-    settings = [dataclasses.replace(c, depth=2 + i) for i, c in enumerate(models.tuning_candidates("low", 2))]
-    return rounded(models.tune(_fold_rows(spark, sf), settings, max_trees=3)[1])
+    settings = [dataclasses.replace(c, trees=QUICK.trees) for c in models.tuning_candidates("low")]
+    first = folds.usable(market(spark, sf).members()).agg(F.min("fold")).first()[0]
+    return rounded(models.tune(_fold_rows(spark, sf, first), settings)[1])
 
 
 @query("calibrated_scores")
