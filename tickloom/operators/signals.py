@@ -200,14 +200,17 @@ def _percentile(value: Column, percents: Sequence[float], chosen: Column, fold)
 
 
 def technical_filter(df: DataFrame, keys: Sequence[str] = KEYS) -> Column:
-    """Volatility and range not in the lowest tenth, price not far below its long mean."""
+    """Volatility and range not in the lowest tenth, price not far below its long mean.
+
+    All three columns must be there: a missing one would turn its leg off without a word.
+    """
+    missing = {"volatility_20", "atr", "distance_to_ma200"} - set(df.columns)
+    if missing:
+        raise ValueError(f"the technical filter needs {sorted(missing)}")
     fold = Window.partitionBy(*keys)
-    ok = F.lit(True)
+    ok = F.col("distance_to_ma200") > -0.02
     for c in ("volatility_20", "atr"):
-        if c in df.columns:
-            ok = ok & (F.col(c) >= F.percentile(c, 0.1).over(fold))
-    if "distance_to_ma200" in df.columns:
-        ok = ok & (F.col("distance_to_ma200") > -0.02)
+        ok = ok & (F.col(c) >= F.percentile(c, 0.1).over(fold))
     return F.coalesce(ok, F.lit(False))
 
 

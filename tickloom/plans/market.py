@@ -11,10 +11,10 @@ from tickloom.functions.series import Layout, div
 from tickloom.operators import folds, indicators, labels
 from tickloom.sources.bars import bars_from_trades, daily_index, lookback, numbered, packed, with_index
 from tickloom.settings import LOOKBACK_DAYS, Settings
-from tickloom.sources.stages import STAGE_VERSION, Stages, files_key
+from tickloom.sources.stages import Stages, code_key, files_key
 
 # Features of the score below; the label stage keeps the rows that have them all.
-KEPT = ("ticker", "date", "rn", "open", "high", "low", "close", "volume", "vix_close", "volatility_20")
+KEPT = ("ticker", "date", "rn", "open", "high", "low", "close", "volume", "vix_close", "volatility_20", "atr", "rolling_volatility_zscore")
 SCORED = ("price_to_sma20", "distance_to_ma200")
 MODEL_FEATURES = ("volatility_20", *SCORED)
 # Digits of the columns that order the line items of a day; the price is in cents.
@@ -63,7 +63,7 @@ class Market:
         self._inputs = files_key(spark, [os.path.join(sf_dir, f"{n}.parquet") for n in names])
 
     def payload(self, **more) -> dict:
-        return {"version": STAGE_VERSION, "inputs": self._inputs, "by_brand": self.by_brand,
+        return {"code": code_key(), "inputs": self._inputs, "by_brand": self.by_brand,
                 "chunk_rows": self.layout.chunk_rows, "as_of": self.as_of, "days": self.days, **more}
 
     def bars(self) -> DataFrame:

@@ -141,8 +141,8 @@ barriers AS MATERIALIZED (SELECT v1.*, CASE WHEN v1.rn > total - 20 OR (fu IS NU
 
 LABELLED = """
 labelled AS MATERIALIZED (SELECT ticker, date, rn AS bar_rn, row_number() OVER (PARTITION BY ticker ORDER BY rn) AS rn, close, target,
-  volatility_20, price_to_sma20, distance_to_ma200, ma_200, count(*) OVER (PARTITION BY ticker) AS total
-  FROM barriers WHERE volatility_20 IS NOT NULL AND price_to_sma20 IS NOT NULL AND distance_to_ma200 IS NOT NULL AND target IS NOT NULL)"""
+  volatility_20, price_to_sma20, distance_to_ma200, ma_200, rolling_volatility_zscore, atr, count(*) OVER (PARTITION BY ticker) AS total
+  FROM barriers JOIN (SELECT ticker, rn, atr FROM states) USING (ticker, rn) WHERE volatility_20 IS NOT NULL AND price_to_sma20 IS NOT NULL AND distance_to_ma200 IS NOT NULL AND target IS NOT NULL)"""
 
 FOLDS = """
 ranges AS (SELECT ticker, CAST(i + 1 AS INTEGER) AS fold, i * 120 AS train_lo, i * 120 + 400 AS train_hi, i * 120 + 400 AS test_lo,
@@ -202,9 +202,9 @@ thresholds AS MATERIALIZED (SELECT *, 0.35 * adaptive_sell + 0.65 * 0.35 AS smoo
 j0 AS (SELECT a.*, t.vol_z, t.bear_ratio, t.final_buy AS t0, greatest(t.th_min, t.final_buy - 0.02) AS t1,
   greatest(t.th_min, greatest(t.th_min, t.final_buy - 0.02) - 0.01) AS t2, greatest({floor}, 0.08) AS ratio_floor,
   t.trades AS at_trades, t.trade_ratio AS at_ratio FROM adj a JOIN thresholds t USING ({k})),
-tech AS (SELECT {k}, quantile_cont(volatility_20, 0.1) AS v10,
+tech AS (SELECT {k}, quantile_cont(volatility_20, 0.1) AS v10, quantile_cont(atr, 0.1) AS a10,
   {', '.join(f"quantile_cont(CASE WHEN p >= t{i} THEN p END, [0.70, 0.72, 0.74]) AS c{i}" for i in range(3))} FROM j0 GROUP BY {k}),
-j1 AS (SELECT j0.*, volatility_20 >= v10 AND distance_to_ma200 > -0.02 AS sound,
+j1 AS (SELECT j0.*, volatility_20 >= v10 AND atr >= a10 AND distance_to_ma200 > -0.02 AS sound,
   {', '.join(f"p >= t{i} AS h{i}, coalesce(p >= c{i}[CASE {percent} WHEN 0.70 THEN 1 WHEN 0.72 THEN 2 ELSE 3 END], false) AS q{i}" for i in range(3))} FROM j0 JOIN tech USING ({k})),
 j2 AS (SELECT *, avg(CASE WHEN h0 AND q0 AND sound THEN 1.0 ELSE 0.0 END) OVER g AS r0, avg(CASE WHEN h1 AND q1 AND sound THEN 1.0 ELSE 0.0 END) OVER g AS r1,
   count(*) OVER g AS n_val FROM j1 WINDOW g AS (PARTITION BY {k})),

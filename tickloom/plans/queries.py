@@ -81,7 +81,7 @@ def market(spark: SparkSession, sf_dir: str, by_brand: bool = False) -> mk.Marke
 
 BARS, ROLL, STATES = o.bars_cte(), o.ROLLING, o.STATES
 BARRIERS = o.barrier_cte()
-TO_LABELS = (BARS, ROLL, BARRIERS)
+TO_LABELS = (BARS, ROLL, STATES, BARRIERS)
 TO_FOLDS = (*TO_LABELS, o.LABELLED, o.FOLDS)
 TO_PREDS = (*TO_FOLDS, o.SCORES)
 TO_SIGNALS = (*TO_PREDS, o.signals_cte())
@@ -402,7 +402,7 @@ AS_OF, AS_OF_DAYS = "2000-06-30", 1460
 
 
 @query("fold_ranges_of_lookback", sql(
-    o.bars_cte(days=f"date BETWEEN DATE '{AS_OF}' - {AS_OF_DAYS} AND DATE '{AS_OF}'"), ROLL, BARRIERS, o.LABELLED, o.FOLDS,
+    o.bars_cte(days=f"date BETWEEN DATE '{AS_OF}' - {AS_OF_DAYS} AND DATE '{AS_OF}'"), ROLL, STATES, BARRIERS, o.LABELLED, o.FOLDS,
     select=f"SELECT {RANGE} FROM ranges"))
 def _(spark, sf):
     recent = mk.Market(spark, sf, root=stage_root, as_of=AS_OF, days=AS_OF_DAYS)
@@ -640,7 +640,7 @@ def _(spark, sf):
     return out.withColumn("skip_reasons", F.array_join("skip_reasons", ","))
 
 
-@query("volatility_regime_rows", sql(*TO_PREDS, select="SELECT ticker, fold, role, date, (volatility_20 - tvm) / (tvs + 1e-9) > 1.0 AS high_vol FROM scaled"))
+@query("volatility_regime_rows", sql(*TO_PREDS, select="SELECT ticker, fold, role, date, coalesce(rolling_volatility_zscore > 1.0, false) AS high_vol FROM scaled"))
 def _(spark, sf):
     return evaluation.high_volatility(folds.usable(market(spark, sf).members())).select("ticker", "fold", "role", "date", "high_vol")
 

@@ -7,15 +7,32 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import cache
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Part of every key: raise it when an operator's results change, so that no older table is read.
-STAGE_VERSION = 2
 _local_root: dict[str, str] = {}
 
 
+@cache
+def code_key() -> str:
+    """Key of the definitions, so that a changed operator never reads an older stage table.
+
+    Read as package resources, which also works from a zip.
+    """
+    digest, found = hashlib.sha1(), 0
+    for part in ("functions", "operators", "plans", "sources"):
+        for file in sorted(resources.files(f"tickloom.{part}").iterdir(), key=lambda f: f.name):
+            if file.name.endswith(".py"):
+                digest.update(file.name.encode() + file.read_bytes())
+                found += 1
+    if not found:
+        raise FileNotFoundError("the package's sources cannot be read, so stage tables cannot be keyed")
+    return digest.hexdigest()
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder for stage tables: the one that ``spark.checkpoint.dir`` names.
 
