@@ -5,10 +5,11 @@ from __future__ import annotations
 import dataclasses
 import math
 import re
+import uuid
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType
 
@@ -807,6 +808,14 @@ def _(spark, sf):
     return pick(selection.summarize_candidates(_bench(spark, sf).runs(), _chosen(spark, sf)), f"candidate_id runs tickers {SUMMARY_COLS}")
 
 
+@query("report_read_back", sql(*TO_GRID, COMBOS, CHOSEN, FINALS, select=f"SELECT candidate_id, runs, tickers, {rs(SUMMARY_COLS)} FROM finals"))
+def _(spark, sf):
+    path, runs, chosen = _folder(spark, sf), _bench(spark, sf).runs(), _chosen(spark, sf)
+    summary = selection.summarize_candidates(runs, chosen)
+    selection.write_report(runs, selection.summarize_combos(runs), chosen, summary, selection.choose_best(summary), path)
+    return pick(spark.read.schema(summary.schema).json(f"{path}/summary"), f"candidate_id runs tickers {SUMMARY_COLS}")
+
+
 @query("best_candidate", sql(*TO_GRID, COMBOS, CHOSEN, FINALS, "flagged AS (SELECT *, net_sharpe_mean >= 0 AND coverage_mean >= 0.83 AND valid_folds_ratio_mean >= 0.83 AS ok FROM finals)",
        select=f"SELECT candidate_id, {rs('robust_score net_sharpe_mean coverage_mean')}, NOT ok AS relaxed FROM flagged ORDER BY ok DESC, round(flagged.robust_score, 12) DESC, candidate_id LIMIT 1"))
 def _(spark, sf):
@@ -872,6 +881,30 @@ def _(spark, sf):
     return runlog.feature_families(_records(spark, sf))
 
 
+def _folder(spark, sf) -> str:
+    """A new folder under the shared root, for what a query writes and reads back."""
+    return f"{market(spark, sf).stages.root}/written/{uuid.uuid4().hex}"
+
+
+BACK_COLS = "accuracy auc_roc sharpe_ratio net_sharpe turnover"
+BACK = sql(*RECORDS, select=f"SELECT run_number, ticker, fold, features_count, {rs(BACK_COLS)}, buy_signals FROM flat")
+
+
+@query("run_log_appended", BACK)
+def _(spark, sf):
+    path, records = _folder(spark, sf), _records(spark, sf)
+    for part in (0, 1):
+        runlog.append_records(records.filter(F.col("run_number") % 2 == part), path)
+    return pick(runlog.flatten(spark.read.schema(records.schema).parquet(path)), f"run_number ticker fold features_count {BACK_COLS} buy_signals")
+
+
+@query("run_log_csv", BACK)
+def _(spark, sf):
+    path, flat = _folder(spark, sf), runlog.flatten(_records(spark, sf))
+    runlog.write_csv(flat, path)
+    return pick(runlog.read_csv(spark, path, flat.schema), f"run_number ticker fold features_count {BACK_COLS} buy_signals")
+
+
 @query("features_per_run", sql(*RECORDS, select="SELECT run_number, len(used) AS n_features, 0::BIGINT AS n_latent, len(used) AS n_technical, len(weak) AS n_weak FROM flat"))
 def _(spark, sf):
     f = F.col("features")
@@ -1045,6 +1078,16 @@ def _(spark, sf):
     return pick(run.results, "ticker fold auc aucpr net_sharpe net_return fold_trades reason")
 
 
+@query("forecast_fold_sizes", sql(*TO_FOLDS, f"checks AS ({REASON})", select="SELECT ticker, fold, n_val, n_train FROM checks WHERE reason IS NULL"))
+def _(spark, sf):
+    return forecast(market(spark, sf), setting=QUICK).results.select("ticker", "fold", "n_val", "n_train")
+
+
+@query("forecast_fold_accounts", sql(*TO_FOLDS, f"checks AS ({REASON})", select="SELECT ticker, count(*) AS n_folds_configured FROM checks GROUP BY ticker"))
+def _(spark, sf):
+    return forecast(market(spark, sf), setting=QUICK).runs.select("ticker", "n_folds_configured")
+
+
 @query("forecast_run_metrics")
 def _(spark, sf):
     run = forecast(market(spark, sf), setting=QUICK)
@@ -1068,6 +1111,12 @@ def _(spark, sf):
     return pick(forecast(market(spark, sf), setting=QUICK).predictions, "ticker fold date target p_model p_raw")
 
 
+@query("boosted_score_rows", sql(*TO_PREDS, select="SELECT ticker, fold, date, target, true AS is_probability FROM preds"))
+def _(spark, sf):
+    ok = F.col("p_model").between(0, 1) & F.col("p_raw").between(0, 1)
+    return forecast(market(spark, sf), setting=QUICK).predictions.select("ticker", "fold", "date", "target", ok.alias("is_probability"))
+
+
 @query("regime_pair_scores")
 def _(spark, sf):
     run = forecast(market(spark, sf), setting=QUICK, regime_split=True)
@@ -1123,6 +1172,26 @@ def _(spark, sf):
     return made.groupBy("ticker", "fold", "target", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+_bounds = ("price_to_sma20", "distance_to_ma200")
+
+
+@query("synthetic_rows_between_parents", sql(*TO_FOLDS, "c AS (SELECT ticker, fold, target, count(*) AS n FROM members WHERE role = 'train' GROUP BY ALL)",
+       select="SELECT ticker, fold, target, n AS n_real, true AS only_smaller, true AS inside FROM c"))
+def _(spark, sf):
+    # Every made row lies between two rows of its class, so inside the range of the class in each feature.
+    rows = market(spark, sf).members().filter("role = 'train'")
+    made = models.synthetic_minority(rows, mk.MODEL_FEATURES)
+    inside = [
+        F.coalesce((F.min(F.when(F.col("synthetic"), F.col(c))) >= F.min(F.when(~F.col("synthetic"), F.col(c))) - 1e-9)
+                   & (F.max(F.when(F.col("synthetic"), F.col(c))) <= F.max(F.when(~F.col("synthetic"), F.col(c))) + 1e-9), F.lit(True))
+        for c in _bounds
+    ]
+    per_class = made.groupBy("ticker", "fold", "target").agg(
+        F.count_if(~F.col("synthetic")).alias("n_real"), F.count_if("synthetic").alias("_made"), (inside[0] & inside[1]).alias("inside"))
+    larger = F.max("n_real").over(Window.partitionBy("ticker", "fold"))
+    return per_class.withColumn("only_smaller", (F.col("_made") == 0) | (F.col("n_real") < larger)).drop("_made")
+
+
 @query("eliminated_features")
 def _(spark, sf):
     rows = market(spark, sf).labelled()
