@@ -223,6 +223,8 @@ def _cells(star: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
     cuts = per_star.select(
         "a", "main", blocks(F.col("top.n"), F.col("top.bytes")).alias("mains"),
         blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rests"))
+    # Written, so that the join below reads two plain shuffles, of which Spark can split a star that is large.
+    cuts = table(cuts, "cuts")
     dealt = members.join(cuts, "a")
     is_main = F.col("class") == F.col("main")
     mine = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
