@@ -1068,35 +1068,32 @@ def _(spark, sf):
 
 @query("forecast_recommendations")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK)
+    run = forecast(market(spark, sf))
     return pick(run.recommendations, "ticker n_models avg_prob spread consensus state reason expected_value quality advice")
 
 
 @query("forecast_fold_results")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK)
+    run = forecast(market(spark, sf))
     return pick(run.results, "ticker fold auc aucpr net_sharpe net_return fold_trades reason")
 
 
 @query("forecast_fold_sizes", sql(*TO_FOLDS, f"checks AS ({REASON})", select="SELECT ticker, fold, n_val, n_train FROM checks WHERE reason IS NULL"))
 def _(spark, sf):
-    return forecast(market(spark, sf), setting=QUICK).results.select("ticker", "fold", "n_val", "n_train")
+    return forecast(market(spark, sf)).results.select("ticker", "fold", "n_val", "n_train")
 
 
 @query("forecast_fold_accounts", sql(*TO_FOLDS, f"checks AS ({REASON})", select="SELECT ticker, count(*) AS n_folds_configured FROM checks GROUP BY ticker"))
 def _(spark, sf):
-    return forecast(market(spark, sf), setting=QUICK).runs.select("ticker", "n_folds_configured")
+    return forecast(market(spark, sf)).runs.select("ticker", "n_folds_configured")
 
 
 @query("forecast_run_metrics")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK)
+    run = forecast(market(spark, sf))
     return pick(run.runs, "ticker n_folds_valid n_folds_skipped coverage_ratio auc net_sharpe win_rate calibration_enabled calibration_method calibration_error brier")
 
 
-QUICK = models.BoostSetting(depth=3, learning_rate=0.1, trees=3, rows=1.0, columns=1.0, leaf_weight=2)
-
-
 SCALED = [f"x_{f}" for f in mk.MODEL_FEATURES]
 
 
@@ -1108,18 +1105,18 @@ def _fold_rows(spark, sf, fold: int = 1) -> DataFrame:
 
 @query("boosted_scores")
 def _(spark, sf):
-    return pick(forecast(market(spark, sf), setting=QUICK).predictions, "ticker fold date target p_model p_raw")
+    return pick(forecast(market(spark, sf)).predictions, "ticker fold date target p_model p_raw")
 
 
 @query("boosted_score_rows", sql(*TO_PREDS, select="SELECT ticker, fold, date, target, true AS is_probability FROM preds"))
 def _(spark, sf):
     ok = F.col("p_model").between(0, 1) & F.col("p_raw").between(0, 1)
-    return forecast(market(spark, sf), setting=QUICK).predictions.select("ticker", "fold", "date", "target", ok.alias("is_probability"))
+    return forecast(market(spark, sf)).predictions.select("ticker", "fold", "date", "target", ok.alias("is_probability"))
 
 
 @query("regime_pair_scores")
 def _(spark, sf):
-    run = forecast(market(spark, sf), setting=QUICK, regime_split=True)
+    run = forecast(market(spark, sf), regime_split=True)
     return pick(run.predictions, "ticker fold date target p_raw")
 
 
@@ -1127,13 +1124,13 @@ def _(spark, sf):
 def _(spark, sf):
     # The report shows the model of the last fold.
     last = market(spark, sf).members().agg(F.max("fold")).first()[0]
-    return rounded(models.feature_importance(models.fit_boosted(_fold_rows(spark, sf, last), QUICK), mk.MODEL_FEATURES, spark))
+    return rounded(models.feature_importance(models.fit_boosted(_fold_rows(spark, sf, last), models.BoostSetting()), mk.MODEL_FEATURES, spark))
 
 
 @query("tuned_setting")
 def _(spark, sf):
     # Settings are tuned on the first usable fold and reused for the others.
-    settings = [dataclasses.replace(c, trees=QUICK.trees) for c in models.tuning_candidates("low")]
+    settings = [dataclasses.replace(c, trees=3) for c in models.tuning_candidates("low")]
     first = folds.usable(market(spark, sf).members()).agg(F.min("fold")).first()[0]
     return rounded(models.tune(_fold_rows(spark, sf, first), settings)[1])
 
