@@ -26,6 +26,18 @@ def test_what_is_learned(spark, model):
     assert again == model
 
 
+def test_copies_do_not_shrink_the_sample(spark):
+    texts = [f"{SAMPLE['en']} {chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(50)]
+    rare = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    often = rare.crossJoin(spark.range(200).select())
+    assert lg.fit(often) == lg.fit(rare) and lg.fit(rare).dictionaries
+    # One large group of copies takes no place from the different texts.
+    others = spark.createDataFrame([("en", f"{SAMPLE['en']} {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}y") for k in range(2000)], "lang string, text string")
+    skewed = others.union(spark.range(20_000).selectExpr("'en'", "'one text that is copied very often'"))
+    learned = lg.fit(skewed, rows=100, size=10**6).dictionaries[0][1].decode()
+    assert 60 < sum(w.endswith("y") and len(w) == 4 and w != "lazy" for w in learned.split()) < 140
+
+
 def test_predictions_and_rejection(model):
     judge = lg.Classifier(model)
     assert judge.predict("Über den faulen Hund springt der FUCHS und läuft!", 0.004)[0] == "de"

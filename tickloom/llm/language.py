@@ -47,17 +47,20 @@ def fit(
 ) -> LanguageModel:
     """Learns from a bounded sample of the labelled rows: about `rows` texts per language, `chars` letters of each.
 
-    The sample is every text whose hash lies below rows / (texts of the language), so it is the same on
-    every run and a text that occurs often counts once.  Rows without text, letters or language teach
-    nothing; without any labelled row there is no language and every text is unknown.
+    The sample is every text whose hash lies below rows / (different texts of the language), so it is the
+    same on every run and a text that occurs often counts once; a language of at most `rows` different texts
+    is learned from all of them.  Rows without text, letters or language teach nothing; without any labelled
+    row there is no language and every text is unknown.
     """
     labelled = df.select(df[text_col].cast("string").alias("text"), df[lang_col].cast("string").alias("lang"))
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # Copies are left out within each task first, and only hashes are shuffled.
+    different = labelled.select("lang", F.xxhash64("text").alias("at")).distinct()
+    counts = {r[0]: r[1] for r in different.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel(())
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))) for lang, n in sorted(counts.items())])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = (
         labelled.filter(place < share).select("lang", F.xxhash64("text").alias("at"), F.substring("text", 1, 4 * chars).alias("text"))
         .groupBy("lang", "at").agg(F.min("text").alias("text")).collect()
