@@ -47,3 +47,38 @@ def test_importance_is_that_of_the_default_setting(monkeypatch):
     with pytest.raises(Called) as call:
         queries.QUERIES["feature_importance"](None, "")
     assert call.value.args == (models.BoostSetting(),)
+
+
+def test_tuning_compares_the_candidates_as_they_are(monkeypatch):
+    def tune(rows, settings, *rest, **more):
+        raise Called(settings, rest, more)
+
+    class Rows:
+        agg = first = lambda self, *_: self
+        members = lambda self: self
+        __getitem__ = lambda self, k: 1
+
+    monkeypatch.setattr(queries, "market", lambda spark, sf: Rows())
+    monkeypatch.setattr(queries.folds, "usable", lambda m: m)
+    monkeypatch.setattr(queries.F, "min", lambda c: c)
+    monkeypatch.setattr(queries, "_fold_rows", lambda *a: None)
+    monkeypatch.setattr(models, "tune", tune)
+    with pytest.raises(Called) as call:
+        queries.QUERIES["tuned_setting"](None, "")
+    assert call.value.args == (models.tuning_candidates("low"), (), {})
+
+
+def test_elimination_runs_with_its_defaults_over_the_technical_columns(monkeypatch):
+    class Market:
+        def labelled(self, features=()):
+            return features
+
+    def eliminate(rows, features, *rest, **more):
+        raise Called(rows, features, rest, more)
+
+    monkeypatch.setattr(queries, "market", lambda spark, sf: Market())
+    monkeypatch.setattr(models, "eliminate_features", eliminate)
+    with pytest.raises(Called) as call:
+        queries.QUERIES["eliminated_features"](None, "")
+    rows, features, rest, more = call.value.args
+    assert rows == features and len(features) == 18 and (rest, more) == ((), {})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 import math
 import re
 import uuid
@@ -23,7 +22,7 @@ from tickloom.plans import oracle as o
 from tickloom.plans.benchmark import CANDIDATES, Benchmark, candidates
 from tickloom.plans.forecast import forecast, training_rows
 from tickloom.plans.oracle import r, rs, sql
-from tickloom.settings import BENCHMARK_SEEDS, Settings
+from tickloom.settings import BENCHMARK_SEEDS, SEED_FEATURES, Settings
 from tickloom.sources import bars as bar_source
 from tickloom.sources import stages
 
@@ -1130,7 +1129,7 @@ def _(spark, sf):
 @query("tuned_setting")
 def _(spark, sf):
     # Settings are tuned on the first usable fold and reused for the others.
-    settings = [dataclasses.replace(c, trees=3) for c in models.tuning_candidates("low")]
+    settings = models.tuning_candidates("low")
     first = folds.usable(market(spark, sf).members()).agg(F.min("fold")).first()[0]
     return rounded(models.tune(_fold_rows(spark, sf, first), settings)[1])
 
@@ -1189,10 +1188,14 @@ def _(spark, sf):
     return per_class.withColumn("only_smaller", (F.col("_made") == 0) | (F.col("n_real") < larger)).drop("_made")
 
 
+# Requested columns that the feature table has; the sequence columns belong to folds.
+TECHNICAL = tuple(f for f in SEED_FEATURES if not f.startswith("lstm_"))
+
+
 @query("eliminated_features")
 def _(spark, sf):
-    rows = market(spark, sf).labelled()
-    kept = models.eliminate_features(rows, mk.MODEL_FEATURES, keep=2, trees=10, depth=3)
+    rows = market(spark, sf).labelled(TECHNICAL)
+    kept = models.eliminate_features(rows, TECHNICAL)
     return rounded(rows.groupBy("ticker").agg(*[F.avg(c).alias(f"kept_{i}_mean") for i, c in enumerate(kept)], F.lit(",".join(kept)).alias("kept")))
 
 
