@@ -90,3 +90,15 @@ def test_articles_of_the_test_pages(spark):
     want = {r["page_id"]: " ".join(html.unescape(re.sub("<[^>]+>", " ", r["html"].split("<article>")[1].split("</article>")[0])).split()) for r in pages.collect()}
     got = {r["page_id"]: r["text"] for r in mt.extract(pages, mt.fit(pages)).collect()}
     assert sum(got[k] != t for k, t in want.items()) <= 0.01 * len(want)
+
+
+def test_copies_and_large_pages_are_examples(spark, monkeypatch):
+    shown = []
+    monkeypatch.setattr(mt, "train", lambda pages, seed: shown.extend(pages))
+    page = lambda k, n=1: f"<html><body><article><h1>page {k}</h1>" + f"<p>{'words ' * 9}</p>" * n + "</article></body></html>"
+    rows = [page("copied")] * 5000 + [page(k) for k in range(100)]
+    mt.fit(spark.createDataFrame([(h,) for h in rows], "html string"))
+    assert len(shown) == 101 * (1 + mt.VARIANTS)
+    shown.clear()
+    mt.fit(spark.createDataFrame([(page(k, 2000),) for k in range(5)], "html string"))
+    assert len(shown) == 5 * (1 + mt.VARIANTS) and all(len(p) >= mt.SAMPLE_BLOCKS for p in shown)

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.words import word_hashes
 
-#: Bounds of what the labeller is fitted on: pages, bytes of a page, blocks of a page.
-SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_BLOCKS = 160, 20_000, 80
+#: Bounds of what the labeller is fitted on: pages, bytes of all pages, blocks of an example.
+SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_BLOCKS = 160, 16_000_000, 80
 VARIANTS, EPOCHS, HIDDEN = 2, 12, 12
 PATH_DIM, WORD_DIM, SIZES = 96, 64, 4
 INPUT = PATH_DIM + WORD_DIM + SIZES
@@ -302,22 +302,33 @@ def train(pages: list[list[Block]], seed: int = 7, epochs: int = EPOCHS) -> Labe
 
 
 def fit(pages: DataFrame, html_col: str = "html", limit: int = SAMPLE_PAGES, seed: int = 7) -> Labeller:
-    """Fits on about `limit` pages (those whose hash lies below limit / pages) of at most SAMPLE_BYTES bytes.
+    """Fits on the `limit` different pages of the lowest hashes, as far as SAMPLE_BYTES bytes go for all of them.
 
-    A longer page, or one of more than SAMPLE_BLOCKS blocks, is no example; it is labelled like any other.
-    Without any example the labeller is fitted on the variants of one made-up page.
+    A page that no longer fits is passed over; if none fits, the smallest of them is the example.  Of a page
+    with more than SAMPLE_BLOCKS blocks, a run of so many is shown.  Without any page that has a block the
+    labeller is fitted on the variants of one made-up page.
     """
-    html = pages.select(pages[html_col].cast("string").alias("html")).filter((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES))
-    total = html.count()
-    place = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = html.filter(place < min(1.0, limit / max(total, 1))).groupBy(F.xxhash64("html").alias("at")).agg(F.min("html").alias("html")).collect()
-    examples = [b for r in sorted(rows, key=lambda r: r["at"]) if 0 < len(b := blocks(r["html"])) <= SAMPLE_BLOCKS]
+    html = pages.select(pages[html_col].cast("string").alias("html")).filter(F.octet_length("html") > 0)
+    html = html.select("html", F.xxhash64("html").alias("at"))
+    # Copies have one hash, so they count once; only hashes and sizes are shuffled.
+    sizes = html.groupBy("at").agg(F.max(F.octet_length("html")).alias("size")).orderBy(F.pmod("at", F.lit(1 << 30)), "at").limit(limit).collect()
+    chosen, left = [], SAMPLE_BYTES
+    for r in sizes:
+        if r["size"] <= left:
+            chosen.append(r["at"])
+            left -= r["size"]
+    chosen = chosen or [r["at"] for r in sorted(sizes, key=lambda r: (r["size"], r["at"]))[:1]]
+    rows = html.filter(F.col("at").isin(chosen)).groupBy("at").agg(F.min("html").alias("html")).collect() if chosen else []
+    examples = [b for r in sorted(rows, key=lambda r: r["at"]) if (b := blocks(r["html"]))]
     examples = examples or [blocks("<html><body><nav><ul><li><a>x</a></ul></nav><article><h1>One title</h1><p>One long sentence of text.</article><footer>y</footer>")]
     rng = random.Random(seed)
+    for page in examples:
+        weak_labels(page)
+    starts = [rng.randint(0, len(p) - SAMPLE_BLOCKS) if len(p) > SAMPLE_BLOCKS else 0 for p in examples]
+    examples = [p[k:k + SAMPLE_BLOCKS] for p, k in zip(examples, starts, strict=True)]
     others = [b.text for page in examples for b in page]
     shown = []
     for page in examples:
-        weak_labels(page)
         shown += [page, *(variant(page, others, rng) for _ in range(VARIANTS))]
     return train(shown, seed)
 
