@@ -35,6 +35,18 @@ def test_forgetting_keeps_counts_right(monkeypatch):
     assert merger.count_texts(texts) == library(texts) and merger.count_texts(texts[:1]) == library(texts[:1])
 
 
+def test_long_unbroken_runs_cost_what_they_touch():
+    import random
+    import time
+
+    rng = random.Random(4)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160_000)), "a" * 160_000, "ab" * 50_000, "日本語" * 20_000):
+        start = time.perf_counter()
+        got = tc.merger(PATH).count_texts([text])
+        assert time.perf_counter() - start < 4
+        assert got == library([text])
+
+
 def test_awkward_rows(awkward):
     rows = tc.token_counts(awkward, limit=5).collect()
     texts = [r["text"] or "" for r in awkward.collect()]

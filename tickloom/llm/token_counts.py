@@ -4,6 +4,7 @@ Pre-tokens of many texts lie one after another in one numpy array of symbols.  I
 pre-token finds the lowest rank among its neighbouring pairs and merges all pairs of that rank at once;
 a pre-token without a known pair is finished, and its surviving symbols are its tokens.  A pair that a
 merge makes has a higher rank than the merge itself, so rounds give what merging one pair at a time gives.
+A pre-token of very many symbols has its places in buckets by rank, and its rounds cost what they touch.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tickloom.llm.merging import SHIFT, group_places, merge_sequence
 from tickloom.llm.pretokens import byte_level
 
-#: Bytes of unknown pre-tokens that are merged together, and counts that a worker remembers.
-BATCH_BYTES, REMEMBERED = 1 << 18, 1_000_000
+#: Bytes of unknown pre-tokens that are merged together, and bytes of one from which it is merged by itself.
+BATCH_BYTES, LONG = 1 << 18, 512
+#: Pre-tokens and their characters that a worker remembers at most, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS, SHORT = 200_000, 3_000_000, 64
 _NONE = np.int64(1 << 40)
-_SHIFT = np.int64(20)
+_SHIFT = np.int64(SHIFT)
 
 
 def printable_bytes() -> dict[str, int]:
@@ -49,7 +53,18 @@ class RankMerger:
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.ranks = np.append(order.astype(np.int64), _NONE)
         self.merged = np.append(np.array([vocab[a + b] for a, b in merges], np.int64)[order], 0)
+        self.pairs: dict[int, tuple[int, int]] | None = None
         self.known: dict[str, int] = {}
+        self.held = 0
+
+    def _count_long(self, pretoken: bytes) -> int:
+        if self.pairs is None:
+            self.pairs = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys[:-1], self.ranks, self.merged)}
+        symbols = self.first[np.frombuffer(pretoken, np.uint8)]
+        keys = (symbols[:-1] << _SHIFT) | symbols[1:]
+        at = np.searchsorted(self.keys, keys)
+        ranks = np.where(self.keys[at] == keys, self.ranks[at], _NONE)
+        return len(merge_sequence(symbols.tolist(), group_places(ranks, int(_NONE)), self.pairs))
 
     def count_all(self, pretokens: list[bytes]) -> np.ndarray:
         """Tokens of every (non-empty) pre-token."""
@@ -96,19 +111,27 @@ class RankMerger:
         out[at[(at - run_start) % 2 == 0]] = True
         return out
 
-    def learn(self, pretokens: set[str]) -> None:
+    def learned(self, pretokens: set[str]) -> dict[str, int]:
+        """Tokens of each of the pre-tokens."""
+        found: dict[str, int] = {}
         batch, size = [], 0
         for p in pretokens:
-            batch.append(p)
-            size += len(p)
+            data = p.encode()
+            if len(data) > LONG:
+                found[p] = self._count_long(data)
+                continue
+            batch.append((p, data))
+            size += len(data)
             if size > BATCH_BYTES:
-                self._learn(batch)
+                found.update(self._counted(batch))
                 batch, size = [], 0
-        self._learn(batch)
+        found.update(self._counted(batch))
+        return found
 
-    def _learn(self, batch: list[str]) -> None:
-        if batch:
-            self.known.update(zip(batch, self.count_all([p.encode() for p in batch]).tolist(), strict=True))
+    def _counted(self, batch: list[tuple[str, bytes]]) -> dict[str, int]:
+        if not batch:
+            return {}
+        return dict(zip([p for p, _ in batch], self.count_all([d for _, d in batch]).tolist(), strict=True))
 
     def count_texts(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts; strings of special tokens count as one token, as in the library's default."""
@@ -121,14 +144,19 @@ class RankMerger:
                     special += text.count(token)
             totals.append(special)
             found.append([p for part in parts for p in byte_level(part)])
-        new = {p for pretokens in found for p in pretokens if p not in self.known}
-        # Forgetting may drop any of them, so what this batch needs is then learned as a whole.
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {p for pretokens in found for p in pretokens}
-        self.learn(new)
+        new = self.learned({p for pretokens in found for p in pretokens if p not in self.known})
         known = self.known
-        return [n + sum(map(known.__getitem__, pretokens)) for n, pretokens in zip(totals, found, strict=True)]
+        counts = [n + sum([known[p] if p in known else new[p] for p in pretokens]) for n, pretokens in zip(totals, found, strict=True)]
+        self._remember({p: n for p, n in new.items() if len(p) <= SHORT})
+        return counts
+
+    def _remember(self, new: dict[str, int]) -> None:
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > REMEMBERED or self.held + size > REMEMBERED_CHARS:
+            self.known, self.held = {}, 0
+        if len(new) <= REMEMBERED and size <= REMEMBERED_CHARS:
+            self.known.update(new)
+            self.held += size
 
 
 @lru_cache(maxsize=2)
@@ -142,7 +170,8 @@ def token_counts(
     """Bytes and tokens of every whole text; the vocabulary is a file name known to `public_tokenizers`.
 
     A null text is an empty text: 0 bytes, 0 tokens.  A null id stays null and repeated rows are counted
-    each.  Any other column is left out, so no name can clash.  An empty table gives an empty table.
+    each.  Any other column is left out, so no name can clash.  An empty table gives an empty table.  A text of
+    any length is one row's work, at a cost in proportion to its length, unbroken runs of letters included.
     """
     source = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
 
