@@ -13,7 +13,7 @@ LANGUAGES = {
 def test_stages_and_registration():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "packing"]
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql()) and "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_whole_run(spark, tmp_path):

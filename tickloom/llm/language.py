@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ LEVEL = 6
 UNKNOWN = "und"
 
 _OTHERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> str:

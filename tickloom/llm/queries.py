@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import (
-    chat, decontamination, fingerprints, language, main_text, near_duplicates, packing, sharding, token_counts, warc,
+    alignment, chat, code_compression, decontamination, fingerprints, language, main_text, near_duplicates, packing, sentence_pieces, sharding,
+    token_counts, warc,
 )
 from tickloom.llm.store import new_folder, table, tables
 
@@ -147,3 +148,45 @@ def recurrent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_improbable_features")
 def improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(tables(spark, sf_dir, "documents"))
+
+
+def code_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The whole of op11 as SQL: every round compares all parts with all entries."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (SELECT id, j, v, best % {entries} AS i, best // {entries} AS d FROM (
+    SELECT id, j, any_value(x.v) AS v, min({entries} * CAST(list_sum([(x.v[t] - c[t]) * (x.v[t] - c[t]) for t in range(1, len(x.v) + 1)]) AS BIGINT) + i) AS best
+    FROM x JOIN b{k} USING (j) GROUP BY id, j))"""
+
+    def moved(k: int) -> str:
+        return f"""b{k + 1} AS (SELECT b.j, b.i, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT j, i, list((s - ((s % n) + n) % n) // n ORDER BY t) AS c FROM (
+        SELECT j, i, t, sum(v[t]) AS s, count(*) AS n FROM (SELECT j, i, v, unnest(range(1, len(v) + 1)) AS t FROM a{k}) GROUP BY j, i, t) GROUP BY j, i) m USING (j, i))"""
+
+    steps = [assigned(0)]
+    for k in range(rounds):
+        steps += [moved(k), assigned(k + 1)]
+    return f"""WITH q AS (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, [CAST(floor(256 * e) AS BIGINT) for e in embedding] AS q
+    FROM embeddings WHERE embedding IS NOT NULL AND len([e for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0),
+x AS (SELECT id, j, q[j * (len(q) // {parts}) + 1:(j + 1) * (len(q) // {parts})] AS v FROM (SELECT id, q, unnest(range(0, {parts})) AS j FROM q)),
+b0 AS (SELECT j, id - 1 AS i, v AS c FROM x WHERE id <= {entries}),
+{(',' + chr(10)).join(steps)},
+r AS (SELECT id, string_agg(lpad(lower(to_hex(i)), 2, '0'), '' ORDER BY j) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, i)) FROM b{rounds}) AS codebooks_sha256
+FROM r JOIN q USING (id)"""
+
+
+@query("op11_ball_code_compression", code_sql())
+def ball_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compressed_table(tables(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spill_counted_alignment")
+def spill_counted_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(tables(spark, sf_dir, "documents")).documents
+
+
+@query("op13_merge_round_pieces")
+def merge_round_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_pieces(tables(spark, sf_dir, "documents"))
