@@ -47,3 +47,20 @@ def test_kept_rows_and_repeated_or_missing_ids(spark):
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, [docs.collect()[k] for k in (1, 3, 4)]))
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
+def test_two_texts_under_one_id_are_two_documents(spark):
+    first, second = " ".join(LANGUAGES["en"]), " ".join(LANGUAGES["de"])
+    rows = [(1, first, "a"), (1, second, "b"), (2, first, "c"), (3, second, "d"), (4, None, "e"), (4, first + " and so on", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["source"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {"a", "b", "e"}
+
+
+def test_awkward_rows_through_every_stage(spark, awkward, tmp_path):
+    spark.createDataFrame([(1, "some words of a benchmark item that nobody wrote down before")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (awkward, awkward.limit(0)):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns or name == "packing"
+            assert out.count() <= docs.count() or name == "packing"

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.batches import slices
 from tickloom.llm.store import table
 from tickloom.llm.token_counts import printable_bytes
 
@@ -259,8 +260,7 @@ def spill(df: DataFrame, id_col: str, text_col: str, a_file: str, b_file: str, p
         number = TaskContext.get().partitionId() << 32
         block = Block(number)
         for whole in batches:
-            for at in range(0, len(whole), CODED):
-                batch = whole.slice(at, CODED)
+            for batch in slices(whole, 1, rows=CODED):
                 # Copied, so that a block does not hold on to the texts beside its ids.
                 block.add(tokenizers, batch.column(0).take(pa.array(range(len(batch)), pa.int64())), batch.column(1).to_pylist())
                 if block.full():

@@ -18,8 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.batches import slices
+
 #: Bounds of what is learned: rows and characters of a row per language, bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1000, 256 * 1024
+#: Languages that a model may have: the driver holds a sample of each, a worker a dictionary of each.
+MAX_LANGUAGES = 256
 #: A block is encoded with a fresh dictionary, so that a long text can't replace it by itself.
 BLOCK_BYTES = 4096
 #: Share of the second-best size by which the best must be smaller, else the text is rejected.
@@ -51,16 +55,18 @@ def fit(
     The sample is every text whose hash lies below rows / (different texts of the language), so it is the
     same on every run and a text that occurs often counts once; a language of at most `rows` different texts
     is learned from all of them.  Rows without text, letters or language teach nothing; without any labelled
-    row there is no language and every text is unknown.
+    row there is no language and every text is unknown.  More than MAX_LANGUAGES languages are an error.
     """
     labelled = df.select(df[text_col].cast("string").alias("text"), df[lang_col].cast("string").alias("lang"))
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # Copies are left out within each task first, and only hashes are shuffled.
     different = labelled.select("lang", F.xxhash64("text").alias("at")).distinct()
-    counts = {r[0]: r[1] for r in different.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in different.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return LanguageModel(())
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled; put rare ones together first")
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))) for lang, n in sorted(counts.items())])
     sample = (
         labelled.filter(place < share).select("lang", F.xxhash64("text").alias("at"), F.substring("text", 1, 4 * chars).alias("text"))
@@ -110,18 +116,23 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", min_mar
 
     A null text, or one without letters, is `und` with score 0 and rejected.  Of equal sizes the language
     that comes first by name wins, with score 0.  A column named lang_pred, score or rejected is replaced.
+    Repeated rows get equal results each, an empty table gives an empty table, and a text of any length is
+    one row's work, encoded block by block.
     """
     kept = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
-    source = df.select(*[df[c] for c in kept], df[text_col].cast("string").alias("__text"))
+    # A text that stays in the result is sent to Python once.
+    at = kept.index(text_col) if text_col in kept and df.schema[text_col].dataType.simpleString() == "string" else len(kept)
+    source = df.select(*[df[c] for c in kept], *([] if at < len(kept) else [df[text_col].cast("string").alias("__text")]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = classifier(model)
-        for batch in batches:
-            found = [judge.predict(t.as_py(), min_margin) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))],
-                [*kept, "lang_pred", "score", "rejected"])
+        for whole in batches:
+            for batch in slices(whole, at):
+                found = [judge.predict(t.as_py(), min_margin) for t in batch.column(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(kept)], *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))],
+                    [*kept, "lang_pred", "score", "rejected"])
 
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
 

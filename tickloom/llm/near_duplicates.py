@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.store import table
@@ -293,38 +293,67 @@ def shared_shingles(bags: list[tuple[np.ndarray, np.ndarray]], columns: int = 1
     return shared, sizes
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_id, class_id) of every row with an id: the smallest id with the same text, and that of its class.
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows as (id, digest) and their texts as (digest, text_id, node, class): one row per different text.
 
-    Classes are the connected components of texts with a multiset likeness of 0.8 or more.  Equal texts
-    are always together, also empty ones and ones without words; texts without words are near no other.  A null text
-    is a class of its own by id, and so is a row whose id is null (its results are null).  Rows with the
-    same id and text give a row each; if one id has several texts, each of them may carry its class.  Ids
-    are whole numbers; other columns play no part.  An empty table gives an empty table.
+    `text_id` is the smallest id of a text, `node` a number of its own also where one id has several texts,
+    and `class` the smallest node of its class.
     """
     text = docs[text_col].cast("string")
-    digest = F.when(text.isNull(), F.concat(F.lit("null "), F.coalesce(docs[id_col].cast("string"), F.lit("")))).otherwise(F.md5(text))
-    source = docs.select(docs[id_col].cast("long").alias("id"), digest.alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
+    source = docs.select(docs[id_col].cast("long").alias("id"), text_digest(docs[id_col], text).alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
     signed = table(_signed(source), "signed")
     known = signed.filter(F.col("id").isNotNull())
     # Copies are put together before anything is shuffled on: one row per text and task leaves the scan.
     groups = table(known.groupBy("digest").agg(F.min("id").alias("text_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
-    buckets = groups.select(F.col("text_id").alias("id"), "size", F.posexplode("bands").alias("band", "key"))
+    several = groups.groupBy("text_id").count().filter("count > 1").select(F.col("text_id").alias("__several"))
+    # Below all 32-bit ids, from 60 bits of the digest.
+    own = -F.conv(F.substring(F.md5("digest"), 1, 15), 16, 10).cast("long") - F.lit(1 << 32)
+    groups = groups.join(several, F.col("text_id") == F.col("__several"), "left").withColumn(
+        "node", F.when(F.col("__several").isNull(), F.col("text_id")).otherwise(own)).drop("__several")
+    groups = table(groups, "nodes")
+    buckets = groups.select(F.col("node").alias("id"), "size", F.posexplode("bands").alias("band", "key"))
     star = table(_star(_shared(buckets)), "star")
     touched = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    wanted = groups.join(touched, groups["text_id"] == touched["id"], "left_semi").select(F.col("text_id").alias("__id"), F.col("digest").alias("__digest"))
-    texts = source.join(wanted, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest"))).select("id", "digest", "text")
-    texts = table(texts.dropDuplicates(["id", "digest"]).select("id", "text"), "candidates")
+    wanted = groups.join(touched, groups["node"] == touched["id"], "left_semi").select(
+        "node", F.col("text_id").alias("__id"), F.col("digest").alias("__digest"))
+    texts = source.join(wanted, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest"))).select("node", "text")
+    texts = table(texts.dropDuplicates(["node"]).select(F.col("node").alias("id"), "text"), "candidates")
     links = table(_verified(star.select("a", "b"), texts), "links")
     nodes = texts.select("id")
     classes = table(components(nodes, links), "classes")
-    sizes = groups.groupBy(F.col("text_id").alias("id")).agg(F.max("size").alias("size"))
+    sizes = groups.select(F.col("node").alias("id"), "size")
     cells = table(_cells(star, sizes, classes), "cells")
     if cells.head(1):
         found = table(_links_in_cells(cells, texts), "links")
         if found.head(1):
             classes = table(components(nodes, links.union(found)), "classes")
-    of_text = groups.select("digest", "text_id").join(classes.select(F.col("id").alias("__id"), "class"), F.col("text_id") == F.col("__id"), "left")
-    of_text = of_text.select(F.col("digest").alias("__digest"), "text_id", F.coalesce("class", "text_id").alias("class_id"))
-    return signed.select("id", "digest").join(of_text, F.col("digest") == F.col("__digest"), "left").select(
-        F.col("id").alias("doc_id"), "text_id", "class_id")
+    of_text = groups.select("digest", "text_id", "node").join(classes.select(F.col("id").alias("__id"), "class"), F.col("node") == F.col("__id"), "left")
+    return signed.select("id", "digest"), of_text.select("digest", "text_id", "node", F.coalesce("class", "node").alias("class"))
+
+
+def text_digest(id_col: Column, text: Column) -> Column:
+    """What tells texts apart; a null text is one of its own per id."""
+    return F.when(text.isNull(), F.concat(F.lit("null "), F.coalesce(id_col.cast("string"), F.lit("")))).otherwise(F.md5(text))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_id, class_id) of every row with an id: the smallest id with the same text, and that of its class.
+
+    Classes are the connected components of texts with a multiset likeness of 0.8 or more.  Equal texts
+    are always together, also empty ones and ones without words; texts without words are near no other.  A null text
+    is a class of its own by id, and so is a row whose id is null (its results are null).  Rows with the
+    same id and text give a row each; if one id has several texts, each of them has its own class, which other
+    classes may share the name of.  Ids are whole numbers; other columns play no part.  A text of any length is
+    read in pieces.  An empty table gives an empty table.
+    """
+    rows, of_text = classes_of(docs, id_col, text_col)
+    names = of_text.groupBy("class").agg(F.min("text_id").alias("class_id"))
+    of_text = of_text.join(names, "class").select(F.col("digest").alias("__digest"), "text_id", "class_id")
+    return rows.join(of_text, F.col("digest") == F.col("__digest"), "left").select(F.col("id").alias("doc_id"), "text_id", "class_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest) of one text of each class, that with the smallest id (of several with that id, the smaller digest)."""
+    _, of_text = classes_of(docs, id_col, text_col)
+    return of_text.groupBy("class").agg(F.min(F.struct("text_id", "digest")).alias("top")).select(
+        F.col("top.text_id").alias("id"), F.col("top.digest").alias("digest"))

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.batches import slices
 from tickloom.llm.pretokens import word_level
 from tickloom.llm.store import table
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
-#: Ranks of one length are counted in so many parts, so that a length that is common stays spread.
-RANK_PARTS = 256
+#: Words and their characters that a worker remembers at most, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS, SHORT = 200_000, 3_000_000, 64
+#: Pieces of one length that are ranked together; a length has as many parts as its count asks for.
+PART_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -64,15 +66,24 @@ class WordIds:
     def texts(self, texts: list[str]) -> list[bytes]:
         """Words do not depend on their neighbours; texts with special tokens or beyond Latin letters go whole to the library."""
         words = [None if any(s in t for s in self.special) else word_level(t) for t in texts]
-        new = list({w for found in words if found for w in found if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for found in words if found for w in found})
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            self.known.update(zip(part, self._by_library(part), strict=True))
+        todo = list({w for found in words if found for w in found if w not in self.known})
+        new: dict[str, bytes] = {}
+        for k in range(0, len(todo), 4096):
+            part = todo[k:k + 4096]
+            new.update(zip(part, self._by_library(part), strict=True))
         whole = iter(self._by_library([t for t, found in zip(texts, words, strict=True) if found is None]))
-        return [next(whole) if found is None else b"".join(map(self.known.__getitem__, found)) for found in words]
+        known = self.known
+        out = [next(whole) if found is None else b"".join([known[w] if w in known else new[w] for w in found]) for found in words]
+        self._remember({w: ids for w, ids in new.items() if len(w) <= SHORT})
+        return out
+
+    def _remember(self, new: dict[str, bytes]) -> None:
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > REMEMBERED or self.held + size > REMEMBERED_CHARS:
+            self.known, self.held = {}, 0
+        if len(new) <= REMEMBERED and size <= REMEMBERED_CHARS:
+            self.known.update(new)
+            self.held += size
 
 
 @lru_cache(maxsize=2)
@@ -95,8 +106,7 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(public_tokenizers.path(vocabulary))
         for whole in batches:
-            for begin in range(0, len(whole), 256):
-                batch = whole.slice(begin, 256)
+            for batch in slices(whole, 1):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, coded in enumerate(encoder.texts([t or "" for t in batch.column(1).to_pylist()])):
                     coded += last
@@ -199,15 +209,18 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), rule: str = "norm") -> Da
     taken = {"sequence_id", "offset", "p_part", "p_base", "p_row"} & set(pieces.columns)
     if taken:
         raise ValueError(f"columns {sorted(taken)} are in the way")
-    part = F.pmod(F.xxhash64(*[pieces[c] for c in pieces.columns]), F.lit(RANK_PARTS)).cast("int")
-    stored = table(pieces.withColumn("p_part", part), "pieces")
-    by_part = stored.groupBy("length", "p_part").agg(F.count("*").alias("p_rows"))
-    counts = {int(r[0]): int(r[1]) for r in by_part.groupBy("length").agg(F.sum("p_rows")).collect()}
+    # Where a row lies in its task's output tells equal rows apart; written, it is the same for every reader.
+    stored = table(pieces.withColumn("p_row", F.monotonically_increasing_id()), "pieces")
+    counts = {int(r[0]): int(r[1]) for r in stored.groupBy("length").count().collect()}  # at most `tokens` rows
     if any(n < 1 or n > limits.piece() for n in counts):
         raise ValueError("a piece is longer than a sequence may hold, or empty")
+    parts = {n: -(-c // PART_ROWS) for n, c in counts.items() if c > PART_ROWS}
+    of_length = F.coalesce(F.create_map(*[F.lit(v) for item in parts.items() for v in item])[F.col("length").cast("int")], F.lit(1)) if parts else F.lit(1)
+    stored = stored.withColumn("p_part", F.pmod(F.xxhash64("p_row"), of_length).cast("int"))
+    by_part = stored.groupBy("length", "p_part").agg(F.count("*").alias("p_rows"))
     before = Window.partitionBy("length").orderBy("p_part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "p_part", F.coalesce(F.sum("p_rows").over(before), F.lit(0)).alias("p_base"))
-    order = Window.partitionBy("length", "p_part").orderBy(*[F.col(c) for c in ("doc_id", "piece") if c in pieces.columns] or [F.col("length")])
+    order = Window.partitionBy("length", "p_part").orderBy(*[F.col(c) for c in ("doc_id", "piece") if c in pieces.columns], "p_row")
     ranked = stored.withColumn("p_row", F.row_number().over(order) - 1).join(base, ["length", "p_part"])
     # One row for each step of the packing: at most a few for each of the `tokens` lengths, whatever the corpus.
     plan = F.broadcast(plan_frame(spark, best_fit(counts, limits, rule)))
@@ -224,6 +237,7 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), rule: str = "norm") -> Da
 def pack_documents(df: DataFrame, limits: Limits = Limits(), rule: str = "norm", **options) -> DataFrame:
     """Tokenises, cuts and packs whole documents; see `token_pieces` and `pack`.
 
-    Null ids stay null, repeated rows are packed each, other columns are left out.
+    Null ids stay null, repeated rows are packed each, other columns are left out.  An empty table gives an
+    empty table; a text of any length is one row's work and becomes as many pieces as it needs.
     """
     return pack(token_pieces(df, limits.piece(), **options), limits, rule)

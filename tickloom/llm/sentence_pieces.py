@@ -21,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tickloom.llm.batches import slices
 from tickloom.llm.merging import SHIFT, group_places, merge_sequence
 
 SPACE = "▁"
@@ -238,8 +239,7 @@ def encode_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(public_tokenizers.path(vocabulary))
         for whole in batches:
-            for start in range(0, len(whole), 128):
-                batch = whole.slice(start, 128)
+            for batch in slices(whole, 1):
                 counts, ids, decoded, kept, texts = [], [], [], [], []
                 for n, joined, written in model.coded([t or "" for t in batch.column(1).to_pylist()]):
                     counts.append(n)

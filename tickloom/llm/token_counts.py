@@ -18,6 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tickloom.llm.batches import slices
 from tickloom.llm.merging import SHIFT, group_places, merge_sequence
 from tickloom.llm.pretokens import byte_level
 
@@ -178,8 +179,7 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = merger(public_tokenizers.path(vocabulary))
         for whole in batches:
-            for start in range(0, len(whole), 256):
-                batch = whole.slice(start, 256)
+            for batch in slices(whole, 1):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 tokens = counter.count_texts(texts)
                 yield pa.RecordBatch.from_arrays([

@@ -3,7 +3,7 @@
 `write_archives` makes whole-file gzip streams, as many crawlers' tools do.  `normalise` inflates such a
 stream once, from front to back, and writes each record as a gzip member of its own next to a sidecar
 index of offsets, so that a record can then be read without the bytes before it.  `read_archives` reads
-by that index.  Bytes go through in pieces; a task holds one record at most.
+by that index.  Bytes go through in pieces; a task holds about a megabyte of records, or one record that is larger.
 
 Files are written under a unique name and only then listed in a table that Spark commits, so a task that
 is repeated or runs twice leaves at most a file that nobody refers to.
@@ -25,6 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.batches import slices
 from tickloom.llm.store import table
 
 CHUNK = 1 << 20
@@ -134,7 +135,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     The payload is the html in UTF-8, a null is empty.  Among records of equal payload with at least
     `min_bytes` bytes, the one with the smallest id is the response and the others revisit it; smaller
-    ones are all responses.  Repeated rows of that smallest id are all responses; null ids come last.
+    ones are all responses.  Repeated rows of that smallest id are all responses; null ids come last.  An
+    empty table writes no archive; a page of any length is one record; other columns are left out, so no
+    name can clash.
     """
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     page_id = pages[id_col].cast("long")
@@ -153,19 +156,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         system.create_dir(base, recursive=True)
         path = out = member = None
         count = held = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    path = f"{base}/{uuid.uuid4().hex}.warc.gz"
-                    out, member, count, held = system.open_output_stream(path, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
-                payload = row["html"].encode()
-                out.write(member.compress(record_bytes(row["page_id"], row["url"], payload, row["refers_to"], row["revisit"])))
-                count, held = count + 1, held + len(payload)
-                if held > ARCHIVE_BYTES:
-                    out.write(member.flush())
-                    out.close()
-                    out = None
-                    yield pa.RecordBatch.from_pydict({"path": [path], "records": [count]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+        for row in (r for whole in batches for part in slices(whole, 2) for r in part.to_pylist()):
+            if out is None:
+                path = f"{base}/{uuid.uuid4().hex}.warc.gz"
+                out, member, count, held = system.open_output_stream(path, compression=None), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
+            payload = row["html"].encode()
+            out.write(member.compress(record_bytes(row["page_id"], row["url"], payload, row["refers_to"], row["revisit"])))
+            count, held = count + 1, held + len(payload)
+            if held > ARCHIVE_BYTES:
+                out.write(member.flush())
+                out.close()
+                out = None
+                yield pa.RecordBatch.from_pydict({"path": [path], "records": [count]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
         if out is not None:
             out.write(member.flush())
             out.close()
