@@ -2,6 +2,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -39,8 +40,18 @@ def test_words_by_rounds_and_by_places_agree():
     rng = random.Random(2)
     model = sp.PieceModel(PATH)
     words = ["".join(rng.choice("▁aeinrstho") for _ in range(rng.randint(1, 400))) for _ in range(60)] + ["▁" * k for k in range(1, 70)]
-    for word, symbols in zip(words, model.merge_words(words), strict=True):
-        assert symbols.tolist() == model._long(word).tolist()
+    flat, sizes = model.merge_words(words)
+    assert flat.tolist() == [s for word in words for s in model._long(word).tolist()] and len(sizes) == len(words)
+
+
+def test_every_pair_is_found_and_no_other():
+    model, rng = sp.piece_model(PATH), np.random.default_rng(7)
+    left, right = (np.array([k >> shift & (1 << 20) - 1 for k in model.pairs], np.int64) for shift in (20, 0))
+    at = model.table.find(left, right)
+    assert [(r, m) for r, m in zip(model.table.ranks[at].tolist(), model.table.merged[at].tolist())] == list(model.pairs.values())
+    left, right = rng.integers(-5, 32000, 100_000), rng.integers(-5, 32000, 100_000)
+    want = [model.pairs.get(a << 20 | b, (int(sp._NONE),))[0] if min(a, b) >= 0 else int(sp._NONE) for a, b in zip(left.tolist(), right.tolist())]
+    assert model.table.ranks[model.table.find(left, right)].tolist() == want
 
 
 def test_long_unbroken_text_costs_what_it_touches():
@@ -59,13 +70,6 @@ def test_decoding_any_ids():
         assert model.decode(ids) == LIBRARY.decode(ids)
 
 
-def test_forgetting_keeps_ids_right(monkeypatch):
-    monkeypatch.setattr(sp, "REMEMBERED", 3)
-    model = sp.PieceModel(PATH)
-    for text in ("one two three four five", "six seven", "one two nine", ""):
-        assert model.encode(text) == LIBRARY.encode(text)
-
-
 def test_awkward_rows(awkward):
     rows = sp.encode_pieces(awkward, keep=True).collect()
     texts = [r["text"] or "" for r in awkward.collect()]

@@ -25,10 +25,10 @@ from tickloom.llm.batches import slices
 from tickloom.llm.merging import SHIFT, group_places, merge_sequence
 
 SPACE = "▁"
-#: Characters of new words that are merged together; longer words go by themselves.
+#: Characters of words that are merged together; longer words go by themselves.
 BATCH_CHARS, LONG = 1 << 16, 512
-#: Words and their characters that a worker remembers at most, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS, SHORT = 100_000, 2_000_000, 64
+#: Bytes and rows of texts that are coded together.
+SLICE_BYTES, SLICE_ROWS = 1 << 21, 1024
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.int64(1 << 40)
 #: A character that the vocabulary lacks is the symbol _UNKNOWN - its number.
@@ -37,6 +37,48 @@ _UNKNOWN = -2
 codecs.register_error("tickloom-each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+class PairTable:
+    """Ranks and merged symbols of known pairs, looked up for whole arrays in two hash tables without chains."""
+
+    BITS = 19
+
+    def __init__(self, pairs: dict[int, tuple[int, int]]):
+        keys = np.array(sorted(pairs), np.uint64)
+        self.keys = np.append(keys, np.uint64((1 << 64) - 1))
+        self.ranks = np.append(np.array([pairs[k][0] for k in keys.tolist()], np.int64), _NONE)
+        self.merged = np.append(np.array([pairs[k][1] for k in keys.tolist()], np.int64), 0)
+        if len(keys) > 1 << (self.BITS - 2):
+            raise ValueError("the vocabulary has too many pairs")
+        missing = len(keys)
+        self.factors, self.tables, left = [], [], np.arange(len(keys))
+        for factor in range(0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 + 20_000, 2):
+            place = self._place(keys[left], factor)
+            _, first = np.unique(place, return_index=True)
+            if self.tables and len(first) < len(left):
+                continue  # the second table has to take all that the first one could not
+            table = np.full(1 << self.BITS, missing, np.int32)
+            table[place[first]] = left[first]
+            self.factors.append(np.uint64(factor)), self.tables.append(table)
+            left = np.delete(left, first)
+            if not len(left):
+                break
+        if len(left):
+            raise ValueError("no hash places all pairs")
+
+    def _place(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(SHIFT))) * np.uint64(factor)
+        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.BITS)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places in `ranks` and `merged`; the last one where there is no such pair."""
+        keys = ((left << SHIFT) | right).view(np.uint64)  # a negative symbol gives a key that no table holds
+        at = self.tables[0][self._place(keys, self.factors[0])]
+        if len(self.tables) > 1:
+            other = self.tables[1][self._place(keys, self.factors[1])]
+            at = np.where(self.keys[at] == keys, at, other)
+        return np.where(self.keys[at] == keys, at, len(self.keys) - 1)
+
+
 class PieceModel:
     """The merge rules of one SentencePiece file of kind BPE with byte fallback, which leaves texts as they are."""
 
@@ -74,55 +116,46 @@ class PieceModel:
                 left, right = normal.get(piece[:cut]), normal.get(piece[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << SHIFT | right] = (rank_of[scores[k]], k)
-        keys = np.array(sorted(self.pairs), np.int64)
-        self.keys = np.append(keys, np.iinfo(np.int64).max)
-        self.ranks = np.append(np.array([self.pairs[k][0] for k in keys.tolist()], np.int64), _NONE)
-        self.merged = np.append(np.array([self.pairs[k][1] for k in keys.tolist()], np.int64), 0)
+        self.table = PairTable(self.pairs)
+        self.names = [str(k) for k in range(total)]
         self.first = _UNKNOWN - np.arange(0x110000, dtype=np.int64)
         for piece, k in normal.items():
             if len(piece) == 1:
                 self.first[ord(piece)] = k
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
-        self.held = 0
-
-    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, place in the table) of pairs; _NONE where there is no such pair."""
-        keys = np.where((left < 0) | (right < 0), np.int64(-1), (left << np.int64(SHIFT)) | right)
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[at] == keys, self.ranks[at], _NONE), at
 
     def symbols(self, text: str) -> np.ndarray:
         return self.first[np.frombuffer(text.encode("utf-32-le"), "<u4")]
 
-    def merge_words(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols of each (non-empty) word when no known pair is left."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, sizes): the symbols of each (non-empty) word when no known pair is left, one after another."""
         sizes = np.array([len(w) for w in words], np.int64)
         flat, ids = self.symbols("".join(words)), np.arange(len(words))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(ids):
             ends = np.cumsum(sizes)
             starts = ends - sizes
             right = np.append(flat[1:], -1)
             right[ends - 1] = -1
-            ranks, at = self._look(flat, right)
+            at = self.table.find(flat, right)
+            ranks = self.table.ranks[at]
             lowest = np.minimum.reduceat(ranks, starts)
             going = lowest < _NONE
             if not going.all():
-                for k in np.flatnonzero(~going):
-                    out[ids[k]] = flat[starts[k]:ends[k]]
                 keep = np.repeat(going, sizes)
+                done.append((ids[~going], sizes[~going], flat[~keep]))
                 flat, ranks, at, ids, sizes, lowest = flat[keep], ranks[keep], at[keep], ids[going], sizes[going], lowest[going]
                 if not len(ids):
                     break
             word = np.repeat(np.arange(len(ids)), sizes)
             hits = self._in_order(flat, at, word, np.flatnonzero(ranks == lowest[word]), lowest)
-            flat = flat.copy()
-            flat[hits] = self.merged[at[hits]]
+            flat[hits] = self.table.merged[at[hits]]
             keep = np.ones(len(flat), bool)
             keep[hits + 1] = False
             flat = flat[keep]
             sizes = sizes - np.bincount(word[hits], minlength=len(sizes))
-        return out
+        ids, sizes, flat = (np.concatenate(c) for c in zip(*done))
+        order = np.argsort(ids)
+        return gather(flat, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
 
     def _in_order(self, flat: np.ndarray, at: np.ndarray, word: np.ndarray, hits: np.ndarray, lowest: np.ndarray) -> np.ndarray:
         """The places of `hits` that merging one after another from the left takes before any other pair's turn."""
@@ -131,7 +164,7 @@ class PieceModel:
         fresh[1:] = np.diff(hits) > 1
         run = hits[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         hits = hits[(hits - run) % 2 == 0]
-        made, own, n = self.merged[at[hits]], word[hits], len(flat)
+        made, own, n = self.table.merged[at[hits]], word[hits], len(flat)
         behind = np.minimum(hits + 2, n - 1)
         follower = np.where((hits + 2 < n) & (word[behind] == own), flat[behind], -1)
         ahead = np.maximum(hits - 1, 0)
@@ -139,60 +172,70 @@ class PieceModel:
         touching = np.zeros(len(hits), bool)
         touching[1:] = (np.diff(hits) == 2) & (own[1:] == own[:-1])
         leader[1:] = np.where(touching[1:], made[:-1], leader[1:])
-        turn = np.minimum(self._look(made, follower)[0], self._look(leader, made)[0]) <= lowest[own]
+        ranks = self.table.ranks
+        turn = np.minimum(ranks[self.table.find(made, follower)], ranks[self.table.find(leader, made)]) <= lowest[own]
         done = np.cumsum(turn) - turn
         first = np.searchsorted(own, own)  # the first hit of the same word
         return hits[done == done[first]]
 
     def _long(self, word: str) -> np.ndarray:
         flat = self.symbols(word)
-        ranks, _ = self._look(flat, np.append(flat[1:], -1))
+        ranks = self.table.ranks[self.table.find(flat, np.append(flat[1:], -1))]
         return np.array(merge_sequence(flat.tolist(), group_places(ranks, int(_NONE)), self.pairs), np.int64)
 
-    def ids(self, symbols: np.ndarray) -> list[int]:
-        out: list[int] = []
-        for s in symbols.tolist():
-            out.extend([s] if s >= 0 else self.of_byte[list(chr(_UNKNOWN - s).encode())].tolist())
-        return out
-
-    def _learned(self, words: Iterable[str]) -> dict[str, tuple[int, bytes, bytes]]:
-        """(tokens, ids as text, bytes written) of every word."""
-        found: dict[str, tuple[int, bytes, bytes]] = {}
+    def _with_bytes(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that the vocabulary lacks as the pieces of their bytes."""
+        unknown = np.flatnonzero(flat < 0)
+        if not len(unknown):
+            return flat, sizes
+        coded = [self.of_byte[list(chr(_UNKNOWN - s).encode())] for s in flat[unknown].tolist()]
+        many = np.ones(len(flat), np.int64)
+        many[unknown] = [len(c) for c in coded]
+        out = np.repeat(flat, many)
+        out[np.repeat(flat < 0, many)] = np.concatenate(coded)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        return out, np.bincount(word, many, len(sizes)).astype(np.int64)
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of any length, in order."""
+        parts, batch, size = [], [], 0
+
+        def close() -> None:
+            nonlocal batch, size
+            if batch:
+                parts.append(self.merge_words(batch))
+            batch, size = [], 0
 
-        def add(words: list[str], merged: list[np.ndarray]) -> None:
-            for w, symbols in zip(words, merged, strict=True):
-                ids = self.ids(symbols)
-                found[w] = (len(ids), ",".join(map(str, ids)).encode(), b"".join(map(self.written.__getitem__, ids)))
-
-        batch, size = [], 0
         for w in words:
             if len(w) > LONG:
-                add([w], [self._long(w)])
+                close()
+                symbols = self._long(w)
+                parts.append((symbols, np.array([len(symbols)])))
                 continue
             batch.append(w)
             size += len(w)
             if size > BATCH_CHARS:
-                add(batch, self.merge_words(batch))
-                batch, size = [], 0
-        if batch:
-            add(batch, self.merge_words(batch))
-        return found
+                close()
+        close()
+        return self._with_bytes(*(np.concatenate(c) for c in zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def coded(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
-        """(tokens, ids as comma-joined text, decoded UTF-8) of whole texts, in order."""
-        split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = self._learned({w for words in split for w in words if w not in self.known})
-        known = self.known if not new else _Both(new, self.known)
-        for words in split:
-            parts = [known[w] for w in words]
-            yield sum(p[0] for p in parts), b",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])[1:]
-        short = {w: c for w, c in new.items() if len(w) <= SHORT}
-        size = sum(map(len, short))
-        if len(self.known) + len(short) > REMEMBERED or self.held + size > REMEMBERED_CHARS:
-            self.known, self.held = {}, 0
-        if len(short) <= REMEMBERED and size <= REMEMBERED_CHARS:
-            self.known.update(short)
-            self.held += size
+        """(tokens, ids as comma-joined text, decoded UTF-8) of whole texts, in order; equal words are merged once."""
+        place: dict[str, int] = {}
+        counts, at = [], []
+        for text in texts:
+            found = _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            counts.append(len(found))
+            at.extend([place.setdefault(w, len(place)) for w in found])
+        flat, sizes = self._merged(list(place))
+        at = np.array(at, np.int64)
+        tokens = gather(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
+        ends = np.append(0, np.cumsum(sizes[at]))[np.cumsum(counts, dtype=np.int64)] if len(texts) else []
+        names, written, start = self.names, self.written, 0
+        for end in ends:
+            ids = tokens[start:end].tolist()
+            yield len(ids), ",".join([names[k] for k in ids]).encode(), b"".join([written[k] for k in ids])[1:]
+            start = end
 
     def encode(self, text: str) -> list[int]:
         (_, joined, _), = self.coded([text])
@@ -204,15 +247,10 @@ class PieceModel:
         return joined.removeprefix(b" ").decode("utf-8", "tickloom-each-byte")
 
 
-class _Both(dict):
-    """New words in front of those that are remembered."""
-
-    def __init__(self, new: dict, old: dict):
-        super().__init__(new)
-        self.old = old
-
-    def __missing__(self, key: str):
-        return self.old[key]
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start:start + size] one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
 @lru_cache(maxsize=2)
@@ -239,7 +277,7 @@ def encode_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(public_tokenizers.path(vocabulary))
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE_BYTES, SLICE_ROWS):
                 counts, ids, decoded, kept, texts = [], [], [], [], []
                 for n, joined, written in model.coded([t or "" for t in batch.column(1).to_pylist()]):
                     counts.append(n)
