@@ -4,11 +4,29 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tickloom.llm import alignment as al
 
 TOKENIZERS = al.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+LIBRARY.encode_special_tokens = True
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.text(alphabet=" \n\x1c\x1f\x85\u2028\u200b's1²½", max_size=30), min_size=1, max_size=4))
+def test_ids_equal_the_libraries(texts):
+    a, b = TOKENIZERS.encode(texts)
+    for text, own, other in zip(texts, a, b, strict=True):
+        if not text or "▁" in text:
+            assert own == other == []
+            continue
+        assert own == LIBRARY.encode(" " + text, add_special_tokens=False).ids
+        assert other == TOKENIZERS.b.encode(text)
+
 
 def brute(texts):
     """Facts per text, and documents per pair, token by token."""

@@ -14,7 +14,7 @@ is put together from those (`documents_of`).
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,6 +24,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,21 +45,34 @@ PARTS, TASK_BYTES = 64, 16 << 20
 _HEAD = struct.Struct("<IIQ")
 
 
+def byte_encoding(path: str) -> tuple[tiktoken.Encoding, list[bytes]]:
+    """The encoder of a byte-level vocabulary file and the bytes of its ids, special tokens left out.
+
+    It merges by the ids of the file, which is the same where ids follow the order of the merges; that is checked.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    vocab, of_char = spec["model"]["vocab"], printable_bytes()
+    special = {t["content"] for t in spec["added_tokens"]}
+    tokens = {bytes(of_char[c] for c in token): k for token, k in vocab.items() if token not in special}
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    if merged != sorted(merged) or len(merged) != len(set(merged)) or spec["normalizer"] is not None:
+        raise ValueError("the ids of the vocabulary do not follow its merges")
+    encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens, special_tokens={})
+    out = [b""] * (max(vocab.values()) + 1)
+    for data, k in tokens.items():
+        out[k] = data
+    return encoding, out
+
+
 class Tokenizers:
     """Ids of both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
-        of_char = printable_bytes()
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for token, k in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[k] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
+        self.a, self.a_bytes = byte_encoding(a_path)
         total = self.b.vocab_size()
         self.b_bytes = [
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode()
@@ -75,10 +89,8 @@ class Tokenizers:
         """Ids of A and B per text; both empty where a text has none or the bytes of either differ from it."""
         at = [k for k, t in enumerate(texts) if t]
         a, b = [[] for _ in texts], [[] for _ in texts]
-        coded_a = self.a.encode_batch([" " + texts[k] for k in at], add_special_tokens=False)
-        coded_b = self.b.encode([texts[k] for k in at], num_threads=1)
-        for k, one, other in zip(at, coded_a, coded_b, strict=True):
-            data, ids = (" " + texts[k]).encode(), one.ids
+        for k, other in zip(at, self.b.encode([texts[k] for k in at], num_threads=1), strict=True):
+            data, ids = (" " + texts[k]).encode(), self.a.encode_ordinary(" " + texts[k])
             if b"".join(map(self.a_bytes.__getitem__, ids)) == data == b"".join(map(self.b_bytes.__getitem__, other)):
                 a[k], b[k] = ids, other
         return a, b
