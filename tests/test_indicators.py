@@ -161,27 +161,55 @@ def test_targets_are_the_one_day_return_some_rows_ahead(bars):
     assert (one["direction_5d"][695:] == 0).all()
 
 
-def test_encoding_keeps_the_schema_with_too_few_sequences(bars):
-    data = seq.with_sequences(seq.return_targets(seq.sequence_inputs(bars, SMALL), SMALL), layout=SMALL)
-    few = seq.encode(data, F.col("rn") < 100)
-    assert few.filter("lstm_dir_5d <> 0.5 or lstm_price_5d <> close").count() == 0
-    full = seq.encode(data, F.col("rn") < 600)
-    assert [c for c in full.columns if c.startswith("lstm_")] and full.filter("lstm_latent_0 is null").count() == 0
-    assert full.count() == data.count()
-
-
-def test_fold_encoding_is_fitted_on_training_rows_and_joins_back(bars):
+def test_encoding_learns_from_training_rows_only():
+    rng = np.random.default_rng(5)
+    x, close, train = rng.normal(size=(360, 4)), 100 + rng.random(360), np.arange(360) < 280
+    made = seq.encode_rows(x, close, train)
+    learned = np.arange(seq.WINDOW_ROWS - 1, 280 - max(seq.HORIZONS))
+    latents = np.stack([made[f"latent_{i}"] for i in range(seq.LATENTS)], axis=1)
+    np.testing.assert_allclose(latents[learned].mean(axis=0), 0, atol=1e-9)
+    # Principal components: uncorrelated, with the largest eigenvalues of the windows' covariance.
+    z = (x - x[:280].mean(axis=0)) / x[:280].std(axis=0)
+    windows = np.array([z[k - seq.WINDOW_ROWS + 1:k + 1].ravel() for k in learned])
+    values = np.sort(np.linalg.eigvalsh(np.cov(windows.T)))[::-1][:seq.LATENTS]
+    np.testing.assert_allclose(np.cov(latents[learned].T), np.diag(values), atol=1e-8)
+    # What happens after the training rows changes nothing inside them.
+    other = x.copy()
+    other[280:] = 9.0
+    again = seq.encode_rows(other, close, train)
+    for name in made:
+        np.testing.assert_allclose(made[name][:280], again[name][:280], atol=1e-12)
+    assert all((made[name][:seq.WINDOW_ROWS] == made[name][seq.WINDOW_ROWS - 1]).all() for name in ("latent_0", "return_5d", "dir_20d"))
+    np.testing.assert_allclose(made["price_10d"], close * (1 + made["return_10d"]))
+
+
+def test_encoded_returns_are_ridge_regressions():
+    rng = np.random.default_rng(6)
+    z, y = rng.normal(size=(80, 3)), rng.normal(size=80)
+    w = seq._ridge(z, y, 0.1)
+    error = w[0] + z @ w[1:] - y
+    assert abs(error.sum()) < 1e-9
+    np.testing.assert_allclose(z.T @ error + 0.1 * 80 * w[1:], 0, atol=1e-9)
+    t = (y > 0).astype(float)
+    w = seq._logistic(z, t, 0.1)
+    error = 1 / (1 + np.exp(-(w[0] + z @ w[1:]))) - t
+    np.testing.assert_allclose(z.T @ error + 0.1 * 80 * w[1:], 0, atol=1e-6)
+
+
+def test_folds_are_encoded_side_by_side_and_joined_back(bars):
     from tickloom.operators import folds
     from tickloom.settings import Settings
 
-    s = Settings(n_splits=2, train_rows=300, val_rows=60, min_val=20)
     rows = folds.labelled_rows(bars.withColumn("target", F.lit(1.0)), ["close"], SMALL)
-    members = folds.fold_members(rows, s)
-    data = seq.fold_sequences(members, seq.sequence_inputs(bars, SMALL))
-    last = data.filter("role = 'train'").groupBy("ticker", "fold").agg(F.count_if(F.col("return_20d").isNull()).alias("n")).collect()
-    assert {r["n"] for r in last} == {20}
-    out = seq.encode_folds(data, [1, 2])
-    assert out.count() == members.count() and out.filter("lstm_latent_0 is null or lstm_dir_5d not between 0 and 1").count() == 0
-    neutral = seq.placeholder_columns(members)
-    merged = seq.overwrite_columns(neutral, out, ["lstm_latent_0", "lstm_return_5d"])
-    assert merged.count() == members.count() and merged.filter("lstm_latent_0 <> 0").count() > 0
+    keys = ("ticker", "fold", "rn")
+    for s, few in ((Settings(n_splits=2, train_rows=300, val_rows=60, min_val=20), False), (Settings(n_splits=2, train_rows=120, val_rows=60, min_val=20), True)):
+        members = folds.fold_members(rows, s)
+        out = seq.encode_folds(members, seq.sequence_inputs(bars, SMALL))
+        assert out.columns == [*keys, *seq.sequence_columns()] and out.select(*keys).distinct().count() == members.count()
+        assert out.filter("lstm_latent_0 is null or lstm_dir_5d not between 0 and 1").count() == 0
+        # Too few windows give the neutral columns.
+        assert (out.filter("lstm_latent_0 <> 0 or lstm_dir_5d <> 0.5").count() == 0) == few
+        merged = seq.overwrite_columns(seq.placeholder_columns(members), out, ["lstm_latent_0", "lstm_return_5d"], keys)
+        assert merged.count() == members.count() and (merged.filter("lstm_latent_0 <> 0").count() == 0) == few
+    assert seq.encode_folds(members.limit(0), seq.sequence_inputs(bars, SMALL)).count() == 0
+

@@ -15,57 +15,33 @@ FORECASTS = ("forecast_recommendations", "forecast_fold_results", "forecast_run_
 
 @pytest.mark.parametrize("name", FORECASTS)
 def test_forecast_queries_fit_the_default_setting(name, monkeypatch):
-    def forecast(market, *rest, setting=models.BoostSetting(), max_trees=None, **more):
-        raise Called(setting, max_trees)
+    def forecast(market, *rest, setting=models.BoostSetting(), **more):
+        raise Called(setting, rest)
 
     monkeypatch.setattr(queries, "market", lambda spark, sf: None)
     monkeypatch.setattr(queries, "forecast", forecast)
     with pytest.raises(Called) as call:
         queries.QUERIES[name](None, "")
-    assert call.value.args == (models.BoostSetting(), None)
+    assert call.value.args == (models.BoostSetting(), ())
     assert models.BoostSetting().trees == 600
 
 
-def test_importance_is_that_of_the_default_setting(monkeypatch):
-    class Market:
-        def members(self):
-            return self
-
-        def agg(self, *_):
-            return self
-
-        def first(self):
-            return [1]
-
-    def fit(rows, setting, *rest, **more):
-        raise Called(setting)
-
-    monkeypatch.setattr(queries, "market", lambda spark, sf: Market())
-    monkeypatch.setattr(queries.F, "max", lambda c: c)
-    monkeypatch.setattr(queries, "_fold_rows", lambda *a: None)
-    monkeypatch.setattr(models, "fit_boosted", fit)
-    with pytest.raises(Called) as call:
-        queries.QUERIES["feature_importance"](None, "")
-    assert call.value.args == (models.BoostSetting(),)
-
-
 def test_tuning_compares_the_candidates_as_they_are(monkeypatch):
-    def tune(rows, settings, *rest, **more):
-        raise Called(settings, rest, more)
+    def tune(rows, names, settings, *rest, **more):
+        raise Called(settings, more)
 
     class Rows:
-        agg = first = lambda self, *_: self
-        members = lambda self: self
-        __getitem__ = lambda self, k: 1
-
-    monkeypatch.setattr(queries, "market", lambda spark, sf: Rows())
-    monkeypatch.setattr(queries.folds, "usable", lambda m: m)
-    monkeypatch.setattr(queries.F, "min", lambda c: c)
-    monkeypatch.setattr(queries, "_fold_rows", lambda *a: None)
+        agg = join = lambda self, *_: self
+
+    monkeypatch.setattr(queries, "market", lambda spark, sf: None)
+    monkeypatch.setattr(queries, "fold_rows", lambda m: (Rows(), ["x"]))
+    monkeypatch.setattr(queries, "keeper", lambda m: None)
+    monkeypatch.setattr(queries.F, "min", lambda c: queries.F)
+    monkeypatch.setattr(queries.F, "alias", lambda c: c, raising=False)
     monkeypatch.setattr(models, "tune", tune)
     with pytest.raises(Called) as call:
         queries.QUERIES["tuned_setting"](None, "")
-    assert call.value.args == (models.tuning_candidates("low"), (), {})
+    assert call.value.args == (models.tuning_candidates("low"), {})
 
 
 def test_elimination_runs_with_its_defaults_over_the_technical_columns(monkeypatch):

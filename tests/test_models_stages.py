@@ -1,11 +1,8 @@
-import dataclasses
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import evaluation, models
-from tickloom.settings import Settings
+from tickloom.operators import models
 from tickloom.sources import bars as bar_source
 from tickloom.sources.stages import Stages, fingerprint, fold_keys, payload_key
 
@@ -20,10 +17,7 @@ def rows(spark):
             y = float(x[0] + 0.5 * x[1] + rng.normal() * 0.5 > 0.6)
             data.append((t, 1, i + 1, "train" if i < 120 else "val", *map(float, x), y, 0.01 if y else -0.008, 1.0))
     df = spark.createDataFrame(data, "ticker string, fold int, rn long, role string, a double, b double, c double, target double, ret double, weight double")
-    return models.with_vector(df, ["a", "b", "c"]).persist()
-
-
-QUICK = models.BoostSetting(depth=2, learning_rate=0.3, trees=4, rows=1.0, columns=1.0, leaf_weight=1)
+    return df.persist()
 
 
 def test_budgets_and_risky_pairs():
@@ -43,64 +37,6 @@ def test_candidates_stop_early_and_discarded_ones_do_not_count():
     assert models.pick_candidate([(0, None)]) is None
 
 
-def test_boosted_scores_rank_better_than_chance_and_repeat(rows):
-    model = models.fit_boosted(rows, QUICK, seed=7)
-    val = rows.filter("role = 'val'")
-    first = models.probability(model, val, "p")
-    assert first.filter("p < 0 or p > 1").count() == 0
-    assert all(r["auc"] > 0.7 for r in evaluation.roc_auc(first).collect())
-    again = models.probability(models.fit_boosted(rows, QUICK, seed=7), val, "p")
-    key = lambda d: sorted((r["ticker"], r["rn"], r["p"]) for r in d.select("ticker", "rn", "p").collect())
-    assert key(first) == key(again)
-
-
-def test_tuning_discards_losing_candidates(rows):
-    losing = rows.withColumn("ret", F.lit(-0.01))
-    chosen, table = models.tune(losing, [QUICK], max_trees=2)
-    assert chosen is None and table.first()["n_discarded"] == 2
-    chosen, _ = models.tune(rows, [QUICK, dataclasses.replace(QUICK, depth=1)], Settings(target_coverage=0.3), max_trees=3)
-    assert chosen in (QUICK, dataclasses.replace(QUICK, depth=1))
-
-
-def test_regime_pair_scores_every_row_once(rows):
-    marked = rows.withColumn("high_vol", F.col("a") > 0)
-    for least in (10, 10_000):
-        score = models.fit_regime_pair(marked, QUICK, least=least)
-        assert score(marked.filter("role = 'val'")).select("ticker", "rn").distinct().count() == 120
-
-
-def test_calibration_part_is_the_last_fifth_with_both_classes(spark):
-    data = [("A", 1, i + 1, float(i % 2), 0.2 + 0.6 * (i % 2)) for i in range(120)] + [("B", 1, i + 1, 0.0, 0.5) for i in range(120)]
-    data += [("C", 1, i + 1, float(i % 2), 0.5) for i in range(90)]
-    df = spark.createDataFrame(data, "ticker string, fold int, rn long, target double, p_raw double")
-    part = models.calibration_rows(df, 0.30)
-    got = part.groupBy("ticker").agg(F.count("*").alias("n"), F.min("rn").alias("lo")).collect()
-    assert [(r["ticker"], r["n"], r["lo"]) for r in got] == [("A", 36, 85)]
-
-
-def test_calibrators_are_monotone_and_refuse_small_input(spark):
-    rng = np.random.default_rng(3)
-    p = rng.random(300)
-    y = (rng.random(300) < p ** 2).astype(float)
-    df = spark.createDataFrame([("A", 1, i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(p, y))], "ticker string, fold int, rn long, p_raw double, target double")
-    for method in ("isotonic", "sigmoid"):
-        fn, reason = models.fit_calibrator(df, method)
-        out = fn(df).select("p_raw", "p_cal").toPandas().sort_values("p_raw").p_cal.to_numpy()
-        assert reason == "ok" and (np.diff(out) >= -1e-12).all() and out.min() >= 1e-6 and out.max() <= 1 - 1e-6
-    assert models.fit_calibrator(df.limit(59)) == (None, "insufficient_data_or_single_class")
-    assert models.fit_calibrator(df.withColumn("target", F.lit(1.0)))[0] is None
-
-
-def test_sigmoid_replaces_isotonic_only_when_alarmed_and_better(spark):
-    bad = spark.createDataFrame([(1, 0.9, 0.0)] * 10, "fold int, p_cal double, target double")
-    good = spark.createDataFrame([(1, 0.1, 0.0)] * 10, "fold int, p_cal double, target double")
-    worse = spark.createDataFrame([(1, 0.95, 0.0)] * 10, "fold int, p_cal double, target double")
-    row = models.choose_calibration(bad, good).first()
-    assert (row["calibration_method"], row["calibration_reason"]) == ("sigmoid", "fallback_from_isotonic_ece")
-    assert models.choose_calibration(bad, worse).first()["calibration_reason"] == "ok|sigmoid_not_better"
-    assert models.choose_calibration(good, bad).first()["calibration_reason"] == "ok"
-
-
 def test_synthetic_rows_balance_the_classes_inside_the_minority(spark):
     rng = np.random.default_rng(1)
     data = [("A", 1, float(v[0]), float(v[1]), float(i < 30)) for i, v in enumerate(rng.normal(size=(150, 2)))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -82,6 +82,34 @@ def resolve_contract(
     )
 
 
+def run_contract(
+    df: DataFrame, seed: Sequence[str] = SEED_FEATURES, threshold: float = 0.98, known: Sequence[str] = (), persistent: Sequence[str] = (),
+    min_features: int = 15,
+) -> FeatureContract:
+    """The columns a model may use: twins, correlated and weak columns go, what is left of the request stays.
+
+    A constant column has no correlation and goes for none.
+    """
+    left, _ = drop_twins(df)
+    left, by_corr = drop_correlated(left, threshold)
+    left, weak = drop_low_importance(left, known, persistent)
+    return resolve_contract(left, seed, by_corr, weak, min_features)
+
+
+def contract_rows(contract: FeatureContract, spark: SparkSession) -> DataFrame:
+    """(part, position, feature): the name lists of a contract as a table."""
+    rows = [(part, k, name) for part, names in vars(contract).items() for k, name in enumerate(names, 1)]
+    return spark.createDataFrame(rows, "part string, position int, feature string")
+
+
+def contract_of(rows: DataFrame) -> FeatureContract:
+    """The contract that ``contract_rows`` wrote down."""
+    found: dict[str, list[str]] = {part: [] for part in FeatureContract.__dataclass_fields__}
+    for r in rows.orderBy("part", "position").collect():  # names only
+        found[r["part"]].append(r["feature"])
+    return FeatureContract(**{part: tuple(names) for part, names in found.items()})
+
+
 def feature_columns(df: DataFrame, contract: FeatureContract | None = None, seed: Sequence[str] = SEED_FEATURES) -> list[str]:
     """Columns of the contract that are present, without ``tcn_`` twins of an ``lstm_`` column."""
     cols = [c for c in (contract.final if contract else seed) if c in df.columns]

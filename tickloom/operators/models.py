@@ -1,58 +1,52 @@
-"""Fitting and calibrating classifiers on folds.
+"""Settings, tuning and regimes of the classifiers, feature elimination and synthetic rows.
 
-One model per fold is fitted on the training rows of all tickers of that fold, as a
-distributed job; independent fits run from a small pool of driver threads.  Only model
-objects and tables of a few rows (settings, features, folds) come to the driver.
+Trees are grown for all models of a call at once (``boosting``): a fold, a regime of a fold and a candidate
+setting are keys of one table.  Only settings, tree tables of the models at hand and tables of a few rows come
+to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import KEY, ROW
+from tickloom.functions.series import KEY
+from tickloom.operators import boosting
 from tickloom.operators.backtest import with_costs
-from tickloom.operators.evaluation import average_precision, brier_score, calibration_error, roc_auc
+from tickloom.operators.boosting import BoostSetting
+from tickloom.operators.evaluation import average_precision, roc_auc
 from tickloom.operators.signals import search_thresholds, threshold_signal
 from tickloom.settings import Settings
 
-# Settings tried by the tuning, in order: depth, learning rate, number of
-# trees, share of rows per tree, share of columns per tree, least weight of a leaf.
+# Settings tried by the tuning, in order: depth, learning rate, number of trees, share of rows
+# per tree, share of columns per tree, least weight of a leaf, least gain, L1 and L2 penalty.
 CANDIDATES = (
-    (4, 0.03, 450, 0.80, 0.80, 3), (5, 0.025, 500, 0.82, 0.82, 3), (6, 0.02, 600, 0.85, 0.85, 2),
-    (4, 0.02, 700, 0.88, 0.86, 4), (5, 0.018, 750, 0.84, 0.84, 2), (3, 0.035, 400, 0.78, 0.78, 5),
-    (6, 0.015, 900, 0.80, 0.80, 3), (5, 0.03, 450, 0.90, 0.88, 2), (4, 0.04, 350, 0.85, 0.75, 4),
-    (6, 0.025, 550, 0.92, 0.90, 1), (7, 0.018, 700, 0.78, 0.82, 3), (5, 0.015, 950, 0.86, 0.88, 2),
-    (3, 0.025, 600, 0.82, 0.72, 6), (6, 0.03, 420, 0.88, 0.92, 2), (4, 0.018, 820, 0.76, 0.80, 5),
-    (5, 0.022, 680, 0.90, 0.78, 3), (7, 0.014, 1000, 0.80, 0.86, 2), (4, 0.028, 500, 0.94, 0.94, 2),
-    (3, 0.02, 780, 0.88, 0.76, 7), (8, 0.012, 1100, 0.74, 0.78, 3), (2, 0.05, 320, 0.90, 0.90, 8),
-    (6, 0.017, 760, 0.84, 0.90, 1), (5, 0.027, 540, 0.87, 0.83, 4), (4, 0.016, 980, 0.79, 0.79, 6),
-    (7, 0.02, 620, 0.91, 0.87, 2), (6, 0.01, 1300, 0.82, 0.82, 4), (5, 0.035, 360, 0.93, 0.90, 2),
-    (3, 0.03, 520, 0.81, 0.74, 7), (8, 0.015, 900, 0.76, 0.84, 3),
+    (4, 0.03, 450, 0.80, 0.80, 3, 0.30, 0.25, 1.10), (5, 0.025, 500, 0.82, 0.82, 3, 0.25, 0.20, 1.00),
+    (6, 0.02, 600, 0.85, 0.85, 2, 0.20, 0.20, 1.00), (4, 0.02, 700, 0.88, 0.86, 4, 0.35, 0.30, 1.20),
+    (5, 0.018, 750, 0.84, 0.84, 2, 0.22, 0.22, 1.05), (3, 0.035, 400, 0.78, 0.78, 5, 0.40, 0.35, 1.30),
+    (6, 0.015, 900, 0.80, 0.80, 3, 0.28, 0.28, 1.15), (5, 0.03, 450, 0.90, 0.88, 2, 0.18, 0.15, 0.95),
+    (4, 0.04, 350, 0.85, 0.75, 4, 0.45, 0.40, 1.40), (6, 0.025, 550, 0.92, 0.90, 1, 0.12, 0.10, 0.90),
+    (7, 0.018, 700, 0.78, 0.82, 3, 0.24, 0.20, 1.30), (5, 0.015, 950, 0.86, 0.88, 2, 0.20, 0.18, 1.05),
+    (3, 0.025, 600, 0.82, 0.72, 6, 0.50, 0.45, 1.50), (6, 0.03, 420, 0.88, 0.92, 2, 0.16, 0.12, 0.85),
+    (4, 0.018, 820, 0.76, 0.80, 5, 0.34, 0.30, 1.25), (5, 0.022, 680, 0.90, 0.78, 3, 0.26, 0.22, 1.00),
+    (7, 0.014, 1000, 0.80, 0.86, 2, 0.22, 0.25, 1.20), (4, 0.028, 500, 0.94, 0.94, 2, 0.10, 0.08, 0.80),
+    (3, 0.02, 780, 0.88, 0.76, 7, 0.55, 0.55, 1.60), (8, 0.012, 1100, 0.74, 0.78, 3, 0.30, 0.22, 1.30),
+    (2, 0.05, 320, 0.90, 0.90, 8, 0.60, 0.60, 1.80), (6, 0.017, 760, 0.84, 0.90, 1, 0.14, 0.10, 0.95),
+    (5, 0.027, 540, 0.87, 0.83, 4, 0.29, 0.27, 1.10), (4, 0.016, 980, 0.79, 0.79, 6, 0.38, 0.34, 1.35),
+    (7, 0.02, 620, 0.91, 0.87, 2, 0.18, 0.14, 0.92), (6, 0.01, 1300, 0.82, 0.82, 4, 0.25, 0.20, 1.15),
+    (5, 0.035, 360, 0.93, 0.90, 2, 0.11, 0.10, 0.88), (3, 0.03, 520, 0.81, 0.74, 7, 0.52, 0.50, 1.55),
+    (8, 0.015, 900, 0.76, 0.84, 3, 0.27, 0.23, 1.22),
 )
 BUDGET = {"low": 8, "medium": 18, "high": 30}
 
 
-@dataclass(frozen=True)
-class BoostSetting:
-    depth: int = 6
-    learning_rate: float = 0.02
-    trees: int = 600
-    rows: float = 0.85
-    columns: float = 0.85
-    leaf_weight: int = 2
-
-
 @dataclass(frozen=True)
 class TuningGates:
     """Gates and weights of the tuning score."""
@@ -80,68 +74,28 @@ def effective_seed(base: int, fold: int = 0, candidate: int = 0, stochastic: boo
     return base + fold * 100 + candidate if stochastic else base
 
 
-# --- fitting ---------------------------------------------------------------------------------
+# --- regimes and features ------------------------------------------------------------------------
 
-def with_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="keep").transform(df)
+def with_sides(rows: DataFrame, keys: Sequence[str] = ("fold",), least: int = 126) -> DataFrame:
+    """``side``: high or low by ``high_vol``; all where a side has fewer than ``least`` training rows in the fold."""
+    train = F.col("role") == "train"
+    counts = rows.groupBy(*keys).agg(F.count_if(train & F.col("high_vol")).alias("_high"), F.count_if(train & ~F.col("high_vol")).alias("_low"))
+    split = (F.col("_high") >= least) & (F.col("_low") >= least)
+    return rows.join(counts, list(keys)).withColumn(
+        "side", F.when(~split, "all").when(F.col("high_vol"), "high").otherwise("low")).drop("_high", "_low")
 
 
-def probability(model, df: DataFrame, out: str = "p_raw") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop(
-        "rawPrediction", "probability", "prediction"
-    )
-
-
-def fit_boosted(
-    rows: DataFrame, setting: BoostSetting, seed: int = 42, max_trees: int | None = None, weight: str | None = "weight"
-):
-    """Boosted trees on rows with vector ``x``, label ``target`` and ``role``; stops early on the
-    validation rows."""
-    booster = GBTClassifier(
-        featuresCol="x", labelCol="target", maxDepth=setting.depth, stepSize=setting.learning_rate,
-        maxIter=min(setting.trees, max_trees or setting.trees), subsamplingRate=setting.rows,
-        featureSubsetStrategy=str(setting.columns), minInstancesPerNode=setting.leaf_weight, seed=seed,
-        validationIndicatorCol="_val", validationTol=0.0,
-    )
-    if weight:
-        booster = booster.setWeightCol(weight)
-    return booster.fit(rows.withColumn("_val", F.col("role") == "val"))
-
-
-def in_parallel(fn: Callable, items: Iterable, threads: int = 4) -> list:
-    """Independent Spark jobs from a few driver threads."""
-    with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(fn, items))
-
-
-def fit_regime_pair(rows: DataFrame, setting: BoostSetting, seed: int = 42, max_trees: int | None = None, least: int = 126):
-    """One model for calm and one for volatile rows (``high_vol``); one for all rows when a
-    side has fewer than ``least`` training rows.  Returns a function scoring rows."""
-    counts = rows.filter("role = 'train'").agg(
-        F.count_if("high_vol").alias("high"), F.count_if(~F.col("high_vol")).alias("low")
-    ).first()
-    if min(counts["high"], counts["low"]) < least:
-        model = fit_boosted(rows, setting, seed, max_trees)
-        return lambda df: probability(model, df)
-    low, high = in_parallel(
-        lambda side: fit_boosted(rows.filter(F.col("high_vol") == side), setting, seed, max_trees), (False, True)
-    )
-    return lambda df: probability(low, df.filter(~F.col("high_vol"))).unionByName(probability(high, df.filter("high_vol")))
-
-
-def feature_importance(model, features: Sequence[str], spark, top: int = 15) -> DataFrame:
-    """Features by importance, the ``top`` first; ``weak`` marks those below one percent."""
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").withColumn(
-        "weak", F.col("importance") < 0.01
-    ).orderBy(F.desc("importance"), "feature").limit(top)
+def feature_importance(trees: DataFrame, features: Sequence[str], keys: Sequence[str] = ("fold",), top: int = 15) -> DataFrame:
+    """Features of one model by importance, the ``top`` first; ``weak`` marks those below one percent."""
+    return boosting.importance(trees, features, keys).select(
+        "feature", "importance", (F.col("importance") < 0.01).alias("weak")).orderBy(F.desc("importance"), "feature").limit(top)
 
 
 def eliminate_features(rows: DataFrame, features: Sequence[str], keep: int = 12, trees: int = 100, depth: int = 5, seed: int = 42) -> list[str]:
     """Drop the weakest feature of a random forest, refit, until ``keep`` are left."""
     left = list(features)
     while len(left) > keep:
-        data = with_vector(rows.drop("x"), left)
+        data = VectorAssembler(inputCols=left, outputCol="x", handleInvalid="keep").transform(rows.drop("x"))
         forest = RandomForestClassifier(featuresCol="x", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
         left.pop(int(np.argmin(forest.featureImportances.toArray())))
     return left
@@ -203,65 +157,6 @@ def synthetic_minority(rows: DataFrame, features: Sequence[str], seed: int = 42)
     return rows.select(KEY, "fold", *cols, "target").groupBy(KEY, "fold").applyInPandas(balance, schema)
 
 
-# --- calibration -------------------------------------------------------------------------------
-
-def calibration_rows(scored: DataFrame, ratio: float = 0.2, keys: Sequence[str] = (KEY, "fold")) -> DataFrame:
-    """The last part of each fold's training rows, kept only with at least 100 rows in the
-    fold, 30 in the part and both classes in it."""
-    ratio = min(0.30, max(0.10, ratio))
-    order, whole = Window.partitionBy(*keys).orderBy(ROW), Window.partitionBy(*keys)
-    part = scored.withColumns({
-        "_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole),
-    }).filter((F.col("_n") >= 100) & (F.col("_k") > F.floor(F.col("_n") * (1 - ratio))))
-    return part.withColumns({
-        "_m": F.count(F.lit(1)).over(whole), "_lo": F.min("target").over(whole), "_hi": F.max("target").over(whole),
-    }).filter((F.col("_m") >= 30) & (F.col("_lo") < F.col("_hi"))).drop("_k", "_n", "_m", "_lo", "_hi")
-
-
-def clip_probability(p: Column) -> Column:
-    return F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-
-
-def fit_calibrator(rows: DataFrame, method: str = "isotonic", p: str = "p_raw") -> tuple[Callable[[DataFrame], DataFrame] | None, str]:
-    """A function adding ``p_cal``, and ok; or None and the reason.
-
-    isotonic: monotone steps, flat outside the seen scores.  sigmoid: logistic regression on
-    the raw score.
-    """
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("k")).first()
-    if size["n"] < 60 or size["k"] < 2:
-        return None, "insufficient_data_or_single_class"
-    if method == "isotonic":
-        model = IsotonicRegression(featuresCol=p, labelCol="target", predictionCol="_cal").fit(rows)
-        return lambda df: model.transform(df).withColumn("p_cal", clip_probability(F.col("_cal"))).drop("_cal"), "ok"
-    data = with_vector(rows, [p])
-    model = LogisticRegression(
-        featuresCol="x", labelCol="target", regParam=1.0 / size["n"], standardization=False, maxIter=100
-    ).fit(data)
-    return lambda df: probability(model, with_vector(df.drop("x"), [p]), "p_cal").withColumn(
-        "p_cal", clip_probability(F.col("p_cal"))
-    ).drop("x"), "ok"
-
-
-def choose_calibration(isotonic: DataFrame, sigmoid: DataFrame, keys: Sequence[str] = ("fold",), alert: float = 0.35) -> DataFrame:
-    """Per fold the sigmoid result instead of the isotonic one when the error of the latter is
-    above ``alert`` and the sigmoid's is smaller.  Both hold ``p_cal`` and ``target``."""
-    def quality(df: DataFrame, tag: str) -> DataFrame:
-        ece = calibration_error(df, keys, "p_cal").withColumnRenamed("ece", f"ece_{tag}")
-        return ece.join(brier_score(df, keys, "p_cal").withColumnRenamed("brier", f"brier_{tag}"), list(keys))
-
-    both = quality(isotonic, "isotonic").join(quality(sigmoid, "sigmoid"), list(keys))
-    alerted = F.col("ece_isotonic") > alert
-    switch = alerted & (F.col("ece_sigmoid") < F.col("ece_isotonic"))
-    return both.select(
-        *keys, F.lit(True).alias("calibration_enabled"),
-        F.when(switch, "sigmoid").otherwise("isotonic").alias("calibration_method"),
-        F.when(switch, "fallback_from_isotonic_ece").when(alerted, "ok|sigmoid_not_better").otherwise("ok").alias("calibration_reason"),
-        F.when(switch, F.col("ece_sigmoid")).otherwise(F.col("ece_isotonic")).alias("calibration_error"),
-        F.when(switch, F.col("brier_sigmoid")).otherwise(F.col("brier_isotonic")).alias("brier"),
-    )
-
-
 # --- tuning ------------------------------------------------------------------------------------
 
 def candidate_scores(scored: DataFrame, keys: Sequence[str], s: Settings = Settings(), gates: TuningGates = TuningGates()) -> DataFrame:
@@ -300,9 +195,7 @@ def candidate_scores(scored: DataFrame, keys: Sequence[str], s: Settings = Setti
     ).withColumn("score", score)
 
 
-def pick_candidate(scores: Sequence[tuple[int, float | None]], gates: TuningGates = TuningGates()) -> int | None:
-    """First-to-last over the at most 30 candidates: a better one must gain ``eps``; stop after
-    ``patience`` that do not.  Discarded candidates (score None) are passed over."""
+def _compared(scores: Sequence[tuple[int, float | None]], gates: TuningGates) -> tuple[int | None, bool]:
     best, chosen, idle = -np.inf, None, 0
     for number, value in sorted(scores):
         if value is None:
@@ -312,40 +205,51 @@ def pick_candidate(scores: Sequence[tuple[int, float | None]], gates: TuningGate
         else:
             idle += 1
             if idle >= gates.patience:
-                break
-    return chosen
+                return chosen, True
+    return chosen, False
+
+
+def pick_candidate(scores: Sequence[tuple[int, float | None]], gates: TuningGates = TuningGates()) -> int | None:
+    """First-to-last over the at most 30 candidates: a better one must gain ``eps``; stop after
+    ``patience`` that do not.  Discarded candidates (score None) are passed over."""
+    return _compared(scores, gates)[0]
+
+
+def stopped(scores: Sequence[tuple[int, float | None]], gates: TuningGates = TuningGates()) -> bool:
+    """Whether the comparison ended before the last candidate's turn, so that later ones play no part."""
+    return _compared(scores, gates)[1]
 
 
 def tune(
-    rows: DataFrame, settings: Sequence[BoostSetting], s: Settings = Settings(), max_trees: int | None = None,
-    seed: int = 42, fold: int = 0, stochastic: bool = False, threads: int = 4, gates: TuningGates = TuningGates(),
+    rows: DataFrame, features: Sequence[str], settings: Sequence[BoostSetting], keep: Callable[[DataFrame, str], DataFrame],
+    s: Settings = Settings(), seed: int = 42, gates: TuningGates = TuningGates(), wave: int = 8,
 ) -> tuple[BoostSetting | None, DataFrame]:
-    """Fit every setting on one fold's rows (``x``, ``target``, ``role``, ``weight``, ``ret``) and
-    pick by the mean score over tickers; all settings are scored as one table.
+    """Fit settings on one fold's rows (features, ``target``, ``role``, ``weight``, ``ret``) and pick by the mean score over tickers.
 
-    A setting that fails its gates on half of the tickers or more is discarded: its mean would be
-    that of the few that it suits.
+    Candidates are grown and scored ``wave`` at a time, each wave as one table.  They are compared in order, and
+    when ``patience`` of them in a row did not gain, those of later waves are never grown.  A setting that fails
+    its gates on half of the tickers or more is discarded: its mean would be that of the few that it suits.
     """
-    val = rows.filter("role = 'val'")
-
-    def one(item: tuple[int, BoostSetting]) -> DataFrame:
-        number, setting = item
-        model = fit_boosted(rows, setting, effective_seed(seed, fold, number, stochastic), max_trees)
-        return probability(model, val, "p").drop("x").withColumn("candidate", F.lit(number))
-
-    parts = in_parallel(one, enumerate(settings), threads)
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    per_ticker = candidate_scores(scored, ["candidate", KEY, "fold"], s, gates)
-    summary = per_ticker.groupBy("candidate").agg(
-        F.when(
-            2 * F.count_if(F.col("discarded").isNull()) > F.count(F.lit(1)), F.avg(F.when(F.col("discarded").isNull(), F.col("score"))),
-        ).alias("score"),
-        F.count_if(F.col("discarded").isNotNull()).alias("n_discarded"), F.avg("auc").alias("auc"), F.avg("aucpr").alias("aucpr"),
-    )
-    table = [(r["candidate"], r["score"]) for r in summary.collect()]  # one row per candidate, at most 30
+    val, found, table = rows.filter(F.col("role") == "val"), [], []
+    for at in range(0, len(settings), wave):
+        numbers = list(range(at, min(at + wave, len(settings))))
+        trees = keep(boosting.fit(rows, features, keep, ("fold",), settings[at:at + wave], numbers, seed), "candidate-trees")
+        each = val.withColumn("candidate", F.explode(F.array(*[F.lit(n) for n in numbers])))
+        scored = keep(boosting.score(each, trees, features, ("fold", "candidate"), "p"), "candidate-scores")
+        per_ticker = candidate_scores(scored, ["candidate", KEY, "fold"], s, gates)
+        grown = trees.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_grown"), F.count_if("kept").alias("n_trees"), F.max("aucpr").alias("best_aucpr"))
+        summary = per_ticker.groupBy("candidate").agg(
+            F.when(
+                2 * F.count_if(F.col("discarded").isNull()) > F.count(F.lit(1)), F.avg(F.when(F.col("discarded").isNull(), F.col("score"))),
+            ).alias("score"),
+            F.count_if(F.col("discarded").isNotNull()).alias("n_discarded"), F.avg("auc").alias("auc"), F.avg("aucpr").alias("aucpr"),
+        ).join(grown, "candidate")
+        found.append(keep(summary, "candidate-summary"))
+        table += [(r["candidate"], r["score"]) for r in found[-1].collect()]  # one row per candidate, at most 30
+        if stopped(table, gates):
+            break
     number = pick_candidate(table, gates)
+    summary = found[0]
+    for part in found[1:]:
+        summary = summary.unionByName(part)
     return (None if number is None else settings[number]), summary
-
-

@@ -3,23 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import KEY, ROW, Layout, div, fill, pct_change, roll, trailing
-from tickloom.operators.folds import standard_scale
 
 # Rows per window, return horizons, width of the compressed state.
 WINDOW_ROWS, HORIZONS, LATENTS = 60, (5, 10, 20), 10
-MIN_SEQUENCES, MIN_SEQUENCES_FOLD = 300, 120
+MIN_SEQUENCES_FOLD = 120
 INPUTS = ("seq_returns", "seq_volatility", "seq_price_to_sma", "seq_rsi")
 
 
@@ -101,82 +95,95 @@ def overwrite_columns(rows: DataFrame, fresh: DataFrame, cols: Sequence[str], ke
     ).drop(*[f"_{c}" for c in cols])
 
 
-def encode(
-    rows: DataFrame, train: Column, prefix: str = "lstm", keys: Sequence[str] = (KEY,), latent_dim: int = LATENTS,
-    min_sequences: int = MIN_SEQUENCES,
-) -> DataFrame:
-    """Latents, returns and directions from the sequences, fitted on the rows marked by ``train``.
+def sequence_columns(prefix: str = "lstm", latent_dim: int = LATENTS) -> list[str]:
+    """The columns that an encoder makes."""
+    return _target_columns(prefix, latent_dim)
+
+
+def _windows(x: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` rows at every row from the n-th on, oldest first, flattened."""
+    return np.lib.stride_tricks.sliding_window_view(x, n, axis=0).transpose(0, 2, 1).reshape(max(0, len(x) - n + 1), -1)
 
-    ``rows`` needs ``sequence`` (scaled inputs), the ``return_*``/``direction_*`` targets of the
-    row after the sequence and ``close``.  Too few sequences give the neutral columns.  Rows
-    before the first sequence take the first encoded value.
-    """
-    targets = [f"{kind}_{h}d" for h in HORIZONS for kind in ("return", "direction")]
-    known = rows.filter(F.col("sequence").isNotNull()).select(
-        *keys, ROW, "close", *targets, train.alias("_train"), array_to_vector("sequence").alias("_x")
-    )
-    usable = F.col("_train") & F.col(f"return_{max(HORIZONS)}d").isNotNull()
-    if known.filter(usable).select(ROW).limit(min_sequences).count() < min_sequences:
-        return placeholder_columns(rows.drop("sequence"), (prefix,), latent_dim)
-    pca = PCA(k=latent_dim, inputCol="_x", outputCol="_z").fit(known.filter(usable))
-    # Six fits read the ten compressed columns, not the long sequences.
-    out = pca.transform(known).drop("_x")
-    fit_on = out.filter(usable).persist(StorageLevel.MEMORY_AND_DISK)
-    made = {}
-    for h in HORIZONS:
-        reg = LinearRegression(featuresCol="_z", labelCol=f"return_{h}d", predictionCol=f"_r{h}", regParam=1e-3).fit(fit_on)
-        cls = LogisticRegression(
-            featuresCol="_z", labelCol=f"direction_{h}d", probabilityCol=f"_d{h}", rawPredictionCol=f"_raw{h}",
-            predictionCol=f"_c{h}", regParam=1e-3, maxIter=20,
-        ).fit(fit_on)
-        out = cls.transform(reg.transform(out))
-        made |= {
-            f"{prefix}_return_{h}d": F.col(f"_r{h}"),
-            f"{prefix}_price_{h}d": F.col("close") * (1 + F.col(f"_r{h}")),
-            f"{prefix}_dir_{h}d": vector_to_array(f"_d{h}")[1],
-        }
-    fit_on.unpersist()
-    latent = vector_to_array("_z")
-    made |= {f"{prefix}_latent_{i}": latent[i] for i in range(latent_dim)}
-    made[f"{prefix}_return_confidence"] = sum((F.abs(F.col(f"_r{h}")) for h in HORIZONS), F.lit(0.0)) / len(HORIZONS)
-    encoded = out.withColumns(made).select(*keys, ROW, *made)
-    coming = Window.partitionBy(*keys, CHUNK_OF_FIRST).orderBy(ROW).rowsBetween(0, Window.unboundedFollowing)
-    joined = rows.drop("sequence").join(encoded, [*keys, ROW], "left").withColumn(
-        CHUNK_OF_FIRST, F.floor((F.col(ROW) - 1) / FIRST_ROWS)
-    )
-    return joined.withColumns({c: F.first(c, True).over(coming) for c in made}).drop(CHUNK_OF_FIRST)
-
-
-def fold_sequences(members: DataFrame, inputs: DataFrame, n: int = WINDOW_ROWS) -> DataFrame:
-    """Fold rows with scaled sequences and targets, without a look outside the training rows.
-
-    ``members`` are fold rows with ``bar_rn``; ``inputs`` the sequence inputs by bar.  The scale
-    is that of the fold's training rows; a training target lies inside the training rows.
-    """
-    fold = Window.partitionBy(KEY, "fold").orderBy(ROW)
-    role = Window.partitionBy(KEY, "fold", "role").orderBy(ROW)
-    rows = members.join(inputs.select(KEY, F.col(ROW).alias("bar_rn"), *INPUTS), [KEY, "bar_rn"])
-    rows = standard_scale(rows, INPUTS, "_z").withColumn("_rows", F.collect_list(F.array(*[f"{c}_z" for c in INPUTS])).over(trailing(fold, n)))
-    ahead = {h: F.lead("seq_returns", h).over(role) for h in HORIZONS}
-    return rows.withColumns({
-        "sequence": F.when(F.size("_rows") == n, F.flatten("_rows")),
-        **{f"return_{h}d": c for h, c in ahead.items()},
-        **{f"direction_{h}d": F.coalesce(c > 0, F.lit(False)).cast("double") for h, c in ahead.items()},
-    }).drop("_rows", *[f"{c}_z" for c in INPUTS], *INPUTS)
 
+def _ridge(z: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Offset and slopes of least squares with an L2 penalty on the slopes."""
+    a = np.column_stack([np.ones(len(z)), z])
+    ridge = penalty * len(z) * np.diag([0.0] + [1.0] * z.shape[1])
+    return np.linalg.solve(a.T @ a + ridge, a.T @ y)
 
-def encode_folds(sequences: DataFrame, numbers: Sequence[int], prefix: str = "lstm", threads: int = 4) -> DataFrame:
-    """``encode`` for every fold on its own training rows; the fits run side by side."""
-    def one(fold: int) -> DataFrame:
-        rows = sequences.filter(F.col("fold") == fold)
-        return encode(rows, F.col("role") == "train", prefix, (KEY, "fold"), min_sequences=MIN_SEQUENCES_FOLD)
 
-    with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(one, numbers))
-    targets = [f"{kind}_{h}d" for h in HORIZONS for kind in ("return", "direction")]
-    return reduce(DataFrame.unionByName, [p.drop(*targets) for p in parts])
+def _logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) -> np.ndarray:
+    a, w = np.column_stack([np.ones(len(z)), z]), np.zeros(z.shape[1] + 1)
+    ridge = penalty * len(z) * np.diag([1e-6] + [1.0] * z.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w = w - np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + ridge, a.T @ (p - y) + ridge @ w)
+    return w
 
 
-# Only the first WINDOW_ROWS - 1 rows of a group lack a sequence, so looking ahead inside
-# blocks of this many rows is enough to fill them.
-CHUNK_OF_FIRST, FIRST_ROWS = "_block", 4096
+def encode_rows(
+    x: np.ndarray, close: np.ndarray, train: np.ndarray, n: int = WINDOW_ROWS, latent_dim: int = LATENTS, least: int = MIN_SEQUENCES_FOLD,
+    penalty: float = 1e-3,
+) -> dict[str, np.ndarray] | None:
+    """Latents, returns and directions of one fold's rows in order; None with too few sequences to learn from.
+
+    ``x`` holds the sequence inputs, returns first.  Inputs are scaled by the training rows, latents are the
+    principal components of their windows about the training mean, and a training target lies inside the
+    training rows.  Rows before the first window take its values.
+    """
+    learn = np.flatnonzero(train)
+    if len(learn) == 0:
+        return None
+    mean, width = x[learn].mean(axis=0), x[learn].std(axis=0)
+    windows = _windows((x - mean) / np.where(width == 0, 1.0, width), n)
+    at = np.arange(n - 1, len(x))
+    last = learn[-1]
+    usable = train[at] & (at + max(HORIZONS) <= last)
+    if usable.sum() < least:
+        return None
+    centre = windows[usable].mean(axis=0)
+    _, _, axes = np.linalg.svd(windows[usable] - centre, full_matrices=False)
+    axes = axes[:latent_dim]
+    # The sign of a component is free: its largest loading is made positive.
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+    z = (windows - centre) @ axes.T
+    full = np.column_stack([np.ones(len(z)), z])
+    out, made = {}, {}
+    for h in HORIZONS:
+        known = train[at] & (at + h <= last)
+        ahead = x[np.minimum(at + h, len(x) - 1), 0]
+        out[f"return_{h}d"] = full @ _ridge(z[known], ahead[known], penalty)
+        out[f"dir_{h}d"] = 1 / (1 + np.exp(-np.clip(full @ _logistic(z[known], (ahead[known] > 0).astype(float), penalty), -30, 30)))
+    out["return_confidence"] = sum(np.abs(out[f"return_{h}d"]) for h in HORIZONS) / len(HORIZONS)
+    for i in range(latent_dim):
+        out[f"latent_{i}"] = z[:, i] if i < z.shape[1] else np.zeros(len(z))
+    for name, values in out.items():
+        made[name] = np.concatenate([np.full(n - 1, values[0]), values])
+    for h in HORIZONS:
+        made[f"price_{h}d"] = close * (1 + made[f"return_{h}d"])
+    return made
+
+
+def encode_folds(members: DataFrame, inputs: DataFrame, prefix: str = "lstm", latent_dim: int = LATENTS) -> DataFrame:
+    """(ticker, fold, rn, sequence columns) of every fold row, learned from the fold's own training rows.
+
+    ``members`` are fold rows with ``bar_rn`` and ``close``; ``inputs`` the sequence inputs by bar.  Each ticker's
+    fold is one group (a sliding fold has at most ``train_rows + val_rows`` rows), and all groups run side by
+    side; a fold with too few sequences gets the neutral columns.
+    """
+    names = _target_columns(prefix, latent_dim)
+    schema = f"{KEY} string, fold int, {ROW} long, {', '.join(f'{c} double' for c in names)}"
+    rows = members.select(KEY, "fold", ROW, "role", "close", "bar_rn").join(inputs.select(KEY, F.col(ROW).alias("bar_rn"), *INPUTS), [KEY, "bar_rn"])
+
+    def encode(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(ROW)
+        close = frame["close"].to_numpy(float)
+        made = encode_rows(frame[list(INPUTS)].to_numpy(float), close, (frame["role"] == "train").to_numpy(), latent_dim=latent_dim)
+        out = frame[[KEY, "fold", ROW]].reset_index(drop=True)
+        neutral = {c: close if "_price_" in c else np.full(len(out), 0.5 if "_dir_" in c else 0.0) for c in names}
+        values = neutral if made is None else {c: made[c[len(prefix) + 1:]] for c in names}
+        return out.assign(**values)[[KEY, "fold", ROW, *names]]
+
+    # An encoding costs far more than its bytes suggest, so the number of partitions is stated.
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, KEY, "fold").groupBy(KEY, "fold").applyInPandas(encode, schema)

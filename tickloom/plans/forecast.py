@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.series import KEY, ROW, div
-from tickloom.operators import backtest, evaluation, folds, models, recommendation, signals
-from tickloom.plans.market import MODEL_FEATURES, Market
+from tickloom.operators import backtest, boosting, calibration, evaluation, folds, models, recommendation, sequences, signals
+from tickloom.plans.market import Market
 from tickloom.settings import Settings
 
 
@@ -22,15 +22,16 @@ class Forecast:
     skipped: DataFrame          # (ticker, fold, reason)
     runs: DataFrame             # one row per ticker
     recommendations: DataFrame  # one row per ticker
+    trees: DataFrame            # one row per (model, tree)
 
 
-def training_rows(members: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
+def training_rows(members: DataFrame, features: Sequence[str], s: Settings = Settings()) -> DataFrame:
     """Usable fold rows with scaled features, class weights and the inputs of the signals.
 
     ``volatility_20`` and ``distance_to_ma200`` keep their raw values next to the scaled ones
     (named ``x_*``), as gates and sizes compare raw values.
     """
-    usable = folds.skip_reasons(members).filter("reason is null").select(*folds.FOLD)
+    usable = folds.skip_reasons(members, s).filter("reason is null").select(*folds.FOLD)
     weights = folds.class_weights(members).select(*folds.FOLD, "pos_weight")
     fold = Window.partitionBy(*folds.FOLD)
     order = Window.partitionBy(*folds.FOLD, "role").orderBy(ROW)
@@ -45,88 +46,94 @@ def training_rows(members: DataFrame, features: Sequence[str] = MODEL_FEATURES)
     )
 
 
+def with_fold_sequences(members: DataFrame, inputs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fold rows with the sequence columns learned in their own fold, in place of the neutral ones."""
+    neutral = sequences.placeholder_columns(members)
+    fresh = sequences.encode_folds(members, inputs)
+    made = sequences.overwrite_columns(neutral, fresh, list(columns), (KEY, "fold", ROW))
+    return made.select(*members.columns, *columns)
+
+
+def fold_rows(market: Market, s: Settings = Settings(), scheme: str = "sliding") -> tuple[DataFrame, list[str]]:
+    """The stage of training rows over the feature contract, and the names of its scaled columns."""
+    technical, learned = market.training_features()
+    payload = market.payload(settings=repr(s), scheme=scheme, features=[*technical, *learned])
+
+    def build() -> DataFrame:
+        members = market.members(s, scheme, technical)
+        encoded = market.stages.table("fold_sequences", payload, lambda: with_fold_sequences(members, market.sequence_inputs(), learned))
+        return training_rows(encoded, [*technical, *learned], s)
+
+    return market.stages.table("fold_rows", payload, build), [f"x_{f}" for f in (*technical, *learned)]
+
+
 def with_synthetic(rows: DataFrame, features: Sequence[str], seed: int) -> DataFrame:
     """Fold rows plus interpolated training rows of the smaller class, weighted like their class."""
     cols = [*folds.FOLD, *features, "target", "role", "weight"]
     made = models.synthetic_minority(rows.filter("role = 'train'"), features, seed).filter("synthetic")
     weights = rows.filter("role = 'train'").groupBy(*folds.FOLD, "target").agg(F.first("weight").alias("weight"))
     made = made.join(weights, [*folds.FOLD, "target"]).withColumn("role", F.lit("train"))
-    return rows.select(*cols).unionByName(made.select(*cols))
-
-
-def calibration_of(preds: DataFrame) -> DataFrame:
-    """Method, reason, error and Brier score per fold; the numbers only where a method was used."""
-    used = F.col("calibration_method") != "none"
-    method = preds.groupBy(*folds.FOLD).agg(F.first("calibration_method").alias("calibration_method"),
-                                            F.first("calibration_reason").alias("calibration_reason"))
-    quality = evaluation.calibration_error(preds, p="p_raw").join(evaluation.brier_score(preds, p="p_raw"), list(folds.FOLD))
-    return method.join(quality, list(folds.FOLD)).select(
-        *folds.FOLD, used.alias("calibration_enabled"), "calibration_method", "calibration_reason",
-        F.when(used, F.col("ece")).alias("calibration_error"), F.when(used, F.col("brier")).alias("brier"),
-    )
+    return rows.select(*cols, ROW).unionByName(made.select(*cols, F.lit(None).cast("long").alias(ROW)))
+
+
+def keeper(market: Market) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes an intermediate table under the shared root and reads it back."""
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{market.stages.root}/steps/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return market.spark.read.schema(df.schema).parquet(path)
+
+    return keep
 
 
 def forecast(
-    market: Market, s: Settings = Settings(), setting: models.BoostSetting = models.BoostSetting(), max_trees: int | None = None,
-    features: Sequence[str] = MODEL_FEATURES, calibration: str | None = "sigmoid", tune: int = 0, threads: int = 4, seed: int = 42,
-    regime_split: bool = False, scheme: str = "sliding",
+    market: Market, s: Settings = Settings(), setting: models.BoostSetting = models.BoostSetting(), calibrate: bool = True,
+    tune: int = 0, seed: int = 42, regime_split: bool = False, scheme: str = "sliding", group_rows: int = boosting.GROUP_ROWS,
 ) -> Forecast:
-    """Fit one panel model per fold and carry its scores through to one decision per ticker.
+    """Grow one panel model per fold and carry its scores through to one decision per ticker.
 
-    ``tune`` tries that many settings on the first fold and reuses the choice.  Profiles other
-    than conservative train on balanced classes.  ``regime_split`` fits a calm and a volatile
-    model instead of one, without calibration.  ``scheme`` is sliding or purged.  The number of
-    trees is the setting's, less where the validation rows stop improving.  The scores of all
-    folds are written as one table, so nothing after the fits repeats them.
+    Models train on the feature contract, sequence columns being learned inside each fold.  All folds are
+    grown, scored and calibrated as one table each.  ``tune`` tries that many settings on the first fold and
+    reuses the choice.  Profiles other than conservative train on balanced classes.  ``regime_split`` grows a
+    calm and a volatile model instead of one, without calibration.  ``scheme`` is sliding or purged.  The
+    number of trees is the setting's, less where the validation rows stop improving.
     """
-    members = market.members(s, scheme)
-    payload = market.payload(settings=repr(s), features=list(features), setting=repr(setting), max_trees=max_trees,
-                             calibration=calibration, tune=tune, seed=seed, regime_split=regime_split, scheme=scheme)
-    data = market.stages.table("fold_rows", payload, lambda: training_rows(members, features), ["fold"])
-    names = [f"x_{f}" for f in features]
-    numbers = sorted(r["fold"] for r in data.select("fold").distinct().collect())  # one per fold, however many tickers
-
-    def rows_of(number: int) -> DataFrame:
-        return models.with_vector(data.filter(F.col("fold") == number), names)
-
+    data, names = fold_rows(market, s, scheme)
+    payload = market.payload(settings=repr(s), features=names, setting=repr(setting), calibrate=calibrate, tune=tune, seed=seed,
+                             regime_split=regime_split, scheme=scheme)
+    keep = keeper(market)
     chosen = setting
-    if tune and numbers:
-        found, _ = models.tune(rows_of(numbers[0]), models.tuning_candidates("medium", tune), s, max_trees, seed, numbers[0])
-        chosen = found or setting
-
-    def one_fold(number: int) -> DataFrame:
-        rows = rows_of(number)
-        method, reason = "none", "disabled"
-        if regime_split:
-            rows = evaluation.high_volatility(rows)
-            score = models.fit_regime_pair(rows, chosen, seed, max_trees)
-            val = score(rows.filter("role = 'val'")).drop("high_vol").withColumn("p_model", F.col("p_raw"))
-        else:
-            plain = data.filter(F.col("fold") == number)
-            fit_on = rows if s.conservative else models.with_vector(with_synthetic(plain, names, seed), names)
-            model = models.fit_boosted(fit_on, chosen, seed, max_trees)
-            val = models.probability(model, rows.filter("role = 'val'"), "p_model").withColumn("p_raw", F.col("p_model"))
-            if calibration:
-                part = models.calibration_rows(models.probability(model, rows.filter("role = 'train'"), "p_raw"))
-                calibrate, reason = models.fit_calibrator(part.drop("x"), calibration)
-                if calibrate:
-                    val, method = calibrate(val.drop("x")).drop("p_raw").withColumnRenamed("p_cal", "p_raw"), calibration
-        val = val.withColumns({"calibration_method": F.lit(method), "calibration_reason": F.lit(reason)})
-        return val.drop("x", "weight", "pos_weight", "role")
+    if tune:
+        first = data.agg(F.min("fold")).first()[0]
+        if first is not None:
+            found, _ = models.tune(data.filter(F.col("fold") == first), names, models.tuning_candidates("medium", tune), keep, s, seed)
+            chosen = found or setting
+    keys = ("fold", "side") if regime_split else ("fold",)
+    rows = models.with_sides(evaluation.high_volatility(data)) if regime_split else data
+    learn = rows if regime_split or s.conservative else with_synthetic(data, names, seed)
+    ident = (KEY, ROW, *names)  # made rows have no row number
+    trees = market.stages.table("trees", payload, lambda: boosting.fit(
+        learn, names, keep, keys, (chosen,), seed=seed, ident=ident, group_rows=group_rows))
 
     def scored() -> DataFrame:
-        parts = models.in_parallel(one_fold, numbers, threads)
-        return reduce(lambda a, b: a.unionByName(b), parts)
-
-    preds = market.stages.table("model_scores", payload, scored)
+        val = F.col("role") == "val"
+        if regime_split or not calibrate:
+            found = boosting.score(rows.filter(val), trees, names, keys, "p_model")
+            return found.withColumns({"p_raw": F.col("p_model"), "calibration_method": F.lit("none"), "calibration_reason": F.lit("disabled_by_mode_or_config")})
+        plan = calibration.planned(data)
+        held = calibration.calibration_rows(data.filter("role = 'train'").join(plan.select("fold", "share"), "fold"), F.col("share")).drop("share")
+        both = keep(boosting.score(data.filter(val).unionByName(held), trees, names, keys, "p_model"), "scored")
+        return calibration.calibrated(both.filter(val), both.filter(~val), plan, keep)
+
+    preds = market.stages.table("model_scores", payload, lambda: scored().drop("weight", "pos_weight", "role", "high_vol", "side"))
     adjusted = signals.volatility_weighted(preds)
     sized = signals.open_positions(adjusted, signals.fold_thresholds(adjusted, s=s), s=s)
 
     def fold_table() -> DataFrame:
-        return backtest.fold_results(sized, s=s).join(calibration_of(preds), list(folds.FOLD))
+        return backtest.fold_results(sized, s=s).join(calibration.quality(preds, folds.FOLD), list(folds.FOLD))
 
     results = market.stages.table("model_results", payload, fold_table)
-    checks = folds.skip_reasons(members, s).filter("reason is not null")
+    checks = folds.skip_reasons(market.members(s, scheme, market.training_features()[0]), s).filter("reason is not null")
     unused = checks.select(KEY, "fold", "reason")
     skipped = unused.unionByName(results.filter("reason is not null").select(KEY, "fold", "reason"))
     # Folds that were skipped before a fit count as configured, too.
@@ -136,5 +143,5 @@ def forecast(
     future = recommendation.latest_fold_probability(preds, last, "p_model")
     return Forecast(
         preds, results, skipped, runs,
-        recommendation.recommend(recommendation.ensemble_summary(future, last), last, s),
+        recommendation.recommend(recommendation.ensemble_summary(future, last), last, s), trees,
     )

@@ -7,13 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import Layout, div
-from tickloom.operators import folds, indicators, labels
+from tickloom.functions.series import KEY, Layout, div
+from tickloom.operators import folds, indicators, labels, sequences
+from tickloom.operators.contract import FeatureContract, contract_of, contract_rows, run_contract
 from tickloom.sources.bars import bars_from_trades, daily_index, lookback, numbered, packed, with_index
 from tickloom.settings import LOOKBACK_DAYS, Settings
 from tickloom.sources.stages import Stages, code_key, files_key
 
-# Features of the score below; the label stage keeps the rows that have them all.
+# Features of the plain score below; the label stage keeps the rows that have them all.
 KEPT = ("ticker", "date", "rn", "open", "high", "low", "close", "volume", "vix_close", "volatility_20", "atr", "rolling_volatility_zscore")
 SCORED = ("price_to_sma20", "distance_to_ma200")
 MODEL_FEATURES = ("volatility_20", *SCORED)
@@ -96,8 +97,26 @@ class Market:
 
         return self.stages.table("labelled", self.payload(features=features), number)
 
-    def members(self, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:
-        return folds.fold_members(self.labelled(), s, scheme)
+    def members(self, s: Settings = Settings(), scheme: str = "sliding", features: tuple[str, ...] = MODEL_FEATURES) -> DataFrame:
+        return folds.fold_members(self.labelled(features), s, scheme)
+
+    def contract(self) -> FeatureContract:
+        """The columns that models train on, from the feature table and neutral sequence columns."""
+        def resolve() -> DataFrame:
+            found = sequences.placeholder_columns(self.features())
+            made = sequences.sequence_columns()
+            ordered = found.select(KEY, "date", *made, *[c for c in found.columns if c not in (KEY, "date", *made)])
+            return contract_rows(run_contract(ordered), self.spark)
+
+        return contract_of(self.stages.table("contract", self.payload(), resolve))
+
+    def training_features(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """(columns of the feature table, sequence columns) of the contract."""
+        made, final = set(sequences.sequence_columns()), self.contract().final
+        return tuple(c for c in final if c not in made), tuple(c for c in final if c in made)
+
+    def sequence_inputs(self) -> DataFrame:
+        return self.stages.table("sequence_inputs", self.payload(), lambda: sequences.sequence_inputs(self.bars(), self.layout))
 
     def predictions(self) -> DataFrame:
         """Scored validation rows of every usable fold."""

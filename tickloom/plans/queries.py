@@ -8,21 +8,22 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType
 
 from tickloom.functions.series import Layout, tail
 from tickloom.operators import (
-    backtest, contract, evaluation, folds, indicators, labels, models, profile, recommendation, runlog, selection,
-    sequences, signals,
+    backtest, boosting, calibration, contract, evaluation, folds, indicators, labels, models, profile, recommendation,
+    runlog, selection, sequences, signals,
 )
 from tickloom.plans import market as mk
 from tickloom.plans import oracle as o
 from tickloom.plans.benchmark import CANDIDATES, Benchmark, candidates
-from tickloom.plans.forecast import forecast, training_rows
+from tickloom.plans.forecast import fold_rows, forecast, keeper
 from tickloom.plans.oracle import r, rs, sql
-from tickloom.settings import BENCHMARK_SEEDS, SEED_FEATURES, Settings
+from tickloom.settings import BENCHMARK_SEEDS, LOW_IMPORTANCE, SEED_FEATURES, Settings
 from tickloom.sources import bars as bar_source
 from tickloom.sources import stages
 
@@ -1063,7 +1064,46 @@ def _(spark, sf):
     return rounded(df.select("ticker", "date", F.when(s.isNotNull(), F.size(s)).otherwise(0).alias("n_values"), s[0].alias("oldest_return"), F.try_element_at(s, F.lit(-1)).alias("newest_rsi")))
 
 
-# --- fitted models (checked by properties in the tests; no SQL form) -----------------------------------------------------------------
+# --- feature contract ----------------------------------------------------------------------------------------------------------------
+
+_names = lambda names: ", ".join(f"'{c}'" for c in names)
+_pair_columns = ("lstm_price_5d", "lstm_price_10d", "lstm_price_20d", *DROPPABLE)
+_neutral = ", ".join(f"close AS {c}" for c in _pair_columns[:3])
+# Neutral sequence columns hold the price or constants; constants have no correlation.
+CONTRACT = (BARS, ROLL, STATES, f"""alls AS MATERIALIZED (SELECT r.*, s.* EXCLUDE (ticker, date, rn, close), ema_short AS kc_mid, rsi_14 AS rsi,
+  atr / r.close AS atr_price_ratio, price_momentum_10d / (atr / r.close + 1e-8) AS risk_adjusted_momentum, {_neutral.replace('close', 'r.close')} FROM rolling r JOIN states s USING (ticker, rn)),
+by_corr AS (SELECT DISTINCT a AS feature FROM (SELECT unnest([{", ".join(f"{{'a': '{a}', 'r': corr({chr(34)}{a}{chr(34)}, {chr(34)}{b}{chr(34)})}}" for i, a in enumerate(_pair_columns) for b in _pair_columns[i + 1:])}],
+  recursive := true) FROM alls) WHERE abs(r) > 0.98),
+weak AS (SELECT unnest([{_names(f for f in LOW_IMPORTANCE)}]) AS feature EXCEPT SELECT feature FROM by_corr),
+seed AS (SELECT unnest([{_names(SEED_FEATURES)}]) AS feature, unnest(range(1, {len(SEED_FEATURES) + 1})) AS place),
+final AS (SELECT feature, row_number() OVER (ORDER BY place) AS position FROM seed WHERE feature NOT IN (SELECT feature FROM by_corr) AND feature NOT IN (SELECT feature FROM weak))""")
+
+
+@query("resolved_contract", sql(*CONTRACT, select="SELECT CAST(position AS INTEGER) AS position, feature FROM final"))
+def _(spark, sf):
+    return contract.contract_rows(market(spark, sf).contract(), spark).filter("part = 'final'").select("position", "feature")
+
+
+@query("dropped_columns", sql(*CONTRACT, select="SELECT feature, 'correlated' AS reason FROM by_corr UNION ALL SELECT feature, 'low_importance' AS reason FROM weak"))
+def _(spark, sf):
+    rows = contract.contract_rows(market(spark, sf).contract(), spark)
+    reason = F.when(F.col("part") == "removed_by_corr", "correlated").when(F.col("part") == "removed_by_importance", "low_importance")
+    return rows.select("feature", reason.alias("reason")).filter("reason is not null")
+
+
+# --- fitted models (checked by properties in the tests and by facts that SQL can state) -----------------------------------------------
+
+# Columns of the feature table that the models need; the contract's other columns are learned inside the folds.
+TRAINED = ("distance_to_ma200", "macd", "macds", "roc_20", "atr", "volatility_20", "ema_short", "ema_long", "price_to_sma20", "ADX_14", "mfi", "close_vix_ratio")
+_of_states = ("macd", "macds", "atr", "ema_short", "ema_long", "ADX_14")
+TRAINING = """
+labelled AS MATERIALIZED (SELECT ticker, date, rn AS bar_rn, row_number() OVER (PARTITION BY ticker ORDER BY rn) AS rn, close, target,
+  volatility_20, price_to_sma20, distance_to_ma200, rolling_volatility_zscore, count(*) OVER (PARTITION BY ticker) AS total
+  FROM barriers JOIN (SELECT ticker, rn, """ + ", ".join(f'"{c}"' for c in _of_states) + """ FROM states) USING (ticker, rn)
+  WHERE target IS NOT NULL AND """ + " AND ".join(f'"{c}" IS NOT NULL' for c in TRAINED) + ")"
+TO_TRAINING = (*TO_LABELS, TRAINING, o.FOLDS)
+USABLE = (*TO_TRAINING, f"checks AS ({REASON})", "used AS (SELECT m.* FROM members m SEMI JOIN (SELECT ticker, fold FROM checks WHERE reason IS NULL) USING (ticker, fold))")
+
 
 @query("forecast_recommendations")
 def _(spark, sf):
@@ -1077,12 +1117,12 @@ def _(spark, sf):
     return pick(run.results, "ticker fold auc aucpr net_sharpe net_return fold_trades reason")
 
 
-@query("forecast_fold_sizes", sql(*TO_FOLDS, f"checks AS ({REASON})", select="SELECT ticker, fold, n_val, n_train FROM checks WHERE reason IS NULL"))
+@query("forecast_fold_sizes", sql(*USABLE, select="SELECT ticker, fold, n_val, n_train FROM checks WHERE reason IS NULL"))
 def _(spark, sf):
     return forecast(market(spark, sf)).results.select("ticker", "fold", "n_val", "n_train")
 
 
-@query("forecast_fold_accounts", sql(*TO_FOLDS, f"checks AS ({REASON})", select="SELECT ticker, count(*) AS n_folds_configured FROM checks GROUP BY ticker"))
+@query("forecast_fold_accounts", sql(*USABLE, select="SELECT ticker, count(*) AS n_folds_configured FROM checks GROUP BY ticker"))
 def _(spark, sf):
     return forecast(market(spark, sf)).runs.select("ticker", "n_folds_configured")
 
@@ -1093,97 +1133,185 @@ def _(spark, sf):
     return pick(run.runs, "ticker n_folds_valid n_folds_skipped coverage_ratio auc net_sharpe win_rate calibration_enabled calibration_method calibration_error brier")
 
 
-SCALED = [f"x_{f}" for f in mk.MODEL_FEATURES]
-
-
-def _fold_rows(spark, sf, fold: int = 1) -> DataFrame:
-    m = market(spark, sf)
-    rows = m.stages.table("training_rows", m.payload(), lambda: training_rows(m.members()), ["fold"])
-    return models.with_vector(rows.filter(F.col("fold") == fold), SCALED)
-
-
 @query("boosted_scores")
 def _(spark, sf):
     return pick(forecast(market(spark, sf)).predictions, "ticker fold date target p_model p_raw")
 
 
-@query("boosted_score_rows", sql(*TO_PREDS, select="SELECT ticker, fold, date, target, true AS is_probability FROM preds"))
+@query("boosted_score_rows", sql(*USABLE, select="SELECT ticker, fold, date, target, true AS is_probability FROM used WHERE role = 'val'"))
 def _(spark, sf):
     ok = F.col("p_model").between(0, 1) & F.col("p_raw").between(0, 1)
     return forecast(market(spark, sf)).predictions.select("ticker", "fold", "date", "target", ok.alias("is_probability"))
 
 
+@query("forecast_calibration_plan", sql(*USABLE, """s AS (SELECT fold, count(*) FILTER (role = 'train') AS n FROM used GROUP BY fold),
+k AS (SELECT u.*, row_number() OVER w AS k, count(*) OVER (PARTITION BY ticker, fold) AS m, CASE WHEN n >= 300 THEN 0.2 ELSE 0.15 END AS share FROM used u JOIN s USING (fold)
+  WHERE role = 'train' AND n >= 180 WINDOW w AS (PARTITION BY ticker, fold ORDER BY rn)),
+c AS (SELECT *, count(*) OVER g AS c, min(target) OVER g AS lo, max(target) OVER g AS hi FROM k WHERE m >= 100 AND k > floor(m * (1 - share)) WINDOW g AS (PARTITION BY ticker, fold)),
+h AS (SELECT fold, count(*) AS n_held, count(DISTINCT target) AS classes FROM c WHERE c >= 30 AND lo < hi GROUP BY fold)""",
+       select="SELECT fold, coalesce(n_held >= 60 AND classes = 2, false) AS calibrated FROM s LEFT JOIN h USING (fold)"))
+def _(spark, sf):
+    return forecast(market(spark, sf)).predictions.groupBy("fold").agg(F.bool_and(F.col("calibration_method") != "none").alias("calibrated"))
+
+
 @query("regime_pair_scores")
 def _(spark, sf):
     run = forecast(market(spark, sf), regime_split=True)
     return pick(run.predictions, "ticker fold date target p_raw")
 
 
+@query("regime_sides", sql(*USABLE, "h AS (SELECT *, coalesce(rolling_volatility_zscore > 1.0, false) AS high FROM used)",
+       "n AS (SELECT fold, least(count(*) FILTER (high AND role = 'train'), count(*) FILTER (NOT high AND role = 'train')) >= 126 AS split FROM h GROUP BY fold)",
+       select="SELECT fold, CASE WHEN NOT split THEN 'all' WHEN high THEN 'high' ELSE 'low' END AS side, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'val') AS n_val FROM h JOIN n USING (fold) GROUP BY ALL"))
+def _(spark, sf):
+    data, _ = fold_rows(market(spark, sf))
+    sides = models.with_sides(evaluation.high_volatility(data))
+    return sides.groupBy("fold", "side").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "val").alias("n_val"))
+
+
+@query("boosted_trees")
+def _(spark, sf):
+    # One row per tree: its place, the validation precision after it, whether the model keeps it, and its size.
+    trees = forecast(market(spark, sf)).trees
+    splits = F.size(F.filter("feature", lambda f: f >= 0))
+    return rounded(trees.select("fold", "tree", "aucpr", "kept", splits.alias("n_splits")))
+
+
+_BINS = 16
+_gain = lambda g, h: f"((greatest(abs({g}) - 0.2, 0) ** 2) / ({h} + 1.0))"
+
+
+@query("boosted_split_gains", sql(*TO_FOLDS, f"""e AS (SELECT fold, unnest(range(1, {_BINS})) AS b, unnest(quantile_disc(price_to_sma20, [{", ".join(f"{k}/{_BINS}" for k in range(1, _BINS))}])) AS cut FROM members WHERE role = 'train' GROUP BY fold),
+p AS (SELECT fold, avg(target) AS p FROM members WHERE role = 'train' GROUP BY fold),
+bins AS (SELECT m.fold, count(e.cut) AS bin, any_value(m.target) AS y FROM members m LEFT JOIN e ON e.fold = m.fold AND e.cut < m.price_to_sma20 WHERE role = 'train' GROUP BY m.fold, m.ticker, m.rn),
+sums AS (SELECT fold, bin, sum(round((p - y) * 1048576)) AS g, sum(round(p * (1 - p) * 1048576)) AS h FROM bins JOIN p USING (fold) GROUP BY fold, bin),
+cum AS (SELECT fold, bin, sum(g) OVER u / 1048576 AS gl, sum(h) OVER u / 1048576 AS hl, sum(g) OVER w / 1048576 AS g, sum(h) OVER w / 1048576 AS h FROM sums
+  WINDOW u AS (PARTITION BY fold ORDER BY bin ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY fold))""",
+       select=f"SELECT fold, CAST(bin AS INTEGER) AS bin, round({_gain('gl', 'hl')} + {_gain('(g - gl)', '(h - hl)')} - {_gain('g', 'h')} + 3.7e-6, 4) + 0.0 AS gain FROM cum WHERE hl >= 2 AND h - hl >= 2"))
+def _(spark, sf):
+    # Gains of all splits of one feature at the root of every fold's first tree, on all rows.
+    m, s = market(spark, sf), boosting.BoostSetting(depth=1, rows=1.0, columns=1.0, max_step=0.0, bins=_BINS)
+    rows = m.members().select("ticker", "rn", "fold", "role", "target", "price_to_sma20", F.lit(1.0).alias("weight"))
+    return rounded(boosting.root_gains(rows, ["price_to_sma20"], s).select("fold", "bin", "gain"), 4)
+
+
 @query("feature_importance")
 def _(spark, sf):
     # The report shows the model of the last fold.
-    last = market(spark, sf).members().agg(F.max("fold")).first()[0]
-    return rounded(models.feature_importance(models.fit_boosted(_fold_rows(spark, sf, last), models.BoostSetting()), mk.MODEL_FEATURES, spark))
+    m = market(spark, sf)
+    trees, names = forecast(m).trees, fold_rows(m)[1]
+    last = trees.agg(F.max("fold").alias("fold"))
+    return rounded(models.feature_importance(trees.join(last, "fold"), names))
+
+
+@query("feature_importance_shares", sql(*USABLE, select="SELECT DISTINCT fold, 1.0::DOUBLE AS total, 25 AS n_features, true AS none_negative FROM used WHERE role = 'val'"))
+def _(spark, sf):
+    m = market(spark, sf)
+    found = boosting.importance(forecast(m).trees, fold_rows(m)[1])
+    return rounded(found.groupBy("fold").agg(
+        F.sum("importance").alias("total"), F.count(F.lit(1)).cast("int").alias("n_features"), F.bool_and(F.col("importance") >= 0).alias("none_negative")))
 
 
 @query("tuned_setting")
 def _(spark, sf):
     # Settings are tuned on the first usable fold and reused for the others.
-    settings = models.tuning_candidates("low")
-    first = folds.usable(market(spark, sf).members()).agg(F.min("fold")).first()[0]
-    return rounded(models.tune(_fold_rows(spark, sf, first), settings)[1])
+    m = market(spark, sf)
+    data, names = fold_rows(m)
+    first = data.agg(F.min("fold").alias("fold"))
+    return rounded(models.tune(data.join(first, "fold"), names, models.tuning_candidates("low"), keeper(m))[1])
+
+
+def _scored_members(spark, sf) -> DataFrame:
+    m = market(spark, sf)
+    return m.stages.table("scored_members", m.payload(), lambda: mk.score(folds.robust_scale(folds.usable(m.members()), mk.SCORED, "_scaled")), ["fold"])
+
+
+_TO_CALIBRATION = (*TO_PREDS, """both_roles AS (SELECT *, round(1 / (1 + exp(-(0.6 * s2 - 1.0 * s1))), 6) AS p FROM scaled),
+hk AS (SELECT *, row_number() OVER (PARTITION BY ticker, fold ORDER BY rn) AS k, count(*) OVER (PARTITION BY ticker, fold) AS n FROM both_roles WHERE role = 'train'),
+held AS (SELECT *, count(*) OVER g AS m, min(target) OVER g AS lo, max(target) OVER g AS hi FROM hk WHERE n >= 100 AND k > floor(n * 0.8) WINDOW g AS (PARTITION BY ticker, fold)),
+pts AS MATERIALIZED (SELECT fold, p, sum(target) AS y, count(*) AS n, row_number() OVER (PARTITION BY fold ORDER BY p) AS i FROM held WHERE m >= 30 AND lo < hi GROUP BY fold, p)""")
+# The isotonic value at i: the largest, over starts up to i, of the smallest mean to any end from i on.
+_ISOTONIC = """spans AS (SELECT a.fold, a.i AS i, b.i AS j, sum(b.y) OVER w / sum(b.n) OVER w AS mean FROM pts a JOIN pts b ON a.fold = b.fold AND b.i >= a.i
+  WINDOW w AS (PARTITION BY a.fold, a.i ORDER BY b.i ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT fold, i, j, min(mean) OVER (PARTITION BY fold, i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS low FROM spans),
+iso AS MATERIALIZED (SELECT e.fold, j AS i, max(low) AS v FROM ends e GROUP BY e.fold, j)"""
+
+
+@query("isotonic_calibration", sql(*_TO_CALIBRATION, _ISOTONIC, select=f"SELECT fold, p AS p_raw, {r('least(greatest(v, 1e-6), 1 - 1e-6)', 'p_isotonic')} FROM iso JOIN pts USING (fold, i)"))
+def _(spark, sf):
+    held = calibration.calibration_rows(_scored_members(spark, sf).filter("role = 'train'"))
+    counts = calibration.by_score(held, ["fold"])
+    asked = counts.select("fold", F.col("p").alias("p_raw"))
+    return pick(calibration.apply_isotonic(asked, calibration.isotonic(counts, ["fold"]), ["fold"]), "fold p_raw p_isotonic")
+
+
+def _newton(k: int) -> str:
+    return f"""n{k + 1} AS MATERIALIZED (SELECT fold, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+  SELECT fold, any_value(a) AS a, any_value(b) AS b, sum((n * q - y) * p) + any_value(a) AS ga, sum(n * q - y) AS gb,
+    sum(n * q * (1 - q) * p * p) + 1 AS haa, sum(n * q * (1 - q) * p) AS hab, sum(n * q * (1 - q)) AS hbb
+  FROM (SELECT *, 1 / (1 + exp(-(a * p + b))) AS q FROM pts JOIN n{k} USING (fold)) GROUP BY fold))"""
 
 
-@query("calibrated_scores")
+_SIGMOID = "n0 AS (SELECT DISTINCT fold, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM pts)," + ",".join(map(_newton, range(10)))
+
+
+@query("sigmoid_calibration", sql(*_TO_CALIBRATION, _SIGMOID, select=f"SELECT fold, {r('a', 'slope')}, {r('b', 'offset')} FROM n10"))
 def _(spark, sf):
+    held = calibration.calibration_rows(_scored_members(spark, sf).filter("role = 'train'"))
     m = market(spark, sf)
-    rows = m.stages.table("scored_members", m.payload(), lambda: mk.score(folds.robust_scale(m.members(), mk.SCORED, "_scaled")), ["fold"])
-    numbers = [r["fold"] for r in rows.select("fold").distinct().collect()]  # at most n_splits
+    counts = keeper(m)(calibration.by_score(held, ["fold"]), "score-counts")
+    return pick(calibration.sigmoid(counts, ["fold"]), "fold slope offset")
+
 
-    def both(fold: int) -> tuple[DataFrame, DataFrame]:
-        part = rows.filter(F.col("fold") == fold)
-        fit_on = models.calibration_rows(part.filter("role = 'train'"))
-        fitted = [models.fit_calibrator(fit_on, method)[0] for method in ("isotonic", "sigmoid")]
-        val = part.filter("role = 'val'")
-        plain = val.withColumn("p_cal", F.col("p_raw"))
-        return tuple((fn(val) if fn else plain).select("fold", "target", "p_cal") for fn in fitted)
+_EDGES = [float(e) for e in np.linspace(0.0, 1.0, 11)[1:-1]]
+_ECE = lambda p: f"""(SELECT fold, sum(gap * n) / sum(n) AS ece, sum(sq) / sum(n) AS brier FROM (SELECT fold, {" + ".join(f"CAST({p} >= {e!r}::DOUBLE AS INTEGER)" for e in _EDGES)} AS bin, count(*) AS n, abs(avg(target) - avg({p})) AS gap, sum(({p} - target) ** 2) AS sq FROM cal GROUP BY fold, bin) GROUP BY fold)"""
 
-    pairs = models.in_parallel(both, numbers)
-    isotonic, sigmoid = (reduce(DataFrame.unionByName, side) for side in zip(*pairs))
-    return rounded(models.choose_calibration(isotonic, sigmoid))
+
+@query("calibration_choice", sql(*_TO_CALIBRATION, _ISOTONIC, _SIGMOID, """pt AS MATERIALIZED (SELECT fold, p, v, i FROM iso JOIN pts USING (fold, i)),
+asked AS (SELECT DISTINCT fold, p_raw AS x FROM preds),
+near AS (SELECT fold, x, arg_max(pt.p, pt.i) FILTER (pt.p <= x) AS pa, arg_max(v, pt.i) FILTER (pt.p <= x) AS va, arg_min(pt.p, pt.i) FILTER (pt.p >= x) AS pb, arg_min(v, pt.i) FILTER (pt.p >= x) AS vb
+  FROM asked JOIN pt USING (fold) GROUP BY fold, x),
+line AS (SELECT fold, x, CASE WHEN pa IS NULL THEN vb WHEN pb IS NULL OR pa = pb THEN va ELSE va + (vb - va) * (x - pa) / (pb - pa) END AS v FROM near),
+cal AS MATERIALIZED (SELECT p.fold, target, least(greatest(v, 1e-6), 1 - 1e-6) AS ci, least(greatest(1 / (1 + exp(-(a * p_raw + b))), 1e-6), 1 - 1e-6) AS cs
+  FROM preds p JOIN line l ON l.fold = p.fold AND l.x = p.p_raw JOIN n10 ON n10.fold = p.fold)""",
+       f"scored AS (SELECT i.fold, i.ece > 0.05 AND s.ece < i.ece AS switch, i.ece > 0.05 AS alarm, i.ece AS ie, i.brier AS ib, s.ece AS se, s.brier AS sb FROM {_ECE('ci')} i JOIN {_ECE('cs')} s USING (fold))",
+       select=f"""SELECT fold, true AS calibration_enabled, CASE WHEN switch THEN 'sigmoid' ELSE 'isotonic' END AS calibration_method,
+  CASE WHEN switch THEN 'fallback_from_isotonic_ece' WHEN alarm THEN 'ok|sigmoid_not_better' ELSE 'ok' END AS calibration_reason,
+  {r('CASE WHEN switch THEN se ELSE ie END', 'calibration_error')}, {r('CASE WHEN switch THEN sb ELSE ib END', 'brier')} FROM scored"""))
+def _(spark, sf):
+    # An alarm that some folds do raise, so that all three outcomes occur.
+    m, rows = market(spark, sf), _scored_members(spark, sf)
+    val = rows.filter("role = 'val'").withColumn("p_model", F.col("p_raw")).drop("p_raw")
+    held = calibration.calibration_rows(rows.filter("role = 'train'")).withColumn("p_model", F.col("p_raw"))
+    found = calibration.calibrated(val, held, calibration.planned(rows), keeper(m), alert=0.05)
+    return rounded(calibration.quality(found, ["fold"]))
 
 
 @query("calibration_rows", sql(*TO_FOLDS, """k AS (SELECT *, row_number() OVER (PARTITION BY ticker, fold ORDER BY rn) AS k, count(*) OVER (PARTITION BY ticker, fold) AS n FROM members WHERE role = 'train'),
 c AS (SELECT *, count(*) OVER g AS m, min(target) OVER g AS lo, max(target) OVER g AS hi FROM k WHERE n >= 100 AND k > floor(n * (1 - 0.2)) WINDOW g AS (PARTITION BY ticker, fold))""",
        select="SELECT ticker, fold, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM c WHERE m >= 30 AND lo < hi GROUP BY ticker, fold"))
 def _(spark, sf):
-    rows = models.calibration_rows(market(spark, sf).members().filter("role = 'train'"))
+    rows = calibration.calibration_rows(market(spark, sf).members().filter("role = 'train'"))
     return rows.groupBy("ticker", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 @query("synthetic_minority")
 def _(spark, sf):
-    rows = folds.robust_scale(market(spark, sf).members(), mk.MODEL_FEATURES).filter("role = 'train'")
-    made = models.synthetic_minority(rows, mk.MODEL_FEATURES)
+    data, names = fold_rows(market(spark, sf))
+    made = models.synthetic_minority(data.filter("role = 'train'"), names)
     return made.groupBy("ticker", "fold", "target", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_bounds = ("price_to_sma20", "distance_to_ma200")
-
-
-@query("synthetic_rows_between_parents", sql(*TO_FOLDS, "c AS (SELECT ticker, fold, target, count(*) AS n FROM members WHERE role = 'train' GROUP BY ALL)",
+@query("synthetic_rows_between_parents", sql(*USABLE, "c AS (SELECT ticker, fold, target, count(*) AS n FROM used WHERE role = 'train' GROUP BY ALL)",
        select="SELECT ticker, fold, target, n AS n_real, true AS only_smaller, true AS inside FROM c"))
 def _(spark, sf):
     # Every made row lies between two rows of its class, so inside the range of the class in each feature.
-    rows = market(spark, sf).members().filter("role = 'train'")
-    made = models.synthetic_minority(rows, mk.MODEL_FEATURES)
-    inside = [
-        F.coalesce((F.min(F.when(F.col("synthetic"), F.col(c))) >= F.min(F.when(~F.col("synthetic"), F.col(c))) - 1e-9)
-                   & (F.max(F.when(F.col("synthetic"), F.col(c))) <= F.max(F.when(~F.col("synthetic"), F.col(c))) + 1e-9), F.lit(True))
-        for c in _bounds
-    ]
+    data, names = fold_rows(market(spark, sf))
+    made = models.synthetic_minority(data.filter("role = 'train'"), names)
+    side = lambda f, c, flag: f(F.when(F.col("synthetic") == flag, F.col(c)))
+    inside = [F.coalesce((side(F.min, c, True) >= side(F.min, c, False) - 1e-9) & (side(F.max, c, True) <= side(F.max, c, False) + 1e-9), F.lit(True)) for c in names]
     per_class = made.groupBy("ticker", "fold", "target").agg(
-        F.count_if(~F.col("synthetic")).alias("n_real"), F.count_if("synthetic").alias("_made"), (inside[0] & inside[1]).alias("inside"))
+        F.count_if(~F.col("synthetic")).alias("n_real"), F.count_if("synthetic").alias("_made"), reduce(lambda a, b: a & b, inside).alias("inside"))
     larger = F.max("n_real").over(Window.partitionBy("ticker", "fold"))
     return per_class.withColumn("only_smaller", (F.col("_made") == 0) | (F.col("n_real") < larger)).drop("_made")
 
@@ -1201,14 +1329,23 @@ def _(spark, sf):
 
 @query("sequence_encoding")
 def _(spark, sf):
-    m = market(spark, sf)
-
-    def windows() -> DataFrame:
-        inputs = m.stages.table("sequence_inputs", m.payload(), lambda: sequences.sequence_inputs(m.bars()))
-        row = {c: F.col(c) for c in sequences.INPUTS}
-        stats = inputs.agg(*[f(c).alias(f"{n}_{c}") for c in row for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        scaled = {f"{c}_z": (col - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c, col in row.items()}
-        return sequences.with_sequences(sequences.return_targets(inputs).withColumns(scaled), [*scaled])
-
-    data = m.stages.table("sequence_windows", m.payload(), windows)
-    return pick(sequences.encode(data, F.lit(True)), "ticker date lstm_return_5d lstm_dir_20d lstm_return_confidence lstm_latent_0 lstm_latent_9")
+    # What each usable fold learns from its own training rows.
+    data, _ = fold_rows(market(spark, sf))
+    return pick(data, "ticker fold date role lstm_dir_5d lstm_dir_20d lstm_return_confidence lstm_latent_0 lstm_latent_9")
+
+
+@query("sequence_encoding_facts", sql(*USABLE, select="""SELECT ticker, fold, count(*) AS n_rows, count(*) FILTER (role = 'train') AS n_train, true AS centred, true AS probabilities,
+  true AS filled FROM used GROUP BY ticker, fold"""))
+def _(spark, sf):
+    # Latents are centred on the windows whose targets lie inside the training rows; the rows before the first window repeat it.
+    data, _ = fold_rows(market(spark, sf))
+    place = F.row_number().over(Window.partitionBy("ticker", "fold").orderBy("rn"))
+    n_train = F.count_if(F.col("role") == "train").over(Window.partitionBy("ticker", "fold"))
+    rows = data.withColumns({"_k": place, "_n": n_train})
+    learned = F.col("_k").between(F.lit(sequences.WINDOW_ROWS), F.col("_n") - max(sequences.HORIZONS))
+    first = F.first("lstm_latent_0").over(Window.partitionBy("ticker", "fold").orderBy("rn"))
+    rows = rows.withColumn("_same", (F.col("_k") > sequences.WINDOW_ROWS) | (F.col("lstm_latent_0") == first))
+    near = [F.abs(F.avg(F.when(learned, F.col(f"lstm_latent_{i}")))) < 1e-6 for i in (0, 1, 3, 9)]
+    return rows.groupBy("ticker", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("role") == "train").alias("n_train"), reduce(lambda a, b: a & b, near).alias("centred"),
+        F.bool_and(F.col("lstm_dir_5d").between(0, 1) & F.col("lstm_dir_20d").between(0, 1)).alias("probabilities"), F.bool_and("_same").alias("filled"))
