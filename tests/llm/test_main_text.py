@@ -23,13 +23,23 @@ def test_blocks_of_a_page():
 
 @pytest.mark.parametrize("html,texts", [
     (None, []), ("", []), ("   ", []), ("plain", ["plain"]), ("a < b > c", ["a < b > c"]), ("<p>a<p>b", ["a", "b"]), ("<p>a", ["a"]),
-    ("</div>a</p>", ["a"]), ("<![CDATA[x]]>y<p>z", ["<![CDATA[x]]>y", "z"]), ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+    ("</div>a</p>", ["a"]), ("<![CDATA[x]]>y<p>z", ["y", "z"]), ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
     ("<p>a&nbsp; b c</p>", ["a b c"]), ("<script>x", []), ("<textarea>t</textarea>", ["t"]), ("<P CLASS=X>A</P>", ["A"]), ("<a>x</a> <b>y</b>", ["x y"]),
 ])
 def test_odd_html(html, texts):
     assert [b.text for b in mt.blocks(html)] == texts
 
 
+@pytest.mark.parametrize("html,texts", [
+    ("<p>a<![if !IE]>b<![endif]>c</p>", ["abc"]), ("x<![CDATA[hidden]]>y", ["xy"]), ("b<!-- unclosed <p>c", ["b"]),
+    ("<!--[if IE]><p>old</p><![endif]--><p>new</p>", ["new"]), ("a<!-->b<!--->c<!-- x --!>d", ["abcd"]), ("a<!", ["a"]), ("a<![CDATA[ no end", ["a"]),
+    ("<!DOCTYPE html><p>t</p>", ["t"]), ("<!ELEMENT p>q", ["q"]), ("<?php echo 1 ?>r", ["r"]), ("<script>if (a<!--b) x</script><p>s</p>", ["s"]),
+    ("a<!-- x -- y - > -->b", ["ab"]), ("1 < 2 <!- 3> 4", ["1 < 2 4"]),
+])
+def test_comments_and_marked_sections_are_no_text(html, texts):
+    assert [b.text for b in mt.blocks(html)] == texts
+
+
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
     w, u = rng.normal(size=(mt.INPUT, 4 * mt.HIDDEN)) * 0.1, rng.normal(size=(mt.HIDDEN, 4 * mt.HIDDEN)) * 0.3

@@ -58,6 +58,21 @@ def test_versions_are_stored(spark):
     assert sh.SlotMap.load(spark, path, 1).shard == first.grown().shard
     with pytest.raises(Exception):
         first.save(spark, path)
+    # The last shards may be empty.
+    sparse = sh.SlotMap.balanced([9, 0], [1, 0], 5)
+    other = new_folder(spark, "map")
+    sparse.save(spark, other)
+    assert sh.SlotMap.load(spark, other, 0) == sparse and sh.SlotMap.load(spark, other, 0).shards == 5
+
+
+def test_a_record_finds_its_shard_in_an_edited_map(spark):
+    path = new_folder(spark, "map")
+    docs = spark.createDataFrame([(k, "x" * (k % 700)) for k in range(5000)], "doc_id long, text string")
+    before = {r["doc_id"]: r["shard"] for r in sh.shard_documents(docs, path, shards=8).collect()}
+    sh.SlotMap.load(spark, path, 0).grown().save(spark, path)
+    after = sh.assign(sh.slotted(docs), spark.read.parquet(f"{path}/version=000001")).collect()
+    assert len(after) == 5000 and places(after)
+    assert {r["shard"] for r in after if r["shard"] != before[r["doc_id"]]} == {8}
 
 
 def test_awkward_rows(spark, awkward, nothing):

@@ -187,6 +187,10 @@ def digests(texts: list[str]) -> list[np.ndarray]:
     return [np.concatenate([filters(long), filters(short)]) for long, short in features([t.encode() for t in texts])]
 
 
+#: Bytes of text that a part of the rows in order of id should hold.
+PART_BYTES = 12 << 20
+
+
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, fingerprint) of every whole text; a null text is empty and has the empty digest `0:`."""
     source = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
@@ -235,9 +239,12 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edit replaces the last quarter (rounded down) of the code points by the first as many of the next
     text, or all of it.  The next text is that of the next row by id, then by text; after the last row comes the
     first; a single row is its own next.  Repeated rows follow each other.  A null text is empty; other
-    columns play no part; an empty table gives an empty table.
+    columns play no part; an empty table gives an empty table.  Rows are dealt into parts of about PART_BYTES of
+    text; rows of one id (or without an id) lie in one part.  A text of any length is read whole.
     """
-    parts = parts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = df.agg(F.sum(F.octet_length(df[text_col].cast("string")).cast("long") + 16)).first()[0] or 0
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = with_next(df, id_col, text_col, parts)
     kind = rows.schema["id"].dataType.simpleString()
     order = Window.partitionBy("part").orderBy("tail", F.col("id").asc_nulls_first(), F.md5("text"))

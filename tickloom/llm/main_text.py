@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.batches import slices
 from tickloom.llm.words import word_hashes
 
 #: Bounds of what the labeller is fitted on: pages, bytes of all pages, blocks of an example.
@@ -49,6 +50,7 @@ OTHER_WORDS = frozenset(
     "ad ads advert advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb header footer sidebar aside related widget"
     " notice cookie consent popup modal newsletter subscribe share social comment comments commentlist reply copyright".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
+_COMMENT_END, _SHORT_COMMENT = re.compile(r"--!?>"), re.compile(r"<!---?>")
 
 
 @dataclass
@@ -105,6 +107,19 @@ class _Leaves(HTMLParser):
             self._flush()
         self._pop(tag)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """The end of a comment; without one the comment goes to the end of the page."""
+        short = _SHORT_COMMENT.match(self.rawdata, i)
+        end = short or _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Whatever else begins with `<!` ends at the next `>`, marked sections included."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
@@ -120,7 +135,7 @@ def blocks(html: str | None) -> list[Block]:
     if not html:
         return []
     reader = _Leaves()
-    reader.feed(html.replace("<![", "&lt;!["))
+    reader.feed(html)
     reader.close()
     return reader.blocks
 
@@ -337,15 +352,16 @@ def extract(pages: DataFrame, labeller: Labeller, id_col: str = "page_id", url_c
     """(page_id, url, text, n_chars, n_blocks, n_main) of every page, from its whole html.
 
     `text` joins the main blocks by one space, empty if there is none; a null html is an empty page.
-    Null ids and urls stay null, repeated rows are read each, other columns are left out.
+    Null ids and urls stay null, repeated rows are read each, other columns are left out.  A block whose score
+    is exactly one half is not main.  An empty table gives an empty table, and a page of any length is read
+    whole, its blocks in runs of bounded size.
     """
     source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, len(whole), 64):
-                batch = whole.slice(k, 64)
+            for batch in slices(whole, 2, rows=64):
                 found = [blocks(html) for html in batch.column(2).to_pylist()]
                 scores = labeller.scores([vectors(f) if f else np.zeros((0, INPUT), np.float32) for f in found])
                 main = [[b.text for b, p in zip(f, s, strict=True) if p > 0.5] for f, s in zip(found, scores, strict=True)]

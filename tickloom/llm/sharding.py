@@ -97,12 +97,12 @@ class SlotMap:
         return now._edited(shard, self.shards)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(version, vslot, shard, bytes, rows, before): `before` counts the rows of earlier slots in the shard."""
+        """(version, shards, vslot, shard, bytes, rows, before): `before` counts the rows of earlier slots in the shard."""
         seen, rows = [0] * self.shards, []
         for slot, s in enumerate(self.shard):
-            rows.append((self.version, slot, s, self.size[slot], self.rows[slot], seen[s]))
+            rows.append((self.version, self.shards, slot, s, self.size[slot], self.rows[slot], seen[s]))
             seen[s] += self.rows[slot]
-        return spark.createDataFrame(rows, "version int, vslot int, shard int, bytes long, rows long, before long")
+        return spark.createDataFrame(rows, "version int, shards int, vslot int, shard int, bytes long, rows long, before long")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Adds this version to the table of versions; earlier ones stay readable."""
@@ -111,7 +111,7 @@ class SlotMap:
     @staticmethod
     def load(spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = spark.read.parquet(f"{path.rstrip('/')}/version={version:06d}").orderBy("vslot").collect()
-        return SlotMap(max(r["shard"] for r in rows) + 1, tuple(r["shard"] for r in rows), tuple(r["bytes"] for r in rows), tuple(r["rows"] for r in rows), version)
+        return SlotMap(rows[0]["shards"], tuple(r["shard"] for r in rows), tuple(r["bytes"] for r in rows), tuple(r["rows"] for r in rows), version)
 
 
 def slotted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -150,7 +150,8 @@ def shard_documents(
     """Every record with its shard and place; version 0 of the slot map is stored under `path` and read back.
 
     A null text has no bytes; a null id is an id like any other; equal rows share a slot and get places of
-    their own.  A record is never cut: one that is larger than a shard's share makes its shard larger.
+    their own.  Equal texts under different ids are spread over the slots like any other records, so a large
+    group of copies weighs on no single shard.  A record is never cut: one that is larger than a shard's share makes its shard larger.
     An empty table gives an empty result and a map of empty slots.
     """
     spark = df.sparkSession
