@@ -61,6 +61,13 @@ def with_sequences(df: DataFrame, cols: Sequence[str] = INPUTS, layout: Layout =
     return Layout.core(df.withColumn("sequence", F.when(F.size("_rows") == n, F.flatten("_rows"))).drop("_rows"))
 
 
+def causal_means(inputs: DataFrame, spans: Sequence[int] = (2, 4, 8, 16), column: str = "seq_returns", name: str = "causal_return", layout: Layout = Layout()) -> DataFrame:
+    """``name``: the mean of the means of ``column`` over the latest 2, 4, 8 and 16 rows, fewer at the start."""
+    w = Layout.window()
+    means = [F.avg(column).over(w.rowsBetween(1 - n, 0)) for n in spans]
+    return Layout.core(layout.spread(inputs, before=max(spans)).withColumn(name, sum(means[1:], means[0]) / len(spans)))
+
+
 def _target_columns(prefix: str, latent_dim: int = LATENTS) -> list[str]:
     return [f"{prefix}_{kind}_{h}d" for h in HORIZONS for kind in ("return", "price", "dir")] + [
         f"{prefix}_return_confidence", *(f"{prefix}_latent_{i}" for i in range(latent_dim))

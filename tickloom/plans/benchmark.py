@@ -1,13 +1,19 @@
-"""A grid of settings over the whole panel in one job, and the run log made from it."""
+"""A grid of settings over the whole panel in one job, and the run log made from it.
+
+Every run is scored by a fitted model.  A fold has one linear discriminant per encoder and seed: least squares
+of the target on the model's columns over the training rows that the seed draws, from the covariances of one
+aggregation for all folds.  Its scores are calibrated per model on the last part of the training rows, by the
+method that the candidate names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import clip, number_rows
-from tickloom.operators import backtest, runlog, selection, signals
-from tickloom.plans.market import Market
+from tickloom.functions.series import KEY, ROW, div, number_rows
+from tickloom.operators import backtest, calibration, folds, runlog, selection, sequences, signals
+from tickloom.plans.market import SCORED, Market
 from tickloom.settings import BENCHMARK_SEEDS, Settings
 
 # Id, target coverage, trade ratio floor, lowest and highest threshold,
@@ -24,9 +30,12 @@ CANDIDATE_FIELDS = (
     "id", "target_coverage", "trade_ratio_floor", "conservative_th_min", "conservative_th_max", "calibration_method",
     "conservative_percentile_threshold",
 )
-# Weights of the two scaled features in the score, per encoder.
-ENCODERS = {"off": (0.6, 1.0), "tcn": (0.2, 1.2)}
+# Columns of the linear models per encoder: without one, and with causal means of the latest returns.
+ENCODERS = {"off": ("price_to_sma20_scaled", "distance_to_ma200_scaled"), "tcn": ("price_to_sma20_scaled", "distance_to_ma200_scaled", "causal_return")}
 SEEDS = BENCHMARK_SEEDS
+# Share of the training rows, in thousandths, that a seed draws; digits of coefficients and scores, so that engines agree.
+DRAWN, DIGITS = 850, 6
+MODEL = ("fold", "encoder_mode", "seed")
 # Features that a run may use, and the correlation with the outcome below which one counts as weak.
 USED, WEAK = ("volatility_20", "price_to_sma20", "distance_to_ma200", "price_to_sma20_scaled", "distance_to_ma200_scaled"), 0.05
 RUN = ("candidate_id", "encoder_mode", "seed", "ticker")
@@ -39,26 +48,74 @@ def candidates(spark) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def setting_grid(preds: DataFrame) -> DataFrame:
-    """Every validation row once per setting: a projection with an array of constants, no join."""
+def rounded(value: Column, digits: int = DIGITS) -> Column:
+    return F.round(value + float(f"3.7e-{digits + 2}"), digits) + 0.0
+
+
+def drawn(seed: Column) -> Column:
+    """Whether a seed draws a training row: whole-number arithmetic on ticker, row and seed."""
+    code = F.ascii("ticker") * 31 + F.ascii(F.substring("ticker", 2, 1)) * 17
+    return F.pmod(F.col("rn") * 7919 + seed * 104729 + code, F.lit(1000)) < DRAWN
+
+
+def coefficients(train: DataFrame) -> DataFrame:
+    """(fold, seed, encoder_mode, b0, b1, b2, b3) of the least-squares models of all folds, encoders and seeds."""
+    columns = ENCODERS["tcn"]
+    rows = train.withColumn("seed", F.explode(F.array(*[F.lit(x) for x in SEEDS]))).filter(drawn(F.col("seed")))
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    m = rows.groupBy("fold", "seed").agg(
+        F.avg("target").alias("my"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}{j}") for i, j in pairs], *[F.covar_pop(c, "target").alias(f"d{i}") for i, c in enumerate(columns)])
+    c = lambda i, j: F.col(f"c{min(i, j)}{max(i, j)}")
+    d = lambda i: F.col(f"d{i}")
+
+    def det(a: list[list[Column]]) -> Column:
+        if len(a) == 2:
+            return a[0][0] * a[1][1] - a[0][1] * a[1][0]
+        minor = lambda k: det([[x for j, x in enumerate(row) if j != k] for row in a[1:]])
+        return a[0][0] * minor(0) - a[0][1] * minor(1) + a[0][2] * minor(2)
+
+    def solved(n: int) -> list[Column]:
+        """Slopes by Cramer's rule; 0 where columns depend on each other."""
+        whole = det([[c(i, j) for j in range(n)] for i in range(n)])
+        return [rounded(F.coalesce(div(det([[d(i) if j == k else c(i, j) for j in range(n)] for i in range(n)]), F.when(F.abs(whole) > 1e-18, whole)), F.lit(0.0))) for k in range(n)]
+
+    parts = []
+    for mode, used in ENCODERS.items():
+        slopes = solved(len(used)) + [F.lit(0.0)] * (3 - len(used))
+        parts.append(F.struct(F.lit(mode).alias("encoder_mode"), *[b.alias(f"b{k + 1}") for k, b in enumerate(slopes)]))
+    out = m.withColumn("_m", F.explode(F.array(*parts))).select("fold", "seed", "my", "m0", "m1", "m2", "_m.*")
+    b0 = F.col("my") - F.col("b1") * F.col("m0") - F.col("b2") * F.col("m1") - F.col("b3") * F.col("m2")
+    return out.select("fold", "seed", "encoder_mode", rounded(b0).alias("b0"), "b1", "b2", "b3")
+
+
+def model_scores(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows once per model with ``p_model``: the logistic curve that is tangent to the linear model at one half."""
+    x1, x2, x3 = (F.col(c) for c in ENCODERS["tcn"])
+    linear = F.col("b0") + F.col("b1") * x1 + F.col("b2") * x2 + F.col("b3") * x3
+    return rows.join(found, "fold").withColumn("p_model", rounded(1 / (1 + F.exp(-4 * (linear - 0.5))))).drop("b0", "b1", "b2", "b3")
+
+
+def setting_grid(scores: DataFrame) -> DataFrame:
+    """Every scored validation row once per candidate: a projection with an array of constants, no join."""
     settings = [
         F.struct(
-            F.lit(c[0]).alias("candidate_id"), F.lit(e).alias("encoder_mode"), F.lit(seed).alias("seed"),
-            F.lit(2 * i + j).alias("setting_no"), F.lit(c[1]).alias("target_coverage"),
+            F.lit(c[0]).alias("candidate_id"), F.lit(2 * i).alias("setting_no"), F.lit(c[1]).alias("target_coverage"),
             F.lit(c[2]).alias("trade_ratio_floor"), F.lit(c[3]).alias("th_min"), F.lit(c[4]).alias("th_max"),
-            F.lit(float(c[6])).alias("percentile"), F.lit(w[0]).alias("w_trend"), F.lit(w[1]).alias("w_reversion"),
+            F.lit(c[5]).alias("calibration_method"), F.lit(float(c[6])).alias("percentile"),
         )
-        for i, c in enumerate(CANDIDATES) for j, (e, w) in enumerate(ENCODERS.items()) for seed in SEEDS
+        for i, c in enumerate(CANDIDATES)
     ]
-    rows = preds.drop("p_raw").withColumn("_s", F.explode(F.array(*settings))).select("*", "_s.*").drop("_s")
-    x = F.col("w_trend") * F.col("distance_to_ma200_scaled") - F.col("w_reversion") * F.col("price_to_sma20_scaled")
-    p = 1 / (1 + F.exp(-x)) + 0.03 * F.sin((F.col("seed") * F.col("rn")).cast("double"))
-    return rows.withColumn("p_raw", F.round(clip(p, 0.0, 1.0), 6))
+    rows = scores.withColumn("_s", F.explode(F.array(*settings))).select("*", "_s.*").drop("_s")
+    p = F.when(F.col("calibration_method") == "isotonic", F.col("p_isotonic")).otherwise(F.col("p_sigmoid"))
+    return rows.withColumn("p_raw", F.coalesce(p, F.col("p_model"))).withColumn("setting_no", F.col("setting_no") + (F.col("encoder_mode") == "tcn").cast("int")).drop(
+        "p_isotonic", "p_sigmoid", "p_model", "calibration_method")
 
 
-def grid_results(preds: DataFrame, s: Settings = Settings()) -> DataFrame:
+def grid_results(scores: DataFrame, s: Settings = Settings()) -> DataFrame:
     keys = [*RUN, "fold"]
-    adjusted = signals.volatility_weighted(setting_grid(preds), keys)
+    # Calibrated scores repeat, so ties must not hang on the last bits of a deviation.
+    adjusted = signals.volatility_weighted(setting_grid(scores), keys).withColumn("p", F.round("p", 10))
     thresholds = signals.fold_thresholds(adjusted, keys, s)
     sized = signals.open_positions(adjusted, thresholds, keys, s, PERCENTS)
     return backtest.fold_results(sized, keys, s)
@@ -68,9 +125,41 @@ class Benchmark:
     def __init__(self, market: Market):
         self.market = market
 
+    def training_members(self) -> DataFrame:
+        """Scaled rows of the usable folds with the causal mean of returns."""
+        m = self.market
+
+        def build() -> DataFrame:
+            causal = sequences.causal_means(m.sequence_inputs(), layout=m.layout).select(KEY, F.col(ROW).alias("bar_rn"), "causal_return")
+            return folds.robust_scale(folds.usable(m.members()), SCORED, "_scaled").join(causal, [KEY, "bar_rn"])
+
+        return m.stages.table("grid_members", m.payload(), build)
+
+    def models(self) -> DataFrame:
+        m = self.market
+        return m.stages.table("grid_models", m.payload(), lambda: coefficients(self.training_members().filter("role = 'train'")))
+
+    def scores(self) -> DataFrame:
+        """Validation rows of every model with p_model, p_isotonic and p_sigmoid."""
+        m, keys = self.market, list(MODEL)
+
+        def held() -> DataFrame:
+            rows = calibration.calibration_rows(self.training_members().filter("role = 'train'"))
+            return calibration.by_score(model_scores(rows, self.models()), keys, "p_model")
+
+        def build() -> DataFrame:
+            counts = m.stages.table("grid_held", m.payload(), held)
+            curves = calibration.sigmoid(counts, keys).withColumns({"slope": rounded(F.col("slope")), "offset": rounded(F.col("offset"))})
+            val = folds.validation_rows(self.training_members())
+            scored = calibration.apply_sigmoid(model_scores(val, self.models()), curves, keys, "p_model")
+            scored = calibration.apply_isotonic(scored, calibration.isotonic(counts, keys), keys, "p_model")
+            return scored.withColumns({"p_isotonic": rounded(F.col("p_isotonic")), "p_sigmoid": rounded(F.col("p_sigmoid"))})
+
+        return m.stages.table("grid_scores", m.payload(), build)
+
     def fold_results(self) -> DataFrame:
         m = self.market
-        return m.stages.table("grid_results", m.payload(grid=1), lambda: grid_results(m.predictions()))
+        return m.stages.table("grid_results", m.payload(grid=1), lambda: grid_results(self.scores()))
 
     def runs(self) -> DataFrame:
         """One row per (candidate, encoder, seed, ticker) with the score of the run."""
@@ -98,7 +187,7 @@ class Benchmark:
         runs = runs.withColumn("setting_no", setting.cast("long")).join(names, "ticker")
         bucket = F.col("setting_no") * 1_000_000 + F.expr("ticker_no div 1000")
         runs = number_rows(runs, bucket, keys=(), order="ticker_no", name="run_number")
-        grid = setting_grid(self.market.predictions())
+        grid = setting_grid(self.scores())
         counts = signals.signal_counts(grid, RUN)
         # Weak features are measured on the rows that the run would rather buy.
         liked = grid.filter(F.col("p_raw") >= 0.5)

@@ -173,11 +173,13 @@ preds AS MATERIALIZED (SELECT *, coalesce(lead(close) OVER (PARTITION BY ticker,
 
 
 def signals_cte(source: str = "preds", extra: str = "", th_min: str = "0.60", th_max: str = "0.64", floor: str = "0.09",
-                coverage: str = "0.16", percent: str = "0.70") -> str:
+                coverage: str = "0.16", percent: str = "0.70", digits: int | None = None) -> str:
     """Threshold search to sized positions; ``extra`` adds key columns such as ``candidate_id, ``."""
     k = f"{extra}ticker, fold"
+    p = "least(greatest(p_raw / least(greatest(1 + (volatility_20 - avg(volatility_20) OVER g) / (stddev_pop(volatility_20) OVER g + 1e-8), 0.5), 2.5), 0), 1)"
+    p = p if digits is None else f"round({p}, {digits})"
     return f"""
-adj AS MATERIALIZED (SELECT *, least(greatest(p_raw / least(greatest(1 + (volatility_20 - avg(volatility_20) OVER g) / (stddev_pop(volatility_20) OVER g + 1e-8), 0.5), 2.5), 0), 1) AS p
+adj AS MATERIALIZED (SELECT *, {p} AS p
   FROM {source} WINDOW g AS (PARTITION BY {k})),
 cand AS (SELECT {k}, unnest(list_distinct(quantile_cont(p, [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]))) AS th FROM adj GROUP BY {k}),
 pos AS (SELECT a.*, th, CASE WHEN p >= th THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ps FROM adj a JOIN cand USING ({k.replace('fold', 'fold')})),

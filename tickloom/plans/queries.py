@@ -20,7 +20,7 @@ from tickloom.operators import (
 )
 from tickloom.plans import market as mk
 from tickloom.plans import oracle as o
-from tickloom.plans.benchmark import CANDIDATES, Benchmark, candidates
+from tickloom.plans.benchmark import CANDIDATES, ENCODERS, Benchmark, candidates
 from tickloom.plans.forecast import fold_rows, forecast, keeper
 from tickloom.plans.oracle import r, rs, sql
 from tickloom.settings import BENCHMARK_SEEDS, LOW_IMPORTANCE, SEED_FEATURES, Settings
@@ -738,14 +738,56 @@ def _(spark, sf):
 # --- settings compared over runs ------------------------------------------------------------------------------------------
 
 _values = ", ".join(
-    f"('{c[0]}', '{e}', {seed}, {2 * i + j}, {c[1]}, {c[2]}, {c[3]}, {c[4]}, {c[6] / 100:.2f}, {w[0]}, {w[1]})"
-    for i, c in enumerate(CANDIDATES) for j, (e, w) in enumerate((("off", (0.6, 1.0)), ("tcn", (0.2, 1.2)))) for seed in BENCHMARK_SEEDS
+    f"('{c[0]}', '{e}', {2 * i + j}, {c[1]}, {c[2]}, {c[3]}, {c[4]}, '{c[5]}', {c[6] / 100:.2f})" for i, c in enumerate(CANDIDATES) for j, e in enumerate(ENCODERS)
 )
+_fixed = lambda e, name: f"round({e} + 3.7e-08, 6) + 0.0 AS {name}"
+_n3 = "c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c12 * c02) + c02 * (c01 * c12 - c11 * c02)"
+_k3 = (f"(d0 * (c11 * c22 - c12 * c12) - c01 * (d1 * c22 - c12 * d2) + c02 * (d1 * c12 - c11 * d2)) / ({_n3})",
+       f"(c00 * (d1 * c22 - c12 * d2) - d0 * (c01 * c22 - c12 * c02) + c02 * (c01 * d2 - d1 * c02)) / ({_n3})",
+       f"(c00 * (c11 * d2 - d1 * c12) - c01 * (c01 * d2 - d1 * c02) + d0 * (c01 * c12 - c11 * c02)) / ({_n3})")
+_k2 = ("(d0 * c11 - c01 * d1) / (c00 * c11 - c01 * c01)", "(c00 * d1 - d0 * c01) / (c00 * c11 - c01 * c01)")
+_causal = " + ".join(f"avg(ret) OVER {o.frame(n)}" for n in (2, 4, 8, 16))
+_model = "fold, encoder_mode, seed"
+
+
+def _grid_newton(k: int) -> str:
+    return f"""n{k + 1} AS MATERIALIZED (SELECT {_model}, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+  SELECT {_model}, any_value(a) AS a, any_value(b) AS b, sum((n * q - y) * p) + any_value(a) AS ga, sum(n * q - y) AS gb,
+    sum(n * q * (1 - q) * p * p) + 1 AS haa, sum(n * q * (1 - q) * p) AS hab, sum(n * q * (1 - q)) AS hbb
+  FROM (SELECT *, 1 / (1 + exp(-(a * p + b))) AS q FROM gpts JOIN n{k} USING ({_model})) GROUP BY {_model}))"""
+
+
+# Least squares per fold, encoder and seed by Cramer's rule; then both calibrations of every model's scores.
 GRID = f"""
-settings(candidate_id, encoder_mode, seed, setting_no, target_coverage, trade_ratio_floor, th_min, th_max, pct, wt, wr) AS (VALUES {_values}),
-grid AS MATERIALIZED (SELECT p.* EXCLUDE (p_raw), s.*, round(least(greatest(1 / (1 + exp(-(wt * s2 - wr * s1))) + 0.03 * sin(seed * rn), 0), 1), 6) AS p_raw FROM preds p, settings s)"""
+tcn AS (SELECT ticker, rn AS bar_rn, ({_causal}) / 4 AS x3 FROM (SELECT ticker, rn, coalesce(close / {o.lag('close')} - 1, lead(close) OVER (PARTITION BY ticker ORDER BY rn) / close - 1) AS ret FROM bars)),
+gm AS MATERIALIZED (SELECT m.*, x3 FROM scaled m JOIN tcn USING (ticker, bar_rn)),
+mom AS (SELECT fold, seed, avg(target) AS my, avg(s1) AS m0, avg(s2) AS m1, avg(x3) AS m2, covar_pop(s1, s1) AS c00, covar_pop(s1, s2) AS c01, covar_pop(s1, x3) AS c02,
+  covar_pop(s2, s2) AS c11, covar_pop(s2, x3) AS c12, covar_pop(x3, x3) AS c22, covar_pop(s1, target) AS d0, covar_pop(s2, target) AS d1, covar_pop(x3, target) AS d2
+  FROM gm, (VALUES {", ".join(f"({x})" for x in BENCHMARK_SEEDS)}) t(seed)
+  WHERE role = 'train' AND (rn * 7919 + seed * 104729 + ascii(ticker) * 31 + ascii(substr(ticker, 2, 1)) * 17) % 1000 < 850 GROUP BY fold, seed),
+slopes AS (SELECT fold, seed, my, m0, m1, m2, 'off' AS encoder_mode, {_fixed(_k2[0], 'b1')}, {_fixed(_k2[1], 'b2')}, 0.0::DOUBLE AS b3 FROM mom
+  UNION ALL SELECT fold, seed, my, m0, m1, m2, 'tcn', {_fixed(_k3[0], 'b1')}, {_fixed(_k3[1], 'b2')}, {_fixed(_k3[2], 'b3')} FROM mom),
+lin AS MATERIALIZED (SELECT *, {_fixed('my - b1 * m0 - b2 * m1 - b3 * m2', 'b0')} FROM slopes),
+gh AS (SELECT *, row_number() OVER (PARTITION BY ticker, fold ORDER BY rn) AS k, count(*) OVER (PARTITION BY ticker, fold) AS n FROM gm WHERE role = 'train'),
+gheld AS (SELECT *, count(*) OVER g AS m, min(target) OVER g AS lo, max(target) OVER g AS hi FROM gh WHERE n >= 100 AND k > floor(n * 0.8) WINDOW g AS (PARTITION BY ticker, fold)),
+gpts AS MATERIALIZED (SELECT {_model}, p, sum(target) AS y, count(*) AS n, row_number() OVER (PARTITION BY {_model} ORDER BY p) AS i FROM (
+  SELECT h.fold, encoder_mode, seed, target, {_fixed('1 / (1 + exp(-4 * (b0 + b1 * s1 + b2 * s2 + b3 * x3 - 0.5)))', 'p')} FROM gheld h JOIN lin USING (fold) WHERE m >= 30 AND lo < hi) GROUP BY {_model}, p),
+n0 AS (SELECT DISTINCT {_model}, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM gpts),{",".join(map(_grid_newton, range(12)))},
+gspans AS (SELECT a.fold, a.encoder_mode, a.seed, a.i AS i, b.i AS j, sum(b.y) OVER w / sum(b.n) OVER w AS mean FROM gpts a JOIN gpts b
+  ON a.fold = b.fold AND a.encoder_mode = b.encoder_mode AND a.seed = b.seed AND b.i >= a.i WINDOW w AS (PARTITION BY a.fold, a.encoder_mode, a.seed, a.i ORDER BY b.i ROWS UNBOUNDED PRECEDING)),
+gends AS (SELECT {_model}, i, j, min(mean) OVER (PARTITION BY {_model}, i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS low FROM gspans),
+giso AS MATERIALIZED (SELECT {_model}, p, v FROM (SELECT {_model}, j AS i, max(low) AS v FROM gends GROUP BY {_model}, j) JOIN gpts USING ({_model}, i)),
+gval AS MATERIALIZED (SELECT p.* EXCLUDE (p_raw), x3, encoder_mode, seed, {_fixed('1 / (1 + exp(-4 * (b0 + b1 * s1 + b2 * s2 + b3 * x3 - 0.5)))', 'pm')}
+  FROM preds p JOIN tcn USING (ticker, bar_rn) JOIN lin USING (fold)),
+gline AS (SELECT q.*, lo.p AS pa, lo.v AS va FROM (SELECT DISTINCT {_model}, pm FROM gval) q ASOF LEFT JOIN giso lo ON q.fold = lo.fold AND q.encoder_mode = lo.encoder_mode AND q.seed = lo.seed AND q.pm >= lo.p),
+gline2 AS (SELECT q.*, hi.p AS pb, hi.v AS vb FROM gline q ASOF LEFT JOIN giso hi ON q.fold = hi.fold AND q.encoder_mode = hi.encoder_mode AND q.seed = hi.seed AND q.pm <= hi.p),
+gcal AS MATERIALIZED (SELECT g.*, {_fixed('least(greatest(CASE WHEN pa IS NULL THEN vb WHEN pb IS NULL OR pa = pb THEN va ELSE va + (vb - va) * (pm - pa) / (pb - pa) END, 1e-6), 1 - 1e-6)', 'pi')},
+  {_fixed('least(greatest(1 / (1 + exp(-((round(a + 3.7e-08, 6) + 0.0) * pm + (round(b + 3.7e-08, 6) + 0.0)))), 1e-6), 1 - 1e-6)', 'ps')}
+  FROM gval g LEFT JOIN gline2 USING ({_model}, pm) LEFT JOIN n12 USING ({_model})),
+settings(candidate_id, encoder_mode, setting_no, target_coverage, trade_ratio_floor, th_min, th_max, method, pct) AS (VALUES {_values}),
+grid AS MATERIALIZED (SELECT g.* EXCLUDE (pi, ps, pm), s.* EXCLUDE (encoder_mode, method), coalesce(CASE WHEN method = 'isotonic' THEN pi ELSE ps END, pm) AS p_raw FROM gcal g JOIN settings s USING (encoder_mode))"""
 RUN_KEYS = "candidate_id, encoder_mode, seed, "
-TO_GRID = (*TO_PREDS, GRID, o.signals_cte("grid", RUN_KEYS, "th_min", "th_max", "trade_ratio_floor", "target_coverage", "pct"),
+TO_GRID = (*TO_PREDS, GRID, o.signals_cte("grid", RUN_KEYS, "th_min", "th_max", "trade_ratio_floor", "target_coverage", "pct", 10),
            o.results_cte(RUN_KEYS), o.cross_cte(RUN_KEYS),
            """scored_runs AS MATERIALIZED (SELECT *, n_folds_valid / n_folds_configured AS valid_folds_ratio,
   0.60 * net_sharpe + 0.30 * coverage_ratio + 0.15 * auc - 0.01 * turnover AS score FROM runs)""")
