@@ -51,6 +51,14 @@ def drift(df: DataFrame, cols: Sequence[str], n: int = 100) -> DataFrame:
     return rows.groupBy("ticker").agg(F.array(*parts).alias("a")).select("ticker", F.explode("a").alias("s")).select("ticker", "s.*")
 
 
+def last_values(df: DataFrame, cols: Sequence[str], n: int = 5) -> DataFrame:
+    """(ticker, feature, rn, value): the values of the last ``n`` rows of each ticker (numbered rows)."""
+    last = df.groupBy("ticker").agg(F.max(ROW).alias("_last"))
+    rows = df.select("ticker", ROW, *cols).join(last, "ticker").filter(F.col(ROW) > F.col("_last") - n)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]))
+    return rows.select("ticker", ROW, each.alias("s")).select("ticker", "s.feature", ROW, "s.value")
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson correlation of every pair over the rows that have both values; null when one
     of them does not vary.

@@ -93,11 +93,12 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
-def read_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Runs of a ``{metadata, runs: [...]}`` JSON document, one row per run."""
+def read_log(spark: SparkSession, path: str, schema=None, field: str = "runs") -> DataFrame:
+    """Runs of a ``{metadata, runs: [...]}`` JSON document of any layout, one row per run; a document is one task's work
+    (``sources.json_log`` reads a document with line breaks by many tasks)."""
     reader = spark.read.option("multiLine", True)
     document = (reader.schema(schema) if schema else reader).json(path)
-    return document.select(F.explode("runs").alias("r")).select("r.*")
+    return document.select(F.explode(field).alias("r")).select("r.*")
 
 
 def flatten(records: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from tickloom.plans.forecast import fold_rows, forecast, keeper
 from tickloom.plans.oracle import r, rs, sql
 from tickloom.settings import BENCHMARK_SEEDS, LOW_IMPORTANCE, SEED_FEATURES, Settings
 from tickloom.sources import bars as bar_source
+from tickloom.sources import candidates as candidate_source
+from tickloom.sources import json_log
 from tickloom.sources import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -865,6 +867,23 @@ def _(spark, sf):
     return pick(best, "candidate_id robust_score net_sharpe_mean coverage_mean relaxed")
 
 
+@query("candidates_of_tickers", sql(BARS, "n AS (SELECT ticker, count(*) AS n, avg(CASE WHEN close > open THEN 1.0 ELSE 0.0 END) AS up, row_number() OVER (ORDER BY ticker) AS k FROM bars GROUP BY ticker)",
+       select="""SELECT CASE WHEN n % 3 = 0 THEN 'candidate_' || k ELSE ticker END AS id, CASE WHEN n % 5 = 0 THEN 0.16 ELSE round(up + 3.7e-06, 4) END AS target_coverage,
+  least(0.58 + (n % 7) / 100, 0.6 + (n % 5) / 100) AS conservative_th_min, greatest(0.58 + (n % 7) / 100, 0.6 + (n % 5) / 100) AS conservative_th_max,
+  CASE n % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS xgb_candidate_budget FROM n"""))
+def _(spark, sf):
+    # A JSON list with one candidate per ticker, written and read back: ids, coverage and bounds are missing or reversed for some.
+    n = F.col("n")
+    bars = market(spark, sf).bars().groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("close") > F.col("open")).cast("double")).alias("up"))
+    budget = F.when(n % 4 == 0, "LOW").when(n % 4 == 1, "High").when(n % 4 == 2, "huge")
+    fields = {"id": F.when(n % 3 != 0, F.col("ticker")), "target_coverage": F.when(n % 5 != 0, F.round(F.col("up") + 3.7e-06, 4)), "xgb_candidate_budget": budget,
+              "conservative_th_min": 0.58 + (n % 7) / 100, "conservative_th_max": 0.6 + (n % 5) / 100}
+    rows = bars.groupBy().agg(F.array_sort(F.collect_list(F.struct("ticker", F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("c")))).alias("c"))
+    path = _folder(spark, sf)
+    rows.select(F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["c"]), ",\n"), F.lit("]"))).coalesce(1).write.text(path)
+    return pick(candidate_source.read_candidates(spark, path), "id target_coverage conservative_th_min conservative_th_max xgb_candidate_budget")
+
+
 @query("encoder_votes", sql(*TO_GRID, COMBOS, CHOSEN, "votes AS (SELECT candidate_id, encoder_mode, count(*) AS votes FROM chosen GROUP BY 1, 2)",
        select="SELECT candidate_id, encoder_mode, votes, CAST(sum(votes) OVER (PARTITION BY candidate_id) AS BIGINT) AS n_tickers FROM votes QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY votes DESC, encoder_mode) = 1"))
 def _(spark, sf):
@@ -947,6 +966,14 @@ def _(spark, sf):
     return pick(runlog.read_csv(spark, path, flat.schema), f"run_number ticker fold features_count {BACK_COLS} buy_signals")
 
 
+@query("run_log_json", BACK)
+def _(spark, sf):
+    # One document, written and read back by as many tasks as it has blocks.
+    path, records = _folder(spark, sf), _records(spark, sf)
+    json_log.write_runs(records, path, runlog.metadata(records))
+    return pick(runlog.flatten(json_log.read_runs(spark, path, records.schema)), f"run_number ticker fold features_count {BACK_COLS} buy_signals")
+
+
 @query("features_per_run", sql(*RECORDS, select="SELECT run_number, len(used) AS n_features, 0::BIGINT AS n_latent, len(used) AS n_technical, len(weak) AS n_weak FROM flat"))
 def _(spark, sf):
     f = F.col("features")
@@ -1028,6 +1055,11 @@ def _(spark, sf):
     return profile.distinct_values(market(spark, sf).bars(), ["volume", "high"])
 
 
+@query("last_values", sql(BARS, ROLL, _long, select=f"SELECT ticker, feature, rn, {r('value')} FROM UNPIVOT_ROWS QUALIFY rn > max(rn) OVER (PARTITION BY ticker) - 5"))
+def _(spark, sf):
+    return rounded(profile.last_values(market(spark, sf).features(), PROFILE_COLS))
+
+
 @query("feature_drift", sql(BARS, ROLL, "m AS (SELECT *, count(*) OVER (PARTITION BY ticker) AS total FROM rolling)", select=" UNION ALL ".join(
     f"SELECT ticker, '{c}' AS feature, {r(f'avg({c}) FILTER (rn <= 100)', 'first_mean')}, {r(f'avg({c}) FILTER (rn > total - 100)', 'last_mean')}, "
     f"{r(f'abs(avg({c}) FILTER (rn > total - 100) - avg({c}) FILTER (rn <= 100))', 'change')} FROM m GROUP BY ticker" for c in ("close", "volume", "volatility_20"))))
