@@ -101,3 +101,21 @@ def test_reasons_and_weights(spark):
     assert reasons == {"A": None, "B": "insufficient_train_size", "C": "single_validation_class", "D": "insufficient_validation_size"}
     weights = {r["ticker"]: r["pos_weight"] for r in folds.class_weights(df).collect()}
     assert weights == {"A": 4.5, "B": 1.0, "C": 1.0, "D": 1.0}
+
+
+def test_expanding_statistics_are_those_of_the_copied_rows(spark):
+    rng = np.random.default_rng(7)
+    data = [(t, k + 1, float(rng.integers(0, 2)), None if k % 50 == 3 else float(1e4 + rng.normal()), n) for t, n in (("A", 900), ("B", 433), ("C", 100)) for k in range(n)]
+    rows = spark.createDataFrame(data, "ticker string, rn long, target double, x double, n_rows long")
+    for s in (Settings(), Settings(min_train=100, val_rows=30, purge_rows=7, embargo_rows=0, min_val=20), Settings(min_train=80, val_rows=50, purge_rows=70, embargo_rows=30)):
+        members = folds.fold_members(rows, s, "purged")
+        train = members.filter("role = 'train'").groupBy("ticker", "fold").agg(
+            F.count("*").alias("n_train"), F.count_if(F.col("target") == 0).alias("n_sell"), F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
+        want = {(r["ticker"], r["fold"]): r for r in train.collect()}
+        got = {(r["ticker"], r["fold"]): r for r in folds.expanding_statistics(rows, ["x"], s).filter("n_train > 0").collect()}
+        assert got.keys() == want.keys() and len(want) > 3
+        for k, r in want.items():
+            assert (got[k]["n_train"], got[k]["n_sell"]) == (r["n_train"], r["n_sell"])
+            assert abs(got[k]["mean_x"] - r["m"]) < 1e-9 and abs(got[k]["std_x"] - r["sd"]) < 1e-9
+        assert sorted(folds.expanding_skip_reasons(rows, s).collect(), key=str) == sorted(folds.skip_reasons(members, s).collect(), key=str)
+        assert sorted(folds.expanding_class_weights(rows, s).collect(), key=str) == sorted(folds.class_weights(members).collect(), key=str)

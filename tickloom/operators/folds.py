@@ -91,20 +91,71 @@ def fold_members(rows: DataFrame, s: Settings = Settings(), scheme: str = "slidi
     )
 
 
+def with_reason(counts: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Why a fold with these counts cannot be used (null when it can)."""
+    return counts.select(*FOLD, "n_train", "n_val", "n_classes").withColumn(
+        "reason",
+        F.when(F.col("n_train") < s.min_train, "insufficient_train_size")
+        .when(F.col("n_val") < s.min_val, "insufficient_validation_size")
+        .when(F.col("n_classes") < 2, "single_validation_class"),
+    )
+
+
 def skip_reasons(members: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per fold: row counts, and why it cannot be used (null when it can)."""
     train, val = F.col("role") == "train", F.col("role") == "val"
-    n_train, n_val, classes = F.col("n_train"), F.col("n_val"), F.col("n_classes")
-    return members.groupBy(*FOLD).agg(
+    return with_reason(members.groupBy(*FOLD).agg(
         F.count_if(train).alias("n_train"),
         F.count_if(val).alias("n_val"),
         F.count_distinct(F.when(val, F.col("target"))).alias("n_classes"),
-    ).withColumn(
-        "reason",
-        F.when(n_train < s.min_train, "insufficient_train_size")
-        .when(n_val < s.min_val, "insufficient_validation_size")
-        .when(classes < 2, "single_validation_class"),
-    )
+    ), s)
+
+
+def expanding_statistics(rows: DataFrame, cols: Sequence[str] = (), s: Settings = Settings()) -> DataFrame:
+    """Per (ticker, fold) of the purged scheme: n_train, n_sell, n_buy, and mean and population deviation of ``cols``
+    (``mean_*``, ``std_*``) over the training rows.
+
+    A training row is in one block, that of the first fold which has it, and a fold's training rows are the blocks
+    up to its own.  So every row is aggregated once, and folds are running sums over one row per block.
+    """
+    first, held_back = math.ceil(s.purge_rows / s.val_rows), s.purge_rows + s.embargo_rows
+    idx = F.col(ROW) - 1
+    block = F.greatest(F.lit(first), F.floor((idx - s.min_train + held_back) / s.val_rows) + 1)
+    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_rows"))
+    table = fold_table(counts, s, "purged").select(KEY, "fold", (F.col("fold") - 1 + first).cast("long").alias("_block"))
+    # Squares are taken about the ticker's own first value, so that they keep their digits.
+    origin = rows.filter(F.col(ROW) == 1).select(KEY, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_o_{c}") for c in cols])
+    based = rows.join(origin, KEY, "left") if cols else rows
+    shifted = {c: F.col(c) - F.coalesce(F.col(f"_o_{c}"), F.lit(0.0)) for c in cols}
+    parts = based.groupBy(KEY, block.cast("long").alias("_block")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("target") == 0).alias("_sell"), F.count_if(F.col("target") == 1).alias("_buy"),
+        *[F.count(c).alias(f"_k_{c}") for c in cols], *[F.sum(x).alias(f"_s_{c}") for c, x in shifted.items()], *[F.sum(x * x).alias(f"_q_{c}") for c, x in shifted.items()])
+    upto = Window.partitionBy(KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    merged = table.join(parts, [KEY, "_block"], "left").select(
+        KEY, "fold", total("_n").alias("n_train"), total("_sell").alias("n_sell"), total("_buy").alias("n_buy"),
+        *[total(f"_{p}_{c}").alias(f"_{p}_{c}") for c in cols for p in "ksq"])
+    if not cols:
+        return merged
+    out = merged.join(origin, KEY, "left")
+    mean = {c: div(F.col(f"_s_{c}"), F.col(f"_k_{c}")) for c in cols}
+    return out.select(
+        KEY, "fold", "n_train", "n_sell", "n_buy", *[(mean[c] + F.col(f"_o_{c}")).alias(f"mean_{c}") for c in cols],
+        *[F.sqrt(F.greatest(div(F.col(f"_q_{c}"), F.col(f"_k_{c}")) - mean[c] * mean[c], F.lit(0.0))).alias(f"std_{c}") for c in cols])
+
+
+def expanding_skip_reasons(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``skip_reasons`` of the purged scheme from running sums, without a copy of a row per later fold."""
+    first = math.ceil(s.purge_rows / s.val_rows)
+    fold = F.floor((F.col(ROW) - 1 - s.min_train) / s.val_rows).cast("int") + 1 - first
+    val = rows.filter(F.col(ROW) > s.min_train).groupBy(KEY, fold.alias("fold")).agg(
+        F.count(F.lit(1)).alias("n_val"), F.count_distinct("target").alias("n_classes"))
+    return with_reason(expanding_statistics(rows, (), s).select(KEY, "fold", "n_train").join(val, [KEY, "fold"]), s)
+
+
+def expanding_class_weights(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``class_weights`` of the purged scheme from running sums."""
+    return with_weight(expanding_statistics(rows, (), s).select(*FOLD, "n_sell", "n_buy"))
 
 
 def rows_after_folds(rows: DataFrame, s: Settings = Settings(), scheme: str = "sliding") -> DataFrame:
@@ -127,8 +178,12 @@ def class_weights(members: DataFrame) -> DataFrame:
         F.count_if(train & (F.col("target") == 0)).alias("n_sell"),
         F.count_if(train & (F.col("target") == 1)).alias("n_buy"),
     )
+    return with_weight(per_fold)
+
+
+def with_weight(counts: DataFrame) -> DataFrame:
     both = (F.col("n_sell") > 0) & (F.col("n_buy") > 0)
-    return per_fold.withColumn("pos_weight", F.when(both, 1.5 * div(F.col("n_sell"), F.col("n_buy"))).otherwise(1.0))
+    return counts.withColumn("pos_weight", F.when(both, 1.5 * div(F.col("n_sell"), F.col("n_buy"))).otherwise(1.0))
 
 
 def on_train(value: Column) -> Column:

@@ -425,7 +425,20 @@ REASON = """SELECT ticker, fold, count(*) FILTER (role = 'train') AS n_train, co
 
 @query("fold_checks_purged", sql(*TO_LABELS, o.LABELLED, o.PURGED, select=REASON))
 def _(spark, sf):
-    return folds.skip_reasons(market(spark, sf).members(scheme="purged"))
+    return folds.expanding_skip_reasons(market(spark, sf).labelled())
+
+
+@query("class_weights_purged", sql(*TO_LABELS, o.LABELLED, o.PURGED, select="""SELECT ticker, fold, count(*) FILTER (role = 'train' AND target = 0) AS n_sell,
+  count(*) FILTER (role = 'train' AND target = 1) AS n_buy, round(coalesce(1.5 * nullif(count(*) FILTER (role = 'train' AND target = 0), 0)
+  / nullif(count(*) FILTER (role = 'train' AND target = 1), 0), 1) + 3.7e-08, 6) + 0.0 AS pos_weight FROM members GROUP BY ticker, fold"""))
+def _(spark, sf):
+    return rounded(folds.expanding_class_weights(market(spark, sf).labelled()))
+
+
+@query("expanding_moments", sql(*TO_LABELS, o.LABELLED, o.PURGED, select="SELECT ticker, fold, count(*) AS n_train, " + ", ".join(
+    f"{r(f'avg({c})', f'mean_{c}')}, {r(f'stddev_pop({c})', f'std_{c}')}" for c in ("volatility_20", "price_to_sma20", "distance_to_ma200")) + " FROM members WHERE role = 'train' GROUP BY ticker, fold"))
+def _(spark, sf):
+    return rounded(folds.expanding_statistics(market(spark, sf).labelled(), mk.MODEL_FEATURES).drop("n_sell", "n_buy"))
 
 
 @query("class_weights", sql(*TO_FOLDS, select="""SELECT ticker, fold, count(*) FILTER (role = 'train' AND target = 0) AS n_sell,
@@ -638,7 +651,7 @@ def _(spark, sf):
 @query("fold_accounting", sql(*TO_LABELS, o.LABELLED, o.PURGED, f"checks AS ({REASON})", select="""SELECT ticker, count(*) FILTER (reason IS NULL) AS n_folds_valid,
   count(*) FILTER (reason IS NOT NULL) AS n_folds_skipped, count(*) AS n_folds_total, coalesce(string_agg(reason, ',' ORDER BY fold) FILTER (reason IS NOT NULL), '') AS skip_reasons FROM checks GROUP BY ticker"""))
 def _(spark, sf):
-    checks = folds.skip_reasons(market(spark, sf).members(scheme="purged"))
+    checks = folds.expanding_skip_reasons(market(spark, sf).labelled())
     out = backtest.fold_accounting(checks.filter("reason is null"), checks.filter("reason is not null"))
     return out.withColumn("skip_reasons", F.array_join("skip_reasons", ","))
 
