@@ -77,6 +77,33 @@ def test_stage_is_built_once_per_key(spark, bars, tmp_path):
     assert len(calls) == 2 and payload_key({"a": 1, "b": 2}) == payload_key({"b": 2, "a": 1})
 
 
+def test_catalogue_lists_and_removes_what_is_old(spark, bars, tmp_path):
+    stages = Stages(spark, str(tmp_path))
+    for a in (1, 2):
+        stages.table("market", {"a": a}, lambda: bars)
+    (tmp_path / "market" / "making-lost").mkdir()
+    (tmp_path / "other" / "x").mkdir(parents=True)
+    found = {r["key"]: r["finished"] for r in stages.catalogue().collect()}
+    assert found == {payload_key({"a": 1}): True, payload_key({"a": 2}): True, "making-lost": False}
+    assert stages.expired(1).count() == 0 and stages.expired(-1).count() == 3
+    assert stages.remove(stages.expired(-1, keep=[payload_key({"a": 2})])) == 2
+    assert [r["key"] for r in stages.catalogue().collect()] == [payload_key({"a": 2})] and (tmp_path / "other" / "x").exists()
+    assert stages.table("market", {"a": 1}, lambda: bars).count() == 1400
+    with pytest.raises(ValueError):
+        stages.table("elsewhere", {}, lambda: bars)
+    assert Stages(spark, str(tmp_path / "none")).catalogue().count() == 0
+
+
+def test_two_writers_of_one_key_read_the_first_table(spark, bars, tmp_path):
+    first, second = Stages(spark, str(tmp_path)), Stages(spark, str(tmp_path))
+
+    def slow():  # another writer finishes while this one builds
+        first.table("market", {"a": 1}, lambda: bars.limit(10))
+        return bars
+
+    assert second.table("market", {"a": 1}, slow).count() == 10 == first.table("market", {"a": 1}, slow).count()
+
+
 def test_fold_keys_change_with_parameters(spark):
     df = spark.createDataFrame([("A", 1, "train", "2024-01-01"), ("A", 1, "val", "2024-02-01")], "ticker string, fold int, role string, d string").withColumn("date", F.to_date("d"))
     one, two = (fold_keys(df, "off", {"w": w}).first()["fold_key"] for w in (1, 2))

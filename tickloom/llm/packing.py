@@ -63,6 +63,16 @@ class WordIds:
     def _by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, from one text that holds them all; a space is no token and parts words."""
+        coded = self.library.encode(" ".join(words), add_special_tokens=False)
+        of_word = np.array(coded.word_ids, np.int64)
+        cuts = np.flatnonzero(np.diff(of_word)) + 1
+        if len(cuts) + 1 != len(words):
+            return self._by_library(words)
+        data, ends = np.array(coded.ids, "<u4").tobytes(), [0, *(4 * cuts).tolist(), 4 * len(of_word)]
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """Words do not depend on their neighbours; texts with special tokens or beyond Latin letters go whole to the library."""
         words = [None if any(s in t for s in self.special) else word_level(t) for t in texts]
@@ -70,7 +80,7 @@ class WordIds:
         new: dict[str, bytes] = {}
         for k in range(0, len(todo), 4096):
             part = todo[k:k + 4096]
-            new.update(zip(part, self._by_library(part), strict=True))
+            new.update(zip(part, self._words(part), strict=True))
         whole = iter(self._by_library([t for t, found in zip(texts, words, strict=True) if found is None]))
         known = self.known
         out = [next(whole) if found is None else b"".join([known[w] if w in known else new[w] for w in found]) for found in words]

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 
 _local_root: dict[str, str] = {}
 
+# Names of the stages, so that nothing else under a root is ever listed or removed.
+STAGES = (
+    "bars", "market", "features", "labels", "labelled", "predictions", "contract", "sequence_inputs", "fold_sequences", "fold_rows", "trees",
+    "steps", "model_scores", "model_results", "scored_members", "grid_members", "grid_models", "grid_held", "grid_scores", "grid_results", "run_records",
+)
+
 
 @cache
 def code_key() -> str:
@@ -107,12 +113,19 @@ def publish(spark: SparkSession, made: str, path: str) -> None:
         raise OSError(f"cannot move {made} to {path}")
 
 
+def _entries(spark: SparkSession, path: str) -> list:
+    to_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = to_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return list(files.listStatus(to_path)) if files.exists(to_path) else []
+
+
 class Stages:
     """Tables written once per content key and read back.
 
     A written table also cuts the lineage: losing an executor later repeats the
-    work after it only, and its readers scan just the columns they need.  Tables are kept
-    until someone removes the root; one whose key no longer occurs is never read again.
+    work after it only, and its readers scan just the columns they need.  Of two writers of one
+    key the first to rename its table wins and both read that.  Tables are kept until they are
+    removed (``expired``, ``remove``) and everything they hold can be made again.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -121,9 +134,38 @@ class Stages:
     def table(
         self, stage: str, payload: dict, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()
     ) -> DataFrame:
+        if stage not in STAGES:
+            raise ValueError(f"unknown stage {stage}")
         path = f"{self.root}/{stage}/{payload_key(payload)}"
         if not exists(self.spark, path):
             made = f"{self.root}/{stage}/making-{uuid.uuid4().hex}"
             build().write.partitionBy(*partition_by).parquet(made)
             publish(self.spark, made, path)
         return self.spark.read.parquet(path)
+
+    def catalogue(self) -> DataFrame:
+        """(stage, key, finished, changed, path) of all tables under the root; unfinished ones are those of writers at work
+        or of writers that were lost.  One row per table, from the file system's listing."""
+        rows = []
+        for stage in _entries(self.spark, self.root):
+            if not stage.isDirectory() or stage.getPath().getName() not in STAGES:
+                continue
+            for table in _entries(self.spark, stage.getPath().toString()):
+                path = table.getPath().toString()
+                finished = not table.getPath().getName().startswith("making-") and exists(self.spark, path)
+                rows.append((stage.getPath().getName(), table.getPath().getName(), finished, table.getModificationTime() / 1000.0, path))
+        listed = self.spark.createDataFrame(rows, "stage string, key string, finished boolean, changed double, path string")
+        return listed.withColumn("changed", F.timestamp_seconds("changed"))
+
+    def expired(self, days: float, keep: Sequence[str] = ()) -> DataFrame:
+        """Tables that have not changed for ``days`` days and whose key is not among ``keep``."""
+        old = F.col("changed") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(days * 86400.0))
+        return self.catalogue().filter(old & ~F.col("key").isin(list(keep)))
+
+    def remove(self, tables: DataFrame) -> int:
+        """Deletes tables of the catalogue; how many there were.  A reader at work on one of them fails and builds it anew."""
+        root, n = self.root.rstrip("/"), 0
+        for row in tables.select("stage", "key").collect():  # one row per table
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{row['stage']}/{row['key']}")
+            n += path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return n
