@@ -29,8 +29,8 @@ from tickloom.llm.store import table
 
 #: Words and their characters that a worker remembers at most, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS, SHORT = 200_000, 3_000_000, 64
-#: Pieces of one length that are ranked together; a length has as many parts as its count asks for.
-PART_ROWS = 1 << 17
+#: Least and most pieces of one length that are ranked together; a length has as many parts as its count asks for.
+PART_ROWS = (1 << 8, 1 << 17)
 
 
 @dataclass(frozen=True)
@@ -224,7 +224,9 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), rule: str = "norm") -> Da
     counts = {int(r[0]): int(r[1]) for r in stored.groupBy("length").count().collect()}  # at most `tokens` rows
     if any(n < 1 or n > limits.piece() for n in counts):
         raise ValueError("a piece is longer than a sequence may hold, or empty")
-    parts = {n: -(-c // PART_ROWS) for n, c in counts.items() if c > PART_ROWS}
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_rows = min(max(PART_ROWS[0], sum(counts.values()) // tasks), PART_ROWS[1])
+    parts = {n: -(-c // part_rows) for n, c in counts.items() if c > part_rows}
     of_length = F.coalesce(F.create_map(*[F.lit(v) for item in parts.items() for v in item])[F.col("length").cast("int")], F.lit(1)) if parts else F.lit(1)
     stored = stored.withColumn("p_part", F.pmod(F.xxhash64("p_row"), of_length).cast("int"))
     by_part = stored.groupBy("length", "p_part").agg(F.count("*").alias("p_rows"))
