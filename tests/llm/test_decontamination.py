@@ -100,7 +100,7 @@ def test_no_python_in_the_plan(spark, awkward):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.execute(ORACLE[name])
     columns = [c[0] for c in want.description]

@@ -1,6 +1,9 @@
 import os
+import random
+import unicodedata
 
 import pytest
+import zstandard
 
 from tickloom.llm import language as lg
 from tickloom.llm.queries import QUERIES
@@ -63,6 +66,40 @@ def test_awkward_rows(spark, awkward, nothing, model):
     assert {r["lang_pred"] for r in lg.predict(awkward, lg.fit(nothing)).collect()} == {lg.UNKNOWN}
 
 
+def brute(text, dictionaries):
+    """(language, score) by one fresh compressor a block and language."""
+    if text is None or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return lg.UNKNOWN, 0.0
+    plain = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+    sizes = {}
+    for name, data in dictionaries:
+        sizes[name] = 0
+        for k in range(0, len(plain), lg.BLOCK_BYTES):
+            content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            press = zstandard.ZstdCompressor(level=lg.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[name] += len(press.compress(plain[k:k + lg.BLOCK_BYTES]))
+    first, second = sorted((n, name) for name, n in sizes.items())[:2]
+    return first[1], (second[0] - first[0]) / second[0]
+
+
+def test_table_against_brute_force(spark, model):
+    rng = random.Random(3)
+    words = {lang: text.split() for lang, text in SAMPLE.items()}
+    texts = [" ".join(rng.choice(words[rng.choice([lang, "en"])]) for _ in range(rng.choice([1, 5, 40, 1500]))) for lang in SAMPLE for _ in range(15)]
+    texts += [None, "", "² ½ ①", "7 % !", "é", "Über-Wald, 3 Füchse; ça", "ª", "日本語", texts[0], texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in lg.predict(docs, model).collect()}
+    for k, text in enumerate(texts):
+        name, score = brute(text, model.dictionaries)
+        assert got[k] == (name, pytest.approx(score), name == lg.UNKNOWN or score < lg.MIN_MARGIN), text
+
+
+def test_too_many_languages_are_refused(spark):
+    many = spark.range(lg.MAX_LANGUAGES + 1).selectExpr("concat('l', id) AS lang", "concat('some text ', id) AS text")
+    with pytest.raises(ValueError):
+        lg.fit(many)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")

@@ -47,6 +47,44 @@ def test_plans_place_every_piece_once_under_every_capacity(rule, limits):
     assert used <= 1.25 * least + 2
 
 
+def one_by_one(lengths, limits, rule):
+    """Best-fit decreasing, a piece at a time over all sequences; how many there are."""
+    caps = np.array([limits.tokens, limits.documents, limits.attention], float)
+    ask = [np.array([n, 1, n * n], float) for n in lengths]
+    weights = sum(ask) / caps
+    weights, bins = weights / weights.sum(), []
+    for need in sorted(ask, key=lambda a: -a[0]):
+        scores = []
+        for left in bins:
+            fits = (left >= need).all()
+            score = (weights * ((left - need) / caps) ** 2).sum() if rule == "norm" else -(weights * left / caps * need / caps).sum()
+            scores.append(score if fits else np.inf)
+        if not scores or min(scores) == np.inf:
+            bins.append(caps - need)
+        else:
+            bins[int(np.argmin(scores))] -= need
+    return len(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [pk.Limits(64, 64, 64 * 64), pk.Limits(64, 4, 64 * 64), pk.Limits(64, 64, 2500)])
+def test_as_few_sequences_as_piece_by_piece(rule, limits):
+    for seed in range(6):
+        rng = random.Random(seed)
+        lengths = [rng.randint(1, limits.piece()) for _ in range(250)]
+        plan = pk.best_fit(dict(Counter(lengths)), limits, rule)
+        used, want = int((plan["first"] + plan["sequences"]).max()), one_by_one(lengths, limits, rule)
+        assert used <= want * 1.03 + 1, (used, want)
+
+
+def test_equal_rows_and_common_lengths_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pk, "PART_ROWS", (4, 16))
+    same = spark.createDataFrame([(1, "one two three")] * 300 + [(2, "four")] * 50, "doc_id long, text string").repartition(7)
+    rows = pk.pack_documents(same, pk.Limits(16, 16, 256)).collect()
+    assert len(rows) == 350
+    check(rows, pk.Limits(16, 16, 256))
+
+
 def test_few_sequences():
     rng = np.random.default_rng(0)
     counts = Counter(int(n) for n in rng.integers(1, 2049, 20_000))

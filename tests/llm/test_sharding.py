@@ -29,6 +29,28 @@ def test_bytes_are_near_equal_and_places_gapless(spark):
     assert set(load) == set(range(sh.SHARDS)) and max(load.values()) - min(load.values()) < 0.02 * min(load.values())
 
 
+def test_whole_table_against_row_loops(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(300) if k % 20 else None, None if k % 17 == 0 else "copy" if k % 3 == 0 else "y" * rng.randrange(90)) for k in range(900)]
+    got = sh.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), new_folder(spark, "map"), shards=5, slots=64).collect()
+    want = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    # The same id and text has one slot, a slot one shard, and places follow slot, id and checksum.
+    slot_of, shard_of, held = {}, {}, defaultdict(list)
+    for r in got:
+        assert slot_of.setdefault((r["doc_id"], r["text_crc32"]), r["vslot"]) == r["vslot"]
+        assert shard_of.setdefault(r["vslot"], r["shard"]) == r["shard"]
+        held[r["shard"]].append(r)
+    for part in held.values():
+        part.sort(key=lambda r: (r["vslot"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]))
+        order = [r["slot"] for r in part]
+        assert order == list(range(len(part))) or sorted(order) == list(range(len(part))) and all(
+            part[a][k] == part[b][k] for a, b in zip(range(len(part)), order) for k in ("vslot", "doc_id", "text_crc32"))
+    loads = [sum(r["size"] for r in part) for part in held.values()]
+    biggest = max(sum(r["size"] for r in got if r["vslot"] == v) for v in shard_of)
+    assert max(loads) - min(loads) <= biggest
+
+
 def test_growing_takes_slots_into_the_new_shard_only():
     rng = random.Random(4)
     size, rows = [rng.randrange(1000) for _ in range(4096)], [1] * 4096
