@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 
 #: Bytes and rows of a slice; a longer text is a slice of its own.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
+_C = ctypes.CDLL(None)
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -22,3 +24,11 @@ def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES, rows: in
         last = min(max(first + 1, last), first + rows, len(batch))
         yield batch.slice(first, last - first)
         first = last
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system, where the C library can; called when a task is done."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)
+    if trim is not None:
+        trim(0)

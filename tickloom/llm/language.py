@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.batches import slices
+from tickloom.llm.batches import give_back, slices
 
 #: Bounds of what is learned: rows and characters of a row per language, bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1000, 256 * 1024
@@ -133,6 +133,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", min_mar
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:len(kept)], *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))],
                     [*kept, "lang_pred", "score", "rejected"])
+        give_back()
 
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
 

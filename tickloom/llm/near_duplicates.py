@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.batches import give_back
 from tickloom.llm.store import table
 from tickloom.llm.words import groups_of_texts, mix, shingle_hashes, text_bytes, uniform, word_hashes
 
@@ -131,6 +132,7 @@ def _signed(source: DataFrame) -> DataFrame:
                 part = whole.slice(a, b - a)
                 bytes_of = pa.array(np.diff(offsets[a:b + 1]), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bytes_of, lists], ["id", "digest", "size", "bands"])
+        give_back()
 
     return source.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest string, size long, bands array<long>")
 
@@ -157,6 +159,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = int(np.minimum(m[i], n[j]).sum())
                 keep.append(both >= THRESHOLD * (int(m.sum()) + int(n.sum()) - both))
             yield frame.loc[keep, ["a", "b"]]
+        cache.clear()
+        give_back()
 
     own = texts.select(F.col("id").alias("__id"), "text")
     with_b = pairs.join(own, F.col("b") == F.col("__id")).select("a", "b", F.col("text").alias("text_b"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.batches import slices
+from tickloom.llm.batches import give_back, slices
 from tickloom.llm.pretokens import word_level
 from tickloom.llm.store import table
 
@@ -131,6 +131,8 @@ def token_pieces(
                 if keep_ids:
                     columns.append(pa.array(ids, pa.binary())), names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.known, encoder.held = {}, 0
+        give_back()
 
     return source.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 

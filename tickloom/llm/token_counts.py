@@ -18,7 +18,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.batches import slices
+from tickloom.llm.batches import give_back, slices
 from tickloom.llm.merging import SHIFT, group_places, merge_sequence
 from tickloom.llm.pretokens import byte_level
 
@@ -186,6 +186,8 @@ def token_counts(
                     batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()),
                     pa.array([n > limit for n in tokens], pa.bool_()),
                 ], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        counter.known, counter.held = {}, 0
+        give_back()
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
