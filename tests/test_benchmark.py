@@ -65,3 +65,14 @@ def test_causal_means(spark, chunk):
     got = sequences.causal_means(df, layout=Layout(chunk)).orderBy("rn").toPandas()["causal_return"]
     want = [np.mean([values[max(0, k - n + 1):k + 1].mean() for n in (2, 4, 8, 16)]) for k in range(100)]
     np.testing.assert_allclose(got, want, atol=1e-12)
+
+
+def test_strength_of_features_that_vary_and_that_do_not(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=60).round(3), rng.integers(0, 2, 60).astype(float)
+    data = [("varied", float(a), float(b)) for a, b in zip(x, y)] + [("varied", None, 1.0), ("varied", 5.0, None)]
+    data += [("flat feature", 0.1, b) for b in (0.0, 1.0, 1.0)] + [("flat target", a, 1.0) for a in (0.1, 0.2, 0.4)] + [("one row", 0.1, 1.0), ("no pair", None, 1.0)]
+    df = spark.createDataFrame(data, "run string, x double, target double").repartition(3)
+    got = {r["run"]: r["s"] for r in df.groupBy("run").agg(bm.strength("x").alias("s")).collect()}
+    assert got["varied"] == pytest.approx(abs(np.corrcoef(x, y)[0, 1]), abs=1e-6)
+    assert all(np.isnan(got[k]) for k in ("flat feature", "flat target", "one row")) and got["no pair"] is None

@@ -58,6 +58,15 @@ def drawn(seed: Column) -> Column:
     return F.pmod(F.col("rn") * 7919 + seed * 104729 + code, F.lit(1000)) < DRAWN
 
 
+def strength(feature: str, target: str = "target") -> Column:
+    """Size of the correlation over the rows that have both values: NaN, as in SQL, when one of them does not vary,
+    null without rows (``corr`` raises in ANSI mode)."""
+    both = F.col(feature).isNotNull() & F.col(target).isNotNull()
+    x, y = (F.when(both, F.col(c)) for c in (feature, target))
+    r = div(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+    return F.when(F.count(x) > 0, F.round(F.abs(F.coalesce(r, F.lit(float("nan")))), 6))
+
+
 def coefficients(train: DataFrame) -> DataFrame:
     """(fold, seed, encoder_mode, b0, b1, b2, b3) of the least-squares models of all folds, encoders and seeds."""
     columns = ENCODERS["tcn"]
@@ -191,9 +200,9 @@ class Benchmark:
         counts = signals.signal_counts(grid, RUN)
         # Weak features are measured on the rows that the run would rather buy.
         liked = grid.filter(F.col("p_raw") >= 0.5)
-        strength = liked.groupBy(*RUN).agg(*[F.round(F.abs(F.corr(f, "target")), 6).alias(f"_c_{f}") for f in USED], F.max("date").alias("run_date"))
+        measured = liked.groupBy(*RUN).agg(*[strength(f).alias(f"_c_{f}") for f in USED], F.max("date").alias("run_date"))
         weak = [F.coalesce(F.col(f"_c_{f}") < WEAK, F.lit(True)) for f in USED]
-        runs = runs.join(counts, list(RUN)).join(strength, list(RUN), "left").withColumns({
+        runs = runs.join(counts, list(RUN)).join(measured, list(RUN), "left").withColumns({
             "features_used": F.array_compact(F.array(*[F.when(~w, F.lit(f)) for f, w in zip(USED, weak)])),
             "removed_by_importance": F.array_compact(F.array(*[F.when(w, F.lit(f)) for f, w in zip(USED, weak)])),
             "seq_encoder": F.col("encoder_mode"),
